@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, pieces, secret_scan, sketch, url_filter
-from .util import tuned
+from . import chat, mixing, pieces, secret_scan, sketch, token_counts, toxicity, url_filter
+from .util import new_path, tuned
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -22,6 +22,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tuned(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# -- 1: toxicity ---------------------------------------------------------------
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "abuse", "quoted")
+
+
+# -- 3: token counts ------------------------------------------------------------
+
+RANKS = "byte_bpe_50k.tiktoken"
+END_OF_DOCUMENT = 50256
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    path = new_path(spark, "tokens")
+    token_counts.write_tokens(docs, path, tokenizer_file(RANKS), END_OF_DOCUMENT, key="doc_id")
+    return token_counts.keyed_counts(spark, path, END_OF_DOCUMENT)
+
+
 # -- 2: SentencePiece ---------------------------------------------------------
 
 
@@ -172,7 +195,9 @@ FROM parts LEFT JOIN (SELECT * FROM fits WHERE k = 1) USING (r)
 """
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_token_counts": op3_token_counts,
     "op4_mixing": op4_mixing,
     "op7_chat": op7_chat,
     "op8_fingerprints": op8_fingerprints,
