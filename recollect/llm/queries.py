@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, pieces, secret_scan, sketch, token_counts, toxicity, url_filter
+from . import chat, embed_dedup, mixing, pieces, secret_scan, sketch, token_counts, toxicity, url_filter
 from .util import new_path, tuned
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -95,6 +95,13 @@ FROM total, LATERAL (SELECT unnest(range(n_copies)) AS copy)
 """
 
 
+# -- 6: embeddings ------------------------------------------------------------
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 # -- 7: chat ------------------------------------------------------------------
 
 PLANTED = "\\### Assistant: </turn> ok"
@@ -199,6 +206,7 @@ QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_token_counts": op3_token_counts,
     "op4_mixing": op4_mixing,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_chat": op7_chat,
     "op8_fingerprints": op8_fingerprints,
     "op9_secrets": op9_secrets,
