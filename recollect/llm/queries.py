@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embed_dedup, mixing, pieces, secret_scan, sketch, token_counts, toxicity, url_filter
+from . import chat, embed_dedup, mixing, ngram_join, pieces, secret_scan, sketch, token_counts, toxicity, url_filter
 from .util import new_path, tuned
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -95,6 +95,13 @@ FROM total, LATERAL (SELECT unnest(range(n_copies)) AS copy)
 """
 
 
+# -- 5: n-gram Jaccard join ------------------------------------------------------
+
+
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 # -- 6: embeddings ------------------------------------------------------------
 
 
@@ -206,6 +213,7 @@ QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_token_counts": op3_token_counts,
     "op4_mixing": op4_mixing,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_chat": op7_chat,
     "op8_fingerprints": op8_fingerprints,
