@@ -47,7 +47,7 @@ crétin abruti ordure
 REPORTING = set("said says wrote writes called calls quote quoted quotes reported sagte schrieb nannte zitat dit écrit appelle cite dijo escribió llamó cita".split())
 OPENING, CLOSING = "\"“«„‘", "\"”»“’"
 WORD = re.compile(r"[^\W_]+")
-PRIOR = np.array([-3.0, 3.0, 0.5, 1.0])
+PRIOR = np.array([-3.0, 4.0, 1.0, 1.0])
 
 
 def budget(word: str) -> int:
