@@ -10,11 +10,12 @@ others before them by hash. Two sets that reach the threshold share a shingle
 in the prefixes that the threshold leaves them, so prefixes are dealt by
 fragments of the order and classes meet where they share a shingle.
 
-Overlaps of classes that met are counted fragment by fragment of the order and
-summed per pair. First each class is counted against the leader of its largest
-group, which joins most of a group of copies with one count each. Then blocks of
-BLOCK classes that share a prefix shingle but are not yet joined throughout are
-counted against each other. Tasks return links that join, never all pairs.
+Classes that met are candidates. A parity bitmap of each set bounds the overlap of
+a pair from above; pairs whose bound falls short go. For the rest, overlaps are
+counted separately in each fragment of the order and summed per pair. First each
+class is a candidate with the smallest class of each group it is in, which joins
+most of a group of copies with one count each. Then blocks of BLOCK classes of a
+group that are not yet joined throughout are compared, by bitmap, then by counts.
 
 Defined results: null and empty texts and texts without words have an empty set
 and link with nothing (component_id is their own doc_id); repeated rows each get
@@ -46,8 +47,8 @@ ORDER_ENTRIES = 1 << 18
 BLOCK = 128
 #: Shingles gathered in a worker before they are sent on.
 GATHER = 1_500_000
-#: Columns of a fragment that are counted at a time.
-FRAGMENT = 4096
+#: Fragments of the global order in which overlaps are counted.
+FRAGMENTS = 4
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 _COUNT_SHIFT, _TOKEN_SHIFT = np.uint64(24), np.uint64(16)
 
@@ -87,6 +88,15 @@ def pack(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(gaps[:, :6].T).tobytes()
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Integers below 2**32 by byte planes: the high ones are mostly zero."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def unplaned(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
 def unpack(raw: bytes) -> np.ndarray:
     planes = np.frombuffer(raw, dtype=np.uint8).reshape(6, -1)
     gaps = np.zeros((planes.shape[1], 8), dtype=np.uint8)
@@ -94,6 +104,30 @@ def unpack(raw: bytes) -> np.ndarray:
     return np.cumsum(gaps.view("<u8").ravel(), dtype=np.uint64)
 
 
+# -- bitmaps ---------------------------------------------------------------------
+
+
+def bitmap(hashes: np.ndarray) -> bytes:
+    """Parity of the hashes in each of 2 to 4 times as many cells (a power of two, 256 to 65536)."""
+    cells = 1 << min(16, max(8, (2 * len(hashes) - 1).bit_length()))
+    odd = np.bincount((hashes & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """Rows of bitmaps, folded to ``size`` bytes: parities add up."""
+    while bits.shape[1] > size:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
+
+
+def can_link(n_a, n_b, differ, share=SHARE):
+    """Whether sets of these sizes can reach the threshold if at least ``differ`` elements are in only one."""
+    union2 = n_a + n_b + differ  # twice the smallest union; n_a + n_b - differ: twice the largest intersection
+    return (share[1] * (n_a + n_b - differ) >= share[0] * union2) & (share[1] * np.minimum(n_a, n_b) >= share[0] * np.maximum(n_a, n_b))
+
+
 # -- frequencies --------------------------------------------------------------
 
 
@@ -146,12 +180,12 @@ def frequent_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarra
 
 # -- prefixes -----------------------------------------------------------------
 
-_PREFIX = "kind int, doc_id long, n long, class long, p int, tokens binary, owners binary, classes binary"
+_PREFIX = "kind int, doc_id long, n long, class long, p int, tokens binary, owners binary, places binary, classes binary, sizes binary, bits binary"
 
 
 def _prefixes(docs: DataFrame, key: str, text: str, frequent, share) -> DataFrame:
-    """Kind 0: a row a document. Kind 1: light prefix shingles of a fragment, packed.
-    Kind 2: one frequent prefix shingle of a class (in p and n nothing; its code in doc_id)."""
+    """Kind 0: a row a document, with its bitmap at the class's first in a task's batch. Kind 1: light prefix shingles of a fragment, packed.
+    Kind 2: one frequent prefix shingle of a class of n shingles (its code in doc_id, its place in p)."""
     parts = partitions(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # bounded by ORDER_ENTRIES
 
@@ -177,25 +211,26 @@ def _prefixes(docs: DataFrame, key: str, text: str, frequent, share) -> DataFram
                 base = np.repeat(early[first] - ~late[first], sizes)
                 wanted = prefix_length(sizes, share)
                 take = ~late & (early - base <= np.repeat(wanted, sizes))
-                tokens, who = flat[take] >> _TOKEN_SHIFT, owner[take]
+                tokens, who, place_in = flat[take] >> _TOKEN_SHIFT, owner[take], (early - base)[take] - 1
                 order = np.argsort(tokens, kind="stable")
-                tokens, who = tokens[order], who[order]
+                tokens, who, place_in = tokens[order], who[order], place_in[order]
                 part = (tokens * np.uint64(parts) >> np.uint64(48)).astype(np.int64)
                 cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])[1:] if len(part) else []
                 table = np.array(names, dtype="<i8")
-                for p, t, w in zip(np.unique(part), np.split(tokens, cuts), np.split(who, cuts)):
+                for p, t, w, i in zip(np.unique(part), np.split(tokens, cuts), np.split(who, cuts), np.split(place_in, cuts)):
                     present, local = np.unique(w, return_inverse=True)
-                    made.append((1, None, None, None, int(p), pack(t), local.astype("<u4").tobytes(), table[present].tobytes()))
-                left = wanted - np.bincount(owner[take], minlength=len(sets))
+                    made.append((1, None, None, None, int(p), pack(t), planes(local), planes(i), table[present].tobytes(), planes(sizes[present]), None))
+                taken = np.bincount(owner[take], minlength=len(sets))
+                left = wanted - taken
                 for i in np.flatnonzero(left > 0):
                     span = slice(first[i], first[i] + sizes[i])
                     mine = flat[span][late[span]]
                     ranked = np.lexsort((mine, place[at[span][late[span]]]))
-                    made += [(2, int(c), None, names[i], None, None, None, None) for c in (mine[ranked[: left[i]]]).view(np.int64)]
+                    made += [(2, int(c), int(sizes[i]), names[i], int(taken[i]) + at_, *[None] * 6) for at_, c in enumerate(mine[ranked[: left[i]]].view(np.int64))]
                 sets.clear()
                 names.clear()
                 seen.clear()
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 6]
             return pa.RecordBatch.from_arrays([pa.array([m[c] for m in made], k) for c, k in enumerate(kinds)], names=[f.split()[0] for f in _PREFIX.split(", ")])
 
         gathered = 0
@@ -203,8 +238,9 @@ def _prefixes(docs: DataFrame, key: str, text: str, frequent, share) -> DataFram
             for k, t in zip(*(c.to_pylist() for c in batch.columns)):
                 own = shingles(t)
                 name = class_of(own)
-                rows.append((0, k, len(own), name, None, None, None, None))
-                if len(own) and name not in seen:
+                fresh = len(own) > 0 and name not in seen
+                rows.append((0, k, len(own), name, *[None] * 6, bitmap(own) if fresh else None))
+                if fresh:
                     seen.add(name)
                     sets.append(own)
                     names.append(name)
@@ -217,101 +253,90 @@ def _prefixes(docs: DataFrame, key: str, text: str, frequent, share) -> DataFram
     return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, _PREFIX)
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the packed light shingles of a fragment, those that two classes or more have."""
-    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-    for batch in batches:
-        for p, tokens, owners, classes in zip(*(c.to_pylist() for c in batch.columns)):
-            held.setdefault(p, []).append((unpack(tokens), np.frombuffer(classes, dtype="<i8")[np.frombuffer(owners, dtype="<u4")]))
-    for p in list(held):
-        tokens, classes = (np.concatenate(x) for x in zip(*held.pop(p)))
-        order = np.lexsort((classes, tokens))
-        tokens, classes = tokens[order], classes[order]
-        fresh = np.r_[True, (tokens[1:] != tokens[:-1]) | (classes[1:] != classes[:-1])]
-        tokens, classes = tokens[fresh], classes[fresh]
-        at = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
-        n = np.diff(np.r_[at, len(tokens)])
-        shared = np.repeat(n > 1, n)
-        yield pa.RecordBatch.from_pydict({"token": tokens[shared].astype(np.int64), "class": classes[shared]})
+def _can_start(n_a, n_b, i, j, share):
+    """Whether sets of these sizes that share the shingles at places i and j of the order, and
+    none before, can reach the threshold. Of the shingles a linking pair shares the first passes."""
+    most = np.minimum(n_a - i, n_b - j)
+    return ((share[0] + share[1]) * most >= share[0] * (n_a + n_b)) & (share[1] * np.minimum(n_a, n_b) >= share[0] * np.maximum(n_a, n_b))
 
 
-# -- overlaps -----------------------------------------------------------------
+def _meet(share):
+    """Of the packed light shingles of a fragment: the pairs (u, v) that can link by sizes and
+    places, each once; groups of more than BLOCK classes as members (token, u, n, place)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {}
+        for batch in batches:
+            for p, tokens, owners, places, classes, sizes in zip(*(c.to_pylist() for c in batch.columns)):
+                own = unplaned(owners)
+                held.setdefault(p, []).append((unpack(tokens), np.frombuffer(classes, dtype="<i8")[own], unplaned(sizes)[own], unplaned(places)))
+        for p in list(held):
+            tokens, classes, sizes, places = (np.concatenate(x) for x in zip(*held.pop(p)))
+            order = np.lexsort((classes, tokens))
+            tokens, classes, sizes, places = tokens[order], classes[order], sizes[order], places[order]
+            fresh = np.r_[True, (tokens[1:] != tokens[:-1]) | (classes[1:] != classes[:-1])]
+            tokens, classes, sizes, places = tokens[fresh], classes[fresh], sizes[fresh], places[fresh]
+            at = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+            n = np.diff(np.r_[at, len(tokens)])
+            us, vs = [], []
+            for size in np.unique(n[(n > 1) & (n <= BLOCK)]).tolist():
+                starts = at[n == size]
+                one, two = np.triu_indices(size, 1)
+                step = max(1, 500_000 // len(one))
+                for k in range(0, len(starts), step):
+                    a, b = ((starts[k : k + step, None] + side[None, :]).ravel() for side in (one, two))
+                    fine = _can_start(sizes[a], sizes[b], places[a], places[b], share)
+                    us.append(classes[a[fine]])
+                    vs.append(classes[b[fine]])
+            if us:
+                u, v = np.concatenate(us), np.concatenate(vs)  # u < v: classes ascend in a group
+                order = np.lexsort((v, u))
+                u, v = u[order], v[order]
+                first = np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])][: len(u)]
+                u, v = u[first], v[first]
+                none = pa.nulls(len(u), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), none, none, none], names=["u", "v", "token", "n", "place"])
+            large = np.repeat(n > BLOCK, n)
+            if large.any():
+                columns = [classes[large], None, tokens[large].astype(np.int64), sizes[large], places[large]]
+                yield pa.RecordBatch.from_arrays([pa.nulls(int(large.sum()), pa.int64()) if c is None else pa.array(c) for c in columns], names=["u", "v", "token", "n", "place"])
+
+    return run
 
-def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Intersection sizes of all pairs: partial counts of each fragment of the order, summed."""
-    total = np.zeros((len(left), len(right)), dtype=np.int64)
-    a, b = np.concatenate(left), np.concatenate(right)
-    of_a, of_b = np.repeat(np.arange(len(left)), [len(s) for s in left]), np.repeat(np.arange(len(right)), [len(s) for s in right])
-    common = np.intersect1d(a, b)
-    keep_a, keep_b = np.isin(a, common), np.isin(b, common)
-    at_a, at_b = np.searchsorted(common, a[keep_a]), np.searchsorted(common, b[keep_b])
-    of_a, of_b = of_a[keep_a], of_b[keep_b]
-    for start in range(0, len(common), FRAGMENT):
-        one, two = (np.zeros((n, min(FRAGMENT, len(common) - start)), dtype=np.float32) for n in (len(left), len(right)))
-        for grid, at, of in ((one, at_a, of_a), (two, at_b, of_b)):
-            here = (at >= start) & (at < start + FRAGMENT)
-            grid[of[here], at[here] - start] = 1
-        total += (one @ two.T).astype(np.int64)
-    return total
-
-
-def _links(left: list[tuple[int, int, np.ndarray]], right: list[tuple[int, int, np.ndarray]], share) -> list[tuple[int, int]]:
-    """Pairs (of the second fields) that join what links between the sides; rows are (class, component, set)."""
-    sets_a, sets_b = [r[2] for r in left], [r[2] for r in right]
-    both = overlaps(sets_a, sets_b)
-    union = np.array([len(s) for s in sets_a])[:, None] + np.array([len(s) for s in sets_b])[None, :] - both
-    comp_a, comp_b = np.array([r[1] for r in left]), np.array([r[1] for r in right])
-    hit = (share[1] * both >= share[0] * union) & (comp_a[:, None] != comp_b[None, :])
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for i, j in zip(*np.nonzero(hit)):
-        a, b = root(int(comp_a[i])), root(int(comp_b[j]))
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-    return [(x, root(x)) for x in parent if root(x) != x]
-
-
-def _count_groups(rows: DataFrame, sets: DataFrame, share) -> DataFrame:
-    """rows: (g, h, side, node, component); side 2 stands on both sides. Returns links (u, v)."""
-    loaded = rows.join(sets, "node")
-    n = partitions(rows.sparkSession)
-    dealt = loaded.repartition(n, "g", "h").sortWithinPartitions("g", "h").select("g", "h", "side", "node", "component", "shingles")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, ([], [])
+# -- overlaps -----------------------------------------------------------------
+
+
+def _differ(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Least number of elements in only one of two sets, for bitmaps side by side."""
+    out = np.zeros(len(a), dtype=np.int64)
+    sizes = np.array([[len(x), len(y)] for x, y in zip(a, b)])
+    for one, two in {tuple(x) for x in sizes.tolist()}:
+        at = np.flatnonzero((sizes[:, 0] == one) & (sizes[:, 1] == two))
+        left, right = (np.frombuffer(b"".join([side[i] for i in at]), dtype=np.uint8).reshape(len(at), -1) for side in (a, b))
+        small = min(one, two)
+        out[at] = np.bitwise_count(_folded(left, small) ^ _folded(right, small)).sum(axis=1, dtype=np.int64)
+    return out
 
-        def finish() -> list[tuple[int, int]]:
-            return _links(*held, share) if held[0] and held[1] else []
 
-        def out(links) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], names=["u", "v"])
+def _possible(pairs: DataFrame, classes: DataFrame, share) -> DataFrame:
+    """Of pairs (u, v) those whose bitmaps allow a link."""
+    side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    loaded = pairs.join(side("u").filter("n_u > 0"), "u").join(side("v"), "v").filter(f"{share[1]} * least(n_u, n_v) >= {share[0]} * greatest(n_u, n_v)")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for g, h, side, node, component, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                if (g, h) != at:
-                    found += finish()
-                    at, held = (g, h), ([], [])
-                row = (node, component, np.frombuffer(raw, dtype="<u8"))
-                if side != 1:
-                    held[0].append(row)
-                if side != 0:
-                    held[1].append(row)
-            yield out(found)
-        yield out(finish())
+            if not batch.num_rows:
+                continue
+            n_a, n_b = (batch.column(k).to_numpy() for k in (2, 3))
+            keep = can_link(n_a, n_b, _differ(batch.column(4).to_pylist(), batch.column(5).to_pylist()), share)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep))
 
-    return dealt.mapInArrow(run, "u long, v long")
+    return loaded.select("u", "v", "n_u", "n_v", "bits_u", "bits_v").mapInArrow(run, "u long, v long")
 
 
 def _sets(docs: DataFrame, pool: DataFrame, key: str, text: str) -> DataFrame:
-    """(node, shingles) of the classes in ``pool`` (node, rep): computed again from the
+    """(node, fragment, part) of the classes in ``pool`` (node, rep): computed again from the
     texts of their representatives, which a bounded Bloom filter picks out."""
     bits = bloom_of(pool, "rep")
 
@@ -319,48 +344,110 @@ def _sets(docs: DataFrame, pool: DataFrame, key: str, text: str) -> DataFrame:
         for batch in batches:
             batch = batch.filter(batch.column(0).is_valid())
             batch = batch.filter(pa.array(bloom_hits(bits.value, batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))))
-            made = [shingles(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in made], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in made], pa.binary())], names=["node", "shingles"])
+            made = []
+            for t in batch.column(1).to_pylist():
+                own = shingles(t)
+                name = class_of(own)
+                where = (own >> np.uint64(62)).astype(np.int64) * FRAGMENTS // 4
+                cuts = np.searchsorted(where, np.arange(1, FRAGMENTS))
+                made += [(name, f, part.astype("<u8").tobytes()) for f, part in enumerate(np.split(own, cuts)) if len(part)]
+            yield pa.RecordBatch.from_arrays([pa.array([m[c] for m in made], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["node", "fragment", "part"])
+
+    made = docs.select(F.col(key).cast("long").alias("k"), F.col(text)).mapInArrow(run, "node long, fragment int, part binary")
+    return made.join(pool.select("node"), "node", "left_semi").dropDuplicates(["node", "fragment"])
 
-    made = docs.select(F.col(key).cast("long").alias("k"), F.col(text)).mapInArrow(run, "node long, shingles binary")
-    return made.join(pool.select("node"), "node", "left_semi").dropDuplicates(["node"])
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, share) -> DataFrame:
+    """Of pairs (u, v) those that link: overlaps counted in each fragment of the order, summed per pair."""
+    pairs = cut(pairs, "candidates")
+    nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    pool = cut(nodes.join(classes.select("node", "rep"), "node"), "pool")
+    sets = cut(_sets(docs, pool, key, text), "sets")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [len(np.intersect1d(np.frombuffer(a, dtype="<u8"), np.frombuffer(b, dtype="<u8"), assume_unique=True)) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both, pa.int64())], names=["u", "v", "both"])
+
+    side = lambda x: sets.select(F.col("node").alias(x), "fragment", F.col("part").alias(f"part_{x}"))
+    met = pairs.join(side("u"), "u").join(side("v"), ["v", "fragment"]).select("u", "v", "part_u", "part_v")
+    total = met.mapInArrow(count, "u long, v long, both long").groupBy("u", "v").agg(F.sum("both").alias("both"))
+    sized = total.join(classes.select(F.col("node").alias("u"), F.col("n").alias("n_u")), "u").join(classes.select(F.col("node").alias("v"), F.col("n").alias("n_v")), "v")
+    links = cut(sized.filter(f"{share[1]} * both >= {share[0]} * (n_u + n_v - both)").select("u", "v"), "links")
+    drop(pairs, pool, sets)
+    return links
+
+
+def _block_candidates(rows: DataFrame, share) -> DataFrame:
+    """rows: (g, h, side, node, component, n, bits); side 2 stands on both sides. Pairs (u, v)
+    of unlike components whose bitmaps allow a link."""
+    n = partitions(rows.sparkSession)
+    dealt = rows.repartition(n, "g", "h").sortWithinPartitions("g", "h").select("g", "h", "side", "node", "component", "n", "bits")
+
+    def compare(held) -> list[tuple[int, int]]:
+        out = []
+        a, b = held
+        if not a or not b:
+            return out
+        n_b, comp_b = np.array([r[2] for r in b]), np.array([r[1] for r in b])
+        for node, component, size, bits in a:
+            at = np.flatnonzero((comp_b != component) & can_link(size, n_b, 0, share))
+            if len(at):
+                near = can_link(size, n_b[at], _differ([bits] * len(at), [b[j][3] for j in at]), share)
+                out += [(node, b[j][0]) if node < b[j][0] else (b[j][0], node) for j in at[near]]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, ([], [])
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for g, h, side, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (g, h) != at:
+                    found += compare(held)
+                    at, held = (g, h), ([], [])
+                if side != 1:
+                    held[0].append(row)
+                if side != 0:
+                    held[1].append(row)
+            yield _pairs(found)
+        yield _pairs(compare(held))
+
+    return dealt.mapInArrow(run, "u long, v long")
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[c] for p in found], pa.int64()) for c in (0, 1)], names=["u", "v"])
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", share: tuple[int, int] = SHARE) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of ``docs``."""
     prefixes = cut(_prefixes(docs, key, text, frequent_shingles(docs, text), share), "prefix")
     members = prefixes.filter("kind = 0").select("doc_id", "n", "class")
-    classes = members.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep")).withColumnRenamed("class", "node")
+    by_class = prefixes.filter("kind = 0 and n > 0").groupBy(F.col("class").alias("node"))
+    classes = cut(by_class.agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bits").alias("bits")), "classes")
+    named = classes.filter("rep is not null")
 
     parts = partitions(docs.sparkSession)
-    light = prefixes.filter("kind = 1").select("p", "tokens", "owners", "classes").repartition(parts, "p").mapInArrow(_meet, "token long, class long")
-    late = prefixes.filter("kind = 2").select(F.col("doc_id").alias("token"), "class").distinct()
-    # Light tokens are 48-bit, frequent ones 64-bit hashes: told apart by a flag.
-    met = light.withColumn("late", F.lit(0)).unionByName(late.withColumn("late", F.lit(1))).withColumnRenamed("class", "node")
-    met = cut(met, "met")
-    groups = met.groupBy("late", "token").agg(F.count("*").alias("size"), F.min("node").alias("leader")).filter("size > 1")
-    met_groups = cut(met.join(groups, ["late", "token"]), "groups")
-    drop(met)
-
-    # Each class belongs with the leader of its largest group.
-    homes = met_groups.groupBy("node").agg(F.max(F.struct("size", "leader"))["leader"].alias("home"))
-    homes = cut(homes, "homes")
-    pool = cut(homes.select("node").join(classes.filter("rep is not null"), "node"), "pool")
-    sets = cut(_sets(docs, pool, key, text), "sets")
-    drop(pool)
-
-    # Round 1: every class against its leader.
-    sizes = homes.groupBy(F.col("home")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    placed = homes.filter("node <> home").join(sizes, "home")
-    followers = placed.select(F.col("home").alias("g"), F.pmod(F.xxhash64("node"), F.col("parts")).alias("h"), F.lit(0).alias("side"), "node", F.col("node").alias("component"))
-    leaders = sizes.select(F.col("home").alias("g"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("h"), F.lit(1).alias("side"), F.col("home").alias("node"), F.col("home").alias("component"))
-    stars = cut(_count_groups(followers.unionByName(leaders), sets, share), "stars")
-    joined = cut(components(stars), "joined")
-
-    # Round 2: blocks that share a shingle and are not joined throughout.
-    named = met_groups.join(joined, "node", "left").select("late", "token", "node", "size", "leader", F.coalesce("component", "node").alias("component"))
-    mixed = named.groupBy("late", "token").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("late", "token")
-    open_ = cut(named.join(mixed, ["late", "token"], "left_semi"), "open")
+    light = prefixes.filter("kind = 1").select("p", "tokens", "owners", "places", "classes", "sizes").repartition(parts, "p")
+    light = cut(light.mapInArrow(_meet(share), "u long, v long, token long, n long, place long"), "light")
+    # Frequent shingles, and light ones of large groups (48-bit; told apart by a flag).
+    late = prefixes.filter("kind = 2").select(F.lit(1).alias("late"), F.col("doc_id").alias("token"), F.col("class").alias("node"), "n", F.col("p").cast("long").alias("place")).distinct()
+    late = late.unionByName(light.filter("v is null").select(F.lit(0).alias("late"), "token", F.col("u").alias("node"), "n", "place"))
+    groups = late.groupBy("late", "token").agg(F.count("*").alias("size"), F.min(F.struct("node", "n", "place")).alias("head")).filter("size > 1")
+    met_groups = late.join(groups, ["late", "token"]).select("late", "token", "node", "n", "place", "size", F.col("head.node").alias("leader"), F.col("head.n").alias("leader_n"), F.col("head.place").alias("leader_place"))
+    met_groups = cut(met_groups, "groups")
+
+    # Round 1: pairs of small groups, and every class against the leader of each large group.
+    start = f"{share[0] + share[1]} * least(n - place, leader_n - leader_place) >= {share[0]} * (n + leader_n)"
+    stars = met_groups.filter("node <> leader").filter(start).select(F.col("leader").alias("u"), F.col("node").alias("v"))
+    near = light.filter("v is not null").select("u", "v").unionByName(stars).distinct()
+    first = _verified(_possible(near, named, share), named, docs, key, text, share)
+    joined = components(first)
+
+    # Round 2: blocks of larger groups that are not joined throughout.
+    larger = met_groups.filter("size > 2").join(joined, "node", "left").select("late", "token", "node", "size", "leader", F.coalesce("component", "node").alias("component"))
+    mixed = larger.groupBy("late", "token").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("late", "token")
+    open_ = cut(larger.join(mixed, ["late", "token"], "left_semi"), "open")
     where = open_.groupBy("node", "component").agg(F.max(F.struct("size", "leader"))["leader"].alias("home"))
     filled = where.groupBy("home", "component").count()
     where = where.join(filled, ["home", "component"]).withColumn("pure", F.when(F.col("count") >= BLOCK, F.col("component"))).drop("count")
@@ -375,19 +462,18 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     sides = pairs.select("block", F.col("block").alias("g"), F.col("block2").alias("h"), F.when(F.col("block") == F.col("block2"), 2).otherwise(0).alias("side")).unionByName(
         pairs.filter("block <> block2").select(F.col("block2").alias("block"), F.col("block").alias("g"), F.col("block2").alias("h"), F.lit(1).alias("side"))
     )
-    rows = sides.join(where.select("block", "node", "component"), "block").select("g", "h", "side", "node", "component")
-    crossed = cut(_count_groups(rows, sets, share), "crossed")
-
-    links = stars.unionByName(crossed)
-    final = components(links)
-    named_classes = classes.join(final, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
-    least = named_classes.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_class = named_classes.join(least, "component").select(F.col("node").alias("class"), "component_id")
+    rows = sides.join(where.select("block", "node", "component"), "block").join(named.select("node", "n", "bits"), "node")
+    second = _verified(_block_candidates(rows, share).distinct(), named, docs, key, text, share)
+
+    final = components(first.unionByName(second))
+    of_class = classes.join(final, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
+    least = of_class.groupBy("component").agg(F.min("rep").alias("component_id"))
+    of_class = of_class.join(least, "component").select(F.col("node").alias("class"), "component_id")
     result = members.join(of_class, "class", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
     result = cut(result, "jaccard")
-    drop(prefixes, met_groups, homes, sets, stars, joined, open_, where, pairs, crossed)
+    drop(prefixes, light, classes, met_groups, first, joined, final, open_, where, pairs, second)
     return result
 
 
