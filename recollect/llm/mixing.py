@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import partitions
+from .util import cut, partitions
 
 OUTPUT = ("copy", "n_copies", "mix_key")
 #: Largest rate inverted in one piece; a larger rate is a sum of independent draws at most this large.
@@ -75,8 +75,9 @@ def mix(docs: DataFrame, weights: dict[str, float], seed: int = 17, default: flo
     """
     keep = [c for c in docs.columns if c.lower() not in OUTPUT]
     docs = docs.select(*keep)
-    mean = rates(docs, weights, default, source, text)
-    # One row a source: Spark broadcasts it while small, and splits a hot source's rows otherwise.
+    # Written first, so that Spark knows its size when it plans the join: broadcast while
+    # small, else a shuffled join whose hot sources adaptive execution splits.
+    mean = cut(rates(docs, weights, default, source, text), "rates")
     drawn = docs.join(mean, F.col(source).eqNullSafe(F.col("mix_source")), "left")
     rate = F.coalesce("mix_rate", F.lit(0.0))
     whole = F.floor(rate / PIECE).cast("int")
