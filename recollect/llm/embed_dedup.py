@@ -199,11 +199,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.
 
     found = cut(grouped.mapInArrow(work, "u long, v long, n long"), "links")
     linked = found.filter("n is not null").groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("n"))
-    joined = components(found.filter("v is not null").select("u", "v"))
-    named_classes = classes.select("class", "id", "weight").join(linked, "id", "left").join(joined.withColumnRenamed("node", "id"), "id", "left")
+    linked_up = components(found.filter("v is not null").select("u", "v"))
+    named_classes = classes.select("class", "id", "weight").join(linked, "id", "left").join(linked_up.withColumnRenamed("node", "id"), "id", "left")
     named_classes = named_classes.select("class", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     result = members.select("vec_id", "class").join(named_classes, "class", "left")
     result = result.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     result = cut(result.withColumn("kept", F.col("vec_id") == F.col("component_id")), "near")
-    drop(members, classes, signed, found)
+    drop(members, classes, signed, found, linked_up)
     return result

@@ -26,7 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .util import slices
@@ -288,8 +288,9 @@ def fit(rows: list[tuple[str, int]], rounds: int = 25) -> Model:
     return model
 
 
-def held_out(key) -> F.Column:
-    return (F.crc32(F.col(key).cast("string")) % 5 == 0)
+def held_out(key: str) -> Column:
+    """The fifth that learning never sees (a null key counts as the empty string)."""
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % 5 == 0
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
