@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .util import slices
+from .util import cut, slices
 
 BLOCK = 1 << 16
 #: Identifiers before a document's own that spell its key, in digits of KEY_BASE.
@@ -67,10 +67,10 @@ def key_of(digits) -> int:
     return ~(key >> 1) if key & 1 else key >> 1
 
 
-def write_tokens(docs: DataFrame, path: str, ranks: str, separator: int, key: str | None = None, text: str = "text", width: int = 2, rows_per_file: int = 50_000) -> None:
+def write_tokens(docs: DataFrame, path: str, ranks: str, separator: int, key: str | None = None, text: str = "text", width: int = 2, rows_per_file: int = 2_000) -> None:
     """Encode texts (null: empty) and write flat files under ``path``.
 
-    With ``key`` each document is led by its key in KEY_DIGITS identifiers.
+    With ``key`` each document is led by its key in KEY_DIGITS identifiers; a null key is written as -1.
     """
     kind = "<u2" if width == 2 else "<u4"
     if key is not None and separator < KEY_BASE:
@@ -132,7 +132,7 @@ def scan(spark: SparkSession, path: str, separator: int, width: int = 2, block:
                     found = scan_block(ids[at : at + block], separator, lead)
                     yield pa.RecordBatch.from_pylist([{"file": name, "block": at // block, **found, "sizes": list(found["sizes"])}], schema)
 
-    blocks = files.mapInArrow(run, _BLOCKS)
+    blocks = cut(files.mapInArrow(run, _BLOCKS), "scanned")  # files are read once; the rest works on what blocks know
     # The prefix scan: separators before each block of the file number its documents.
     before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     numbered = blocks.withColumn("first", F.coalesce(F.sum("n_ends").over(before), F.lit(0)))
