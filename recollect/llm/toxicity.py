@@ -36,7 +36,7 @@ SAMPLE = 5000
 WINDOW = 6
 #: Share of a hit's weight that is left for each edit.
 PER_EDIT = 0.5
-KNOWN = 500_000
+KNOWN = 150_000
 # General terms of insult that are known before any label is seen.
 SEED = """
 idiot moron stupid loser trash scum clown pathetic worthless disgusting dumb imbecile scumbag
@@ -168,16 +168,16 @@ class Model:
             out.add(word)
         return out
 
-    def evidence(self, text: str | None) -> tuple[float, float]:
-        """Sums over the hits read as abuse and over those read as quotation."""
+    def evidence(self, text: str | None) -> tuple[float, float, float]:
+        """Sums over the hits read as abuse and over those read as quotation, and the strongest abuse."""
         if not text:
-            return 0.0, 0.0
+            return 0.0, 0.0, 0.0
         low = text.lower()
         found = self.lookup(set(WORD.findall(low)))
         if not found:
-            return 0.0, 0.0
+            return 0.0, 0.0, 0.0
         spans = [(m.group(), m.start(), m.end()) for m in WORD.finditer(low)]
-        abuse = quoted = 0.0
+        abuse = quoted = strongest = 0.0
         for k, (word, start, end) in enumerate(spans):
             if word not in found:
                 continue
@@ -188,10 +188,11 @@ class Model:
             q = context(low[first[1] : start], low[end : last[2] + 1], bool(near & REPORTING))
             abuse += weight * (1 - q)
             quoted += weight * q
-        return abuse, quoted
+            strongest = max(strongest, weight * (1 - q))
+        return abuse, quoted, strongest
 
-    def score(self, abuse: float, quoted: float) -> float:
-        z = float(features(abuse, quoted) @ self.weights)
+    def score(self, abuse: float, quoted: float, strongest: float) -> float:
+        z = float(features(abuse, quoted, strongest) @ self.weights)
         return 1 / (1 + math.exp(-min(max(z, -30), 30)))
 
 
@@ -204,8 +205,8 @@ def context(before: str, after: str, reported: bool) -> float:
     return (0.8 if enclosed and reported else 0.6 if enclosed else 0.3 if reported else 0.0)
 
 
-def features(abuse: float, quoted: float) -> np.ndarray:
-    return np.array([1.0, min(abuse, 1.0), math.log1p(abuse), math.log1p(quoted)])
+def features(abuse: float, quoted: float, strongest: float) -> np.ndarray:
+    return np.array([1.0, strongest, math.log1p(abuse), math.log1p(quoted)])
 
 
 # -- learning -----------------------------------------------------------------
