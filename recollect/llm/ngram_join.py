@@ -465,7 +465,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rows = sides.join(where.select("block", "node", "component"), "block").join(named.select("node", "n", "bits"), "node")
     second = _verified(_block_candidates(rows, share).distinct(), named, docs, key, text, share)
 
-    final = components(first.unionByName(second))
+    final = components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(second))
     of_class = classes.join(final, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     least = of_class.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_class = of_class.join(least, "component").select(F.col("node").alias("class"), "component_id")

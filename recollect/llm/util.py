@@ -148,6 +148,32 @@ def bloom_hits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 # -- connected components ----------------------------------------------------
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a task's pairs (u, v) those that form a spanning forest of them, so that links
+    inside a component that a task sees cost one row a node from here on."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def out() -> pa.RecordBatch:
+        made = [(x, root(x)) for x in list(parent) if root(x) != x]
+        parent.clear()
+        return pa.RecordBatch.from_arrays([pa.array([m[c] for m in made], pa.int64()) for c in (0, 1)], names=["u", "v"])
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = root(u), root(v)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+        if len(parent) > 300_000:
+            yield out()
+    yield out()
+
+
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
     """One large-star or small-star step over rows (u, v), u > v."""
     if large:
@@ -164,12 +190,12 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected long pairs (u, v).
 
-    Alternates large-star and small-star steps, each round written to the
-    shared folder, until nothing changes. Returns (node, component), where
+    Tasks first thin their own edges to forests. Then large-star and small-star
+    steps alternate, each round written to the shared folder, until nothing changes. Returns (node, component), where
     component is the smallest node reachable; nodes without edges are absent.
     """
-    pairs = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
-    pairs = cut(pairs, "cc")
+    pairs = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
+    pairs = cut(pairs.mapInArrow(_forest, "u long, v long").distinct(), "cc")
     seen = None
     for _ in range(max_rounds):
         after = cut(_star(_star(pairs, True), False), "cc")
@@ -181,6 +207,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         seen = mark
     else:
         raise RuntimeError("components did not settle")
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+    found = pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+    found._recollect_path = pairs._recollect_path
+    return found
