@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import bloom_hits, bloom_of, components, cut, drop, partitions
+from .util import bloom_hits, bloom_of, components, cut, drop, partitions, slices
 
 WORDS = 5
 #: Similarity as a fraction: links need SHARE[1] * intersection >= SHARE[0] * union.
@@ -46,7 +46,7 @@ FREQUENT = 32
 ORDER_ENTRIES = 1 << 18
 BLOCK = 128
 #: Shingles gathered in a worker before they are sent on.
-GATHER = 1_500_000
+GATHER = 600_000
 #: Fragments of the global order in which overlaps are counted.
 FRAGMENTS = 4
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -149,7 +149,7 @@ def frequent_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarra
             at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
             return pa.RecordBatch.from_pydict({"p": part[at].astype(np.int32), "codes": [pack(c) for c in np.split(codes, at[1:])]})
 
-        for batch in batches:
+        for batch in slices(batches, text):
             for t in batch.column(0).to_pylist():
                 if len(own := shingles(t)):
                     held.append(own)
@@ -234,7 +234,7 @@ def _prefixes(docs: DataFrame, key: str, text: str, frequent, share) -> DataFram
             return pa.RecordBatch.from_arrays([pa.array([m[c] for m in made], k) for c, k in enumerate(kinds)], names=[f.split()[0] for f in _PREFIX.split(", ")])
 
         gathered = 0
-        for batch in batches:
+        for batch in slices(batches, text):
             for k, t in zip(*(c.to_pylist() for c in batch.columns)):
                 own = shingles(t)
                 name = class_of(own)
@@ -341,7 +341,7 @@ def _sets(docs: DataFrame, pool: DataFrame, key: str, text: str) -> DataFrame:
     bits = bloom_of(pool, "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, text):
             batch = batch.filter(batch.column(0).is_valid())
             batch = batch.filter(pa.array(bloom_hits(bits.value, batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))))
             made = []

@@ -62,7 +62,8 @@ def tuned(spark: SparkSession) -> SparkSession:
     """Keep Arrow batches small, so that worker memory stays flat with long texts,
     and give executors this package."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return spark
 
 
