@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import bloom_hits, bloom_of, components, cut, drop, partitions, slices
+from .util import bloom_hits, bloom_of, components, cut, drop, partitions, settle, slices
 
 WORDS = 5
 #: Similarity as a fraction: links need SHARE[1] * intersection >= SHARE[0] * union.
@@ -249,6 +249,7 @@ def _prefixes(docs: DataFrame, key: str, text: str, frequent, share) -> DataFram
                 yield out()
                 gathered = 0
         yield out()
+        settle()
 
     return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, _PREFIX)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -81,6 +83,17 @@ def ship(spark: SparkSession) -> None:
     sc._recollect_shipped = True
 
 
+def settle() -> None:
+    """Hand a worker's freed memory back to the system at the end of a task, as the
+    worker lives on for other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
