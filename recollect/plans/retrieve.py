@@ -71,7 +71,8 @@ def enhanced_channels(queries: DataFrame, docs: DataFrame, chunks: DataFrame, be
 def retrieve(queries: DataFrame, docs: DataFrame, chunks: DataFrame, links: DataFrame | None = None, mode: str = "dense", k: int = OFFICIAL_TOP_K, expansions: DataFrame | None = None) -> DataFrame:
     """Ranked pages for every query: query_id, page, chunk, score, rank (and, beyond dense, the parts of the score).
 
-    docs: page, title, body. ``expansions`` is required by, and only allowed for, enhanced.
+    docs: page, title, body; a page need not have a chunk (its chunk is null then, its
+    cosine 0). ``expansions`` is required by, and only allowed for, enhanced.
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}; known: {', '.join(MODES)}")
@@ -88,7 +89,7 @@ def retrieve(queries: DataFrame, docs: DataFrame, chunks: DataFrame, links: Data
     else:
         scored = scored.withColumn("inbound", F.lit(0).cast("long")).withColumn("multiplier", F.lit(1.0)).withColumn("final", F.col("pre_graph"))
     ranked = lexical.top_k(scored, k, score="final", tie="page")
-    return ranked.join(pooled.select("query_id", "page", "chunk"), ["query_id", "page"]).withColumnRenamed("final", "score")
+    return ranked.join(pooled.select("query_id", "page", "chunk"), ["query_id", "page"], "left").withColumnRenamed("final", "score")
 
 
 def convergence(seeds: DataFrame, links: DataFrame, threshold: float) -> DataFrame:

@@ -52,6 +52,19 @@ def test_hybrid_blends_normalised_fusion_and_cosine(spark, index):
     assert top.score == pytest.approx(0.7 + 0.3 * top.cosine)
 
 
+@pytest.mark.parametrize("mode", ["hybrid", "enhanced"])
+def test_pages_without_a_vector_are_ranked_too(spark, index, mode):
+    docs, chunks = index
+    more = docs.unionByName(spark.createDataFrame([("s:p9", "Ninth", "gamma gamma")], docs.schema))
+    query = asked(spark, ("q", "gamma", [1.0, 0.0]))
+    links = spark.createDataFrame([("s:p1", "s:p2")], "source_page_id string, target_page_id string")
+    expansions = spark.createDataFrame([("q", 1, "gamma", [1.0, 0.0])], "query_id string, n int, query_text string, query_vector array<float>")
+    hits = {h.page: h for h in R.retrieve(query, more, chunks, links, mode, 5, expansions if mode == "enhanced" else None).collect()}
+    assert hits["s:p9"].chunk is None and hits["s:p9"].cosine == 0.0
+    assert hits["s:p9"].score == pytest.approx(0.7 * hits["s:p9"].normalized_rrf)
+    assert {h.chunk for p, h in hits.items() if p != "s:p9"} == {"s:p1:1", "s:p2:0", "s:p3:0", "s:p4:0"}
+
+
 def test_enhanced_needs_expansions_and_boosts_linked_pages(spark):
     chunks = spark.createDataFrame([(f"s:p{i}:0", f"s:p{i}", [1 - 0.01 * i, 0.01 * i]) for i in range(1, 6)], "chunk_id string, page_id string, embedding array<float>")
     texts = ["red one", "green two", "blue three"]
