@@ -1,11 +1,13 @@
-"""Document fingerprints: every shingle hash below a fixed threshold.
+"""Document fingerprints: every shingle hash below a fixed threshold, which now is all of them.
 
 A text is read as code points with SHINGLE - 1 sentinels at either end; each
 window of SHINGLE code points has a 64-bit hash (polynomial, then mixed), and
-the sketch keeps every distinct hash below FRACTION of the hash space. Sketches
-grow with their texts, so that the sketch of a union is the union of sketches,
-and the part of one sketch found in another estimates containment however
-unequal the two documents are.
+the sketch keeps every distinct hash in the first 1 of KEPT parts of the hash
+space. Sketches grow with their texts, so that the sketch of a union is the
+union of sketches, and the part of one sketch found in another estimates
+containment however unequal the two documents are. At KEPT = 1 nothing is
+sampled: results are exact but for collisions of 32-bit entries, for short texts
+too, and a fingerprint has about eight hex digits a character.
 
 Defined results: a null text is empty; an empty text has an empty sketch; equal
 texts have equal sketches; two empty sketches are alike (1.0) only if both texts
@@ -23,12 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import partitions
+from .util import partitions, slices
 
 SHINGLE = 16
 #: 1 of KEPT hashes stays; the top bits of what stays are zero, the next 32 are written.
-KEPT = 16
-_SHIFT = np.uint64(64 - 4 - 32)
+KEPT = 1
+_LAST = np.uint64((1 << 64) // KEPT - 1)
+_SHIFT = np.uint64(64 - (KEPT.bit_length() - 1) - 32)
+#: Hex digits after which a batch of results is handed on.
+BATCH_DIGITS = 4 << 20
 _BASE = 0x9E3779B97F4A7C15
 _powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 LEAST = -(1 << 63)
@@ -62,7 +67,7 @@ def sketch(points: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
-    return np.unique((h[h < np.uint64((1 << 64) // KEPT)] >> _SHIFT).astype(np.uint32))
+    return np.unique((h[h <= _LAST] >> _SHIFT).astype(np.uint32))
 
 
 def points_of(text: str) -> np.ndarray:
@@ -108,7 +113,7 @@ def fingerprints(docs: DataFrame, keep: list[str], text: str = "text") -> DataFr
     n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "sketch_text"):
             made = [packed(sketch(points_of(t.as_py() or ""))) for t in batch.column(n)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(made, pa.string())], names=[*keep, "fingerprint"])
 
@@ -171,6 +176,7 @@ def edited_and_next(docs: DataFrame) -> DataFrame:
     def each(pairs):
         known: tuple[str, np.ndarray] | None = None
         out: list[tuple] = []
+        digits = 0
         for k, text, then in pairs:
             own = known[1] if known and known[0] is text else sketch(points_of(text))
             other = sketch(points_of(then))
@@ -183,9 +189,10 @@ def edited_and_next(docs: DataFrame) -> DataFrame:
                 (k, len(text), hashlib.sha256(changed.encode()).hexdigest(), packed(own), packed(made))
                 + (resemblance(own, made, same), resemblance(own, other, alike), containment(own, made, same), containment(own, other, alike))
             )
-            if len(out) == 500:
+            digits += 8 * (len(own) + len(made))
+            if len(out) == 500 or digits >= BATCH_DIGITS:
                 yield _batch(out)
-                out = []
+                out, digits = [], 0
         if out:
             yield _batch(out)
 

@@ -170,6 +170,22 @@ def test_sketch_is_thresholded_and_mergeable():
     assert sketch.resemblance(a[:0], a[:0], True) == 1.0 and sketch.resemblance(a[:0], a) == 0.0
 
 
+def test_short_texts_are_not_lost(spark):
+    r = random.Random(5)
+    texts = ["".join(r.choice("abcdefgh ") for _ in range(n)) for n in range(1, 100)]
+    got = sketch.edited_and_next(docs(spark, texts)).orderBy("doc_id").collect()
+
+    def shingles(text):
+        padded = "\0" * 15 + text + "\0" * 15
+        return {padded[i : i + 16] for i in range(len(padded) - 15)}
+
+    for row, text, then in zip(got, texts, texts[1:] + texts[:1]):
+        cut = len(text) // 4
+        a, b, c = shingles(text), shingles(text[: len(text) - cut] + then[:cut]), shingles(then)
+        assert row.near_edited == pytest.approx(len(a & b) / len(a | b)) and row.contained_edited == pytest.approx(len(a & b) / len(a))
+        assert row.near_next == pytest.approx(len(a & c) / len(a | c)) and row.contained_next == pytest.approx(len(a & c) / len(a))
+
+
 def test_fingerprints_follow_the_next_document(spark):
     texts = ["aé" * 50, "", None, "x" * 3000, "hello world, a text", "hello world, a text", "zz"]
     rows = docs(spark, texts).repartition(5)
