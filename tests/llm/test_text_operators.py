@@ -101,6 +101,15 @@ def test_agenda_equals_library(text):
     assert own.decode(ids) == own.library.decode(ids) == own.shown(text, own.encode_all([text])[0])
 
 
+def test_ids_are_the_agendas():
+    own = pieces.Pieces(MODEL)
+    own._theirs = lambda chunks: [[0] for _ in chunks]
+    text = "the agenda makes these ids " + "ab" * 3000
+    entries = own.encode_all([text])[0]
+    assert own.encode(text) == own.library.encode(text)
+    assert own.shown(text, entries) == text and not any(e[4] for e in entries)
+
+
 def test_long_chunks_and_rows(spark):
     own = pieces.load(MODEL)
     long = "ab" * 20_000 + "é" * 300
