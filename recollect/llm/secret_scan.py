@@ -5,7 +5,7 @@ text. Only at a hit is the kind's regular expression tried, anchored there, from
 left to right and never inside an earlier match of its kind: the same matches as
 a leftmost, non-overlapping search of the whole text. Long hexadecimal runs have
 no keyword; one character-class search finds them. Kinds with an embedded
-checksum or structure count only if it is right.
+checksum or structure count only if it is right; a match that fails hides no later one.
 
 Defined results: a null or empty text has no spans; spans of unlike kinds may
 overlap; offsets are code points, end exclusive; repeated rows are scanned each;
@@ -36,7 +36,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 GITHUB = re.compile(r"gh[pousr]_([A-Za-z0-9]{36})(?![A-Za-z0-9])")
 NPM = re.compile(r"npm_([A-Za-z0-9]{36})(?![A-Za-z0-9])")
 JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ((?:[A-Z]+ )*PRIVATE KEY)-----((?:\s*+[A-Za-z][A-Za-z0-9-]*+:[^\r\n]*+)*+)([A-Za-z0-9+/=\s]+)-----END \1-----")
+OPENSSH = b"openssh-key-v1\0"
 KEYWORDS = {
     "assign": ["password", "passwd", "secret", "token", "apikey", "api_key"],
     "access": ["akia"],
@@ -69,11 +70,14 @@ def _checked_jwt(m: re.Match) -> bool:
 
 
 def _checked_pem(m: re.Match) -> bool:
-    """The body decodes to one DER sequence of exactly the stated length."""
+    """The body decodes to one DER sequence of exactly the stated length, or starts with
+    OpenSSH's magic, or is said to be encrypted by its headers."""
     try:
-        der = base64.b64decode("".join(m[2].split()), validate=True)
+        der = base64.b64decode("".join(m[3].split()), validate=True)
     except (ValueError, binascii.Error):
         return False
+    if der.startswith(OPENSSH) or der and ("DEK-Info:" in m[2] or "ENCRYPTED" in m[2]):
+        return True
     if len(der) < 2 or der[0] != 0x30:
         return False
     if der[1] < 0x80:
@@ -126,8 +130,10 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
         done = 0
         for at in sorted(starts):
             if at >= done and (m := pattern.match(text, at)):
-                done = m.end()
-                if accepts(m):
+                accepted = accepts(m)
+                if accepted or kind in BASE:
+                    done = m.end()
+                if accepted:
                     spans.append((kind, at, done))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 

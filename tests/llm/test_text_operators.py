@@ -1,5 +1,6 @@
 """Toxicity, SentencePiece, secrets, fingerprints and token files against brute force."""
 
+import base64
 import hashlib
 import random
 import re
@@ -163,6 +164,35 @@ def test_checksums_and_redaction(spark):
     assert secret_scan.scan(docs(spark, ["x"]).filter("false"), ["doc_id"]).count() == 0
 
 
+def pem(kind, body, headers=""):
+    coded = base64.encodebytes(body).decode()
+    return f"-----BEGIN {kind}-----\n{headers}{coded}-----END {kind}-----"
+
+
+@pytest.mark.parametrize("newline", ["\n", "\r\n", "\n    "])
+def test_private_keys_of_every_form(newline):
+    der = bytes([0x30, 0x82, 0x01, 0x00]) + bytes(256)
+    dek = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF00FF00FF00FF00FF00FF00FF00FF\n\n"
+    good = [
+        pem("RSA PRIVATE KEY", der),
+        pem("OPENSSH PRIVATE KEY", b"openssh-key-v1\0" + bytes(range(200))),
+        pem("RSA PRIVATE KEY", bytes(range(64)), dek),
+        pem("RSA PRIVATE KEY", der, "Comment: a key\n\n"),
+    ]
+    bad = [pem("PRIVATE KEY", der[:-1]), pem("OPENSSH PRIVATE KEY", bytes(99)), pem("RSA PRIVATE KEY", bytes(64), "Comment: a key\n\n"), "-----BEGIN RSA PRIVATE KEY-----\n" + dek + "-----END RSA PRIVATE KEY-----"]
+    for key in good:
+        key = key.replace("\n", newline)
+        assert [s for s in secret_scan.find("a " + key + " b") if s[0] == "pem"] == [("pem", 2, 2 + len(key))]
+    for key in bad:
+        assert not [s for s in secret_scan.find(key.replace("\n", newline)) if s[0] == "pem"]
+
+
+def test_a_rejected_match_hides_no_later_one():
+    part = lambda x: base64.urlsafe_b64encode(x).decode().rstrip("=")
+    token = f"{part(b'{"alg":"HS256"}')}.{part(b'{"sub":"1"}')}.c2ln"
+    assert secret_scan.find("eyJx." + token) == [("jwt", 5, 5 + len(token))]
+
+
 # -- fingerprints ------------------------------------------------------------------------
 
 
