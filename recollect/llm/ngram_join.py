@@ -33,7 +33,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .util import bloom_hits, bloom_of, components, cut, drop, partitions, settle, slices
@@ -422,6 +422,12 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", share: tuple[int, int] = SHARE) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of ``docs``."""
+    return _components_of_rows(docs, key, text, share).select("doc_id", "n_shingles", "component_id")
+
+
+def _components_of_rows(docs: DataFrame, key: str, text: str, share) -> DataFrame:
+    """As jaccard_components, with each row's class and the component's own name, which unlike
+    components that share an id do not share."""
     prefixes = cut(_prefixes(docs, key, text, frequent_shingles(docs, text), share), "prefix")
     members = prefixes.filter("kind = 0").select("doc_id", "n", "class")
     by_class = prefixes.filter("kind = 0 and n > 0").groupBy(F.col("class").alias("node"))
@@ -469,9 +475,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     final = components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(second))
     of_class = classes.join(final, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     least = of_class.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_class = of_class.join(least, "component").select(F.col("node").alias("class"), "component_id")
+    of_class = of_class.join(least, "component").select(F.col("node").alias("class"), "component_id", "component")
     result = members.join(of_class, "class", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "class", "component"
     )
     result = cut(result, "jaccard")
     drop(prefixes, light, classes, met_groups, first, joined, final, open_, where, pairs, second)
@@ -485,9 +491,10 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", share: tu
     Rows that a bounded Bloom filter of the rows to drop clears pass straight
     through; only the rest meet the exact list.
     """
-    found = jaccard_components(docs, key, text, share)
-    repeated = found.filter("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("copies"), F.max(F.col("component_id") != F.col("doc_id")).alias("moved"))
-    doubtful = cut(repeated.filter("moved or copies > 1").select("doc_id", "moved"), "doubtful")
+    found = _components_of_rows(docs, key, text, share)
+    gone = (F.col("n_shingles") > 0) & (F.col("component_id") != F.col("doc_id"))
+    of_key = found.filter("doc_id is not null").groupBy("doc_id").agg((F.count("*") > 1).alias("many"), F.max(gone).alias("moved"))
+    doubtful = cut(of_key.filter("moved or many").select("doc_id", "many"), "doubtful")
     bits = bloom_of(doubtful, "doc_id")
 
     @F.pandas_udf("boolean")
@@ -499,5 +506,17 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", share: tu
     clear = marked.filter(~F.col("_doubted")).drop("_doubted")
     rest = marked.filter("_doubted").drop("_doubted").join(doubtful.withColumnRenamed("doc_id", "_id"), F.col(key) == F.col("_id"), "left")
     single = rest.filter("_id is null").select(*docs.columns)
-    first = rest.filter("not moved").dropDuplicates([key]).select(*docs.columns)
-    return clear.unionByName(single).unionByName(first)
+
+    # Rows of a repeated key are told apart by their class.
+    @F.pandas_udf("long")
+    def classed(texts):
+        return pd.Series([class_of(shingles(t)) for t in texts], dtype="int64")
+
+    known = found.filter("n_shingles > 0").join(doubtful.filter("many").select("doc_id"), "doc_id", "left_semi")
+    known = known.select(F.col("doc_id").alias("_of"), F.col("class").alias("_class"), F.col("component").alias("_component"), (~gone).alias("_stays")).distinct()
+    many = rest.filter("many").withColumn("_named", classed(F.col(text)))
+    many = many.join(known, (F.col("_id") == F.col("_of")) & (F.col("_named") == F.col("_class")), "left")
+    bare = many.filter("_of is null").select(*docs.columns)
+    order = Window.partitionBy("_id", "_component").orderBy(text)
+    first = many.filter("_stays").withColumn("_at", F.row_number().over(order)).filter("_at = 1").select(*docs.columns)
+    return clear.unionByName(single).unionByName(bare).unionByName(first)

@@ -102,6 +102,17 @@ def test_jaccard_empty_table_and_keep_one(spark):
     assert sorted(map(str, kept)) == sorted(map(str, want))
 
 
+def test_keep_one_with_unlike_texts_of_one_id(spark):
+    words = [f"word{i}" for i in range(400)]
+    a, b, c, d = (" ".join(words[100 * i : 100 * i + 100]) for i in range(4))
+    near_a = a + " more"
+    rows = [(1, a), (5, near_a), (5, b), (5, c), (5, b), (5, ""), (5, None), (7, d + " x"), (7, d), (7, c), (None, a)]
+    table = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], DOCS).repartition(3)
+    kept = [(r.doc_id, r.text) for r in ngram_join.keep_one(table).collect()]
+    want = [(1, a), (5, b), (5, c), (5, ""), (5, None), (7, d), (None, a)]
+    assert sorted(map(str, kept)) == sorted(map(str, want))
+
+
 def test_bitmaps_never_overstate():
     r = np.random.default_rng(0)
     for n in (1, 5, 100, 3000, 60_000):
