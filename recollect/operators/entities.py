@@ -50,6 +50,28 @@ def phrase_matches(docs: DataFrame, phrases: DataFrame, key: str, text: str, phr
     return hit.select("doc", "phrase_id").distinct()
 
 
+def substring_matches(docs: DataFrame, phrases: DataFrame, key: str, text: str, phrase_key: str, phrase: str) -> DataFrame:
+    """(doc, phrase_id, text, phrase) for every row whose case-folded text contains the
+    case-folded phrase, also inside longer tokens.
+
+    Only a phrase's first and last token can be part of a longer one, so that the
+    join key is the run of tokens (up to GRAM) after the first; phrases of less
+    than three tokens meet every text.
+    """
+    wanted = phrases.select(F.col(phrase_key).alias("phrase_id"), F.col(phrase).alias("phrase"), T.casefold(F.col(phrase)).alias("p")).filter("p <> ''")
+    wanted = wanted.withColumn("words", T.tokens(F.col("phrase")))
+    size = F.least(F.size("words") - 2, F.lit(GRAM))
+    inner = wanted.filter(F.size("words") > 2).withColumn("gram", F.array_join(F.slice("words", F.lit(2), size), " ")).drop("words")
+    short = wanted.filter(F.size("words") <= 2).drop("words")
+    texts = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"), T.casefold(F.col(text)).alias("t"))
+    words = texts.withColumn("w", T.tokens(F.col("text")))
+    starts = F.sequence(F.lit(1), F.size("w"))
+    grams = F.array_distinct(F.flatten(F.array(*[F.transform(starts, _gram_of(m)) for m in range(1, GRAM + 1)])))
+    keyed = words.filter(F.size("w") > 0).select("doc", "text", "t", F.explode(grams).alias("gram"))
+    pairs = keyed.join(inner, "gram").drop("gram").unionByName(texts.crossJoin(F.broadcast(short)))
+    return pairs.filter(F.contains("t", F.col("p"))).select("doc", "phrase_id", "text", "phrase")
+
+
 def _gram_of(size: int):
     return lambda start: F.array_join(F.slice("w", start, F.lit(size)), " ")
 

@@ -594,10 +594,8 @@ def variant_completeness(spark, sf):
 
 @query(f"SELECT doc_id, item_id, (length({cf('d.text')}) - length(replace({cf('d.text')}, {cf('b.text')}, ''))) // length({cf('b.text')}) AS n FROM documents d, benchmark b WHERE contains({cf('d.text')}, {cf('b.text')})")
 def occurrence_count(spark, sf):
-    docs = table(spark, sf, "documents")
-    items_ = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("phrase"))
-    met = _matches(spark, sf).join(items_, "item_id").join(docs.select("doc_id", "text"), "doc_id")
-    return met.select("doc_id", "item_id", T.count_occurrences(F.col("text"), F.col("phrase")).cast("long").alias("n")).filter("n > 0")
+    met = entities.substring_matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text")
+    return met.select(F.col("doc").alias("doc_id"), F.col("phrase_id").alias("item_id"), T.count_occurrences(F.col("text"), F.col("phrase")).cast("long").alias("n"))
 
 
 # -- caches and small text operators ----------------------------------------------------------
