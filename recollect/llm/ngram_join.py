@@ -10,33 +10,41 @@ others before them by hash. Two sets that reach the threshold share a shingle
 in the prefixes that the threshold leaves them, so prefixes are dealt by
 fragments of the order and classes meet where they share a shingle.
 
-Classes that met are candidates. A parity bitmap of each set bounds the overlap of
-a pair from above; pairs whose bound falls short go. For the rest, overlaps are
-counted separately in each fragment of the order and summed per pair. First each
-class is a candidate with the smallest class of each group it is in, which joins
-most of a group of copies with one count each. Then blocks of BLOCK classes of a
-group that are not yet joined throughout are compared, by bitmap, then by counts.
+Classes that met are compared in cells: a few classes on either side. A parity
+bitmap of each set bounds every overlap of a cell from above; classes without a
+possible partner go. The sets of the rest are cut into fragments of the order,
+the overlaps of a cell are counted in each fragment separately and summed per
+pair, and a cell reports no more links than join what it holds: what it writes
+grows with its classes, not with their pairs.
+
+First each class of a group (the classes that share a shingle) meets the group's
+leader, the class with the fewest rarer shingles, which among copies is the least
+edited text; groups of up to SMALL classes give all their pairs. Then groups that
+are not yet joined throughout are cut into blocks of BLOCK classes of like size
+and blocks that share a shingle are compared, but for those joined already.
 
 Defined results: null and empty texts and texts without words have an empty set
 and link with nothing (component_id is their own doc_id); repeated rows each get
-a row; a null doc_id takes part through its text and never names a component
-(null if it stands alone); an empty table gives no rows. Shingles and sets are
-identified by 64-bit hashes.
+a row; a null doc_id takes part through its text, so that it can link others, and never
+names a component (null if no row of the component has an id); columns other than
+the key and the text are not read and may have any name; an empty table gives no
+rows. Shingles and sets are identified by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import bloom_hits, bloom_of, components, cut, drop, partitions, settle, slices
+from .util import bloom_hits, bloom_of, components, cut, drop, free, partitions, runs, settle, slices
 
 WORDS = 5
 #: Similarity as a fraction: links need SHARE[1] * intersection >= SHARE[0] * union.
@@ -44,7 +52,14 @@ SHARE = (75, 100)
 #: Shingles in at least FREQUENT documents can be put last; at most ORDER_ENTRIES of them, the most frequent.
 FREQUENT = 32
 ORDER_ENTRIES = 1 << 18
-BLOCK = 128
+#: Groups of up to SMALL classes give all their pairs at once: at most SMALL / 2 for each class.
+SMALL = 16
+#: Classes, and shingles of their sets, on one side of a comparison.
+BLOCK, HEAVY = 256, 1 << 20
+#: Members of a group that one task may hold when groups meet their leaders.
+SPREAD = 1024
+#: Sizes of one block differ by less than this factor.
+BAND = 1.15
 #: Shingles gathered in a worker before they are sent on.
 GATHER = 600_000
 #: Fragments of the global order in which overlaps are counted.
@@ -131,13 +146,13 @@ def can_link(n_a, n_b, differ, share=SHARE):
 # -- frequencies --------------------------------------------------------------
 
 
-def frequent_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(40-bit shingle codes, ascending; their place when ordered by count).
+def frequent_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(40-bit shingle codes, ascending; their place when ordered by count; parts of at most SPREAD documents).
 
     Every shingle of every document is counted; the ORDER_ENTRIES most frequent
     are returned. The choice only orders shingles: no result depends on it.
     """
-    parts = 2 * partitions(docs.sparkSession)
+    parts = 4 * partitions(docs.sparkSession)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -157,40 +172,38 @@ def frequent_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarra
                 yield out()
         if held:
             yield out()
+        settle()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            for p, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                held.setdefault(p, []).append(unpack(raw))
-        for p in list(held):
-            codes = np.sort(np.concatenate(held.pop(p)))
+        for _, rows in runs(batches):
+            codes = np.sort(np.concatenate([unpack(raw) for (raw,) in rows]))
             at = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
             n = np.diff(np.r_[at, len(codes)])
             yield pa.RecordBatch.from_pydict({"code": codes[at[n >= FREQUENT]].astype(np.int64), "n": n[n >= FREQUENT]})
+        settle()
 
-    blobs = docs.select(text).mapInArrow(emit, "p int, codes binary").repartition(parts // 2, "p")
+    blobs = docs.select(text).mapInArrow(emit, "p int, codes binary").repartition(parts // 4, "p").sortWithinPartitions("p")
     most = blobs.mapInArrow(count, "code long, n long").orderBy(F.desc("n"), "code").limit(ORDER_ENTRIES).toArrow()
     codes, n = most.column(0).to_numpy().astype(np.uint64), most.column(1).to_numpy()
     place = np.empty(len(codes), dtype=np.int64)
     place[np.lexsort((codes, n))] = np.arange(len(codes))
     order = np.argsort(codes)
-    return codes[order], place[order]
+    return codes[order], place[order], 1 + n[order] // SPREAD
 
 
 # -- prefixes -----------------------------------------------------------------
 
-_PREFIX = "kind int, doc_id long, n long, class long, p int, tokens binary, owners binary, places binary, classes binary, sizes binary, bits binary"
+_PREFIX = "kind int, doc_id long, n long, class long, p int, tokens binary, owners binary, places binary, classes binary, sizes binary, bits binary, spread int"
 
 
 def _prefixes(docs: DataFrame, key: str, text: str, frequent, share) -> DataFrame:
     """Kind 0: a row a document, with its bitmap at the class's first in a task's batch. Kind 1: light prefix shingles of a fragment, packed.
     Kind 2: one frequent prefix shingle of a class of n shingles (its code in doc_id, its place in p)."""
-    parts = partitions(docs.sparkSession)
+    parts = 4 * partitions(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # bounded by ORDER_ENTRIES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, place = shared.value
+        codes, place, spread = shared.value
         sets: list[np.ndarray] = []
         names: list[int] = []
         seen: set[int] = set()
@@ -219,18 +232,18 @@ def _prefixes(docs: DataFrame, key: str, text: str, frequent, share) -> DataFram
                 table = np.array(names, dtype="<i8")
                 for p, t, w, i in zip(np.unique(part), np.split(tokens, cuts), np.split(who, cuts), np.split(place_in, cuts)):
                     present, local = np.unique(w, return_inverse=True)
-                    made.append((1, None, None, None, int(p), pack(t), planes(local), planes(i), table[present].tobytes(), planes(sizes[present]), None))
+                    made.append((1, None, None, None, int(p), pack(t), planes(local), planes(i), table[present].tobytes(), planes(sizes[present]), None, None))
                 taken = np.bincount(owner[take], minlength=len(sets))
                 left = wanted - taken
                 for i in np.flatnonzero(left > 0):
                     span = slice(first[i], first[i] + sizes[i])
-                    mine = flat[span][late[span]]
-                    ranked = np.lexsort((mine, place[at[span][late[span]]]))
-                    made += [(2, int(c), int(sizes[i]), names[i], int(taken[i]) + at_, *[None] * 6) for at_, c in enumerate(mine[ranked[: left[i]]].view(np.int64))]
+                    mine, where = flat[span][late[span]], at[span][late[span]]
+                    for step, k in enumerate(np.lexsort((mine, place[where]))[: left[i]]):
+                        made.append((2, int(mine[k].view(np.int64)), int(sizes[i]), names[i], int(taken[i]) + step, *[None] * 6, int(spread[where[k]])))
                 sets.clear()
                 names.clear()
                 seen.clear()
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 6]
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 6, pa.int32()]
             return pa.RecordBatch.from_arrays([pa.array([m[c] for m in made], k) for c, k in enumerate(kinds)], names=[f.split()[0] for f in _PREFIX.split(", ")])
 
         gathered = 0
@@ -239,7 +252,7 @@ def _prefixes(docs: DataFrame, key: str, text: str, frequent, share) -> DataFram
                 own = shingles(t)
                 name = class_of(own)
                 fresh = len(own) > 0 and name not in seen
-                rows.append((0, k, len(own), name, *[None] * 6, bitmap(own) if fresh else None))
+                rows.append((0, k, len(own), name, *[None] * 6, bitmap(own) if fresh else None, None))
                 if fresh:
                     seen.add(name)
                     sets.append(own)
@@ -261,18 +274,25 @@ def _can_start(n_a, n_b, i, j, share):
     return ((share[0] + share[1]) * most >= share[0] * (n_a + n_b)) & (share[1] * np.minimum(n_a, n_b) >= share[0] * np.maximum(n_a, n_b))
 
 
+_MET = "u long, v long, token long, n long, place long, size long, spread int, leader long, leader_n long, leader_place long"
+
+
 def _meet(share):
-    """Of the packed light shingles of a fragment: the pairs (u, v) that can link by sizes and
-    places, each once; groups of more than BLOCK classes as members (token, u, n, place)."""
+    """Of the packed light shingles of a fragment: the pairs (u, v) of small groups that can link
+    by sizes and places, each once; larger groups as members (token, u, n, place) with their leader."""
+
+    def columns(**named) -> pa.RecordBatch:
+        n = len(next(iter(named.values())))
+        kinds = {f.split()[0]: pa.int32() if f.endswith("int") else pa.int64() for f in _MET.split(", ")}
+        return pa.RecordBatch.from_arrays([pa.array(named[f], k) if f in named else pa.nulls(n, k) for f, k in kinds.items()], names=list(kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple]] = {}
-        for batch in batches:
-            for p, tokens, owners, places, classes, sizes in zip(*(c.to_pylist() for c in batch.columns)):
+        for _, rows in runs(batches):
+            held = []
+            for tokens, owners, places, classes, sizes in rows:
                 own = unplaned(owners)
-                held.setdefault(p, []).append((unpack(tokens), np.frombuffer(classes, dtype="<i8")[own], unplaned(sizes)[own], unplaned(places)))
-        for p in list(held):
-            tokens, classes, sizes, places = (np.concatenate(x) for x in zip(*held.pop(p)))
+                held.append((unpack(tokens), np.frombuffer(classes, dtype="<i8")[own], unplaned(sizes)[own], unplaned(places)))
+            tokens, classes, sizes, places = (np.concatenate(x) for x in zip(*held))
             order = np.lexsort((classes, tokens))
             tokens, classes, sizes, places = tokens[order], classes[order], sizes[order], places[order]
             fresh = np.r_[True, (tokens[1:] != tokens[:-1]) | (classes[1:] != classes[:-1])]
@@ -280,7 +300,7 @@ def _meet(share):
             at = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
             n = np.diff(np.r_[at, len(tokens)])
             us, vs = [], []
-            for size in np.unique(n[(n > 1) & (n <= BLOCK)]).tolist():
+            for size in np.unique(n[(n > 1) & (n <= SMALL)]).tolist():
                 starts = at[n == size]
                 one, two = np.triu_indices(size, 1)
                 step = max(1, 500_000 // len(one))
@@ -294,18 +314,18 @@ def _meet(share):
                 order = np.lexsort((v, u))
                 u, v = u[order], v[order]
                 first = np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])][: len(u)]
-                u, v = u[first], v[first]
-                none = pa.nulls(len(u), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), none, none, none], names=["u", "v", "token", "n", "place"])
-            large = np.repeat(n > BLOCK, n)
-            if large.any():
-                columns = [classes[large], None, tokens[large].astype(np.int64), sizes[large], places[large]]
-                yield pa.RecordBatch.from_arrays([pa.nulls(int(large.sum()), pa.int64()) if c is None else pa.array(c) for c in columns], names=["u", "v", "token", "n", "place"])
+                yield columns(u=u[first], v=v[first])
+            for start, size in zip(at[n > SMALL].tolist(), n[n > SMALL].tolist()):
+                span = slice(start, start + size)
+                head = start + int(np.lexsort((classes[span], places[span]))[0])
+                same = {"size": size, "spread": 1 + size // SPREAD, "leader": classes[head], "leader_n": sizes[head], "leader_place": places[head]}
+                yield columns(u=classes[span], token=tokens[span].astype(np.int64), n=sizes[span], place=places[span], **{k: np.full(size, x) for k, x in same.items()})
+        settle()
 
     return run
 
 
-# -- overlaps -----------------------------------------------------------------
+# -- cells ----------------------------------------------------------------------
 
 
 def _differ(a: list[bytes], b: list[bytes]) -> np.ndarray:
@@ -320,31 +340,45 @@ def _differ(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return out
 
 
-def _possible(pairs: DataFrame, classes: DataFrame, share) -> DataFrame:
-    """Of pairs (u, v) those whose bitmaps allow a link."""
-    side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-    loaded = pairs.join(side("u").filter("n_u > 0"), "u").join(side("v"), "v").filter(f"{share[1]} * least(n_u, n_v) >= {share[0]} * greatest(n_u, n_v)")
+def _can_partner(rows: DataFrame, classes: DataFrame, share) -> DataFrame:
+    """rows: (cell, side, node, component), side 2 standing on both sides. Those that can link, by
+    their bitmaps, with a node of another component on the other side of their cell; with n."""
+    loaded = rows.join(classes.select("node", "n", "bits"), "node").select("cell", "side", "node", "component", "n", "bits")
+    dealt = loaded.repartition(partitions(rows.sparkSession), "cell").sortWithinPartitions("cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            n_a, n_b = (batch.column(k).to_numpy() for k in (2, 3))
-            keep = can_link(n_a, n_b, _differ(batch.column(4).to_pylist(), batch.column(5).to_pylist()), share)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep))
+        for (cell,), held in runs(batches):
+            a, b = [i for i, r in enumerate(held) if r[0] != 1], [i for i, r in enumerate(held) if r[0] != 0]
+            keep = np.zeros(len(held), dtype=bool)
+            if a and b:
+                n_b, of_b = np.array([held[j][3] for j in b]), np.array([held[j][2] for j in b])
+                for i in a:
+                    _, _, component, size, bits = held[i]
+                    at = np.flatnonzero((of_b != component) & can_link(size, n_b, 0, share))
+                    if len(at):
+                        near = at[can_link(size, n_b[at], _differ([bits] * len(at), [held[b[j]][4] for j in at]), share)]
+                        keep[[b[j] for j in near]] = True
+                        keep[i] |= len(near) > 0
+            if keep.any():
+                made = [(cell, *r[:4]) for r, k in zip(held, keep) if k]
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array([m[c] for m in made], k) for c, k in enumerate(kinds)], names=["cell", "side", "node", "component", "n"])
+        settle()
 
-    return loaded.select("u", "v", "n_u", "n_v", "bits_u", "bits_v").mapInArrow(run, "u long, v long")
+    return dealt.mapInArrow(run, "cell long, side int, node long, component long, n long")
 
 
 def _sets(docs: DataFrame, pool: DataFrame, key: str, text: str) -> DataFrame:
     """(node, fragment, part) of the classes in ``pool`` (node, rep): computed again from the
-    texts of their representatives, which a bounded Bloom filter picks out."""
+    texts of their representatives, which a bounded Bloom filter picks out, and of rows without
+    a key. Written to the shared folder."""
     bits = bloom_of(pool, "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
-            batch = batch.filter(batch.column(0).is_valid())
-            batch = batch.filter(pa.array(bloom_hits(bits.value, batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))))
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            hit = bloom_hits(bits.value, batch.column(0).fill_null(0).to_numpy().astype(np.int64))
+            batch = batch.filter(pa.array(hit | ~known))
             made = []
             for t in batch.column(1).to_pylist():
                 own = shingles(t)
@@ -353,65 +387,97 @@ def _sets(docs: DataFrame, pool: DataFrame, key: str, text: str) -> DataFrame:
                 cuts = np.searchsorted(where, np.arange(1, FRAGMENTS))
                 made += [(name, f, part.astype("<u8").tobytes()) for f, part in enumerate(np.split(own, cuts)) if len(part)]
             yield pa.RecordBatch.from_arrays([pa.array([m[c] for m in made], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["node", "fragment", "part"])
+        settle()
 
     made = docs.select(F.col(key).cast("long").alias("k"), F.col(text)).mapInArrow(run, "node long, fragment int, part binary")
-    return made.join(pool.select("node"), "node", "left_semi").dropDuplicates(["node", "fragment"])
-
-
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, share) -> DataFrame:
-    """Of pairs (u, v) those that link: overlaps counted in each fragment of the order, summed per pair."""
-    pairs = cut(pairs, "candidates")
-    nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    pool = cut(nodes.join(classes.select("node", "rep"), "node"), "pool")
-    sets = cut(_sets(docs, pool, key, text), "sets")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = [len(np.intersect1d(np.frombuffer(a, dtype="<u8"), np.frombuffer(b, dtype="<u8"), assume_unique=True)) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both, pa.int64())], names=["u", "v", "both"])
-
-    side = lambda x: sets.select(F.col("node").alias(x), "fragment", F.col("part").alias(f"part_{x}"))
-    met = pairs.join(side("u"), "u").join(side("v"), ["v", "fragment"]).select("u", "v", "part_u", "part_v")
-    total = met.mapInArrow(count, "u long, v long, both long").groupBy("u", "v").agg(F.sum("both").alias("both"))
-    sized = total.join(classes.select(F.col("node").alias("u"), F.col("n").alias("n_u")), "u").join(classes.select(F.col("node").alias("v"), F.col("n").alias("n_v")), "v")
-    links = cut(sized.filter(f"{share[1]} * both >= {share[0]} * (n_u + n_v - both)").select("u", "v"), "links")
-    drop(pairs, pool, sets)
-    return links
-
+    made = cut(made.join(pool.select("node"), "node", "left_semi").dropDuplicates(["node", "fragment"]), "sets")
+    bits.unpersist()
+    return made
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each left set shares with each right set."""
+    out = np.zeros((len(left), len(right)), dtype=np.int64)
+    flat_l, flat_r = np.concatenate(left), np.concatenate(right)
+    own_l, own_r = np.repeat(np.arange(len(left)), [len(x) for x in left]), np.repeat(np.arange(len(right)), [len(x) for x in right])
+    if len(left) == 1:
+        out[0] = np.bincount(own_r[np.isin(flat_r, flat_l)], minlength=len(right))
+        return out
+    both = np.intersect1d(flat_l, flat_r)
+    if not len(both):
+        return out
+    at_l, at_r = np.minimum(np.searchsorted(both, flat_l), len(both) - 1), np.minimum(np.searchsorted(both, flat_r), len(both) - 1)
+    in_l, in_r = both[at_l] == flat_l, both[at_r] == flat_r
+    at_l, own_l, at_r, own_r = at_l[in_l], own_l[in_l], at_r[in_r], own_r[in_r]
+    width = 4096
+    for start in range(0, len(both), width):
+        one, two = np.zeros((len(left), width), dtype=np.float32), np.zeros((len(right), width), dtype=np.float32)
+        k = (at_l >= start) & (at_l < start + width)
+        one[own_l[k], at_l[k] - start] = 1
+        k = (at_r >= start) & (at_r < start + width)
+        two[own_r[k], at_r[k] - start] = 1
+        out += (one @ two.T).astype(np.int64)
+    return out
 
-def _block_candidates(rows: DataFrame, share) -> DataFrame:
-    """rows: (g, h, side, node, component, n, bits); side 2 stands on both sides. Pairs (u, v)
-    of unlike components whose bitmaps allow a link."""
-    n = partitions(rows.sparkSession)
-    dealt = rows.repartition(n, "g", "h").sortWithinPartitions("g", "h").select("g", "h", "side", "node", "component", "n", "bits")
 
-    def compare(held) -> list[tuple[int, int]]:
-        out = []
-        a, b = held
-        if not a or not b:
+def _linked(rows: DataFrame, sets: DataFrame, share) -> DataFrame:
+    """rows: (cell, side, node, component, n). Links (u, v) of unlike components between the sides
+    of a cell, as few as join what they join: overlaps are counted fragment by fragment."""
+    met = rows.join(sets, "node").select("cell", "fragment", "side", "node", "component", "n", "part")
+    dealt = met.repartition(partitions(rows.sparkSession), "cell").sortWithinPartitions("cell", "fragment")
+
+    class Cell:
+        def __init__(self) -> None:
+            self.sides: tuple[dict, dict] = ({}, {})
+            self.counts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def add(self, held: list[tuple]) -> None:
+            picked = []
+            for which in (0, 1):
+                places, parts, names = [], [], self.sides[which]
+                for side, node, component, n, part in held:
+                    if side in (which, 2):
+                        places.append(names.setdefault(node, (len(names), component, n))[0])
+                        parts.append(np.frombuffer(part, dtype="<u8"))
+                picked.append((np.array(places), parts))
+            (a, left), (b, right) = picked
+            if len(a) and len(b):
+                self.counts.append((a, b, overlaps(left, right)))
+
+        def links(self) -> list[tuple[int, int]]:
+            left, right = ([(node, *rest) for node, rest in side.items()] for side in self.sides)
+            if not self.counts:
+                return []
+            both = np.zeros((len(left), len(right)), dtype=np.int64)
+            for a, b, counted in self.counts:
+                both[np.ix_(a, b)] += counted
+            n_a, n_b = np.array([x[3] for x in left])[:, None], np.array([x[3] for x in right])[None, :]
+            of_a, of_b = np.array([x[2] for x in left])[:, None], np.array([x[2] for x in right])[None, :]
+            parent: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while parent.setdefault(x, x) != x:
+                    parent[x] = parent[parent[x]]
+                    x = parent[x]
+                return x
+
+            out = []
+            for i, j in np.argwhere((of_a != of_b) & (share[1] * both >= share[0] * (n_a + n_b - both))).tolist():
+                one, two = root(left[i][2]), root(right[j][2])
+                if one != two:
+                    parent[max(one, two)] = min(one, two)
+                    out.append((left[i][0], right[j][0]))
             return out
-        n_b, comp_b = np.array([r[2] for r in b]), np.array([r[1] for r in b])
-        for node, component, size, bits in a:
-            at = np.flatnonzero((comp_b != component) & can_link(size, n_b, 0, share))
-            if len(at):
-                near = can_link(size, n_b[at], _differ([bits] * len(at), [b[j][3] for j in at]), share)
-                out += [(node, b[j][0]) if node < b[j][0] else (b[j][0], node) for j in at[near]]
-        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, ([], [])
-        for batch in batches:
-            found: list[tuple[int, int]] = []
-            for g, h, side, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if (g, h) != at:
-                    found += compare(held)
-                    at, held = (g, h), ([], [])
-                if side != 1:
-                    held[0].append(row)
-                if side != 0:
-                    held[1].append(row)
-            yield _pairs(found)
-        yield _pairs(compare(held))
+        at, cell = None, Cell()
+        for (name, _), held in runs(batches, 2):
+            if name != at:
+                yield _pairs(cell.links())
+                at, cell = name, Cell()
+            cell.add(held)
+        yield _pairs(cell.links())
+        settle()
 
     return dealt.mapInArrow(run, "u long, v long")
 
@@ -420,59 +486,106 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[c] for p in found], pa.int64()) for c in (0, 1)], names=["u", "v"])
 
 
+def _compared(rows: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, share) -> DataFrame:
+    """Links (u, v) that the cells of ``rows`` (cell, side, node, component) hold."""
+    near = cut(_can_partner(rows, classes, share), "near")
+    pool = cut(near.select("node").distinct().join(classes.select("node", "rep"), "node"), "pool")
+    sets = _sets(docs, pool, key, text)
+    links = cut(_linked(near, sets, share).distinct(), "links")
+    drop(near, pool, sets)
+    return links
+
+
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", share: tuple[int, int] = SHARE) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of ``docs``."""
     return _components_of_rows(docs, key, text, share).select("doc_id", "n_shingles", "component_id")
 
 
+def _groups(prefixes: DataFrame, light: DataFrame) -> DataFrame:
+    """(late, token, salt, spread, node, n, place, size, leader, leader_n, leader_place) of the members of groups
+    of frequent shingles and of large groups of light ones. Hot groups are dealt by token and salt."""
+    salt = F.pmod(F.xxhash64("node"), F.col("spread")).cast("int").alias("salt")
+    late = prefixes.filter("kind = 2").select(F.col("doc_id").alias("token"), F.col("class").alias("node"), "n", F.col("p").cast("long").alias("place"), "spread").distinct()
+    heads = late.groupBy("token").agg(F.max("spread").alias("spread"), F.min(F.struct("place", "node", "n")).alias("head"), F.count("*").alias("size")).filter("size > 1")
+    salts = F.explode(F.sequence(F.lit(0), F.col("spread") - 1)).alias("salt")
+    heads = heads.select("token", salts, "spread", "size", F.col("head.node").alias("leader"), F.col("head.n").alias("leader_n"), F.col("head.place").alias("leader_place"))
+    late = late.select("token", salt, "node", "n", "place")
+    columns = ["late", "token", "salt", "spread", "node", "n", "place", "size", "leader", "leader_n", "leader_place"]
+    late = late.join(heads, ["token", "salt"]).withColumn("late", F.lit(1)).select(*columns)
+    large = light.filter("v is null").withColumnRenamed("u", "node").withColumn("salt", salt).withColumn("late", F.lit(0)).select(*columns)
+    return late.unionByName(large)
+
+
+def _first_cells(light: DataFrame, groups: DataFrame, share) -> DataFrame:
+    """Cells of the first round: the pairs of small groups, and members of larger ones with their leader."""
+    start = f"{share[0] + share[1]} * least(n - place, leader_n - leader_place) >= {share[0]} * (n + leader_n)"
+    weight = F.col("size") * F.greatest(F.lit(1 / BLOCK), F.col("leader_n") * (share[1] / share[0] / HEAVY))  # no partner is larger than the leader allows
+    stars = groups.filter("node <> leader").filter(start).select(F.col("leader").alias("u"), F.col("node").alias("v"), F.ceil(weight).cast("int").alias("parts"))
+    pairs = light.filter("v is not null").select("u", "v", F.lit(1).alias("parts")).unionByName(stars).groupBy("u", "v").agg(F.max("parts").alias("parts"))
+    pairs = pairs.select("u", "v", F.xxhash64("u", F.pmod(F.xxhash64("v"), F.col("parts"))).alias("cell"))
+    return pairs.select("cell", F.lit(1).alias("side"), F.col("v").alias("node"), F.col("v").alias("component")).unionByName(
+        pairs.select("cell", F.lit(0).alias("side"), F.col("u").alias("node"), F.col("u").alias("component")).distinct()
+    )
+
+
+def _second_cells(groups: DataFrame, joined: DataFrame, share) -> DataFrame:
+    """Cells of the second round: pairs of blocks of groups that the first round has not joined throughout."""
+    larger = groups.filter("size > 2").join(joined, "node", "left").select("late", "token", "salt", "spread", "node", "n", "size", "leader", F.coalesce("component", "node").alias("component"))
+    mixed = larger.groupBy("late", "token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.max("spread").alias("spread")).filter("a <> b")
+    mixed = mixed.select("late", "token", F.explode(F.sequence(F.lit(0), F.col("spread") - 1)).alias("salt"))
+    open_ = cut(larger.join(mixed, ["late", "token", "salt"], "left_semi"), "open")
+    band = F.floor(F.log(F.col("n")) / math.log(BAND)).cast("int").alias("band")
+    where = open_.groupBy("node", "component", "n", band).agg(F.max(F.struct("size", "leader"))["leader"].alias("home"))
+    filled = where.groupBy("home", "component").count()
+    where = where.join(filled, ["home", "component"]).withColumn("pure", F.when(F.col("count") >= BLOCK, F.col("component"))).drop("count")
+    counted = where.groupBy(F.col("home").alias("of"), F.col("pure").alias("kind"), F.col("band").alias("in_band")).agg(
+        F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / HEAVY)).cast("int").alias("parts")
+    )
+    where = where.join(counted, (F.col("home") == F.col("of")) & F.col("pure").eqNullSafe(F.col("kind")) & (F.col("band") == F.col("in_band")))
+    block = F.xxhash64("home", "pure", "band", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block")
+    where = cut(where.select("node", "component", "pure", "band", block), "blocks")
+    spots = open_.join(where.select("node", "block", "pure", "band"), "node").select("late", "token", "block", "pure", "band").distinct()
+    # Of shingles that the same blocks hold one stands for all.
+    alike = spots.groupBy("late", "token").agg(F.bit_xor(F.xxhash64("block")).alias("x"), F.count("*").alias("k"))
+    alike = alike.groupBy("x", "k").agg(F.min(F.struct("late", "token")).alias("one")).select("one.late", "one.token")
+    spots = cut(spots.join(alike, ["late", "token"], "left_semi"), "spots")
+    other = spots.select(F.col("late").alias("late2"), F.col("token").alias("token2"), F.col("block").alias("block2"), F.col("pure").alias("pure2"), F.col("band").alias("band2"))
+    reach = math.floor(math.log(share[1] / share[0]) / math.log(BAND)) + 2
+    near = (F.col("block") <= F.col("block2")) & (F.abs(F.col("band") - F.col("band2")) <= reach)
+    unlike = F.col("pure").isNull() | F.col("pure2").isNull() | (F.col("pure") != F.col("pure2"))
+    met = spots.join(other, (F.col("late") == F.col("late2")) & (F.col("token") == F.col("token2")) & near & unlike)
+    pairs = cut(met.select("block", "block2").distinct(), "pairs")
+    cell = F.xxhash64("block", "block2").alias("cell")
+    sides = pairs.select("block", cell, F.when(F.col("block") == F.col("block2"), 2).otherwise(0).alias("side")).unionByName(
+        pairs.filter("block <> block2").select(F.col("block2").alias("block"), cell, F.lit(1).alias("side"))
+    )
+    rows = cut(sides.join(where.select("block", "node", "component"), "block").select("cell", "side", "node", "component"), "cells")
+    drop(open_, where, spots, pairs)
+    return rows
+
+
 def _components_of_rows(docs: DataFrame, key: str, text: str, share) -> DataFrame:
     """As jaccard_components, with each row's class and the component's own name, which unlike
     components that share an id do not share."""
-    prefixes = cut(_prefixes(docs, key, text, frequent_shingles(docs, text), share), "prefix")
+    frequent = frequent_shingles(docs, text)
+    prefixes = cut(_prefixes(docs, key, text, frequent, share), "prefix")
     members = prefixes.filter("kind = 0").select("doc_id", "n", "class")
     by_class = prefixes.filter("kind = 0 and n > 0").groupBy(F.col("class").alias("node"))
     classes = cut(by_class.agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bits").alias("bits")), "classes")
-    named = classes.filter("rep is not null")
-
-    parts = partitions(docs.sparkSession)
-    light = prefixes.filter("kind = 1").select("p", "tokens", "owners", "places", "classes", "sizes").repartition(parts, "p")
-    light = cut(light.mapInArrow(_meet(share), "u long, v long, token long, n long, place long"), "light")
-    # Frequent shingles, and light ones of large groups (48-bit; told apart by a flag).
-    late = prefixes.filter("kind = 2").select(F.lit(1).alias("late"), F.col("doc_id").alias("token"), F.col("class").alias("node"), "n", F.col("p").cast("long").alias("place")).distinct()
-    late = late.unionByName(light.filter("v is null").select(F.lit(0).alias("late"), "token", F.col("u").alias("node"), "n", "place"))
-    groups = late.groupBy("late", "token").agg(F.count("*").alias("size"), F.min(F.struct("node", "n", "place")).alias("head")).filter("size > 1")
-    met_groups = late.join(groups, ["late", "token"]).select("late", "token", "node", "n", "place", "size", F.col("head.node").alias("leader"), F.col("head.n").alias("leader_n"), F.col("head.place").alias("leader_place"))
-    met_groups = cut(met_groups, "groups")
-
-    # Round 1: pairs of small groups, and every class against the leader of each large group.
-    start = f"{share[0] + share[1]} * least(n - place, leader_n - leader_place) >= {share[0]} * (n + leader_n)"
-    stars = met_groups.filter("node <> leader").filter(start).select(F.col("leader").alias("u"), F.col("node").alias("v"))
-    near = light.filter("v is not null").select("u", "v").unionByName(stars).distinct()
-    first = _verified(_possible(near, named, share), named, docs, key, text, share)
-    joined = components(first)
 
-    # Round 2: blocks of larger groups that are not joined throughout.
-    larger = met_groups.filter("size > 2").join(joined, "node", "left").select("late", "token", "node", "size", "leader", F.coalesce("component", "node").alias("component"))
-    mixed = larger.groupBy("late", "token").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("late", "token")
-    open_ = cut(larger.join(mixed, ["late", "token"], "left_semi"), "open")
-    where = open_.groupBy("node", "component").agg(F.max(F.struct("size", "leader"))["leader"].alias("home"))
-    filled = where.groupBy("home", "component").count()
-    where = where.join(filled, ["home", "component"]).withColumn("pure", F.when(F.col("count") >= BLOCK, F.col("component"))).drop("count")
-    counted = where.groupBy(F.col("home").alias("of"), F.col("pure").alias("kind")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    where = where.join(counted, (F.col("home") == F.col("of")) & F.col("pure").eqNullSafe(F.col("kind"))).select("node", "component", "home", "pure", "parts")
-    block = F.xxhash64("home", "pure", F.pmod(F.xxhash64("node"), F.col("parts")))
-    where = cut(where.select("node", "component", "pure", block.alias("block")), "blocks")
-    spots = open_.join(where.select("node", "block", "pure"), "node").select("late", "token", "block", "pure").distinct()
-    other = spots.select("late", "token", F.col("block").alias("block2"), F.col("pure").alias("pure2"))
-    pairs = spots.join(other, ["late", "token"]).filter("block < block2 or (block = block2 and pure is null)")
-    pairs = cut(pairs.filter("pure is null or pure2 is null or pure <> pure2").select("block", "block2").distinct(), "pairs")
-    sides = pairs.select("block", F.col("block").alias("g"), F.col("block2").alias("h"), F.when(F.col("block") == F.col("block2"), 2).otherwise(0).alias("side")).unionByName(
-        pairs.filter("block <> block2").select(F.col("block2").alias("block"), F.col("block").alias("g"), F.col("block2").alias("h"), F.lit(1).alias("side"))
-    )
-    rows = sides.join(where.select("block", "node", "component"), "block").join(named.select("node", "n", "bits"), "node")
-    second = _verified(_block_candidates(rows, share).distinct(), named, docs, key, text, share)
+    packed = prefixes.filter("kind = 1").select("p", "tokens", "owners", "places", "classes", "sizes").repartition(partitions(docs.sparkSession), "p").sortWithinPartitions("p")
+    light = cut(packed.mapInArrow(_meet(share), _MET), "light")
+    groups = cut(_groups(prefixes, light), "groups")
 
-    final = components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(second))
+    first = _compared(_first_cells(light, groups, share), classes, docs, key, text, share)
+    joined = components(first)
+    cells = _second_cells(groups, joined, share)
+    links = joined.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    if cells.isEmpty():
+        second, final = cells, joined
+    else:
+        second = _compared(cells, classes, docs, key, text, share)
+        final = components(links.unionByName(second))
     of_class = classes.join(final, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     least = of_class.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_class = of_class.join(least, "component").select(F.col("node").alias("class"), "component_id", "component")
@@ -480,15 +593,18 @@ def _components_of_rows(docs: DataFrame, key: str, text: str, share) -> DataFram
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "class", "component"
     )
     result = cut(result, "jaccard")
-    drop(prefixes, light, classes, met_groups, first, joined, final, open_, where, pairs, second)
+    drop(prefixes, light, classes, groups, first, joined, cells, second, final)
     return result
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", share: tuple[int, int] = SHARE) -> DataFrame:
-    """``docs`` with one row of each component: of its rows with the smallest key, the first
-    by text; rows with an empty set or a null key all stay.
+    """``docs`` with one row of each component, the first by text of its rows with the smallest
+    key (without any key: of all its rows); rows with an empty set all stay.
 
-    Rows that a bounded Bloom filter of the rows to drop clears pass straight
+    Rows are told apart by key and set, so that unlike texts of one key, and rows without a key,
+    are judged each by its own component. Columns may have any name.
+
+    Rows that a bounded Bloom filter of the keys to look at clears pass straight
     through; only the rest meet the exact list.
     """
     found = _components_of_rows(docs, key, text, share)
@@ -496,27 +612,32 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", share: tu
     of_key = found.filter("doc_id is not null").groupBy("doc_id").agg((F.count("*") > 1).alias("many"), F.max(gone).alias("moved"))
     doubtful = cut(of_key.filter("moved or many").select("doc_id", "many"), "doubtful")
     bits = bloom_of(doubtful, "doc_id")
+    doubt, id_, many_, class_, of, stays, component = (free(x, docs) for x in ("doubt", "id_of", "many", "class_of_row", "of", "stays", "component"))
 
     @F.pandas_udf("boolean")
     def doubted(keys):
         numbers = keys.fillna(0).to_numpy().astype(np.int64)
-        return pd.Series(bloom_hits(bits.value, numbers) & keys.notna().to_numpy())
-
-    marked = docs.withColumn("_doubted", doubted(F.col(key).cast("long")))
-    clear = marked.filter(~F.col("_doubted")).drop("_doubted")
-    rest = marked.filter("_doubted").drop("_doubted").join(doubtful.withColumnRenamed("doc_id", "_id"), F.col(key) == F.col("_id"), "left")
-    single = rest.filter("_id is null").select(*docs.columns)
+        return pd.Series(bloom_hits(bits.value, numbers) | keys.isna().to_numpy())
 
-    # Rows of a repeated key are told apart by their class.
     @F.pandas_udf("long")
     def classed(texts):
         return pd.Series([class_of(shingles(t)) for t in texts], dtype="int64")
 
-    known = found.filter("n_shingles > 0").join(doubtful.filter("many").select("doc_id"), "doc_id", "left_semi")
-    known = known.select(F.col("doc_id").alias("_of"), F.col("class").alias("_class"), F.col("component").alias("_component"), (~gone).alias("_stays")).distinct()
-    many = rest.filter("many").withColumn("_named", classed(F.col(text)))
-    many = many.join(known, (F.col("_id") == F.col("_of")) & (F.col("_named") == F.col("_class")), "left")
-    bare = many.filter("_of is null").select(*docs.columns)
-    order = Window.partitionBy("_id", "_component").orderBy(text)
-    first = many.filter("_stays").withColumn("_at", F.row_number().over(order)).filter("_at = 1").select(*docs.columns)
-    return clear.unionByName(single).unionByName(bare).unionByName(first)
+    marked = docs.withColumn(doubt, doubted(F.col(key).cast("long")))
+    clear = marked.filter(~F.col(doubt)).select(*docs.columns)
+    rest = marked.filter(F.col(doubt)).drop(doubt)
+    listed = doubtful.select(F.col("doc_id").alias(id_), F.col("many").alias(many_))
+    keyed = rest.filter(F.col(key).isNotNull()).join(listed, F.col(key).cast("long") == F.col(id_), "left")
+    single = keyed.filter(F.col(id_).isNull()).select(*docs.columns)
+
+    # Rows of a repeated key, or without one, are told apart by their class.
+    wanted = found.filter("n_shingles > 0").join(doubtful.filter("many").select("doc_id"), "doc_id", "left_semi")
+    wanted = wanted.unionByName(found.filter("n_shingles > 0 and doc_id is null"))
+    own = F.col("component_id").eqNullSafe(F.col("doc_id"))
+    known = wanted.select(F.col("doc_id").alias(id_), F.col("class").alias(of), F.col("component").alias(component), own.alias(stays)).distinct()
+    many = keyed.filter(F.col(many_)).drop(id_, many_).unionByName(rest.filter(F.col(key).isNull()))
+    many = many.withColumn(class_, classed(F.col(text)))
+    many = many.join(known, F.col(key).cast("long").eqNullSafe(F.col(id_)) & (F.col(class_) == F.col(of)), "left")
+    bare = many.filter(F.col(of).isNull()).select(*docs.columns)
+    rows = many.filter(F.col(stays)).groupBy(F.col(id_), F.col(component)).agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.col(text)).alias("row"))
+    return clear.unionByName(single).unionByName(bare).unionByName(rows.select("row.*"))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 #: Largest Bloom filter that is ever broadcast (bytes). Past this the filter
 #: only lets more rows through to the exact join behind it.
 BLOOM_MAX_BYTES = 16 << 20
+SEGMENT = 1 << 12
 #: Bytes of text that a Python worker holds in working form at a time.
 SLICE_BYTES = 4 << 20
 
@@ -94,6 +95,28 @@ def settle() -> None:
         pass
 
 
+def free(name: str, *tables: DataFrame) -> str:
+    """``name``, or a longer one, that none of the tables has as a column in any case."""
+    taken = {c.lower() for table in tables for c in table.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(key, rows) for each run of rows that agree in the first ``keys`` columns."""
+    at, held = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[:keys] != at:
+                if held:
+                    yield at, held
+                at, held = row[:keys], []
+            held.append(row[keys:])
+    if held:
+        yield at, held
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -129,12 +152,13 @@ def _bits(keys: np.ndarray, size: int) -> list[np.ndarray]:
 def bloom_of(ids: DataFrame, column: str):
     """A broadcast Bloom filter of a long column.
 
-    Its size follows the row count and never passes ``BLOOM_MAX_BYTES``. Each
-    task sends only its own filter; they are merged level by level.
+    Its size follows the row count and never passes ``BLOOM_MAX_BYTES``. Tasks
+    cut their own filters into segments, empty ones left out; each segment is
+    merged in one task, and the driver gets every segment once.
     """
     spark = ids.sparkSession
     n = ids.count()
-    size = 8 * int(min(BLOOM_MAX_BYTES, max(1024, 2 * n)))
+    size = 8 * int(min(BLOOM_MAX_BYTES, max(SEGMENT, 2 * n)) // SEGMENT * SEGMENT)
 
     def build(batches):
         bits = np.zeros(size // 8, dtype=np.uint8)
@@ -142,13 +166,22 @@ def bloom_of(ids: DataFrame, column: str):
             keys = batch.column(0).drop_null().to_numpy(zero_copy_only=False)
             for at in _bits(keys, size):
                 np.bitwise_or.at(bits, at >> np.uint64(3), np.left_shift(1, (at & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
-        yield pa.RecordBatch.from_pydict({"bits": [bits.tobytes()]})
+        parts = bits.reshape(-1, SEGMENT)
+        filled = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int64()), pa.array([parts[k].tobytes() for k in filled], pa.binary())], names=["k", "bits"])
+
+    def merge(batches):
+        for (k,), rows in runs(batches):
+            own = np.zeros(SEGMENT, dtype=np.uint8)
+            for (part,) in rows:
+                own |= np.frombuffer(part, dtype=np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([own.tobytes()], pa.binary())], names=["k", "bits"])
 
-    parts = ids.select(column).coalesce(4).mapInArrow(build, "bits binary")
-    bits = np.zeros(size // 8, dtype=np.uint8)
-    for row in parts.toLocalIterator():
-        bits |= np.frombuffer(row.bits, dtype=np.uint8)
-    return spark.sparkContext.broadcast(bits)
+    parts = ids.select(column).mapInArrow(build, "k long, bits binary").repartition(partitions(spark), "k").sortWithinPartitions("k")
+    bits = np.zeros((size // 8 // SEGMENT, SEGMENT), dtype=np.uint8)
+    for row in parts.mapInArrow(merge, "k long, bits binary").collect():  # BLOOM_MAX_BYTES at most
+        bits[row.k] = np.frombuffer(row.bits, dtype=np.uint8)
+    return spark.sparkContext.broadcast(bits.ravel())
 
 
 def bloom_hits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -186,6 +219,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(parent) > 300_000:
             yield out()
     yield out()
+    settle()
 
 
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
