@@ -103,6 +103,13 @@ def free(name: str, *tables: DataFrame) -> str:
     return name
 
 
+def unlike(keep: list[str], output: tuple[str, ...]) -> None:
+    """Refuse columns that an operator would write twice."""
+    clash = sorted({c.lower() for c in keep} & {c.lower() for c in output})
+    if clash:
+        raise ValueError(f"columns {clash} are named like output columns; rename them or leave them out")
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[tuple[tuple, list[tuple]]]:
     """(key, rows) for each run of rows that agree in the first ``keys`` columns."""
     at, held = None, []
