@@ -7,36 +7,46 @@ Every entry has an edit budget by its length. The trie of entries and the
 automaton of words within those budgets are intersected and determinised as
 texts ask for it, so that a misspelt entry is found in one walk over the word.
 
-Around each hit a window of WINDOW words is read: quotation marks that enclose
-the hit and words of reporting make it a quotation, otherwise it is abuse. A
-logistic model over the two sums of evidence gives the score.
+Around each hit a window of WINDOW words on either side is read: a pair of quotation
+marks in it that encloses the hit, and words of reporting, make it a quotation,
+otherwise it is abuse. Marks are paired over the whole text, each kind for itself:
+a mark that was closed before a hit does not enclose it, and an apostrophe between
+letters is no mark. A logistic model over the two sums of evidence gives the score.
 
 Defined results: null and empty texts get the score of a text without hits;
-every row is scored, repeated rows alike; without labelled rows of both kinds
-the model keeps its prior weights. Labels, lang, source and doc_id are no inputs.
+every row is scored, repeated rows alike; of labelled rows that repeat a doc_id the
+first text in order is learned from; without labelled rows of both kinds the model
+keeps its prior weights; an empty table gives no rows; other columns pass through
+where they are named, and one named score, abuse or quoted is refused with
+ValueError. Labels, lang, source and doc_id are no inputs.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import slices
+from .util import free, settle, slices, unlike
 
 #: Most labelled rows that learning reads; all other counts cover every document.
 SAMPLE = 5000
+#: Most characters of them together.
+SAMPLE_CHARS = 100_000_000
 WINDOW = 6
 #: Share of a hit's weight that is left for each edit.
 PER_EDIT = 0.5
-KNOWN = 150_000
+#: Words, and states of the automaton, that a worker remembers.
+KNOWN, STATES = 150_000, 50_000
+OUTPUT = ("score", "abuse", "quoted")
 # General terms of insult that are known before any label is seen.
 SEED = """
 idiot moron stupid loser trash scum clown pathetic worthless disgusting dumb imbecile scumbag
@@ -45,7 +55,7 @@ idiot idiotin dummkopf abschaum
 crétin abruti ordure
 """.split()
 REPORTING = set("said says wrote writes called calls quote quoted quotes reported sagte schrieb nannte zitat dit écrit appelle cite dijo escribió llamó cita".split())
-OPENING, CLOSING = "\"“«„‘", "\"”»“’"
+MARKS = re.compile("[\"“”„«»‘’]")
 WORD = re.compile(r"[^\W_]+")
 PRIOR = np.array([-3.0, 4.0, 1.0, 1.0])
 
@@ -81,6 +91,9 @@ class Automaton:
                 node = self.children[node][letter]
                 self.room[node] = max(self.room[node], self.budgets[k])
             (self.word_at if k < len(words) else self.stem_at)[node] = k
+        self.forget()
+
+    def forget(self) -> None:
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
@@ -117,6 +130,8 @@ class Automaton:
 
     def match(self, word: str) -> tuple[int, int] | None:
         """(edits, entry) of the nearest entry, or None."""
+        if len(self.sets) > STATES:
+            self.forget()
         state, stem, moves, sets = self.start, None, self.moves, self.sets
         for letter in word:
             now = moves[state].get(letter)
@@ -153,10 +168,15 @@ class Model:
         self.words, self.stems, self.worth, self.innocent, self.weights = state
         self.__post_init__()
 
+    def entries(self) -> dict[str, float]:
+        """What the lexicon holds, and its worth."""
+        return dict(zip(self.words + self.stems, self.worth))
+
     def lookup(self, words: set[str]) -> set[str]:
         """The words that meet the lexicon; what was seen before is remembered."""
-        if len(self.clean) > KNOWN:
+        if len(self.clean) + len(self.hits) > KNOWN:
             self.clean.clear()
+            self.hits.clear()
         out = set()
         for word in words - self.clean:
             if word not in self.hits:
@@ -177,15 +197,18 @@ class Model:
         if not found:
             return 0.0, 0.0, 0.0
         spans = [(m.group(), m.start(), m.end()) for m in WORD.finditer(low)]
+        opens, closes = quotations(low)
         abuse = quoted = strongest = 0.0
         for k, (word, start, end) in enumerate(spans):
             if word not in found:
                 continue
-            first, last = spans[max(0, k - WINDOW)], spans[min(len(spans) - 1, k + WINDOW)]
-            near = {w for w, _, _ in spans[max(0, k - WINDOW) : k]}
+            first, last = k - WINDOW - 1, k + WINDOW + 1
+            left, right = spans[first][2] if first >= 0 else 0, spans[last][1] if last < len(spans) else len(low)
+            near = {w for w, _, _ in spans[max(0, k - WINDOW) : k] + spans[k + 1 : last]}
+            enclosed = any(end <= closes[i] < right for i in range(bisect_left(opens, left), bisect_left(opens, start)))
             edits, entry = self.hits[word]
             weight = self.worth[entry] * PER_EDIT**edits
-            q = context(low[first[1] : start], low[end : last[2] + 1], bool(near & REPORTING))
+            q = context(enclosed, bool(near & REPORTING))
             abuse += weight * (1 - q)
             quoted += weight * q
             strongest = max(strongest, weight * (1 - q))
@@ -196,13 +219,32 @@ class Model:
         return 1 / (1 + math.exp(-min(max(z, -30), 30)))
 
 
-def context(before: str, after: str, reported: bool) -> float:
+def quotations(text: str) -> tuple[list[int], list[int]]:
+    """Where each closed quotation opens, ascending, and where it closes.
+
+    A straight mark opens and closes in turn; a curly or angled one closes the latest open one of
+    its kind. The German low mark is closed by either high one; an open mark that is followed
+    by another of its kind is forgotten.
+    """
+    pairs: list[tuple[int, int]] = []
+    open_: dict[str, int] = {}
+    for m in MARKS.finditer(text):
+        at, mark = m.start(), m.group()
+        if mark == "’" and text[at - 1 : at].isalnum() and text[at + 1 : at + 2].isalnum():
+            continue
+        kinds = {'"': '"', "“": "„", "”": "“„", "»": "«", "’": "‘"}.get(mark, "")
+        closed = next((k for k in kinds if k in open_), None)
+        if closed:
+            pairs.append((open_.pop(closed), at))
+        elif mark in '"“„«‘':
+            open_[mark] = at
+    pairs.sort()
+    return [a for a, _ in pairs], [b for _, b in pairs]
+
+
+def context(enclosed: bool, reported: bool) -> float:
     """How far a hit reads as quotation, from 0 to 1."""
-    opens = max((before.rfind(c) for c in OPENING), default=-1)
-    enclosed = opens >= 0 and before.count('"') % 2 in (0, 1) and any(c in after for c in CLOSING)
-    if enclosed and before[opens] == '"':
-        enclosed = before.count('"') % 2 == 1
-    return (0.8 if enclosed and reported else 0.6 if enclosed else 0.3 if reported else 0.0)
+    return 0.8 if enclosed and reported else 0.6 if enclosed else 0.3 if reported else 0.0
 
 
 def features(abuse: float, quoted: float, strongest: float) -> np.ndarray:
@@ -298,27 +340,33 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """Learn from at most ``sample`` labelled rows outside the held-out fifth."""
     marked = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key))
     marked = marked.groupBy(key).agg(F.max(label).alias("mark")).orderBy(F.xxhash64(key), key).limit(sample)
-    rows = docs.select(key, text).join(F.broadcast(marked), key).select(key, text, "mark").collect()
-    rows = sorted({(r[0], r[1] or "", int(r[2] > 0)) for r in rows})
+    name, said = free("mark", docs), free("said", docs)
+    rows = docs.select(key, F.coalesce(text, F.lit("")).alias(said)).join(F.broadcast(marked.withColumnRenamed("mark", name)), key)  # SAMPLE rows
+    rows = rows.groupBy(key).agg(F.min(said).alias("text"), F.max(name).alias("toxic"))
+    rows = rows.withColumn("upto", F.sum(F.length("text").cast("long")).over(Window.orderBy(F.xxhash64(key), key))).filter(F.col("upto") <= SAMPLE_CHARS)
+    rows = sorted((r[key], r.text, int(r.toxic > 0)) for r in rows.collect())
     return fit([(t, y) for _, t, y in rows])
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep`` of each row, with score, abuse and quoted."""
+    unlike(keep, OUTPUT)
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by SAMPLE
     n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in slices(batches, "tox_text"):
+        for batch in slices(batches, said):
             seen = [model.evidence(t.as_py()) for t in batch.column(n)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:n], pa.array([model.score(*e) for e in seen], pa.float64()), pa.array([e[0] for e in seen], pa.float64()), pa.array([e[1] for e in seen], pa.float64())],
-                names=[*keep, "score", "abuse", "quoted"],
+                names=[*keep, *OUTPUT],
             )
+        settle()
 
-    return docs.select(*keep, F.col(text).alias("tox_text")).mapInArrow(run, f"{fields}, score double, abuse double, quoted double")
+    said = free("text", docs.select(*keep))
+    return docs.select(*keep, F.col(text).alias(said)).mapInArrow(run, f"{fields}, score double, abuse double, quoted double")
 
 
 def reject(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -331,5 +379,6 @@ def reject(docs: DataFrame, model: Model, text: str = "text", threshold: float =
         for batch in slices(batches, text):
             stays = [model.score(*model.evidence(t.as_py())) < threshold for t in batch.column(where)]
             yield batch.filter(pa.array(stays))
+        settle()
 
     return docs.mapInArrow(run, docs.schema)

@@ -75,6 +75,67 @@ def test_learning_finds_words_and_stems_not_copies():
     assert quoted[1] > 0 and quoted[0] < plain[0]
 
 
+def read_marks(text):
+    """Quotations of a text by reading on from each opening mark."""
+    mates = {'"': '"', "“": "”", "„": "“”", "«": "»", "‘": "’"}
+    mark = [c in '"“”„«»‘’' and not (c == "’" and text[:i][-1:].isalnum() and text[i + 1 : i + 2].isalnum()) for i, c in enumerate(text)]
+    pairs, used = [], set()
+    for i, c in enumerate(text):
+        if not mark[i] or i in used or c not in mates:
+            continue
+        for j in range(i + 1, len(text)):
+            if not mark[j]:
+                continue
+            if text[j] in mates[c]:
+                pairs.append((i, j))
+                used |= {i, j}
+                break
+            if text[j] == c:
+                break
+    return sorted(pairs)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet='ab "«»', max_size=24))
+def test_quotations_by_reading(text):
+    opens, closes = toxicity.quotations(text)
+    assert list(zip(opens, closes)) == read_marks(text)
+
+
+def test_quotation_windows():
+    model = toxicity.Model(["moron"], [], [1.0])
+    quoted = {
+        '“foo” and then moron and “bar”': 0.0,
+        '"moron" she wrote': 0.8,
+        '"moron" it was': 0.6,
+        "he isn’t a ‘moron’ at all": 0.6,
+        "it’s a moron’s way": 0.0,
+        "„moron“ sagte er": 0.8,
+        "« moron »": 0.6,
+        '" one two three four five six seven moron eight "': 0.0,
+        'they said moron': 0.3,
+        'a " moron': 0.0,
+        "moron": 0.0,
+    }
+    for text, q in quoted.items():
+        abuse, said, strongest = model.evidence(text)
+        assert (round(abuse, 6), round(said, 6), round(strongest, 6)) == (round(1 - q, 6), q, round(1 - q, 6)), text
+
+
+def test_toxicity_memory_is_bounded(monkeypatch):
+    monkeypatch.setattr(toxicity, "KNOWN", 20)
+    monkeypatch.setattr(toxicity, "STATES", 20)
+    model, fresh = (toxicity.Model(["pathetic", "moron"], ["lowe"], [1.0, 1.0, 1.0]) for _ in range(2))
+    r = random.Random(8)
+    for _ in range(200):
+        text = " ".join("".join(r.choice("patheticmron") for _ in range(r.randrange(1, 9))) for _ in range(30)) + " morron pathetik lowered"
+        monkeypatch.setattr(toxicity, "STATES", 20)
+        got = model.evidence(text)
+        monkeypatch.setattr(toxicity, "STATES", 10**9)
+        assert got == fresh.evidence(text)
+    assert len(model.clean) + len(model.hits) <= 20 + 33
+
+
 def test_toxicity_edges(spark):
     labels = tuned(spark).createDataFrame([(i, y) for i, (_, y) in enumerate(toxic_rows())] + [(None, 1), (1, None)], "doc_id long, toxic int")
     table = docs(spark, [t for t, _ in toxic_rows()])
@@ -84,6 +145,10 @@ def test_toxicity_edges(spark):
     assert [r.score >= 0.5 for r in got] == [False, False, False, True, True]
     assert toxicity.reject(odd, model).count() == 3
     assert toxicity.score(odd.filter("false"), model, ["doc_id"]).count() == 0
+    with pytest.raises(ValueError):
+        toxicity.score(odd.withColumnRenamed("lang", "Score"), model, ["doc_id", "Score"])
+    copies = table.unionByName(table.filter("doc_id < 50")).withColumn("mark", table.doc_id).withColumn("said", table.text)
+    assert toxicity.train(copies, labels).entries() == model.entries()
     blank = toxicity.train(table, labels.filter("false"))
     assert blank.score(*blank.evidence("nothing")) < 0.5 <= blank.score(*blank.evidence("moron"))
 
@@ -99,16 +164,39 @@ def test_agenda_equals_library(text):
     own = pieces.load(MODEL)
     ids = own.library.encode(text)
     assert own.encode(text) == ids
-    assert own.decode(ids) == own.library.decode(ids) == own.shown(text, own.encode_all([text])[0])
+    assert own.decode(ids) == own.library.decode(ids) == own.shown([text], own.encode_all([text]))[0]
 
 
 def test_ids_are_the_agendas():
     own = pieces.Pieces(MODEL)
     own._theirs = lambda chunks: [[0] for _ in chunks]
     text = "the agenda makes these ids " + "ab" * 3000
-    entries = own.encode_all([text])[0]
     assert own.encode(text) == own.library.encode(text)
-    assert own.shown(text, entries) == text and not any(e[4] for e in entries)
+    made = own.encode_all([text, "", text])
+    assert own.shown([text, "", text], made) == [text, "", text] and len(own.wrong) == len(own.slots)
+    assert own.marked(made, own.wrong).tolist() == [True, False, True]
+
+
+def test_broken_agenda_shows(spark):
+    own = pieces.Pieces(MODEL)
+    own.merge_many = lambda chunks: (np.full(len(chunks), 5, dtype=np.int64), np.ones(len(chunks), dtype=np.int64))
+    made = own.encode_all(["some words here"])
+    assert made.ids.tolist() == [5, 5, 5] != own.library.encode("some words here") and len(own.wrong) == 3
+
+
+def test_memo_forgets(monkeypatch):
+    own = pieces.Pieces(MODEL)
+    monkeypatch.setattr(pieces, "MEMO", 10)
+    for k in range(30):
+        text = " ".join(f"word{k * i}" for i in range(9)) + " é😀 \x00"
+        made = own.encode_all([text, "x"])
+        assert made.of(0).tolist() == own.library.encode(text) and own.written(made)[1] == ",".join(map(str, own.library.encode("x")))
+        assert own.shown([text, "x"], made) == [own.library.decode(made.of(0).tolist()), "x"]
+
+
+def test_output_names_are_refused(spark):
+    with pytest.raises(ValueError):
+        pieces.encode_decode(docs(spark, ["x"]).withColumnRenamed("lang", "Ids"), ["doc_id", "Ids"], MODEL)
 
 
 def test_long_chunks_and_rows(spark):
