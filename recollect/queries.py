@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import caches, dedupe, dense, entities, fusion, lexical, scoring, validate
 from .plans import retrieve as R
+from .session import shared_dir
 from .sources import corpus
 from .streaming import admission
 
@@ -657,7 +657,6 @@ def event_stream_admission(spark, sf):
     """Extension: the same counts from a stream that reads the table once."""
     schema = table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="recollect-")
-    path = f"{base.rstrip('/')}/recollect-stream-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/recollect-stream-{uuid.uuid4().hex}"
     admission.run_available(admission.windowed_counts(stream), f"{path}/out", f"{path}/state")
     return spark.read.parquet(f"{path}/out").select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("value", 4).alias("value"))
