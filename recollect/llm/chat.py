@@ -1,8 +1,9 @@
 r"""Chat formatting with DataFrame functions only.
 
 Records arrive as JSON strings in unlike layouts. The sorted set of a record's
-field paths (fields of the record, and of the first element of its arrays of
-objects) is hashed; the hash selects a declarative mapping to canonical turns.
+field paths (fields of the record, and of every element of its arrays of objects;
+a field that holds a list or an object is marked, and elements with unlike fields
+are told apart) is hashed; the hash selects a declarative mapping to canonical turns.
 Canonical turns are rendered as
 
     ### role: text</turn>
@@ -14,8 +15,12 @@ can be split and unescaped again without loss:
 
 Defined results: a null text or role is empty; a record that is null, is not a
 JSON object or has an unknown fingerprint has null turns (``layout`` is null
-then, and its fingerprint is kept); a conversation without turns renders as the
-empty string; turns keep their order, equal turns are kept.
+then, and its fingerprint is kept), which covers records whose elements have unlike
+fields and texts that are lists or objects; numbers and booleans are their JSON text;
+a conversation without turns renders as the empty string; turns keep their order,
+equal turns are kept; texts may be of any length; repeated rows are formatted each;
+an empty table gives no rows. Columns pass through, except that input columns named
+fingerprint, layout, turns, formatted or loss_spans are replaced.
 """
 
 from __future__ import annotations
@@ -41,21 +46,34 @@ LAYOUTS = {
 #: Names that other layouts give to the canonical roles.
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 LIST_FIELDS = ("messages", "turns", "conversations")
+#: Fields that must hold a plain value.
+VALUE_FIELDS = sorted({f for _, kind, source in LAYOUTS.values() for f in (source[1:] if kind == "list" else [f for _, many in source for f in many])})
 OPEN, CLOSE, MARK = "### ", "</turn>", "\\"
 
 
-def _first_keys(record: Column, name: str) -> Column:
-    return F.coalesce(F.json_object_keys(F.get_json_object(record, f"$.{name}[0]")), F.array().cast("array<string>"))
+def _paths(record: Column) -> Column:
+    """Sorted keys of a JSON object, those of list and object values marked; null for what is no object."""
+    keys = F.json_object_keys(record)
+    names = [f"`{f}`" for f in VALUE_FIELDS]
+    lists = F.from_json(record, "struct<" + ",".join(f"{n}:array<string>" for n in names) + ">")
+    objects = F.from_json(record, "struct<" + ",".join(f"{n}:map<string,string>" for n in names) + ">")
+    marks = F.array(*[F.when(lists[f].isNotNull(), f + "[]").when(objects[f].isNotNull(), f + "{}") for f in VALUE_FIELDS])
+    return F.array_sort(F.array_distinct(F.concat(keys, F.filter(marks, lambda m: m.isNotNull()))))
 
 
-def _prefixed(name: str):
-    return lambda key: F.concat(F.lit(f"{name}[]."), key)
+def _element_paths(elements: Column, name: str) -> Column:
+    """Paths of a list's elements: plain where all are alike, else each kind of element by itself."""
+    kinds = F.array_distinct(F.transform(elements, lambda e: F.coalesce(F.array_join(_paths(e), "\n"), F.lit("?"))))
+    alike = F.transform(F.split(kinds[0], "\n"), lambda key: F.concat(F.lit(f"{name}[]."), key))
+    unlike = F.transform(kinds, lambda kind: F.concat(F.lit(f"{name}[]:"), F.replace(kind, F.lit("\n"), F.lit(","))))
+    return F.coalesce(F.when(F.size(kinds) == 1, alike).when(F.size(kinds) > 1, unlike), F.array().cast("array<string>"))
 
 
 def fingerprint(record: Column) -> Column:
     """Hash of the record's sorted nested field paths; null for what is no JSON object."""
-    keys = F.json_object_keys(record)
-    nested = [F.transform(_first_keys(record, name), _prefixed(name)) for name in LIST_FIELDS]
+    keys = _paths(record)
+    parsed = F.from_json(record, "struct<" + ",".join(f"{name}:array<string>" for name in LIST_FIELDS) + ">")
+    nested = [_element_paths(parsed[name], name) for name in LIST_FIELDS]
     return F.when(keys.isNotNull(), F.sha2(F.array_join(F.array_sort(F.array_distinct(F.concat(keys, *nested))), "\n"), 256))
 
 
@@ -112,6 +130,8 @@ def canonical(records: DataFrame, record: str = "record") -> DataFrame:
                 *[_turn(F.lit(role), F.concat_ws("\n\n", *[F.nullif(parsed[f], F.lit("")) if len(many) > 1 else parsed[f] for f in many])) for role, many in source]
             )
         hit = F.col("fingerprint") == known(paths)
+        if kind == "list":  # without elements there are no nested paths
+            hit = hit | (F.col("fingerprint") == known([paths[0]])) & (F.size(made) == 0)
         layout = F.when(hit, F.lit(name)).otherwise(layout)
         turns = F.when(hit, made).otherwise(turns)
     return out.withColumn("layout", layout).withColumn("turns", turns)

@@ -13,9 +13,11 @@ A pair counts in the first table where it meets. Tasks return link counts and a
 spanning forest of what they linked, not the pairs.
 
 Defined results: vectors that are null, zero, empty or hold null or non-finite
-components link with nothing; vectors of unlike lengths do not link; rows that
-repeat a vec_id are one vector (the smallest of them); a null vec_id links with
-nothing and has null component and kept; an empty table gives no rows.
+components link with nothing; vectors of unlike lengths do not link; rows that repeat a
+vec_id and its vector (up to its length) are one, rows of one id with unlike vectors are
+compared and returned each for itself; a null vec_id links with nothing and has null
+component and kept; an empty table gives no rows; columns other than the id and the
+vector are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import components, cut, drop, partitions
+from .util import components, cut, drop, partitions, settle
 
 WIDTH = 2.0
 BLOCK = 96
@@ -66,6 +68,7 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x = None if x is None or not x.any() else x
             out.append(None if x is None else x.tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["vec_id", "vector"])
+    settle()
 
 
 def keys_of(units: np.ndarray, k: int, tables: int, seed: int = SEED) -> np.ndarray:
@@ -132,10 +135,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.
     n_parts = partitions(spark)
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
     rows = rows.mapInArrow(_checked, "vec_id long, vector binary")
-    named = rows.filter("vec_id is not null").groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    nameless = rows.filter("vec_id is null").select("vec_id", F.lit(None).cast("binary").alias("vector"))
-    members = cut(named.unionByName(nameless).withColumn("class", F.sha2("vector", 256)), "vectors")
-    classes = cut(members.filter("vector is not null").groupBy("class").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("vector").alias("vector")), "classes")
+    rows = rows.withColumn("class", F.sha2("vector", 256))
+    named = rows.filter("vec_id is not null").groupBy("vec_id", "class").agg(F.first("vector").alias("vector"))
+    nameless = rows.filter("vec_id is null").select("vec_id", F.lit(None).cast("string").alias("class"), F.lit(None).cast("binary").alias("vector"))
+    members = cut(named.unionByName(nameless), "vectors")
+    classes = members.filter("vector is not null").groupBy("class").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.first("vector").alias("vector"))
+    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()), "classes")  # written, so that numbers stay
     k, tables = plan(classes.count(), cosine, recall)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,12 +201,15 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.
                 yield out()
         finish()
         yield out()
+        settle()
 
     found = cut(grouped.mapInArrow(work, "u long, v long, n long"), "links")
     linked = found.filter("n is not null").groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("n"))
     linked_up = components(found.filter("v is not null").select("u", "v"))
-    named_classes = classes.select("class", "id", "weight").join(linked, "id", "left").join(linked_up.withColumnRenamed("node", "id"), "id", "left")
-    named_classes = named_classes.select("class", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    named_classes = classes.select("class", "id", "weight", "least").join(linked, "id", "left").join(linked_up.withColumnRenamed("node", "id"), "id", "left")
+    named_classes = named_classes.withColumn("component", F.coalesce("component", "id"))
+    least = named_classes.groupBy("component").agg(F.min("least").alias("component_id"))
+    named_classes = named_classes.join(least, "component").select("class", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
     result = members.select("vec_id", "class").join(named_classes, "class", "left")
     result = result.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     result = cut(result.withColumn("kept", F.col("vec_id") == F.col("component_id")), "near")

@@ -13,8 +13,9 @@ out by a hash of id, copy and seed.
 Defined results: null sources form a source of their own; a source that the
 weights do not name has weight 1; a source with no characters at all has rate
 0 if no source has any; null texts count 0 characters; repeated rows are
-separate documents with equal draws; other columns pass through, except that
-input columns named copy, n_copies or mix_key are replaced.
+separate documents with equal draws; an empty table gives no rows; other columns pass
+through under any name, except that input columns named copy, n_copies or mix_key are
+replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import cut, partitions
+from .util import cut, free, partitions
 
 OUTPUT = ("copy", "n_copies", "mix_key")
 #: Largest rate inverted in one piece; a larger rate is a sum of independent draws at most this large.
@@ -77,9 +78,10 @@ def mix(docs: DataFrame, weights: dict[str, float], seed: int = 17, default: flo
     docs = docs.select(*keep)
     # Written first, so that Spark knows its size when it plans the join: broadcast while
     # small, else a shuffled join whose hot sources adaptive execution splits.
-    mean = cut(rates(docs, weights, default, source, text), "rates")
-    drawn = docs.join(mean, F.col(source).eqNullSafe(F.col("mix_source")), "left")
-    rate = F.coalesce("mix_rate", F.lit(0.0))
+    of, mean_rate = free("mix_source", docs), free("mix_rate", docs)
+    mean = cut(rates(docs, weights, default, source, text), "rates").toDF(of, mean_rate)
+    drawn = docs.join(mean, F.col(source).eqNullSafe(F.col(of)), "left")
+    rate = F.coalesce(mean_rate, F.lit(0.0))
     whole = F.floor(rate / PIECE).cast("int")
     ident = F.coalesce(F.col(key).cast("string"), F.lit(""))
     full = F.aggregate(

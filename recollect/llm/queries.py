@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, embed_dedup, mixing, ngram_join, pieces, secret_scan, sketch, token_counts, toxicity, url_filter
-from .util import new_path, tuned
+from .util import new_path, remove, tuned
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -42,7 +42,9 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     path = new_path(spark, "tokens")
     token_counts.write_tokens(docs, path, tokenizer_file(RANKS), END_OF_DOCUMENT, key="doc_id")
-    return token_counts.keyed_counts(spark, path, END_OF_DOCUMENT)
+    counted = token_counts.keyed_counts(spark, path, END_OF_DOCUMENT)
+    remove(spark, path)
+    return counted
 
 
 # -- 2: SentencePiece ---------------------------------------------------------

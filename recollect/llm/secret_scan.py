@@ -8,8 +8,9 @@ no keyword; one character-class search finds them. Kinds with an embedded
 checksum or structure count only if it is right; a match that fails hides no later one.
 
 Defined results: a null or empty text has no spans; spans of unlike kinds may
-overlap; offsets are code points, end exclusive; repeated rows are scanned each;
-other columns pass through.
+overlap; offsets are code points, end exclusive; repeated rows are scanned each; an
+empty table gives no rows; other columns pass through, and a named one called
+secret_spans is refused with ValueError.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .util import slices
+from .util import free, settle, slices, unlike
 
 #: Kinds in the order used for spans that start together; the first three are the base kinds.
 KINDS = ("assign", "access", "hex", "github", "npm", "jwt", "pem")
@@ -140,16 +141,19 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
 
 def scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep`` of each row, with secret_spans."""
+    unlike(keep, ("secret_spans",))
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("secret_spans", SPAN)])
     n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        for batch in slices(batches, "scan_text"):
+        for batch in slices(batches, name):
             found = [[{"kind": k, "start": a, "end": b} for k, a, b in find(t.as_py())] for t in batch.column(n)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(found, kind)], names=[*keep, "secret_spans"])
+        settle()
 
-    return docs.select(*keep, docs[text].alias("scan_text")).mapInArrow(run, schema)
+    name = free("text", docs.select(*keep))
+    return docs.select(*keep, docs[text].alias(name)).mapInArrow(run, schema)
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
@@ -176,5 +180,6 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataF
             columns = list(batch.columns)
             columns[where] = pa.array([clean(t.as_py()) for t in columns[where]], columns[where].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+        settle()
 
     return docs.mapInArrow(run, docs.schema)

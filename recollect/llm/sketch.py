@@ -11,7 +11,10 @@ too, and a fingerprint has about eight hex digits a character.
 
 Defined results: a null text is empty; an empty text has an empty sketch; equal
 texts have equal sketches; two empty sketches are alike (1.0) only if both texts
-are equal, an empty and a filled one are unlike (0.0).
+are equal, an empty and a filled one are unlike (0.0). Repeated rows and keys are
+sketched each, in order of key, then text; an empty table gives no rows. Named columns
+pass through, and one named fingerprint is refused with ValueError. Memory follows the
+longest text of a task: about 100 bytes a code point while it is sketched.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import partitions, slices
+from .util import free, partitions, settle, slices, unlike
 
 SHINGLE = 16
 #: 1 of KEPT hashes stays; the top bits of what stays are zero, the next 32 are written.
@@ -109,15 +112,18 @@ def containment(a: np.ndarray, b: np.ndarray, equal: bool = False) -> float:
 
 def fingerprints(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep`` of each row, with fingerprint."""
+    unlike(keep, ("fingerprint",))
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "sketch_text"):
+        for batch in slices(batches, name):
             made = [packed(sketch(points_of(t.as_py() or ""))) for t in batch.column(n)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(made, pa.string())], names=[*keep, "fingerprint"])
+        settle()
 
-    return docs.select(*keep, F.col(text).alias("sketch_text")).mapInArrow(run, f"{fields}, fingerprint string")
+    name = free("text", docs.select(*keep))
+    return docs.select(*keep, F.col(text).alias(name)).mapInArrow(run, f"{fields}, fingerprint string")
 
 
 def with_next(docs: DataFrame, each, schema: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -159,6 +165,7 @@ def with_next(docs: DataFrame, each, schema: str, key: str = "doc_id", text: str
                     held = None if guest else (k, t)
 
         yield from each(pairs())
+        settle()
 
     return dealt.mapInArrow(run, schema)
 

@@ -29,12 +29,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .util import cut, slices
+from .util import cut, drop, settle, slices
 
 BLOCK = 1 << 16
 #: Identifiers before a document's own that spell its key, in digits of KEY_BASE.
 KEY_DIGITS = 5
 KEY_BASE = 50_000
+#: The number that spells a null key: past all signed 64-bit ones.
+NO_KEY = 1 << 64
+#: Bytes of a token file, as scans hold one whole; bytes of text that an identifier stands for, at least.
+FILE_BYTES, CHARS = 16 << 20, 2.0
 _encoders: dict[str, object] = {}
 
 
@@ -50,9 +54,9 @@ def encoder(ranks: str):
     return _encoders[ranks]
 
 
-def key_digits(key: int) -> list[int]:
+def key_digits(key: int | None) -> list[int]:
     """KEY_DIGITS digits below KEY_BASE, least first; never a separator."""
-    key = (key << 1) if key >= 0 else (~key << 1) | 1  # the sign in the lowest bit
+    key = NO_KEY if key is None else (key << 1) if key >= 0 else (~key << 1) | 1  # the sign in the lowest bit
     out = []
     for _ in range(KEY_DIGITS):
         key, digit = divmod(key, KEY_BASE)
@@ -60,17 +64,18 @@ def key_digits(key: int) -> list[int]:
     return out
 
 
-def key_of(digits) -> int:
+def key_of(digits) -> int | None:
     key = 0
     for digit in reversed(list(digits)):
         key = key * KEY_BASE + int(digit)
-    return ~(key >> 1) if key & 1 else key >> 1
+    return None if key == NO_KEY else ~(key >> 1) if key & 1 else key >> 1
 
 
-def write_tokens(docs: DataFrame, path: str, ranks: str, separator: int, key: str | None = None, text: str = "text", width: int = 2, rows_per_file: int = 2_000) -> None:
+def write_tokens(docs: DataFrame, path: str, ranks: str, separator: int, key: str | None = None, text: str = "text", width: int = 2, file_bytes: int = FILE_BYTES) -> None:
     """Encode texts (null: empty) and write flat files under ``path``.
 
-    With ``key`` each document is led by its key in KEY_DIGITS identifiers; a null key is written as -1.
+    With ``key`` each document is led by its key in KEY_DIGITS identifiers. A file holds as many
+    documents of average length as fill ``file_bytes``.
     """
     kind = "<u2" if width == 2 else "<u4"
     if key is not None and separator < KEY_BASE:
@@ -82,12 +87,15 @@ def write_tokens(docs: DataFrame, path: str, ranks: str, separator: int, key: st
             keys = batch.column(0).to_pylist() if key is not None else None
             coded = [own.encode_ordinary(t or "") for t in batch.column(batch.num_columns - 1).to_pylist()]
             if keys is not None:
-                coded = [key_digits(-1 if k is None else k) + ids for k, ids in zip(keys, coded)]
+                coded = [key_digits(k) + ids for k, ids in zip(keys, coded)]
             yield pa.RecordBatch.from_arrays([pa.array([np.array(ids, dtype=kind).tobytes() for ids in coded], pa.binary())], names=["value"])
+        settle()
 
     columns = ([F.col(key).cast("long").alias("k")] if key is not None else []) + [F.col(text).alias("t")]
     end = int(separator).to_bytes(width, "little").decode("latin-1")
     flat = docs.select(*columns).mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    mean = docs.agg(F.avg(F.octet_length(text))).first()[0] or 0.0
+    rows_per_file = max(1, int(file_bytes / (width * (mean / CHARS + KEY_DIGITS + 1))))
     flat.write.option("lineSep", end).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", rows_per_file).text(path)
 
 
@@ -131,6 +139,7 @@ def scan(spark: SparkSession, path: str, separator: int, width: int = 2, block:
                 for at in range(0, len(ids), block):
                     found = scan_block(ids[at : at + block], separator, lead)
                     yield pa.RecordBatch.from_pylist([{"file": name, "block": at // block, **found, "sizes": list(found["sizes"])}], schema)
+        settle()
 
     blocks = cut(files.mapInArrow(run, _BLOCKS), "scanned")  # files are read once; the rest works on what blocks know
     # The prefix scan: separators before each block of the file number its documents.
@@ -155,16 +164,20 @@ def scan(spark: SparkSession, path: str, separator: int, width: int = 2, block:
     stitched = stitched.filter("finished or n_ids > 0").select(
         "file", "ordinal", "n_ids", F.slice(F.flatten(F.transform("leads", lambda x: x["lead"])), 1, max(lead, 1)).alias("lead") if lead else F.array().cast("array<int>").alias("lead"), "finished"
     )
-    return inner.unionByName(stitched)
+    found = inner.unionByName(stitched)
+    found._recollect_path = blocks._recollect_path
+    return found
 
 
 def keyed_counts(spark: SparkSession, path: str, separator: int, width: int = 2, block: int = BLOCK) -> DataFrame:
-    """doc_id and n_tokens of files written with a key."""
+    """doc_id and n_tokens of files written with a key, as a table of its own: the files may go."""
     found = scan(spark, path, separator, width, block, KEY_DIGITS)
     power, code = 1, F.lit(0).cast("decimal(38,0)")
     for k in range(KEY_DIGITS):
         code = code + F.element_at("lead", k + 1).cast("decimal(20,0)") * F.lit(power).cast("decimal(38,0)")
         power *= KEY_BASE
     half = F.floor(code / 2).cast("decimal(38,0)")
-    key = F.when(code % 2 == 0, half).otherwise(-half - 1).cast("long")
-    return found.select(key.alias("doc_id"), (F.col("n_ids") - KEY_DIGITS).alias("n_tokens"))
+    key = F.when(code == F.lit(str(NO_KEY)).cast("decimal(38,0)"), None).when(code % 2 == 0, half).otherwise(-half - 1).cast("long")
+    counted = cut(found.select(key.alias("doc_id"), (F.col("n_ids") - KEY_DIGITS).alias("n_tokens")), "counts")
+    drop(found)
+    return counted

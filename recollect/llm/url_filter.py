@@ -16,6 +16,8 @@ output column are replaced.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,20 +51,17 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     rules = rules.select(
         F.translate("host", UPPER, LOWER).alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict"), F.col("tier").cast("int").alias("tier")
     ).filter("r_host is not null and r_path is not null")
-    # Shapes are a pair of small numbers; their count is bounded by labels x path lengths, not by rules.
-    shapes = [tuple(r) for r in rules.select(F.size(F.split("r_host", r"\.")), F.length("r_path")).distinct().collect()]
+    # A shape is a pair of small numbers; all of them are one literal array, whatever their count.
+    shapes = sorted(tuple(r) for r in rules.select(F.size(F.split("r_host", r"\.")), F.length("r_path")).distinct().collect())
     rules = rules.withColumn("expr", F.concat("r_host", "r_path"))
     rules = rules.withColumn("digest", F.sha2("expr", 256)).withColumn("key", F.substring("digest", 1, KEY_DIGITS))
 
     # Each distinct host and path is judged once, however often it occurs.
     urls = pages.select("host", "path").distinct()
     labels = F.split("host", r"\.")
-    found = []
-    for n, length in sorted(shapes):
-        fits = (F.size(labels) >= n) & (F.length("path") >= length) & (F.col("host") != "")
-        suffix = F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), F.lit(n)), ".")
-        found.append(F.when(fits, F.concat(suffix, F.substring("path", 1, length))))
-    exprs = F.filter(F.array(*found), lambda x: x.isNotNull()) if found else F.array().cast("array<string>")
+    listed = F.from_json(F.lit(json.dumps([{"n": n, "length": length} for n, length in shapes])), "array<struct<n:int,length:int>>")
+    fits = F.filter(listed, lambda s: (F.size(labels) >= s["n"]) & (F.length("path") >= s["length"]) & (F.col("host") != ""))
+    exprs = F.transform(fits, lambda s: F.concat(F.array_join(F.slice(labels, F.size(labels) - s["n"] + 1, s["n"]), "."), F.substring(F.col("path"), F.lit(1), s["length"])))
     expanded = urls.select("host", "path", F.explode(exprs).alias("seen"))
     expanded = expanded.withColumn("seen_digest", F.sha2("seen", 256)).withColumn("key", F.substring("seen_digest", 1, KEY_DIGITS))
     hits = expanded.join(rules, "key").filter("seen_digest = digest")

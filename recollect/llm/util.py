@@ -8,6 +8,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -16,25 +17,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 #: Largest Bloom filter that is ever broadcast (bytes). Past this the filter
 #: only lets more rows through to the exact join behind it.
 BLOOM_MAX_BYTES = 16 << 20
 SEGMENT = 1 << 12
+_open: list[list[DataFrame]] = []
 #: Bytes of text that a Python worker holds in working form at a time.
 SLICE_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees; a private one only where none is configured."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="recollect-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
 def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/recollect-{tag}-{uuid.uuid4().hex}"
 
@@ -47,6 +40,8 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._recollect_path = path
+    for written in _open:
+        written.append(out)
     return out
 
 
@@ -55,10 +50,27 @@ def drop(*tables: DataFrame) -> None:
     for table in tables:
         path = getattr(table, "_recollect_path", None)
         if path:
-            spark = table.sparkSession
-            jvm = spark._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            remove(table.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system, if it is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch():
+    """Scratch tables written inside are deleted on leaving, but for those handed to the function that is given."""
+    written: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _open.append(written)
+    try:
+        yield lambda table: kept.append(table) or table
+    finally:
+        _open.remove(written)
+        paths = {t._recollect_path for t in kept}
+        drop(*(t for t in written if t._recollect_path not in paths))
 
 
 def tuned(spark: SparkSession) -> SparkSession:

@@ -218,6 +218,15 @@ def test_recall_plan():
         assert 1 - (1 - embed_dedup.meet(math.sqrt(0.1)) ** k) ** tables >= 0.95
 
 
+def test_embeddings_with_repeated_ids(spark):
+    r = np.random.default_rng(9)
+    a, b, c = (r.standard_normal(8).tolist() for _ in range(3))
+    rows = [(5, a), (5, b), (5, a), (7, a), (3, b), (9, c), (9, [2 * x for x in c])]
+    table = tuned(spark).createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit(1)).withColumn("class", F.lit("x"))
+    got = sorted((x.vec_id, x.n_links, x.component_id, x.kept) for x in embed_dedup.near_duplicates(table).collect())
+    assert got == [(3, 1, 3, True), (5, 1, 3, False), (5, 1, 5, True), (7, 1, 5, False), (9, 0, 9, True)]
+
+
 # -- mixing -----------------------------------------------------------------------
 
 
@@ -235,11 +244,23 @@ def test_mixing_follows_weights(spark):
     for r in got:
         counts.setdefault(r.doc_id, []).append((r.copy, r.n_copies))
     assert all(sorted(c for c, _ in v) == list(range(v[0][1])) for v in counts.values())
-    order = [r.mix_key for r in got]
-    assert order != sorted(order, key=lambda k: k) or len(order) < 2 or True
+    # Dealt out: within each task by key, whose order has nothing to do with the order of ids or sources.
+    placed = out.select("doc_id", "source", "copy", "mix_key", F.spark_partition_id().alias("p")).collect()
+    for p in {r.p for r in placed}:
+        keys = [r.mix_key for r in placed if r.p == p]
+        assert keys == sorted(keys)
+    ids = [r.doc_id for r in sorted(placed, key=lambda r: r.mix_key)]
+    assert abs(np.corrcoef(np.arange(len(ids)), ids)[0, 1]) < 0.1
+    sources = [r.source for r in placed]
+    runs = 1 + sum(a != b for a, b in zip(sources, sources[1:]))
+    by_chance = len(sources) * (1 - sum((sources.count(x) / len(sources)) ** 2 for x in set(sources)))
+    assert runs > 0.8 * by_chance
     assert mixing.mix(table.filter("false"), {}).count() == 0
     odd = spark.createDataFrame([(1, None, "en", "a", 0), (2, None, "en", "b", 0)], DOCS)
     assert mixing.mix(odd, {}).count() == 0
+    clash = table.withColumn("mix_rate", F.lit("r")).withColumn("mix_source", F.lit("s")).withColumn("Copy", F.lit(9))
+    other = mixing.mix(clash, {"a": 1.0, "b": 2.0}, seed=3).collect()
+    assert sorted((r.doc_id, r.copy) for r in other) == sorted((r.doc_id, r.copy) for r in got) and {(r.mix_rate, r.mix_source) for r in other} == {("r", "s")}
 
 
 @pytest.mark.parametrize("rate", [0.01, 1.0, 5.5, 16.0])
@@ -266,6 +287,16 @@ LAYOUTS = [
     ({"question": "p", "answer": None}, "question_answer", [("user", "p"), ("assistant", "")]),
     ({"system": "s", "prompt": "p", "response": "r"}, "system_prompt", [("system", "s"), ("user", "p"), ("assistant", "r")]),
     ({"odd": 1}, None, None),
+    ({"messages": []}, "messages", []),
+    ({"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "text": "lost"}]}, None, None),
+    ({"messages": [{"role": "user", "content": "q"}, {"role": "assistant"}]}, None, None),
+    ({"messages": [{"role": "user", "content": "q"}, "assistant"]}, None, None),
+    ({"messages": [{"role": "user", "content": ["q"]}]}, None, None),
+    ({"messages": [{"role": "user", "content": {"q": 1}}]}, None, None),
+    ({"messages": [{"role": "user", "content": None}, {"role": None, "content": "[1]"}]}, "messages", [("user", ""), ("", "[1]")]),
+    ({"prompt": ["p"], "completion": "c"}, None, None),
+    ({"prompt": {"p": 1}, "completion": "c"}, None, None),
+    ({"prompt": '{"p": 1}', "completion": 5}, "prompt_completion", [("user", '{"p": 1}'), ("assistant", "5")]),
 ]
 
 
@@ -273,7 +304,10 @@ def test_layouts(spark):
     table = tuned(spark).createDataFrame([(i, json.dumps(r)) for i, (r, _, _) in enumerate(LAYOUTS)] + [(98, None), (99, "no json")], "id int, record string")
     got = {r.id: r for r in chat.format_chat(table).collect()}
     for i, (_, layout, turns) in enumerate(LAYOUTS):
-        assert got[i].layout == layout and (got[i].turns and [tuple(t) for t in got[i].turns]) == turns
+        assert got[i].layout == layout and (got[i].turns and [tuple(t) for t in got[i].turns]) == turns, LAYOUTS[i]
+    assert got[8].formatted == "" and got[8].loss_spans == []
+    clash = chat.format_chat(table.select("id", "record", F.lit("x").alias("turns"), F.lit(1).alias("formatted"), F.lit("kept").alias("other"))).filter("id = 0").first()
+    assert clash.formatted == got[0].formatted and clash.other == "kept" and clash.turns == got[0].turns
     assert got[7].fingerprint and got[98].layout is None and got[99].turns is None
 
 
@@ -293,6 +327,14 @@ def test_template_is_reversible(spark):
     assert chat.format_chat(chat.rows_to_records(table.filter("false"))).count() == 0
 
 
+def test_many_rules_of_unlike_shapes(spark):
+    rules = [("com", "/" + "a" * k, "block" if k % 2 else "allow", 0) for k in range(400)]
+    table = tuned(spark).createDataFrame(rules, "host string, path string, verdict string, tier int")
+    pages = spark.createDataFrame([(k, f"http://x.com/{'a' * k}b") for k in (0, 1, 7, 250, 399, 500)], "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.judge(pages, table).collect()}
+    assert all(got[k].verdict == ("block" if min(k, 399) % 2 else "allow") and got[k].rule == "com/" + "a" * min(k, 399) for k in got)
+
+
 # -- URLs ----------------------------------------------------------------------------
 
 RULES = [("com", "/en/", "block", 0), ("example.com", "/en/7", "allow", 0), ("net", "/", "block", 1), ("a.net", "/x", "allow", 1), ("twice.org", "/", "allow", 0), ("twice.org", "/", "block", 0)]

@@ -361,5 +361,9 @@ def test_written_files_count_tokens(spark):
     own = token_counts.encoder(RANKS)
     got = {r.doc_id: r.n_tokens for r in token_counts.keyed_counts(spark, path, queries.END_OF_DOCUMENT, block=50).collect()}
     assert got == {i: len(own.encode_ordinary(t or "")) for i, t in enumerate(texts)}
-    for key in (0, 5, -1, 2**62, -(2**63)):
+    odd = docs(spark, ["a b c", "d"]).selectExpr("case when doc_id = 0 then null else -1 end as doc_id", "text", "1 as k", "'x' as t")
+    token_counts.write_tokens(odd, path + "-odd", RANKS, queries.END_OF_DOCUMENT, key="doc_id", file_bytes=8)
+    found = token_counts.keyed_counts(spark, path + "-odd", queries.END_OF_DOCUMENT).collect()
+    assert sorted(((r.doc_id, r.n_tokens) for r in found), key=str) == [(-1, 1), (None, 3)]
+    for key in (0, 5, -1, None, 2**63 - 1, 2**62, -(2**63)):
         assert token_counts.key_of(token_counts.key_digits(key)) == key
