@@ -7,9 +7,16 @@
 5. SentencePiece: texts become token ids, decoded again as a check.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before
-kept; ``run`` writes and rereads each result. SQL cannot express the stages
-(a learned score, a merge agenda), so there is no ORACLE_SQL; tests hold the
-stages against brute force.
+kept; ``run`` writes and rereads each result and deletes what no later stage reads.
+SQL cannot express the stages (a learned score, a merge agenda), so there is no
+ORACLE_SQL; tests hold the stages against brute force.
+
+Defined results: null and empty texts are clean, have no near-duplicates and no
+secrets, count no characters (so that mixing keeps them at the rate of their source)
+and encode to nothing; repeated rows meet in stage 2, where one stays (rows without
+words all do); rows with a null doc_id are judged by their text; a null source is a
+source of its own; an empty table passes through every stage; columns other than
+those of documents are left out at each stage.
 """
 
 from __future__ import annotations
@@ -18,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.llm import mixing, ngram_join, pieces, queries, secret_scan, toxicity
-from recollect.llm.util import cut, tuned
+from recollect.llm.util import cut, drop, scratch, tuned
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ORACLE_SQL = None
@@ -65,5 +72,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents, each result written to the shared folder and reread."""
     docs = tuned(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        with scratch() as kept:
+            after = kept(cut(stage(spark, docs, sf_dir), name))
+        drop(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
