@@ -385,3 +385,28 @@ def test_pipeline_stages(spark, tmp_path):
     assert not any(secret_scan.find(x.text) for x in safe.values()) and safe[8].n_chars == len(safe[8].text) and safe[9].text == texts[9]
     out = C.run(spark, sf).collect()
     assert {x.doc_id for x in out} <= set(range(120)) - toxic - {7} and all(x.library_agrees for x in out)
+
+
+def test_pipeline_edges(spark, tmp_path):
+    import corpus_pipeline as C
+
+    sf = str(tmp_path)
+    words = [f"w{i}" for i in range(60)]
+    copy = " ".join(words)
+    rows = [(1, copy, "en", "a", 1), (1, copy, "en", "a", 1), (2, copy + " more", None, "b", 1), (None, copy, "en", None, 1), (3, None, "en", None, None), (4, "", "de", "b", 0), (None, "alone here", "en", "a", 1)]
+    table = tuned(spark).createDataFrame(rows, DOCS).withColumn("score", F.lit("clash")).withColumn("ids", F.lit(1))
+    table.write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = docs
+    for name, stage in C.STAGES[:3]:
+        kept = stage(spark, kept, sf)
+        assert tuple(kept.columns) == C.COLUMNS
+        assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(
+            map(str, [(r[0], r[1]) for r in rows] if name == "toxicity" else [(1, copy), (3, None), (4, ""), (None, "alone here")])
+        )
+    out = C.run(spark, sf).collect()
+    assert {r.doc_id for r in out} <= {1, 3, 4, None} and all(r.library_agrees for r in out)
+    spark.createDataFrame([], docs.schema).write.mode("overwrite").parquet(f"{sf}/none/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/none/labels.parquet")
+    assert C.run(spark, f"{sf}/none").count() == 0
