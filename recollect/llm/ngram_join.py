@@ -61,7 +61,7 @@ SPREAD = 1024
 #: Sizes of one block differ by less than this factor.
 BAND = 1.15
 #: Shingles gathered in a worker before they are sent on.
-GATHER = 600_000
+GATHER = 400_000
 #: Fragments of the global order in which overlaps are counted.
 FRAGMENTS = 4
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -281,10 +281,12 @@ def _meet(share):
     """Of the packed light shingles of a fragment: the pairs (u, v) of small groups that can link
     by sizes and places, each once; larger groups as members (token, u, n, place) with their leader."""
 
-    def columns(**named) -> pa.RecordBatch:
+    def columns(**named) -> Iterator[pa.RecordBatch]:
         n = len(next(iter(named.values())))
         kinds = {f.split()[0]: pa.int32() if f.endswith("int") else pa.int64() for f in _MET.split(", ")}
-        return pa.RecordBatch.from_arrays([pa.array(named[f], k) if f in named else pa.nulls(n, k) for f, k in kinds.items()], names=list(kinds))
+        for at in range(0, n, 10_000):
+            size = min(n - at, 10_000)
+            yield pa.RecordBatch.from_arrays([pa.array(named[f][at : at + size], k) if f in named else pa.nulls(size, k) for f, k in kinds.items()], names=list(kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in runs(batches):
@@ -314,12 +316,12 @@ def _meet(share):
                 order = np.lexsort((v, u))
                 u, v = u[order], v[order]
                 first = np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])][: len(u)]
-                yield columns(u=u[first], v=v[first])
+                yield from columns(u=u[first], v=v[first])
             for start, size in zip(at[n > SMALL].tolist(), n[n > SMALL].tolist()):
                 span = slice(start, start + size)
                 head = start + int(np.lexsort((classes[span], places[span]))[0])
                 same = {"size": size, "spread": 1 + size // SPREAD, "leader": classes[head], "leader_n": sizes[head], "leader_place": places[head]}
-                yield columns(u=classes[span], token=tokens[span].astype(np.int64), n=sizes[span], place=places[span], **{k: np.full(size, x) for k, x in same.items()})
+                yield from columns(u=classes[span], token=tokens[span].astype(np.int64), n=sizes[span], place=places[span], **{k: np.full(size, x) for k, x in same.items()})
         settle()
 
     return run
@@ -625,7 +627,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", share: tu
 
     marked = docs.withColumn(doubt, doubted(F.col(key).cast("long")))
     clear = marked.filter(~F.col(doubt)).select(*docs.columns)
-    rest = marked.filter(F.col(doubt)).drop(doubt)
+    rest = cut(marked.filter(F.col(doubt)).drop(doubt), "rest")  # read several times below
     listed = doubtful.select(F.col("doc_id").alias(id_), F.col("many").alias(many_))
     keyed = rest.filter(F.col(key).isNotNull()).join(listed, F.col(key).cast("long") == F.col(id_), "left")
     single = keyed.filter(F.col(id_).isNull()).select(*docs.columns)

@@ -25,7 +25,7 @@ BLOOM_MAX_BYTES = 16 << 20
 SEGMENT = 1 << 12
 _open: list[list[DataFrame]] = []
 #: Bytes of text that a Python worker holds in working form at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
@@ -74,11 +74,12 @@ def scratch():
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """Keep Arrow batches small, so that worker memory stays flat with long texts,
-    and give executors this package."""
+    """Keep Arrow and Parquet batches small, so that memory stays flat with long texts and
+    binary columns, and give executors this package."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
     return spark
 
 
