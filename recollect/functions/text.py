@@ -82,13 +82,16 @@ def render_context(texts: Column) -> Column:
 
 
 def render_input(prompt: Column, kind: Column, observation: Column, memory: Column) -> Column:
-    """The sections a model sees; absent ones are left out."""
+    """The sections a model sees; absent ones are left out, the task never is."""
 
     def section(head: Column, body: Column) -> Column:
-        return F.when(F.coalesce(body, F.lit("")) != "", F.concat(head, F.lit("\n"), body))
+        return F.when(F.coalesce(body, F.lit("")) != "", F.concat(head, F.lit(":\n"), body))
 
     return F.concat_ws(
-        "\n\n", section(F.lit("Task"), prompt), section(F.concat(F.lit("Observed "), F.replace(kind, F.lit("_"), F.lit(" "))), observation), section(F.lit("Retrieved personal memory"), memory)
+        "\n\n",
+        F.concat(F.lit("Task:\n"), F.coalesce(prompt, F.lit(""))),
+        section(F.concat(F.lit("Observed "), F.replace(kind, F.lit("_"), F.lit(" "))), observation),
+        section(F.lit("Retrieved personal memory"), memory),
     )
 
 
@@ -118,56 +121,79 @@ def lf_sha256(text: Column) -> Column:
     return F.sha2(F.replace(text, F.lit("\r\n"), F.lit("\n")), 256)
 
 
-# Singular collection names of slugs.
+# Collections that stand for others, and the page types of collections.
 SLUG_PREFIXES = {
-    "user": "people", "person": "people", "people": "people", "company": "companies", "companies": "companies", "note": "note", "notes": "note",
-    "meeting": "meeting", "meetings": "meeting", "doc": "doc", "docs": "doc", "project": "projects", "projects": "projects",
-}
+    "company": "companies",
+    "doc": "source",
+    "docs": "source",
+    "events": "concepts",
+    "fund": "deal",
+    "org": "companies",
+    "organizations": "companies",
+    "orgs": "companies",
+    "person": "people",
+    "processes": "concepts",
+    "tool": "concepts",
+    "tools": "concepts",
+    "user": "people",
+}
+SLUG_TYPES = {"companies": "company", "concepts": "concept", "deal": "deal", "entities": "concept", "people": "person", "source": "source"}
+
+
+def mapped(value: Column, table: dict[str, str]) -> Column:
+    """The table's value, or null."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), value)
 
 
 def canonical_slug(slug: Column, prefixes: dict[str, str] | None = None) -> Column:
     """Map the first path segment; slugs without a known one stay."""
-    table = F.create_map(*[F.lit(x) for pair in (prefixes or SLUG_PREFIXES).items() for x in pair])
     head = F.substring_index(slug, "/", 1)
     tail = F.substring(slug, F.length(head) + 1, F.length(slug))
-    return F.when(F.contains(slug, F.lit("/")), F.concat(F.coalesce(F.try_element_at(table, head), head), tail)).otherwise(slug)
+    return F.when(F.contains(slug, F.lit("/")), F.concat(F.coalesce(mapped(head, prefixes or SLUG_PREFIXES), head), tail)).otherwise(slug)
 
 
 def canonical_source_id(source_id: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(source_id, "^notes/", "note/"), "^meetings/", "meeting/")
 
 
-LINK_PATTERN = r"\[([^\]]*)\]\(([a-z_-]+)/([^)\s]+)\)"
+# Links to pages, and the line that lists attendees.
+LINK_PATTERN = r"\[([^\]]+)\]\(([a-z][a-z0-9_-]*/[a-z0-9][a-z0-9/-]*)\)"
+ATTENDEES_PATTERN = r"(?m)^(attendees\s*:\s*)(.+)$"
+USER_PATTERN = r"\buser/([a-z0-9][a-z0-9/-]*)"
 
 
 def markdown_links(text: Column) -> Column:
     """(label, slug) of every [label](collection/name) link."""
-    parts = [F.regexp_extract_all(text, F.lit(LINK_PATTERN), F.lit(i)) for i in (1, 2, 3)]
-    return F.transform(F.arrays_zip(*[p.alias(n) for p, n in zip(parts, "abc")]), lambda x: F.struct(x["a"].alias("label"), F.concat_ws("/", x["b"], x["c"]).alias("slug")))
+    parts = [F.regexp_extract_all(text, F.lit(LINK_PATTERN), F.lit(i)) for i in (1, 2)]
+    return F.transform(F.arrays_zip(parts[0].alias("a"), parts[1].alias("b")), lambda x: F.struct(x["a"].alias("label"), x["b"].alias("slug")))
 
 
 def rewrite_links(text: Column, prefixes: dict[str, str] | None = None) -> Column:
-    """Canonical collections inside Markdown links and on the attendees line."""
+    """Canonical collections inside Markdown links, and people on the attendees line."""
     out = text
     for old, new in (prefixes or SLUG_PREFIXES).items():
-        if old != new:
-            out = F.regexp_replace(out, rf"(\[[^\]]*\]\(){old}/", rf"$1{new}/")
-    lines = F.transform(F.split(out, "\n"), lambda line: F.when(line.startswith("attendees:"), F.regexp_replace(line, "user/", "people/")).otherwise(line))
-    return F.array_join(lines, "\n")
+        out = F.regexp_replace(out, rf"(\[[^\]]+\]\(){old}(/[a-z0-9][a-z0-9/-]*\))", rf"$1{new}$2")
+    found = F.regexp_extract_all(out, F.lit(ATTENDEES_PATTERN), F.lit(0))
+    return F.aggregate(F.array_distinct(found), out, lambda acc, line: F.replace(acc, line, F.regexp_replace(line, USER_PATTERN, "people/$1")))
 
 
 def upsert_frontmatter(text: Column, key: str, value: Column) -> Column:
     """Add ``key`` if absent; make a block if there is none; leave an unterminated one."""
     entry = F.concat(F.lit(f"{key}: "), value, F.lit("\n"))
-    closed = text.rlike(r"(?s)^---\n.*?\n---(\n|$)")
-    has = F.regexp_extract(text, r"(?s)^---\n(.*?)\n---(\n|$)", 1).rlike(rf"(?m)^{key}:")
+    closes = F.locate("\n---", text, 5)
+    has = F.substring(text, F.lit(5), closes - 5).rlike(rf"(?m)^{key}\s*:")
     added = F.concat(F.lit("---\n"), entry, F.substring(text, F.lit(5), F.length(text)))
-    return F.when(~text.startswith("---\n"), F.concat(F.lit("---\n"), entry, F.lit("---\n\n"), text)).when(~closed | has, text).otherwise(added)
+    return F.when(~text.startswith("---\n"), F.concat(F.lit("---\n"), entry, F.lit("---\n"), text)).when((closes == 0) | has, text).otherwise(added)
 
 
-def case_label(case_id: Column, variant: Column) -> Column:
-    base = F.initcap(F.replace(F.regexp_replace(case_id, "^case-", ""), F.lit("-"), F.lit(" ")))
-    return F.concat(base, F.lit(" ("), F.replace(variant, F.lit("-"), F.lit(" ")), F.lit(")"))
+def case_label(base_case_id: Column, variant: Column, prefixes: tuple[str, ...] = ()) -> Column:
+    """Subject and variant of a case; the first of ``prefixes`` that the id starts with is left out."""
+    base = base_case_id
+    for prefix in reversed(prefixes):
+        base = F.when(base_case_id.startswith(prefix), F.substring(base_case_id, F.lit(len(prefix) + 1), F.length(base_case_id))).otherwise(base)
+    subject = F.replace(F.initcap(F.replace(base, F.lit("-"), F.lit(" "))), F.lit("Ai "), F.lit("AI "))
+    shown = F.when(variant == "positive", "Cue present").when(variant == "memory-included", "Memory included").otherwise("Cue ablated")
+    return F.concat(subject, F.lit(" — "), shown)
 
 
 def coarse_correct(response: Column, output_choice: Column, memory_choice: Column, control: Column) -> Column:
@@ -184,12 +210,22 @@ def run_name(file: Column, prefix: str) -> Column:
     return F.struct(F.substring(stem, F.lit(1), F.length(stem) - F.length(mode) - 1).alias("flow"), mode.alias("mode"))
 
 
-def token_windows(text: Column, size: int) -> Column:
-    """Contiguous windows of at most ``size`` tokens; a short text is its own only window."""
-    words = tokens(text)
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)), F.lit(size))
-    cut = F.transform(starts, lambda s: F.array_join(F.slice(words, s, F.lit(size)), " "))
-    return F.when(F.size(words) <= size, F.array(text)).otherwise(cut)
+#: Tokens that keep every character: a run of other than white space with what stands before it.
+UNIT = "[ \\t\\n\\r]*[^ \\t\\n\\r]+|[ \\t\\n\\r]+"
+
+
+def token_windows(text: Column, size: int, unit: str = UNIT) -> Column:
+    """Contiguous windows of at most ``size`` units; joined they are the text again. A short text is its own only window."""
+    units = F.regexp_extract_all(text, F.lit(unit), F.lit(0))
+    starts = F.sequence(F.lit(1), F.greatest(F.size(units), F.lit(1)), F.lit(size))
+    cut = F.transform(starts, lambda s: F.array_join(F.slice(units, s, F.lit(size)), ""))
+    return F.when(F.size(units) <= size, F.array(text)).otherwise(cut)
+
+
+def usage_fields(usage: Column, fields: tuple[str, ...] = ("input_tokens", "output_tokens", "total_tokens")) -> Column:
+    """A map of the counts that are known."""
+    pairs = F.filter(F.array(*[F.struct(F.lit(f).alias("k"), usage[f].cast("bigint").alias("v")) for f in fields]), lambda p: p["v"].isNotNull())
+    return F.coalesce(F.map_from_entries(pairs), F.create_map().cast("map<string,bigint>"))
 
 
 def parse_vector(text: Column) -> Column:

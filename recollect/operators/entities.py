@@ -29,25 +29,45 @@ def surfaces(pages: DataFrame, chunks: DataFrame | None = None, phrases=capitali
     return named.groupBy("surface").agg(F.array_sort(F.collect_set("page_id")).alias("page_ids"))
 
 
+def _gram_rows(docs: DataFrame, words: str, sizes: list[int]) -> DataFrame:
+    """(doc, gram): the distinct hashed runs of as many words; nothing else of a text leaves the scan."""
+
+    def runs(size: int) -> Column:
+        return F.transform(F.col(words), lambda w, i: F.xxhash64(F.lit(size), w, *[F.get(F.col(words), i + k) for k in range(1, size)]))
+
+    grams = F.array_distinct(F.flatten(F.array(*[runs(m) for m in sizes])))
+    return docs.select("doc", F.explode(grams).alias("gram"))
+
+
+def _keyed(phrases: DataFrame, words: str) -> tuple[DataFrame, list[int]]:
+    """Phrases with the hash of their first words (up to GRAM), and how many words those are (at most GRAM numbers)."""
+    size = F.least(F.size(words), F.lit(GRAM))
+    gram = F.lit(None).cast("bigint")
+    for m in range(1, GRAM + 1):
+        gram = F.when(size == m, F.xxhash64(F.lit(m), *[F.get(F.col(words), F.lit(k)) for k in range(m)])).otherwise(gram)
+    sizes = [r[0] for r in phrases.select(size.alias("m")).filter("m > 0").distinct().collect()]
+    return phrases.withColumn("gram", gram).filter("gram is not null"), sorted(sizes)
+
+
+def _candidates(docs: DataFrame, words: str, phrases: DataFrame, phrase_words: str) -> DataFrame:
+    """Phrases with the documents (doc) that hold the run of words a phrase starts with: a superset
+    of what contains them, found by one equi-join of numbers."""
+    keyed, sizes = _keyed(phrases, phrase_words)
+    if not sizes:
+        return phrases.withColumn("doc", F.lit(None).cast(docs.schema["doc"].dataType)).limit(0)
+    return _gram_rows(docs, words, sizes).join(keyed, "gram").drop("gram")
+
+
 def phrase_matches(docs: DataFrame, phrases: DataFrame, key: str, text: str, phrase_key: str, phrase: str) -> DataFrame:
     """(doc, phrase_id) for every normalised phrase inside a normalised text.
 
-    Phrases are keyed by their first tokens (up to GRAM), texts by their runs of
-    as many; the pair is confirmed in place by padded containment. One
-    equi-join, one pass over the texts, no text is joined back.
+    Phrases are keyed by their first tokens (up to GRAM), texts by their runs of as many.
+    Only candidates meet the texts again, by id, and are confirmed by padded containment.
     """
-    wanted = phrases.select(F.col(phrase_key).alias("phrase_id"), T.normalize_surface(F.col(phrase)).alias("p")).filter("p <> ''")
-    words = F.split("p", " ")
-    size = F.least(F.size(words), F.lit(GRAM))
-    wanted = wanted.select("phrase_id", "p", size.alias("m"), F.array_join(F.slice(words, F.lit(1), size), " ").alias("gram"))
-    texts = docs.select(F.col(key).alias("doc"), T.normalize_surface(F.col(text)).alias("t")).filter("t <> ''").withColumn("w", F.split("t", " "))
-    starts = F.sequence(F.lit(1), F.size("w"))
-    grams = F.array_distinct(
-        F.flatten(F.array(*[F.transform(starts, _gram_of(m)) for m in range(1, GRAM + 1)]))
-    )
-    keyed = texts.select("doc", "t", F.explode(grams).alias("gram"))
-    hit = keyed.join(wanted, "gram").filter(F.contains(F.concat(F.lit(" "), F.col("t"), F.lit(" ")), F.concat(F.lit(" "), F.col("p"), F.lit(" "))))
-    return hit.select("doc", "phrase_id").distinct()
+    wanted = phrases.select(F.col(phrase_key).alias("phrase_id"), T.normalize_surface(F.col(phrase)).alias("p")).filter("p <> ''").withColumn("w", F.split("p", " "))
+    texts = docs.select(F.col(key).alias("doc"), T.normalize_surface(F.col(text)).alias("t")).filter("t <> ''")
+    near = _candidates(texts.select("doc", F.split("t", " ").alias("w")), "w", wanted, "w").select("doc", "phrase_id", "p").distinct()
+    return texts.join(near, "doc").filter(T.contains_phrase(F.col("t"), F.col("p"))).select("doc", "phrase_id").distinct()
 
 
 def substring_matches(docs: DataFrame, phrases: DataFrame, key: str, text: str, phrase_key: str, phrase: str) -> DataFrame:
@@ -60,45 +80,93 @@ def substring_matches(docs: DataFrame, phrases: DataFrame, key: str, text: str,
     """
     wanted = phrases.select(F.col(phrase_key).alias("phrase_id"), F.col(phrase).alias("phrase"), T.casefold(F.col(phrase)).alias("p")).filter("p <> ''")
     wanted = wanted.withColumn("words", T.tokens(F.col("phrase")))
-    size = F.least(F.size("words") - 2, F.lit(GRAM))
-    inner = wanted.filter(F.size("words") > 2).withColumn("gram", F.array_join(F.slice("words", F.lit(2), size), " ")).drop("words")
+    inner = wanted.filter(F.size("words") > 2).withColumn("w", F.slice("words", F.lit(2), F.size("words") - 2)).drop("words")
     short = wanted.filter(F.size("words") <= 2).drop("words")
     texts = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"), T.casefold(F.col(text)).alias("t"))
-    words = texts.withColumn("w", T.tokens(F.col("text")))
-    starts = F.sequence(F.lit(1), F.size("w"))
-    grams = F.array_distinct(F.flatten(F.array(*[F.transform(starts, _gram_of(m)) for m in range(1, GRAM + 1)])))
-    keyed = words.filter(F.size("w") > 0).select("doc", "text", "t", F.explode(grams).alias("gram"))
-    pairs = keyed.join(inner, "gram").drop("gram").unionByName(texts.crossJoin(F.broadcast(short)))
+    near = _candidates(texts.select("doc", T.tokens(F.col("text")).alias("w")), "w", inner, "w").select("doc", "phrase_id", "phrase", "p").distinct()
+    pairs = texts.join(near, "doc").unionByName(texts.crossJoin(short))
     return pairs.filter(F.contains("t", F.col("p"))).select("doc", "phrase_id", "text", "phrase")
 
 
-def _gram_of(size: int):
-    return lambda start: F.array_join(F.slice("w", start, F.lit(size)), " ")
-
-
 def gazetteer_seeds(observations: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """Raw matches with word boundaries on the case-folded text: (observation_id,
     surface, page_ids, span_start, span_end, seed_no), numbered by end, longer first,
-    each surface once."""
-    folded = observations.select("observation_id", F.col("text").alias("raw"), T.casefold(F.col("text")).alias("t"))
-    words = folded.withColumn("w", F.regexp_extract_all("t", F.lit("[a-z0-9]+"), F.lit(0)))
-    heads = words.select("observation_id", "raw", "t", F.explode(F.array_distinct("w")).alias("head"))
-    wanted = gazetteer.withColumn("head", F.substring_index("surface", " ", 1))
-    found = heads.join(wanted, "head").filter(F.contains("t", F.col("surface")))
+    each surface once.
+
+    Spans count characters of the case-folded text; where folding changes the length of
+    what stands before (as of the sharp s), what is shown of the raw text is shifted by as much.
+    """
+    folded = observations.select(F.col("observation_id").alias("doc"), F.col("text").alias("raw"), T.casefold(F.col("text")).alias("t"))
+    wanted = gazetteer.select("surface", "page_ids").withColumn("w", F.split("surface", " "))
+    near = _candidates(folded.select("doc", F.regexp_extract_all("t", F.lit("[a-z0-9]+"), F.lit(0)).alias("w")), "w", wanted, "w").select("doc", "surface", "page_ids").distinct()
+    found = folded.join(near, "doc").filter(F.contains("t", F.col("surface")))
     pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])"), F.col("surface"), F.lit(r"(?![\p{L}\p{N}])"))
     at = F.regexp_instr("t", pattern)
     found = found.withColumn("span_start", at - 1).filter("span_start >= 0").withColumn("span_end", F.col("span_start") + F.length("surface"))
-    order = W.partitionBy("observation_id").orderBy("span_end", F.length("surface").desc(), "surface")
     shown = F.substring(F.col("raw"), F.col("span_start") + 1, F.length("surface"))
-    return found.select("observation_id", shown.alias("shown"), "surface", "page_ids", "span_start", "span_end", F.row_number().over(order).alias("seed_no"))
+    found = found.select(F.col("doc").alias("observation_id"), shown.alias("shown"), "surface", "page_ids", "span_start", "span_end")
+    order = W.partitionBy("observation_id").orderBy("span_end", F.length("surface").desc(), "surface")
+    return found.withColumn("seed_no", F.row_number().over(order))
 
 
 def phrase_seeds(observations: DataFrame, taken: DataFrame, phrases=capitalised_runs) -> DataFrame:
-    """Phrase seeds whose surface no gazetteer seed of the observation has."""
+    """Phrase seeds whose surface no gazetteer seed of the observation has, numbered after its gazetteer seeds."""
     found = observations.select("observation_id", F.posexplode(phrases(F.col("text"))).alias("at", "shown")).withColumn("surface", T.normalize_surface(F.col("shown")))
     found = found.filter("surface <> ''").groupBy("observation_id", "surface").agg(F.min(F.struct("at", "shown")).alias("f"))
     found = found.join(taken.select("observation_id", "surface"), ["observation_id", "surface"], "left_anti")
-    return found.select("observation_id", "surface", F.col("f.shown").alias("shown"), F.row_number().over(W.partitionBy("observation_id").orderBy("f.at")).alias("seed_no"))
+    before = taken.groupBy("observation_id").agg(F.count("*").alias("before"))
+    place = F.row_number().over(W.partitionBy("observation_id").orderBy("f.at"))
+    return found.withColumn("place", place).join(before, "observation_id", "left").select("observation_id", "surface", F.col("f.shown").alias("shown"), (F.col("place") + F.coalesce("before", F.lit(0))).cast("int").alias("seed_no"))
+
+
+def all_seeds(observations: DataFrame, gazetteer: DataFrame, phrases=capitalised_runs) -> DataFrame:
+    """(observation_id, seed_no, seed_id, shown, surface, source, span_start, span_end, page_ids): gazetteer
+    seeds, then phrases that none of them has."""
+    named = gazetteer_seeds(observations, gazetteer).withColumn("source", F.lit("gazetteer"))
+    said = phrase_seeds(observations, named, phrases).select(
+        "observation_id", "seed_no", "shown", "surface", F.lit("noun_phrase").alias("source"), F.lit(None).cast("int").alias("span_start"), F.lit(None).cast("int").alias("span_end"),
+        F.array().cast(named.schema["page_ids"].dataType).alias("page_ids"),
+    )
+    both = named.select(*said.columns).unionByName(said)
+    return both.withColumn("seed_id", F.concat(F.lit("entity-"), F.col("seed_no").cast("string")))
+
+
+def entity_exact(observations: DataFrame, gazetteer: DataFrame, pages: DataFrame, chunks: DataFrame, k: int, phrases=capitalised_runs) -> DataFrame:
+    """Pages of every seed: (observation_id, seed_no, seed_id, shown, surface, source, page_id, rank, score, chunk_id, chunk_score).
+
+    A gazetteer seed brings all pages of its surface, in order of id; a phrase its ``k`` best by
+    exact score, then id. pages: page_id, title; chunks: page_id, chunk_id, chunk_index, text.
+    """
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    seeds = all_seeds(observations, gazetteer, phrases)
+    texts = pages.select("page_id", "title").join(bodies(chunks), "page_id", "left")
+    texts = texts.select("page_id", T.normalize_surface(F.col("title")).alias("title"), T.normalize_surface(F.col("body")).alias("body"))
+    columns = ["observation_id", "seed_no", "seed_id", "shown", "surface", "source", "page_id"]
+    known = seeds.filter("source = 'gazetteer'").withColumn("page_id", F.explode("page_ids")).select(*columns)
+    # Each distinct phrase meets the pages once, however many observations say it.
+    said = seeds.filter("source = 'noun_phrase'")
+    wanted = said.select("surface").distinct()
+    whole = texts.select("page_id", F.concat_ws(" ", "title", "body").alias("both"))
+    met = phrase_matches(whole, wanted, "page_id", "both", "surface", "surface").select(F.col("doc").alias("page_id"), F.col("phrase_id").alias("surface"))
+    found = said.join(met, "surface").select(*columns)
+    scored = known.unionByName(found).join(texts, "page_id").withColumn("score", exact_score(F.col("title"), F.col("body"), F.col("surface"))).drop("title", "body")
+    scored = scored.filter("source = 'gazetteer' or score > 0")
+    by = W.partitionBy("observation_id", "seed_no")
+    by_id = F.row_number().over(by.orderBy("page_id"))
+    by_score = F.row_number().over(by.orderBy(F.desc("score"), "page_id"))
+    ranked = scored.withColumn("rank", F.when(F.col("source") == "gazetteer", by_id).otherwise(by_score)).filter((F.col("source") == "gazetteer") | (F.col("rank") <= k))
+    wanted = ranked.select(F.struct("surface", "shown").alias("seed_id"), "page_id", "surface").distinct()
+    best = best_exact_chunk(wanted, chunks).select(F.col("seed_id.surface").alias("surface"), F.col("seed_id.shown").alias("shown"), "page_id", "chunk_id", "chunk_score")
+    return ranked.join(best, ["surface", "shown", "page_id"], "left").select(*columns, "rank", "score", "chunk_id", "chunk_score")
+
+
+def entity_trace(hits: DataFrame) -> DataFrame:
+    """One row an observation: its seeds with the pages each returned, in order."""
+    page = F.struct("rank", "page_id", F.col("chunk_id").alias("selected_chunk_id"), "score", "chunk_score", F.lit("exact").alias("match_type"))
+    seed = hits.groupBy("observation_id", "seed_no", "seed_id", "shown", "surface", "source").agg(F.array_sort(F.collect_list(page)).alias("returned_pages"))
+    row = F.struct("seed_no", "seed_id", "shown", F.col("surface").alias("normalized_surface"), "source", "returned_pages")
+    return seed.groupBy("observation_id").agg(F.array_sort(F.collect_list(row)).alias("per_seed_retrievals"))
 
 
 def exact_score(title: Column, body: Column, surface: Column) -> Column:

@@ -40,21 +40,26 @@ def query_terms(queries: DataFrame, key: str = "query_id", text: str = "query_te
 def bm25(queries: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """(query_id, doc, score) of every document that shares a term with the query.
 
-    Only terms some query asks for are posted; lengths stay on the posting rows,
-    so that texts are never shuffled.
+    One pass over the texts: of their terms only those that some query asks for leave the
+    scan, with one more row a document, whose term is empty, for the statistics. These rows
+    are dealt by document once; term counts, the join with the weighted query terms (planned
+    by its size) and the sums all keep that partitioning. Texts are never shuffled.
     """
-    toks = tokenized(docs, key, text)
     asked = query_terms(queries)
     terms = asked.select("term").distinct()
-    posted = toks.select("doc", F.size("terms").alias("len"), F.explode("terms").alias("term")).join(terms, "term", "left_semi")
-    posted = posted.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
-    df = document_frequency(posted)
-    stats = corpus_stats(toks)
-    rows = posted.join(asked.join(df, "term"), "term").crossJoin(F.broadcast(stats))  # stats is one row
+    every = terms.unionByName(terms.sparkSession.range(1).select(F.lit("").alias("term")))
+    toks = tokenized(docs, key, text)
+    words = toks.select("doc", F.size("terms").alias("len"), F.explode(F.concat(F.array(F.lit("")), "terms")).alias("term"))
+    dealt = words.join(every, "term", "left_semi").repartition("doc")
+    posted = dealt.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
+    df = posted.groupBy("term").agg(F.count("*").alias("df"), F.sum("len").alias("length"))
+    stats = df.filter("term = ''").select(F.col("df").alias("n_docs"), (F.col("length") / F.col("df")).alias("avg_len"))
+    weighted = asked.join(df.select("term", "df"), "term").join(stats)  # stats is one row
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = weighted.select("query_id", "term", (F.col("mult") * idf * (K1 + 1)).alias("weight"), "avg_len")
     ratio = F.when(F.col("avg_len") > 0, F.col("len") / F.col("avg_len")).otherwise(0.0)
-    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * ratio))
-    return rows.groupBy("query_id", "doc").agg(F.sum(F.col("mult") * idf * part).alias("score"))
+    part = F.col("weight") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * ratio))
+    return posted.join(weighted, "term").groupBy("query_id", "doc").agg(F.sum(part).alias("score"))
 
 
 def top_k(scores: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), score: str = "score", tie: str = "doc") -> DataFrame:

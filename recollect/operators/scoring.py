@@ -9,6 +9,21 @@ from ..functions import text as T
 from .dedupe import last_wins
 
 
+# What an evaluation says of (situation, success).
+REASONS = {
+    ("ceiling", True): "The gold memory was injected into the prompt and the response selected the expected memory-conditioned choice (ceiling reached).",
+    ("ceiling", False): "The gold memory was injected into the prompt, but the response did not select the expected memory-conditioned choice (ceiling missed).",
+    ("control", True): "The cue-ablated control kept the expected reference choice, so retrieval did not cause a false intervention.",
+    ("control", False): "The cue-ablated control should keep the reference choice, but the response selected something else or was ambiguous.",
+    ("bare", True): "The no-memory run selected the expected output-only choice.",
+    ("bare", False): "The no-memory run did not select the expected output-only choice.",
+    ("gold", True): "The response selected the expected memory-conditioned choice, and retrieval included the required gold memory.",
+    ("gold", False): "Retrieval included a required gold memory, but the response did not select the expected memory-conditioned choice.",
+    ("no gold", True): "The response selected the expected memory-conditioned choice, but retrieval did not include a required gold memory.",
+    ("no gold", False): "The response missed the expected memory-conditioned choice, and retrieval did not include a required gold memory.",
+}
+
+
 def score_rows(cases: DataFrame, predictions: DataFrame) -> DataFrame:
     """Cases left-joined with their last prediction; a missing one is an empty response.
 
@@ -85,7 +100,7 @@ def metrics(rows: DataFrame) -> DataFrame:
 
 def evaluate(cases: DataFrame) -> DataFrame:
     """Interactive evaluation: cases with condition, response_text and retrieved (array of
-    slugs) -> expected choice, success, retrieval status and a reason code."""
+    slugs) -> expected basis and choice, success, retrieval status, counts and a reason."""
     included, control = F.col("variant") == "memory-included", F.col("variant") == "cue-ablated"
     bare = F.col("condition") == "no_memory"
     expected = F.when(bare & ~included, F.col("output_choice")).otherwise(F.col("memory_choice"))
@@ -100,14 +115,17 @@ def evaluate(cases: DataFrame) -> DataFrame:
     status = (
         F.when(included & bare, "ceiling").when(bare, "not-run").when(control, "control").when(found == 0, "miss").when(found < F.col("gold_count"), "partial").otherwise("complete")
     )
-    hit = F.when(found > 0, "with gold retrieved").otherwise("without gold retrieved")
     reason = (
-        F.when(included, F.when(won, "ceiling reached").otherwise("ceiling missed"))
-        .when(control, F.when(won, "control kept").otherwise("control changed or ambiguous"))
-        .when(bare, F.when(won, "output choice selected").otherwise("output choice not selected"))
-        .otherwise(F.concat(F.when(won, "memory choice selected ").otherwise("memory choice missed "), hit))
+        F.when(included, F.when(won, REASONS["ceiling", True]).otherwise(REASONS["ceiling", False]))
+        .when(control, F.when(won, REASONS["control", True]).otherwise(REASONS["control", False]))
+        .when(bare, F.when(won, REASONS["bare", True]).otherwise(REASONS["bare", False]))
+        .when(found > 0, F.when(won, REASONS["gold", True]).otherwise(REASONS["gold", False]))
+        .otherwise(F.when(won, REASONS["no gold", True]).otherwise(REASONS["no gold", False]))
     )
-    return rows.select("case_id", "condition", "expected_choice", "matched_choices", won.alias("successful"), "retrieved_gold", status.alias("retrieval_status"), reason.alias("reason"))
+    return rows.select(
+        "case_id", "condition", F.when(bare & ~included, "output-only").otherwise("memory-conditioned").alias("expected_basis"), "expected_choice", "matched_choices", won.alias("successful"), "retrieved_gold",
+        found.alias("retrieved_gold_count"), F.col("gold_count").alias("gold_source_count"), status.alias("retrieval_status"), reason.alias("reason"),
+    )
 
 
 def grid(rows: DataFrame) -> DataFrame:

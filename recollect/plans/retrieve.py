@@ -5,27 +5,43 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import dedupe, dense, entities, fusion, lexical
 from ..operators.fusion import CANDIDATE_DEPTH, OFFICIAL_TOP_K
+from ..session import settled
 
 MODES = ("dense", "hybrid", "enhanced")
 FLOWS = ("tool_output_only", "model_output_only", "tool_then_model_output")
 
 
-def window_bests(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+def _sides(queries: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    window = F.col("window") if "window" in queries.columns else F.lit(0)
+    asked = queries.select("query_id", window.alias("window"), "query_vector").filter("query_vector is not null")
+    return asked, chunks.select(F.col("page_id").alias("page"), F.col("chunk_id").alias("chunk"), F.col("embedding").alias("vector"))
+
+
+def window_bests(queries: DataFrame, chunks: DataFrame, k: int | None = None) -> DataFrame:
     """(query_id, window, page, chunk, cosine): best chunk of each page for each query window.
 
     queries: query_id, query_vector and optionally window; chunks: chunk_id, page_id, embedding.
+    With ``k`` at least the k best pages of each window, and not all of the rest. A query without
+    a vector has none.
     """
-    window = F.col("window") if "window" in queries.columns else F.lit(0)
-    asked = queries.select(F.struct(F.col("query_id").alias("q"), window.alias("w")).alias("query_id"), "query_vector")
-    best = dense.best_chunk(dense.chunk_cosines(asked, chunks, "chunk_id", "page_id", "embedding"))
+    asked, vectors = _sides(queries, chunks)
+    asked = asked.select(F.struct(F.col("query_id").alias("q"), F.col("window").alias("w")).alias("query_id"), "query_vector")
+    best = dense.best_in_blocks(asked, vectors, k)
     return best.select(F.col("query_id.q").alias("query_id"), F.col("query_id.w").alias("window"), "page", "chunk", "cosine")
 
 
+def pooled_cosines(candidates: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, page, window, chunk, cosine): the best window and chunk of candidate pages only."""
+    asked, vectors = _sides(queries, chunks)
+    found = dense.cosines_of(candidates.select("query_id", "page").distinct(), asked, vectors)
+    return dense.pool_windows(dense.best_chunk(found, ("query_id", "window", "page")))
+
+
 def dense_channel(bests: DataFrame, name: str) -> DataFrame:
     """(query_id, channel, page, rank) with a channel for each window."""
     ranked = lexical.top_k(bests, CANDIDATE_DEPTH, ("query_id", "window"), "cosine", "page")
@@ -39,11 +55,9 @@ def lexical_channel(queries: DataFrame, docs: DataFrame, text: str, name: str) -
 
 def dense_mode(queries: DataFrame, chunks: DataFrame, k: int = OFFICIAL_TOP_K) -> DataFrame:
     """One window: the cosine, over at most CANDIDATE_DEPTH candidates. Several: raw fusion over windows."""
-    bests = window_bests(queries, chunks)
+    fused = settled(fusion.rrf(dense_channel(window_bests(queries, chunks, CANDIDATE_DEPTH), "dense")))
     windows = queries.groupBy("query_id").agg(F.count("*").alias("windows"))
-    pooled = dense.pool_windows(bests)
-    fused = fusion.rrf(dense_channel(bests, "dense"))
-    scored = fused.join(pooled, ["query_id", "page"]).join(windows, "query_id")
+    scored = fused.join(pooled_cosines(fused, queries, chunks), ["query_id", "page"]).join(windows, "query_id")
     scored = scored.select("query_id", "page", "chunk", F.when(F.col("windows") > 1, F.col("rrf")).otherwise(F.col("cosine")).alias("score"))
     return lexical.top_k(scored, k, tie="page")
 
@@ -54,20 +68,38 @@ def hybrid_channels(queries: DataFrame, docs: DataFrame, bests: DataFrame) -> Da
 
 
 def enhanced_channels(queries: DataFrame, docs: DataFrame, chunks: DataFrame, bests: DataFrame, expansions: DataFrame) -> DataFrame:
-    """expansions: (query_id, n from 1 to 3, query_text, query_vector), frozen. All
-    expansions of all queries run as one batch of each channel kind."""
-    text = queries.select("query_id", "query_text").distinct()
-    parts = [hybrid_channels(queries, docs, bests), lexical_channel(text, docs, "title", "title_bm25:original")]
-    keyed = expansions.select(F.struct(F.col("query_id").alias("q"), F.col("n").alias("n")).alias("query_id"), "query_text", "query_vector")
+    """expansions: (query_id, n from 1 to 3, query_text, query_vector), frozen. The original (n = 0)
+    and all expansions of all queries run as one batch for each kind of text."""
+
+    def key(n: Column) -> Column:
+        return F.struct(F.col("query_id").alias("q"), n.cast("int").alias("n")).alias("query_id")
+
+    keyed = expansions.select(key(F.col("n")), "query_text", "query_vector")
+    texts = queries.select("query_id", "query_text").distinct().select(key(F.lit(0)), "query_text").unionByName(keyed.select("query_id", "query_text"))
+    query, n = F.col("query_id.q").alias("query_id"), F.col("query_id.n")
+
+    def name(kind: str) -> Column:
+        return F.when(n == 0, f"{kind}:original").otherwise(F.concat(F.lit(f"{kind}:expansion_"), n.cast("string"))).alias("channel")
+
+    parts = [dense_channel(bests, "dense")]
     for kind in ("body", "title"):
-        ranked = lexical.bm25_rank(keyed, docs, CANDIDATE_DEPTH, "page", kind)
-        parts.append(ranked.select(F.col("query_id.q").alias("query_id"), F.concat(F.lit(f"{kind}_bm25:expansion_"), F.col("query_id.n").cast("string")).alias("channel"), F.col("doc").alias("page"), "rank"))
-    best = dense.best_chunk(dense.chunk_cosines(keyed, chunks, "chunk_id", "page_id", "embedding"))
+        ranked = lexical.bm25_rank(texts, docs, CANDIDATE_DEPTH, "page", kind)
+        parts.append(ranked.select(query, name(f"{kind}_bm25"), F.col("doc").alias("page"), "rank"))
+    best = dense.best_in_blocks(keyed.filter("query_vector is not null"), _sides(queries, chunks)[1], CANDIDATE_DEPTH)
     ranked = lexical.top_k(best, CANDIDATE_DEPTH, ("query_id",), "cosine", "page")
-    parts.append(ranked.select(F.col("query_id.q").alias("query_id"), F.concat(F.lit("dense:expansion_"), F.col("query_id.n").cast("string")).alias("channel"), "page", "rank"))
+    parts.append(ranked.select(query, name("dense"), "page", "rank"))
     return reduce(DataFrame.unionByName, parts)
 
 
+def blended(queries: DataFrame, docs: DataFrame, chunks: DataFrame, expansions: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(channels, cosines of their pages, blended scores) of the hybrid, with expansions of the
+    enhanced mode. At most CANDIDATE_DEPTH rows a channel of a query, so that they are kept and not computed again."""
+    bests = window_bests(queries, chunks, CANDIDATE_DEPTH)
+    channels = settled(hybrid_channels(queries, docs, bests) if expansions is None else enhanced_channels(queries, docs, chunks, bests, expansions))
+    pooled = settled(pooled_cosines(channels, queries, chunks))
+    return channels, pooled, fusion.blend(channels, pooled)
+
+
 def retrieve(queries: DataFrame, docs: DataFrame, chunks: DataFrame, links: DataFrame | None = None, mode: str = "dense", k: int = OFFICIAL_TOP_K, expansions: DataFrame | None = None) -> DataFrame:
     """Ranked pages for every query: query_id, page, chunk, score, rank (and, beyond dense, the parts of the score).
 
@@ -80,10 +112,7 @@ def retrieve(queries: DataFrame, docs: DataFrame, chunks: DataFrame, links: Data
         raise ValueError("expansions go with the enhanced mode, and only with it")
     if mode == "dense":
         return dense_mode(queries, chunks, k)
-    bests = window_bests(queries, chunks)
-    pooled = dense.pool_windows(bests)
-    channels = hybrid_channels(queries, docs, bests) if mode == "hybrid" else enhanced_channels(queries, docs, chunks, bests, expansions)
-    scored = fusion.blend(channels, pooled)
+    channels, pooled, scored = blended(queries, docs, chunks, expansions)
     if mode == "enhanced":
         scored = fusion.graph_boost(scored, links)
     else:
@@ -161,11 +190,87 @@ def naive_output_rag(cases: DataFrame, retriever, flow: str = "tool_output_only"
 
 
 @register("all_entity_output_rag")
-def all_entity_output_rag(cases: DataFrame, retriever=None, gazetteer: DataFrame | None = None, **_) -> DataFrame:
-    """Every gazetteer surface in the observation admits all of its pages."""
-    if gazetteer is None:
-        raise ValueError("all_entity_output_rag needs a gazetteer")
-    seeds = entities.gazetteer_seeds(cases.select(F.col("case_id").alias("observation_id"), F.col("observation").alias("text")), gazetteer)
-    hits = seeds.select(F.col("observation_id").alias("case_id"), F.col("seed_no").alias("seed_id"), F.posexplode("page_ids").alias("at", "page_id"))
-    hits = hits.select("case_id", "seed_id", "page_id", (F.col("at") + 1).alias("rank"), F.lit(1.0).alias("score"))
+def all_entity_output_rag(cases: DataFrame, retriever=None, gazetteer: DataFrame | None = None, pages: DataFrame | None = None, chunks: DataFrame | None = None, k: int = OFFICIAL_TOP_K, **_) -> DataFrame:
+    """Every gazetteer surface and phrase of the observation admits its pages, each page once:
+    its best hit by rank, then exact score; numbered by rank, score and id."""
+    if gazetteer is None or pages is None or chunks is None:
+        raise ValueError("all_entity_output_rag needs a gazetteer, pages and chunks")
+    hits = entities.entity_exact(cases.select(F.col("case_id").alias("observation_id"), F.col("observation").alias("text")), gazetteer, pages, chunks, k)
+    hits = hits.select(F.col("observation_id").alias("case_id"), F.col("seed_no").alias("seed_id"), "page_id", "rank", "score")
     return dedupe.best_hits(hits).select("case_id", F.col("page_id").alias("page"), F.col("new_rank").alias("rank"))
+
+
+# -- hits with what a reader sees ----------------------------------------------
+
+#: Parts of a score that differ between runs of a model by its last digits; a kept trace leaves them out.
+NOT_REPRODUCIBLE = ("original_query_cosine", "pre_graph_score", "final_score")
+
+
+def hits_with_pages(hits: DataFrame, pages: DataFrame, chunks: DataFrame, channels: DataFrame | None = None) -> DataFrame:
+    """Ranked hits with page metadata, chunk text and diagnostics.
+
+    hits: query_id, page, chunk, score, rank and what the mode adds; pages: page_id, source_id, slug,
+    title, perturbations; chunks: chunk_id, text; channels: (query_id, channel, page, rank).
+    """
+    named = hits.join(pages.withColumnRenamed("page_id", "page"), "page")
+    named = named.join(chunks.select(F.col("chunk_id").alias("chunk"), "text"), "chunk", "left")
+    if channels is None:
+        named = named.withColumn("ranks", F.lit(None).cast("map<string,int>"))
+    else:
+        named = named.join(fusion.channel_ranks(channels), ["query_id", "page"], "left")
+
+    def part(name: str, otherwise: Column) -> Column:
+        return F.col(name) if name in hits.columns else otherwise
+
+    nothing = F.lit(None).cast("double")
+    diagnostics = F.struct(
+        F.coalesce("ranks", F.create_map().cast("map<string,int>")).alias("channel_ranks"),
+        part("rrf", nothing).alias("raw_rrf"),
+        part("normalized_rrf", nothing).alias("normalized_rrf"),
+        part("cosine", nothing).alias("original_query_cosine"),
+        part("pre_graph", F.col("score")).alias("pre_graph_score"),
+        part("inbound", F.lit(0)).cast("bigint").alias("graph_inbound_count"),
+        part("multiplier", F.lit(1.0)).alias("graph_multiplier"),
+        F.col("score").alias("final_score"),
+    )
+    return named.select("query_id", F.col("page").alias("page_id"), "source_id", "slug", "title", F.col("chunk").alias("chunk_id"), "text", "score", "rank", "perturbations", diagnostics.alias("diagnostics"))
+
+
+def traced(hits: DataFrame) -> DataFrame:
+    """One row a query: the returned pages in order, without diagnostics that are not reproducible."""
+    page = F.struct(
+        F.col("rank").alias("final_rank"), "page_id", "source_id", "slug", F.col("chunk_id").alias("selected_chunk_id"), "perturbations", F.col("diagnostics").dropFields(*NOT_REPRODUCIBLE).alias("diagnostics")
+    )
+    in_order = F.array_sort(F.collect_list(page), lambda a, b: a["final_rank"] - b["final_rank"])
+    return hits.groupBy("query_id").agg(in_order.alias("returned_pages"))
+
+
+def check_arguments(condition: str, mode: str | None = None, index: str | None = None, k: int | None = None, expansions: str | None = None, policy: str | None = None, flow: str | None = None, responses: str | None = None, response_policy: str | None = None) -> None:
+    """Which arguments go with which condition; ValueError names those that do not."""
+    if response_policy and not responses:
+        raise ValueError("a response policy needs a response cache")
+    given = {"mode": mode, "index": index, "k": k, "expansions": expansions, "expansion policy": policy, "flow": flow}
+    refused = {"no_memory": set(given), "all_entity_output_rag": {"mode", "expansions", "expansion policy", "flow"}}.get(condition, set() if condition == "naive_output_rag" else {"flow"})
+    wrong = [name for name, value in given.items() if value and name in refused]
+    if wrong:
+        raise ValueError(f"{condition} takes no {', '.join(wrong)}")
+    needed = {"no_memory": [], "all_entity_output_rag": ["index"], "naive_output_rag": ["flow", "mode", "index"]}.get(condition, ["mode", "index"])
+    missing = [name for name in needed if not given[name]]
+    if missing:
+        raise ValueError(f"{condition} needs {', '.join(missing)}")
+    if mode == "enhanced" and not expansions:
+        raise ValueError("the enhanced mode needs expansions")
+    if mode != "enhanced" and (expansions or policy):
+        raise ValueError("expansions go with the enhanced mode, and only with it")
+
+
+def max_merge(hits: DataFrame, k: int) -> DataFrame:
+    """hits: (query_id, window, source_id, score). The best score of each source over a query's windows, ranked."""
+    best = hits.groupBy("query_id", "source_id").agg(F.max("score").alias("score"))
+    return lexical.top_k(best, k, tie="source_id")
+
+
+def text_windows(text: Column, longest: int = 8000, step: int = 6000) -> Column:
+    """Texts of more than ``longest`` characters cut every ``step``; others stay whole."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(step))
+    return F.when(F.length(text) > longest, F.transform(starts, lambda s: F.substring(text, s, F.lit(step)))).otherwise(F.array(text))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
+from .functions import tokenizers
 from .operators import caches, dedupe, dense, entities, fusion, lexical, scoring, validate
 from .plans import retrieve as R
 from .session import shared_dir
@@ -190,18 +191,24 @@ def dense_windowed_rrf(spark, sf):
     return R.retrieve(_windows(spark, sf), None, _vectors(spark, sf), mode="dense").select("query_id", "page", F.round("score", 6).alias("score"), "rank")
 
 
-@query("SELECT vec_id, 0.0 AS cosine FROM embeddings")
+@query(
+    """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN list_transform(embedding, lambda x: x * 0) ELSE embedding END AS e FROM embeddings),
+q AS (SELECT e AS first FROM v WHERE vec_id = 1)
+SELECT vec_id, round(coalesce(CASE WHEN vec_id % 7 <> 0 THEN list_cosine_similarity(e::DOUBLE[], first::DOUBLE[]) END, 0), 6) AS cosine FROM v, q"""
+)
 def zero_norm_cosine(spark, sf):
-    zero = F.transform("embedding", lambda x: x * 0)
-    return table(spark, sf, "embeddings").select("vec_id", dense.cosine(F.col("embedding"), zero).alias("cosine"))
+    """Every seventh vector is without length and has cosine 0."""
+    vectors = table(spark, sf, "embeddings").select("vec_id", F.when(F.col("vec_id") % 7 == 0, F.transform("embedding", lambda x: x * 0)).otherwise(F.col("embedding")).alias("e"))
+    first = vectors.filter("vec_id = 1").select(F.col("e").alias("first"))  # one row
+    return vectors.join(F.broadcast(first)).select("vec_id", F.round(dense.cosine(F.col("e"), F.col("first")), 6).alias("cosine"))
 
 
 # -- fusion --------------------------------------------------------------------------
 
 
 def _corpus(spark, sf):
-    """Documents that have a vector: pages of one chunk."""
-    rows = table(spark, sf, "documents").join(table(spark, sf, "embeddings"), F.col("doc_id") == F.col("vec_id"))
+    """All documents, with the vector of those that have one: pages of at most one chunk."""
+    rows = table(spark, sf, "documents").join(table(spark, sf, "embeddings"), F.col("doc_id") == F.col("vec_id"), "left")
     return rows.select(F.col("doc_id").alias("page"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("body"), "embedding")
 
 
@@ -223,14 +230,14 @@ def _links(spark, sf):
 
 
 def _chunks(spark, sf):
-    return _corpus(spark, sf).select(F.col("page").alias("chunk_id"), F.col("page").alias("page_id"), "embedding")
+    return _corpus(spark, sf).filter("embedding is not null").select(F.col("page").alias("chunk_id"), F.col("page").alias("page_id"), "embedding")
 
 
-CORPUS = """corpus AS (SELECT doc_id AS doc, split_part(text, chr(10), 1) AS title, text AS body, embedding FROM documents JOIN embeddings ON doc_id = vec_id),
+CORPUS = """corpus AS (SELECT doc_id AS doc, split_part(text, chr(10), 1) AS title, text AS body, embedding FROM documents LEFT JOIN embeddings ON doc_id = vec_id),
 qs AS (SELECT doc AS query_id, title AS query_text, embedding AS v FROM corpus WHERE doc % 100 = 0),
 ex AS (SELECT (doc - doc % 100) * 10 + doc % 100 AS query_id, title AS query_text, embedding AS v FROM corpus WHERE doc % 100 BETWEEN 1 AND 3),
-cos AS (SELECT query_id, doc, coalesce(list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]), 0) AS cosine FROM corpus, qs),
-xcos AS (SELECT query_id, doc, coalesce(list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]), 0) AS cosine FROM corpus, ex)"""
+cos AS (SELECT query_id, doc, coalesce(list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]), 0) AS cosine FROM corpus, qs WHERE embedding IS NOT NULL AND v IS NOT NULL),
+xcos AS (SELECT query_id, doc, coalesce(list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]), 0) AS cosine FROM corpus, ex WHERE embedding IS NOT NULL AND v IS NOT NULL)"""
 FALLBACK = "first20 AS (SELECT doc, row_number() OVER (ORDER BY doc) AS rank FROM corpus QUALIFY rank <= 20)"
 
 
@@ -250,8 +257,8 @@ enhanced AS (SELECT * FROM hybrid UNION ALL {lexical_sql("ht", "qs", "title_bm25
 
 def blend_sql(channels: str) -> str:
     return f"""fused AS (SELECT query_id, page, SUM(1.0 / (60 + rank)) AS rrf FROM {channels} GROUP BY ALL),
-blended AS (SELECT f.query_id, page, rrf, rrf / MAX(rrf) OVER (PARTITION BY f.query_id) AS normalized_rrf, cosine,
-  0.7 * rrf / MAX(rrf) OVER (PARTITION BY f.query_id) + 0.3 * cosine AS pre_graph FROM fused f JOIN cos c ON f.query_id = c.query_id AND f.page = c.doc)"""
+blended AS (SELECT f.query_id, page, rrf, rrf / MAX(rrf) OVER (PARTITION BY f.query_id) AS normalized_rrf, coalesce(cosine, 0) AS cosine,
+  0.7 * rrf / MAX(rrf) OVER (PARTITION BY f.query_id) + 0.3 * coalesce(cosine, 0) AS pre_graph FROM fused f LEFT JOIN cos c ON f.query_id = c.query_id AND f.page = c.doc)"""
 
 
 GRAPH = f"""pool AS (SELECT query_id, page FROM {ranked("blended", 20, "pre_graph", "page")}),
@@ -264,7 +271,7 @@ boosted AS (SELECT b.*, coalesce(inbound, 0) AS inbound, CASE WHEN coalesce(inbo
 @query(f"WITH {HYBRID} SELECT query_id, page, round(SUM(1.0 / (60 + rank)), 6) AS rrf FROM hybrid GROUP BY ALL")
 def rrf_fusion(spark, sf):
     q, c = _text_queries(spark, sf), _chunks(spark, sf)
-    return fusion.rrf(R.hybrid_channels(q, _corpus(spark, sf), R.window_bests(q, c))).select("query_id", "page", F.round("rrf", 6).alias("rrf"))
+    return fusion.rrf(R.hybrid_channels(q, _corpus(spark, sf), R.window_bests(q, c, fusion.CANDIDATE_DEPTH))).select("query_id", "page", F.round("rrf", 6).alias("rrf"))
 
 
 @query(f"WITH {HYBRID}, {blend_sql('hybrid')} SELECT query_id, page, round(pre_graph, 6) AS score, rank FROM {ranked('blended', 5, 'pre_graph', 'page')}")
@@ -281,8 +288,7 @@ def enhanced_topk(spark, sf):
 
 def _blended(spark, sf):
     q = _text_queries(spark, sf)
-    bests = R.window_bests(q, _chunks(spark, sf))
-    return fusion.blend(R.hybrid_channels(q, _corpus(spark, sf), bests), bests)
+    return R.blended(q, _corpus(spark, sf), _chunks(spark, sf))[2]
 
 
 @query(f"WITH {HYBRID}, {blend_sql('hybrid')}, {GRAPH} SELECT query_id, page, inbound FROM inbound")
@@ -299,7 +305,7 @@ def graph_boost(spark, sf):
 @query(f"WITH {ENHANCED} SELECT query_id, page, string_agg(channel || '=' || rank, ',' ORDER BY channel) AS ranks FROM enhanced GROUP BY query_id, page")
 def channel_rank_map(spark, sf):
     q, c = _text_queries(spark, sf), _chunks(spark, sf)
-    channels = R.enhanced_channels(q, _corpus(spark, sf), c, R.window_bests(q, c), _expansions(spark, sf))
+    channels = R.enhanced_channels(q, _corpus(spark, sf), c, R.window_bests(q, c, fusion.CANDIDATE_DEPTH), _expansions(spark, sf))
     entries = F.array_sort(F.map_entries("ranks"))
     return fusion.channel_ranks(channels).select("query_id", "page", F.array_join(F.transform(entries, lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("ranks"))
 
@@ -312,7 +318,7 @@ SELECT query_id, page, round(SUM(1.0 / (60 + rank)), 6) AS score, COUNT(*) AS se
 )
 def convergence_threshold(spark, sf):
     q, c = _text_queries(spark, sf), _chunks(spark, sf)
-    channels = R.hybrid_channels(q, _corpus(spark, sf), R.window_bests(q, c)).withColumnRenamed("channel", "seed")
+    channels = R.hybrid_channels(q, _corpus(spark, sf), R.window_bests(q, c, fusion.CANDIDATE_DEPTH)).withColumnRenamed("channel", "seed")
     return R.convergence(channels, _links(spark, sf), 0.016).select("query_id", "page", F.round("score", 6).alias("score"), "seeds")
 
 
@@ -403,14 +409,32 @@ def entity_dedupe(spark, sf):
 
 
 @query(
-    f"""WITH w AS (SELECT doc_id, text, {toks("text")} AS w FROM documents),
+    r"""WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+') AS w FROM documents),
 s AS (SELECT doc_id, text, w, unnest(range(0, greatest(len(w), 1), 128)) AS pos FROM w)
-SELECT doc_id, pos // 128 AS n, CASE WHEN len(w) <= 128 THEN text ELSE array_to_string(list_slice(w, pos + 1, pos + 128), ' ') END AS "window" FROM s"""
+SELECT doc_id, pos // 128 AS n, CASE WHEN len(w) <= 128 THEN text ELSE array_to_string(list_slice(w, pos + 1, pos + 128), '') END AS "window" FROM s"""
 )
 def token_windows(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.posexplode(T.token_windows(F.col("text"), 128)).alias("n", "window")).withColumn("n", F.col("n").cast("long"))
 
 
+def vocabulary() -> tuple[str, str]:
+    """Rank file and pattern of an installed public vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@query()
+def bpe_token_counts(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", tokenizers.counter(*vocabulary())(F.col("text")).alias("n_tokens"))
+
+
+@query()
+def bpe_token_windows(spark, sf):
+    cut = tokenizers.windower(*vocabulary(), 512)
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(cut(F.col("text"))).alias("n", "window"))
+
+
 # -- choices and scoring -------------------------------------------------------------------
 
 
@@ -555,7 +579,7 @@ def memory_context_render(spark, sf):
     return table(spark, sf, "conversations").groupBy("conv_id").agg(texts.alias("texts")).select("conv_id", T.render_context(F.col("texts")).alias("context"))
 
 
-@query("SELECT conv_id, turn, 'Task' || chr(10) || 'Choose exactly one.' || CASE WHEN text <> '' THEN chr(10) || chr(10) || 'Observed tool result' || chr(10) || text ELSE '' END AS model_input FROM conversations")
+@query("SELECT conv_id, turn, 'Task:' || chr(10) || 'Choose exactly one.' || CASE WHEN text <> '' THEN chr(10) || chr(10) || 'Observed tool result:' || chr(10) || text ELSE '' END AS model_input FROM conversations")
 def model_input_render(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", T.render_input(F.lit("Choose exactly one."), F.lit("tool_result"), F.col("text"), F.lit(None).cast("string")).alias("model_input"))
 
@@ -626,10 +650,19 @@ def replacement_fold(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.fold_replacements(F.col("text"), edits).alias("folded"))
 
 
-@query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'people/' WHEN 1 THEN 'companies/' ELSE 'other/' END || c_name AS slug FROM customer")
+PREFIXES = sorted({*T.SLUG_PREFIXES, *T.SLUG_TYPES, "notes", "other"})
+_PICK = f"[{', '.join(repr(p) for p in PREFIXES)}][c_custkey % {len(PREFIXES)} + 1]"
+
+
+def _sql_case(x: str, mapping: dict[str, str], otherwise: str) -> str:
+    return f"CASE {x} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in mapping.items()) + f" ELSE {otherwise} END"
+
+
+@query(f"SELECT c_custkey, {_sql_case(_PICK, T.SLUG_PREFIXES, _PICK)} || '/' || c_name || '/x' AS slug FROM customer")
 def slug_canonicalize(spark, sf):
-    raw = F.concat(F.when(F.col("c_custkey") % 3 == 0, "user/").when(F.col("c_custkey") % 3 == 1, "company/").otherwise("other/"), "c_name")
-    return table(spark, sf, "customer").select("c_custkey", T.canonical_slug(raw).alias("slug"))
+    """Every prefix of the table, the collections that stay, and unknown ones."""
+    prefix = F.element_at(F.array(*[F.lit(p) for p in PREFIXES]), (F.col("c_custkey") % len(PREFIXES) + 1).cast("int"))
+    return table(spark, sf, "customer").select("c_custkey", T.canonical_slug(F.concat(prefix, F.lit("/"), "c_name", F.lit("/x"))).alias("slug"))
 
 
 @query("SELECT c_custkey, 'company/' || c_nationkey AS slug, c_name AS label FROM customer UNION ALL SELECT c_custkey, 'people/' || c_custkey, c_name FROM customer")
@@ -660,3 +693,6 @@ def event_stream_admission(spark, sf):
     path = f"{shared_dir(spark)}/recollect-stream-{uuid.uuid4().hex}"
     admission.run_available(admission.windowed_counts(stream), f"{path}/out", f"{path}/state")
     return spark.read.parquet(f"{path}/out").select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("value", 4).alias("value"))
+
+
+from . import composite_queries, source_queries  # noqa: E402, F401  register their queries

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "recollect", master: str | None = None, **conf: str) -> SparkSession:
@@ -35,3 +35,10 @@ def shared_dir(spark: SparkSession) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="recollect-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
+
+
+def settled(table: DataFrame) -> DataFrame:
+    """A small intermediate table that a plan reads several times, computed once and
+    kept in the shared folder: its lineage ends in files that survive executors."""
+    shared_dir(table.sparkSession)
+    return table.checkpoint(eager=True)

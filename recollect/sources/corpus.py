@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,15 +51,68 @@ def calendar_events(calendars: DataFrame, text: str = "text") -> DataFrame:
 
 
 def page_markdown(fields: dict[str, Column], body: Column) -> Column:
-    """Frontmatter with JSON values, then the stripped body."""
+    """Frontmatter with JSON values, then the stripped body. Strings are encoded; arrays and booleans too."""
     from ..operators.caches import json_string
 
-    head = [F.concat(F.lit(f"{name}: "), json_string(value, ascii_only=False)) for name, value in fields.items()]
-    return F.concat_ws("\n", F.lit("---"), *head, F.lit("---"), F.lit(""), F.concat(F.trim(body), F.lit("\n")))
+    def encoded(value: Column) -> Column:
+        plain = F.typeof(value) == "string"
+        other = F.regexp_replace(F.to_json(F.struct(value.alias("v"))), r'^\{"v":(.*)\}$', "$1")
+        return F.when(plain, json_string(value.cast("string"), ascii_only=False)).otherwise(F.regexp_replace(other, '","', '", "'))
 
+    head = [F.concat(F.lit(f"{name}: "), encoded(value)) for name, value in fields.items()]
+    return F.concat_ws("\n", F.lit("---"), *head, F.lit("---"), F.regexp_replace(body, r"(?U)^\s+|\s+$", ""), F.lit(""))
 
-def entity_stubs(pages: DataFrame) -> DataFrame:
-    """Link targets without a page: slug, title (the longest label, then case-folded order) and all labels."""
+
+def entity_labels(pages: DataFrame) -> DataFrame:
+    """(slug, title, labels) of all link targets: the longest label, then case-folded order, is the title."""
     links = pages.select(F.explode(T.markdown_links(F.col("text"))).alias("l")).select(T.canonical_slug(F.col("l.slug")).alias("slug"), F.trim("l.label").alias("label"))
-    lost = links.join(pages.select("slug").distinct(), "slug", "left_anti")
-    return lost.groupBy("slug").agg(F.min(F.struct(-F.length("label"), T.casefold(F.col("label")), "label"))["label"].alias("title"), F.array_sort(F.collect_set("label")).alias("labels"))
+    by_case = F.array_sort(F.collect_set(F.struct(T.casefold(F.col("label")).alias("f"), "label")))
+    return links.groupBy("slug").agg(F.min(F.struct(-F.length("label"), T.casefold(F.col("label")), "label"))["label"].alias("title"), F.transform(by_case, lambda x: x["label"]).alias("labels"))
+
+
+def entity_stubs(pages: DataFrame) -> DataFrame:
+    """Link targets without a page: slug, title and all labels."""
+    return entity_labels(pages.select("slug", "text")).join(pages.select("slug").distinct(), "slug", "left_anti")
+
+
+def stub_pages(labels: DataFrame, version: str, note: str) -> DataFrame:
+    """(slug, text) of generated entity pages; collections without a page type have none."""
+    typed = labels.withColumn("type", T.mapped(F.substring_index("slug", "/", 1), T.SLUG_TYPES)).filter("type is not null")
+    tail = F.substring(F.col("slug"), F.instr("slug", "/") + 1, F.length("slug"))
+    fields = {"id": tail, "type": F.col("type"), "source": F.lit(version), "generated_stub": F.lit(True), "aliases": F.col("labels")}
+    return typed.select("slug", page_markdown(fields, F.concat(F.lit("# "), "title", F.lit("\n\n"), F.lit(note))).alias("text"))
+
+
+#: Folders of Markdown pages, the collection of their slugs, and their page type.
+FOLDERS = {"doc": ("doc", "source"), "meetings": ("meeting", "meeting"), "notes": ("note", "note")}
+
+
+def normalized_pages(files: DataFrame, marks: DataFrame, version: str) -> DataFrame:
+    """files: (folder, name without suffix, text). (slug, text) with provenance, perturbations, type,
+    meeting titles, canonical links and attendees."""
+    collections = {k: v[0] for k, v in FOLDERS.items()}
+    types = {k: v[1] for k, v in FOLDERS.items()}
+    rows = files.withColumn("slug", F.concat(T.mapped(F.col("folder"), collections), F.lit("/"), "name")).filter("slug is not null")
+    rows = rows.join(marks, "slug", "left")
+    listed = F.regexp_replace(F.to_json("perturbations"), '","', '", "')
+    text = T.upsert_frontmatter(F.col("text"), "source", F.lit(f'"{version}"'))
+    text = T.upsert_frontmatter(text, "source_sha256", F.concat(F.lit('"'), T.lf_sha256(F.col("text")), F.lit('"')))
+    rows = rows.withColumn("made", text)
+    rows = rows.withColumn("made", F.when(F.size("perturbations") > 0, T.upsert_frontmatter(F.col("made"), "perturbations", listed)).otherwise(F.col("made")))
+    rows = rows.withColumn("made", T.upsert_frontmatter(F.col("made"), "type", F.concat(F.lit('"'), T.mapped(F.col("folder"), types), F.lit('"'))))
+    heading = F.trim(F.regexp_extract("made", r"(?m)^#\s+(.+)$", 1))
+    titled = (F.col("folder") == "meetings") & (heading != "")
+    rows = rows.withColumn("made", F.when(titled, T.upsert_frontmatter(F.col("made"), "title", F.to_json(F.array(heading)).substr(F.lit(2), F.length(F.to_json(F.array(heading))) - 2))).otherwise(F.col("made")))
+    return rows.select("slug", T.rewrite_links(F.col("made")).alias("text"))
+
+
+def mail_pages(mails: DataFrame, version: str) -> DataFrame:
+    """mails: id, subject, sender, body, source_hash -> (slug, text)."""
+    fields = {"id": F.col("id"), "source": F.lit(version), "source_sha256": F.col("source_hash"), "from": F.col("sender")}
+    return mails.select(F.concat(F.lit("emails/"), "id").alias("slug"), page_markdown(fields, F.concat(F.lit("# "), "subject", F.lit("\n\n"), "body")).alias("text"))
+
+
+def normalized_corpus(files: DataFrame, marks: DataFrame, version: str, note: str, *others: DataFrame) -> DataFrame:
+    """All pages of a corpus, (slug, text): its files, the given other pages, and stubs of what they link to."""
+    pages = reduce(DataFrame.unionByName, [normalized_pages(files, marks, version), *[o.select("slug", T.rewrite_links(F.col("text")).alias("text")) for o in others]])
+    return pages.unionByName(stub_pages(entity_labels(pages), version, note))

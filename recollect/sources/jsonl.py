@@ -14,10 +14,22 @@ def strict(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, Data
     return rows, lines.filter(~is_object)
 
 
+def require_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of a file in which every line that is not blank must be a JSON object; ValueError names the first that is not."""
+    rows, broken = strict(spark, path, schema)
+    lost = broken.head(1)
+    if lost:
+        raise ValueError(f"{lost[0].file}: no JSON object: {lost[0].value[:80]}")
+    return rows
+
+
 def lenient(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows with their position in the file, for last-wins rules."""
-    lines = spark.read.text(path).filter(F.trim("value") != "").withColumn("position", F.monotonically_increasing_id())
-    return lines.select(F.from_json("value", schema).alias("r"), "position").select("r.*", "position")
+    """Rows with their position, for last-wins rules: (file, offset of the split, line of the split)
+    as one string that sorts in file order, however the files are split into tasks."""
+    meta = F.col("_metadata")
+    lines = spark.read.text(path).select("value", meta["file_path"].alias("file"), meta["file_block_start"].alias("start"), F.monotonically_increasing_id().alias("n"))
+    place = F.concat_ws(":", "file", F.lpad(F.col("start").cast("string"), 19, "0"), F.lpad(F.col("n").cast("string"), 19, "0"))
+    return lines.filter(F.trim("value") != "").select(F.from_json("value", schema).alias("r"), place.alias("position")).select("r.*", "position")
 
 
 def cases(spark: SparkSession, path: str, texts: DataFrame, schema: str) -> DataFrame:

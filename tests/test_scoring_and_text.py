@@ -127,12 +127,14 @@ def test_text_functions(spark):
     edits = F.array(F.struct(F.lit("a").alias("old"), F.lit("b").alias("new")), F.struct(F.lit("b").alias("old"), F.lit("c").alias("new")))
     assert one(spark, T.fold_replacements(F.lit("aab"), edits)) == "cab"
     assert one(spark, T.fold_replacements(F.lit("xyz"), edits)) is None
-    assert one(spark, T.token_windows(F.lit("a b c d e"), 2)) == ["a b", "c d", "e"]
+    assert one(spark, T.token_windows(F.lit("a b c d e"), 2)) == ["a b", " c d", " e"]  # joined, they are the text
+    odd = "  A, b\n\nc\td é x  "
+    assert "".join(one(spark, T.token_windows(F.lit(odd), 2))) == odd
     assert one(spark, T.token_windows(F.lit("A, b"), 2)) == ["A, b"]
     assert one(spark, T.render_context(F.array(F.lit("x"), F.lit("y")))) == "1. x\n\n2. y"
     assert one(spark, T.canonical_slug(F.lit("user/ann"))) == "people/ann"
     assert one(spark, T.canonical_source_id(F.lit("notes/a"))) == "note/a"
-    assert one(spark, T.upsert_frontmatter(F.lit("body"), "id", F.lit("1"))) == "---\nid: 1\n---\n\nbody"
+    assert one(spark, T.upsert_frontmatter(F.lit("body"), "id", F.lit("1"))) == "---\nid: 1\n---\nbody"
     assert one(spark, T.upsert_frontmatter(F.lit("---\nid: 2\n---\nb"), "id", F.lit("1"))) == "---\nid: 2\n---\nb"
     assert one(spark, T.upsert_frontmatter(F.lit("---\nx: 2\n---\nb"), "id", F.lit("1"))) == "---\nid: 1\nx: 2\n---\nb"
     assert one(spark, T.upsert_frontmatter(F.lit("---\nx: 2\nb"), "id", F.lit("1"))) == "---\nx: 2\nb"
