@@ -102,12 +102,12 @@ def _forest(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tupl
 
 
 def _compare(rows, cosine: float) -> tuple[dict[int, int], list[tuple[int, int]]]:
-    """Link counts and forest of one pair of blocks of one bucket; rows: (side, id, weight, vector, keys, table)."""
+    """Link counts and forest of one pair of blocks of one bucket; rows: (side, id, weight, vector, keys of earlier tables, table)."""
     side = np.array([r[0] for r in rows])
     ids = np.array([r[1] for r in rows], dtype=np.int64)
     weight = np.array([r[2] for r in rows], dtype=np.int64)
     units = np.stack([_unit(r[3]) for r in rows])
-    keys = np.stack([np.frombuffer(r[4], dtype="<i8") for r in rows])
+    keys = np.stack([np.frombuffer(r[4] or b"", dtype="<i8") for r in rows])
     table = rows[0][5]
     one_block = (side == 2).all()
     a = np.arange(len(rows)) if one_block else np.flatnonzero(side == 0)
@@ -169,9 +169,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.
     dealt = dealt.select(
         "id", "t", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side")
     )
+    # A row carries the keys of earlier tables only: a pair counts where it meets first.
     loaded = dealt.join(classes.select("id", "weight", "vector"), "id").join(signed, "id")
+    loaded = loaded.withColumn("earlier", F.substring("keys", F.lit(1), 8 * F.col("t"))).drop("keys")
     grouped = loaded.repartition(n_parts, "t", "bucket", "i", "j").sortWithinPartitions("t", "bucket", "i", "j")
-    grouped = grouped.select("t", "bucket", "i", "j", "side", "id", "weight", "vector", "keys")
+    grouped = grouped.select("t", "bucket", "i", "j", "side", "id", "weight", "vector", "earlier")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = [], None
