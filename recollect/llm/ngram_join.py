@@ -588,14 +588,17 @@ def _components_of_rows(docs: DataFrame, key: str, text: str, share) -> DataFram
     else:
         second = _compared(cells, classes, docs, key, text, share)
         final = components(links.unionByName(second))
-    of_class = classes.join(final, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
-    least = of_class.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_class = of_class.join(least, "component").select(F.col("node").alias("class"), "component_id", "component")
+    # Only components of several classes are looked up: as a rule a small table, whatever their sizes.
+    named = cut(classes.select("node", "rep").join(final, "node", "left"), "named")
+    joint = named.filter("component is not null")
+    least = joint.groupBy("component").agg(F.min("rep").alias("component_id"))
+    of_class = joint.join(least, "component").select(F.col("node").alias("class"), "component_id", "component")
+    of_class = of_class.unionByName(named.filter("component is null").select(F.col("node").alias("class"), F.col("rep").alias("component_id"), F.col("node").alias("component")))
     result = members.join(of_class, "class", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "class", "component"
     )
     result = cut(result, "jaccard")
-    drop(prefixes, light, classes, groups, first, joined, cells, second, final)
+    drop(prefixes, light, classes, groups, first, joined, cells, second, final, named)
     return result
 
 
