@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,21 @@ from ..operators import dedupe, dense, entities, fusion, lexical
 from ..operators.fusion import CANDIDATE_DEPTH, OFFICIAL_TOP_K
 from ..session import settled
 
+class Retriever(Protocol):
+    """Maps (query_id, query_text) to (query_id, page, rank), a batch of queries at a time."""
+
+    def __call__(self, queries: DataFrame) -> DataFrame: ...
+
+
+class QueryExpander(Protocol):
+    """Maps (query_id, query_text) to (query_id, n from 1 to 3, query_text, query_vector); a frozen one joins a cache."""
+
+    model: str
+    prompt_version: str
+
+    def __call__(self, queries: DataFrame) -> DataFrame: ...
+
+
 MODES = ("dense", "hybrid", "enhanced")
 FLOWS = ("tool_output_only", "model_output_only", "tool_then_model_output")
 
@@ -170,14 +186,14 @@ def no_memory(cases: DataFrame, retriever=None, **_) -> DataFrame:
 
 
 @register("input_rag")
-def input_rag(cases: DataFrame, retriever, **_) -> DataFrame:
+def input_rag(cases: DataFrame, retriever: Retriever, **_) -> DataFrame:
     """The prompt is the query. ``retriever`` maps (query_id, query_text) to (query_id, page, rank)."""
     hits = retriever(cases.select(F.col("case_id").alias("query_id"), F.col("prompt").alias("query_text")))
     return hits.select(F.col("query_id").alias("case_id"), "page", "rank")
 
 
 @register("naive_output_rag")
-def naive_output_rag(cases: DataFrame, retriever, flow: str = "tool_output_only", **_) -> DataFrame:
+def naive_output_rag(cases: DataFrame, retriever: Retriever, flow: str = "tool_output_only", **_) -> DataFrame:
     """The observation, the first answer, or both in turn are the query; pages of both passes count once."""
     if flow not in FLOWS:
         raise ValueError(f"unknown flow {flow!r}")

@@ -91,6 +91,7 @@ def export(pages: DataFrame, chunks: DataFrame, links: DataFrame, path: str, cor
     named = stable_pages(pages)
     cut = stable_chunks(chunks, named).select("chunk_id", "page_id", "chunk_index", F.col("chunk_text").alias("text"), "embedding")
     kept = named.select("page_id", "source_id", "slug", "title", F.coalesce("perturbations", F.array().cast("array<string>")).alias("perturbations"))
+    kept, cut = kept.orderBy("source_id", "slug"), cut.orderBy("page_id", "chunk_index", "chunk_id")
     write_index(MemoryIndex(kept, cut, stable_links(links, named)), path, corpus_id, model, dimensions)
 
 

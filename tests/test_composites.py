@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recollect.functions import text as T
-from recollect.functions import tokenizers
+from recollect.functions import embed, tokenizers
 from recollect.operators import dense, entities, lexical
 from recollect.plans import retrieve as R
 from recollect.plans import run as P
@@ -174,6 +174,41 @@ def test_export_gate(spark, tmp_path, broken, message):
     assert [p.name for p in tmp_path.iterdir()] == ["index"]
 
 
+def test_export_is_ordered(spark, tmp_path):
+    n = 60
+    pages = spark.createDataFrame([(i, f"s{i % 3}", f"p{(i * 7) % n:02}", "t", []) for i in range(n)], "id long, source_id string, slug string, title string, perturbations array<string>")
+    chunks = spark.createDataFrame([(2 * i + k, i, 1 - k, "x", "m", None, [1.0]) for i in range(n) for k in (0, 1)], "id long, page_id long, chunk_index int, chunk_text string, model string, embedding_signature string, embedding array<float>")
+    links = spark.createDataFrame([(i, j, None if i % 2 else "b", None if j % 2 else "z") for i in range(n) for j in (i // 2, i // 3)], "from_page_id long, to_page_id long, link_type string, link_source string")
+    index.export(pages, chunks, links, str(tmp_path / "index"), "c", "m", 1)
+    stored = {name: [r.asDict() for f in sorted((tmp_path / "index" / name).glob("part-*")) for r in spark.read.parquet(str(f)).collect()] for name in ("pages", "chunks", "links")}
+    assert stored["pages"] == sorted(stored["pages"], key=lambda r: (r["source_id"], r["slug"])) and len(stored["pages"]) == n
+    assert stored["chunks"] == sorted(stored["chunks"], key=lambda r: (r["page_id"], r["chunk_index"]))
+    assert stored["links"] == sorted(stored["links"], key=lambda r: (r["source_page_id"], r["target_page_id"], r["link_type"], r["provenance"] or ""))
+
+
+class Lengths:
+    model, dimensions = "lengths", 2
+
+    def __init__(self, wrong=None):
+        self.wrong = wrong
+
+    def embed(self, texts):
+        assert isinstance(texts, list)
+        return np.array([[len(t), self.wrong if self.wrong is not None else 1] for t in texts])[:, : 1 if self.wrong == 7 else 2]
+
+
+def test_embedder_runs_in_batches(spark):
+    table = spark.createDataFrame([("ab",), (None,), ("",)], "text string")
+    assert [r.v for r in table.select(embed.embedder(Lengths())(F.col("text")).alias("v")).collect()] == [[2.0, 1.0], None, [0.0, 1.0]]
+    for wrong, message in ((float("nan"), "not finite"), (7, "shape")):
+        with pytest.raises(Exception, match=message):
+            table.select(embed.embedder(Lengths(wrong))(F.col("text")).alias("v")).collect()
+    embed.check_embedder(Lengths(), {"embedding_model": "lengths", "embedding_dimensions": 2})
+    for manifest in ({"embedding_model": "x", "embedding_dimensions": 2}, {"embedding_model": "lengths", "embedding_dimensions": 3}):
+        with pytest.raises(ValueError):
+            embed.check_embedder(Lengths(), manifest)
+
+
 def test_content_hash_is_checked(spark, tmp_path):
     path = tmp_path / "index"
     index.export(*_raw(spark), str(path), "c", "m", 2)
