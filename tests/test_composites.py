@@ -186,23 +186,22 @@ def test_export_is_ordered(spark, tmp_path):
     assert stored["links"] == sorted(stored["links"], key=lambda r: (r["source_page_id"], r["target_page_id"], r["link_type"], r["provenance"] or ""))
 
 
-class Lengths:
-    model, dimensions = "lengths", 2
-
-    def __init__(self, wrong=None):
-        self.wrong = wrong
+def test_embedder_runs_in_batches(spark):
+    class Lengths:  # inside, so that workers get it by value
+        model, dimensions = "lengths", 2
 
-    def embed(self, texts):
-        assert isinstance(texts, list)
-        return np.array([[len(t), self.wrong if self.wrong is not None else 1] for t in texts])[:, : 1 if self.wrong == 7 else 2]
+        def __init__(self, last=1.0, width=2):
+            self.last, self.width = last, width
 
+        def embed(self, texts):
+            assert isinstance(texts, list)
+            return np.array([[len(t), self.last] for t in texts])[:, : self.width]
 
-def test_embedder_runs_in_batches(spark):
-    table = spark.createDataFrame([("ab",), (None,), ("",)], "text string")
+    table = spark.createDataFrame([("ab",), (None,), ("",)], "text string").coalesce(1)
     assert [r.v for r in table.select(embed.embedder(Lengths())(F.col("text")).alias("v")).collect()] == [[2.0, 1.0], None, [0.0, 1.0]]
-    for wrong, message in ((float("nan"), "not finite"), (7, "shape")):
+    for model, message in ((Lengths(float("nan")), "not finite"), (Lengths(width=1), "shape")):
         with pytest.raises(Exception, match=message):
-            table.select(embed.embedder(Lengths(wrong))(F.col("text")).alias("v")).collect()
+            table.select(embed.embedder(model)(F.col("text")).alias("v")).collect()
     embed.check_embedder(Lengths(), {"embedding_model": "lengths", "embedding_dimensions": 2})
     for manifest in ({"embedding_model": "x", "embedding_dimensions": 2}, {"embedding_model": "lengths", "embedding_dimensions": 3}):
         with pytest.raises(ValueError):
