@@ -15,8 +15,15 @@ from .queries import BODIES, COS, _asked, _cases, _vectors, bm25_sql, bodies, cf
 
 def _entity_pages(spark, sf):
     """A page for each item of ``benchmark``: its first two words are the title, and its first chunk."""
-    rows = table(spark, sf, "benchmark").select(F.concat(F.lit("p"), F.lpad(F.col("item_id").cast("string"), 6, "0")).alias("page_id"), F.substring_index("text", " ", 2).alias("title"), "text")
-    chunks = rows.select("page_id", F.posexplode(F.array("title", "text")).alias("chunk_index", "text")).withColumn("chunk_id", F.concat_ws(":", "page_id", "chunk_index"))
+    rows = table(spark, sf, "benchmark").select(
+        F.concat(F.lit("p"), F.lpad(F.col("item_id").cast("string"), 6, "0")).alias("page_id"),
+        F.substring_index("text", " ", 2).alias("title"),
+        "text",
+    )
+    chunks = rows.select("page_id", F.posexplode(F.array("title", "text")).alias("chunk_index", "text")).withColumn(
+        "chunk_id",
+        F.concat_ws(":", "page_id", "chunk_index"),
+    )
     named = rows.select("page_id", T.normalize_surface(F.col("title")).alias("surface")).filter("surface <> ''")
     gazetteer = named.groupBy("surface").agg(F.array_sort(F.collect_set("page_id")).alias("page_ids"))
     return rows.select("page_id", "title"), chunks, gazetteer
@@ -54,7 +61,15 @@ def entity_seeds(spark, sf):
 def entity_exact_topk(spark, sf):
     pages, chunks, gazetteer = _entity_pages(spark, sf)
     hits = entities.entity_exact(_observations(spark, sf), gazetteer, pages, chunks, 5)
-    return hits.select("observation_id", F.col("seed_no").cast("long").alias("seed_no"), "source", "surface", "page_id", F.col("rank").cast("long").alias("rank"), "score")
+    return hits.select(
+        "observation_id",
+        F.col("seed_no").cast("long").alias("seed_no"),
+        "source",
+        "surface",
+        "page_id",
+        F.col("rank").cast("long").alias("rank"),
+        "score",
+    )
 
 
 @query(
@@ -87,7 +102,12 @@ def _lexical(spark, sf):
 
 def _prompts(spark, sf):
     text = F.col("text")
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("case_id"), text.alias("prompt"), text.alias("observation"), F.substring_index(text, " ", 8).alias("answer"))
+    return table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("case_id"),
+        text.alias("prompt"),
+        text.alias("observation"),
+        F.substring_index(text, " ", 8).alias("answer"),
+    )
 
 
 ANSWERS = "answers AS (SELECT item_id AS query_id, array_to_string(list_slice(string_split(text, ' '), 1, 8), ' ') AS query_text FROM benchmark)"
@@ -121,7 +141,13 @@ def _hits(spark, sf):
     chunks = _vectors(spark, sf).withColumn("page_id", F.col("vec_id"))
     hits = R.retrieve(_asked(spark, sf), None, chunks, mode="dense")
     n = F.col("vec_id")
-    pages = table(spark, sf, "embeddings").select(n.alias("page_id"), F.lit("s").alias("source_id"), F.concat(F.lit("v/"), n.cast("string")).alias("slug"), F.col("label").cast("string").alias("title"), F.array(F.when(n % 2 == 0, "poison").otherwise("old")).alias("perturbations"))
+    pages = table(spark, sf, "embeddings").select(
+        n.alias("page_id"),
+        F.lit("s").alias("source_id"),
+        F.concat(F.lit("v/"), n.cast("string")).alias("slug"),
+        F.col("label").cast("string").alias("title"),
+        F.array(F.when(n % 2 == 0, "poison").otherwise("old")).alias("perturbations"),
+    )
     texts = table(spark, sf, "embeddings").select(n.alias("chunk_id"), F.concat(F.lit("text "), n.cast("string")).alias("text"))
     channels = hits.select("query_id", F.lit("dense:0").alias("channel"), "page", "rank")
     return R.hits_with_pages(hits, pages, texts, channels)
@@ -130,14 +156,28 @@ def _hits(spark, sf):
 DENSE_HITS = f"WITH c AS (SELECT b.vec_id AS query_id, a.vec_id AS page, {COS} AS cosine FROM embeddings a, embeddings b WHERE b.vec_id % 100 = 0), h AS (SELECT * FROM {ranked('c', 5, 'cosine', 'page')})"
 
 
-@query(f"{DENSE_HITS} SELECT query_id, page AS page_id, 'v/' || page AS slug, label::VARCHAR AS title, 'text ' || page AS text, CASE WHEN page % 2 = 0 THEN 'poison' ELSE 'old' END AS mark, rank, 'dense:0=' || rank AS ranks, round(cosine, 6) AS score FROM h JOIN embeddings ON vec_id = page")
+@query(
+    f"{DENSE_HITS} SELECT query_id, page AS page_id, 'v/' || page AS slug, label::VARCHAR AS title, 'text ' || page AS text, CASE WHEN page % 2 = 0 THEN 'poison' ELSE 'old' END AS mark, rank, 'dense:0=' || rank AS ranks, round(cosine, 6) AS score FROM h JOIN embeddings ON vec_id = page",
+)
 def hits_with_pages(spark, sf):
     """Hits with page metadata, chunk text, marks and the rank in each channel."""
     ranks = F.array_join(F.transform(F.map_entries("diagnostics.channel_ranks"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
-    return _hits(spark, sf).select("query_id", "page_id", "slug", "title", "text", F.col("perturbations")[0].alias("mark"), "rank", ranks.alias("ranks"), F.round("score", 6).alias("score"))
+    return _hits(spark, sf).select(
+        "query_id",
+        "page_id",
+        "slug",
+        "title",
+        "text",
+        F.col("perturbations")[0].alias("mark"),
+        "rank",
+        ranks.alias("ranks"),
+        F.round("score", 6).alias("score"),
+    )
 
 
-@query(f"{DENSE_HITS} SELECT query_id, string_agg(page || ':' || rank, ',' ORDER BY rank) AS pages, 'channel_ranks,graph_inbound_count,graph_multiplier,normalized_rrf,raw_rrf' AS kept FROM h GROUP BY query_id")
+@query(
+    f"{DENSE_HITS} SELECT query_id, string_agg(page || ':' || rank, ',' ORDER BY rank) AS pages, 'channel_ranks,graph_inbound_count,graph_multiplier,normalized_rrf,raw_rrf' AS kept FROM h GROUP BY query_id",
+)
 def pruned_trace(spark, sf):
     """Traces without the diagnostics that differ between runs."""
     rows = R.traced(_hits(spark, sf))
@@ -149,11 +189,19 @@ def pruned_trace(spark, sf):
 # -- runs --------------------------------------------------------------------------------------
 
 
-@query("SELECT conv_id || ':' || turn AS case_id, text AS prompt, 'tool_result' AS observation_kind, 'seen ' || turn AS observation_text FROM conversations WHERE role = 'user'")
+@query(
+    "SELECT conv_id || ':' || turn AS case_id, text AS prompt, 'tool_result' AS observation_kind, 'seen ' || turn AS observation_text FROM conversations WHERE role = 'user'",
+)
 def visible_cases(spark, sf):
     """What a model may see of a case."""
     rows = table(spark, sf, "conversations").filter("role = 'user'")
-    rows = rows.select(F.concat_ws(":", "conv_id", "turn").alias("case_id"), F.col("text").alias("prompt"), F.struct(F.lit("tool_result").alias("kind")).alias("observation"), F.concat(F.lit("seen "), F.col("turn").cast("string")).alias("observation_text"), F.lit("secret").alias("gold"))
+    rows = rows.select(
+        F.concat_ws(":", "conv_id", "turn").alias("case_id"),
+        F.col("text").alias("prompt"),
+        F.struct(F.lit("tool_result").alias("kind")).alias("observation"),
+        F.concat(F.lit("seen "), F.col("turn").cast("string")).alias("observation_text"),
+        F.lit("secret").alias("gold"),
+    )
     return P.visible(rows)
 
 
@@ -162,7 +210,9 @@ def variant_filter(spark, sf):
     return P.select_variants(_cases(spark, sf)[0], "positive", "memory-included").select("case_id")
 
 
-@query("SELECT conv_id || ':' || turn AS case_id, CASE conv_id % 3 WHEN 0 THEN 'positive' WHEN 1 THEN 'cue-ablated' ELSE 'memory-included' END AS variant FROM conversations WHERE role = 'user' ORDER BY conv_id, turn LIMIT 1")
+@query(
+    "SELECT conv_id || ':' || turn AS case_id, CASE conv_id % 3 WHEN 0 THEN 'positive' WHEN 1 THEN 'cue-ablated' ELSE 'memory-included' END AS variant FROM conversations WHERE role = 'user' ORDER BY conv_id, turn LIMIT 1",
+)
 def first_case(spark, sf):
     """The first case in file order, without its private fields."""
     cases = _cases(spark, sf)[0].select("case_id", "variant", "conv_id", "turn", F.lit(1).alias("_private"), F.lit("x").alias("observation_text"))
@@ -205,14 +255,29 @@ def evaluation_reasons(spark, sf):
     got = F.when(n % 4 == 0, slugs("z")).when(n % 4 == 1, slugs("notes/a", "z")).otherwise(slugs("note/a", "meetings/b"))
     response = F.when(n % 5 == 0, "the RED one").when(n % 5 == 1, "blue").when(n % 5 == 2, "red and blue").otherwise("")
     rows = table(spark, sf, "customer").select(
-        n.cast("string").alias("case_id"), F.element_at(F.array(F.lit("positive"), F.lit("cue-ablated"), F.lit("memory-included")), (n % 3 + 1).cast("int")).alias("variant"),
+        n.cast("string").alias("case_id"), F.element_at(
+            F.array(F.lit("positive"), F.lit("cue-ablated"), F.lit("memory-included")),
+            (n % 3 + 1).cast("int"),
+        ).alias("variant"),
         F.when(n % 2 == 0, "no_memory").otherwise("input_rag").alias("condition"), F.lit("red").alias("output_choice"), F.lit("blue").alias("memory_choice"), slugs("note/a", "meeting/b").alias("gold"), got.alias("retrieved"), response.alias("response_text"),
     )
-    return scoring.evaluate(rows).select("case_id", "successful", F.col("retrieved_gold_count").cast("long").alias("retrieved_gold_count"), "expected_basis", "retrieval_status", "reason")
+    return scoring.evaluate(rows).select(
+        "case_id",
+        "successful",
+        F.col("retrieved_gold_count").cast("long").alias("retrieved_gold_count"),
+        "expected_basis",
+        "retrieval_status",
+        "reason",
+    )
 
 
-@query(f"WITH w AS (SELECT doc_id, {toks('text')} AS w FROM documents WHERE doc_id % 100 = 0) SELECT doc_id AS case_id, COUNT(*) AS n FROM (SELECT DISTINCT doc_id, unnest(w) AS t FROM w) GROUP BY doc_id")
+@query(
+    f"WITH w AS (SELECT doc_id, {toks('text')} AS w FROM documents WHERE doc_id % 100 = 0) SELECT doc_id AS case_id, COUNT(*) AS n FROM (SELECT DISTINCT doc_id, unnest(w) AS t FROM w) GROUP BY doc_id",
+)
 def merged_hits(spark, sf):
     """Union of a query's hits over its terms, each page once, in order of first appearance."""
-    terms = table(spark, sf, "documents").filter("doc_id % 100 = 0").select(F.col("doc_id").alias("case_id"), F.posexplode(T.tokens(F.col("text"))).alias("rank", "page"))
+    terms = table(spark, sf, "documents").filter("doc_id % 100 = 0").select(
+        F.col("doc_id").alias("case_id"),
+        F.posexplode(T.tokens(F.col("text"))).alias("rank", "page"),
+    )
     return dedupe.first_seen(terms, "case_id", "page", ["rank"]).groupBy("case_id").agg(F.max("new_rank").cast("long").alias("n"))

@@ -7,7 +7,20 @@ from pyspark.sql import functions as F
 
 # Fixed values.
 BODY_STOP_PHRASES = ["next steps", "market report", "weekly review", "morning reflection", "team 1 1s"]
-LISTING_PREFIXES = ["Session ", "Workshop ", "Lead Story ", "Item ", "Brief ", "Editor's Pick ", "Episode ", "New Release ", "Vendor ", "Candidate ", "Result ", "Listing "]
+LISTING_PREFIXES = [
+    "Session ",
+    "Workshop ",
+    "Lead Story ",
+    "Item ",
+    "Brief ",
+    "Editor's Pick ",
+    "Episode ",
+    "New Release ",
+    "Vendor ",
+    "Candidate ",
+    "Result ",
+    "Listing ",
+]
 ALIAS_MIN_CHARS, ALIAS_MIN_WORDS = 8, 2
 FOLDS = [("ß", "ss"), ("ſ", "s"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff")]
 

@@ -77,7 +77,10 @@ def populate(requests: DataFrame, cache: DataFrame, key: str, answer, path: str)
 def valid_expansions(alternatives: Column, query: Column) -> Column:
     """Exactly three, not empty, unlike each other and the query after normalisation."""
     normal = F.transform(alternatives, lambda a: T.normalize_query(F.trim(a)))
-    return (F.size(normal) == EXPANSIONS) & (F.size(F.array_distinct(normal)) == EXPANSIONS) & ~F.exists(normal, lambda a: a.isNull() | (a == "")) & ~F.array_contains(normal, T.normalize_query(query))
+    return (F.size(normal) == EXPANSIONS) & (F.size(F.array_distinct(normal)) == EXPANSIONS) & ~F.exists(
+        normal,
+        lambda a: a.isNull() | (a == ""),
+    ) & ~F.array_contains(normal, T.normalize_query(query))
 
 
 def used_digest(entries: DataFrame, name: str, content: str) -> DataFrame:

@@ -17,7 +17,9 @@ def best_hits(hits: DataFrame, by: str = "case_id") -> DataFrame:
     """hits: (by, page_id, rank, score, seed_id). One row a page, the smallest by
     (rank, score descending), with its contributors, numbered again."""
     picked = hits.groupBy(by, "page_id").agg(
-        F.min(F.struct("rank", (-F.col("score")).alias("s"))).alias("b"), F.array_sort(F.collect_list(F.struct("seed_id", "rank", "score"))).alias("contributors")
+        F.min(F.struct("rank", (-F.col("score")).alias("s"))).alias("b"), F.array_sort(
+            F.collect_list(F.struct("seed_id", "rank", "score")),
+        ).alias("contributors")
     )
     flat = picked.select(by, "page_id", F.col("b.rank").alias("best_rank"), (-F.col("b.s")).alias("best_score"), "contributors")
     return flat.withColumn("new_rank", F.row_number().over(W.partitionBy(by).orderBy("best_rank", F.desc("best_score"), "page_id")))

@@ -64,7 +64,10 @@ def phrase_matches(docs: DataFrame, phrases: DataFrame, key: str, text: str, phr
     Phrases are keyed by their first tokens (up to GRAM), texts by their runs of as many.
     Only candidates meet the texts again, by id, and are confirmed by padded containment.
     """
-    wanted = phrases.select(F.col(phrase_key).alias("phrase_id"), T.normalize_surface(F.col(phrase)).alias("p")).filter("p <> ''").withColumn("w", F.split("p", " "))
+    wanted = phrases.select(
+        F.col(phrase_key).alias("phrase_id"),
+        T.normalize_surface(F.col(phrase)).alias("p"),
+    ).filter("p <> ''").withColumn("w", F.split("p", " "))
     texts = docs.select(F.col(key).alias("doc"), T.normalize_surface(F.col(text)).alias("t")).filter("t <> ''")
     near = _candidates(texts.select("doc", F.split("t", " ").alias("w")), "w", wanted, "w").select("doc", "phrase_id", "p").distinct()
     return texts.join(near, "doc").filter(T.contains_phrase(F.col("t"), F.col("p"))).select("doc", "phrase_id").distinct()
@@ -98,7 +101,12 @@ def gazetteer_seeds(observations: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """
     folded = observations.select(F.col("observation_id").alias("doc"), F.col("text").alias("raw"), T.casefold(F.col("text")).alias("t"))
     wanted = gazetteer.select("surface", "page_ids").withColumn("w", F.split("surface", " "))
-    near = _candidates(folded.select("doc", F.regexp_extract_all("t", F.lit("[a-z0-9]+"), F.lit(0)).alias("w")), "w", wanted, "w").select("doc", "surface", "page_ids").distinct()
+    near = _candidates(
+        folded.select("doc", F.regexp_extract_all("t", F.lit("[a-z0-9]+"), F.lit(0)).alias("w")),
+        "w",
+        wanted,
+        "w",
+    ).select("doc", "surface", "page_ids").distinct()
     found = folded.join(near, "doc").filter(F.contains("t", F.col("surface")))
     pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])"), F.col("surface"), F.lit(r"(?![\p{L}\p{N}])"))
     at = F.regexp_instr("t", pattern)
@@ -111,12 +119,20 @@ def gazetteer_seeds(observations: DataFrame, gazetteer: DataFrame) -> DataFrame:
 
 def phrase_seeds(observations: DataFrame, taken: DataFrame, phrases=capitalised_runs) -> DataFrame:
     """Phrase seeds whose surface no gazetteer seed of the observation has, numbered after its gazetteer seeds."""
-    found = observations.select("observation_id", F.posexplode(phrases(F.col("text"))).alias("at", "shown")).withColumn("surface", T.normalize_surface(F.col("shown")))
+    found = observations.select("observation_id", F.posexplode(phrases(F.col("text"))).alias("at", "shown")).withColumn(
+        "surface",
+        T.normalize_surface(F.col("shown")),
+    )
     found = found.filter("surface <> ''").groupBy("observation_id", "surface").agg(F.min(F.struct("at", "shown")).alias("f"))
     found = found.join(taken.select("observation_id", "surface"), ["observation_id", "surface"], "left_anti")
     before = taken.groupBy("observation_id").agg(F.count("*").alias("before"))
     place = F.row_number().over(W.partitionBy("observation_id").orderBy("f.at"))
-    return found.withColumn("place", place).join(before, "observation_id", "left").select("observation_id", "surface", F.col("f.shown").alias("shown"), (F.col("place") + F.coalesce("before", F.lit(0))).cast("int").alias("seed_no"))
+    return found.withColumn("place", place).join(before, "observation_id", "left").select(
+        "observation_id",
+        "surface",
+        F.col("f.shown").alias("shown"),
+        (F.col("place") + F.coalesce("before", F.lit(0))).cast("int").alias("seed_no"),
+    )
 
 
 def all_seeds(observations: DataFrame, gazetteer: DataFrame, phrases=capitalised_runs) -> DataFrame:
@@ -150,14 +166,25 @@ def entity_exact(observations: DataFrame, gazetteer: DataFrame, pages: DataFrame
     whole = texts.select("page_id", F.concat_ws(" ", "title", "body").alias("both"))
     met = phrase_matches(whole, wanted, "page_id", "both", "surface", "surface").select(F.col("doc").alias("page_id"), F.col("phrase_id").alias("surface"))
     found = said.join(met, "surface").select(*columns)
-    scored = known.unionByName(found).join(texts, "page_id").withColumn("score", exact_score(F.col("title"), F.col("body"), F.col("surface"))).drop("title", "body")
+    scored = known.unionByName(found).join(texts, "page_id").withColumn(
+        "score",
+        exact_score(F.col("title"), F.col("body"), F.col("surface")),
+    ).drop("title", "body")
     scored = scored.filter("source = 'gazetteer' or score > 0")
     by = W.partitionBy("observation_id", "seed_no")
     by_id = F.row_number().over(by.orderBy("page_id"))
     by_score = F.row_number().over(by.orderBy(F.desc("score"), "page_id"))
-    ranked = scored.withColumn("rank", F.when(F.col("source") == "gazetteer", by_id).otherwise(by_score)).filter((F.col("source") == "gazetteer") | (F.col("rank") <= k))
+    ranked = scored.withColumn("rank", F.when(F.col("source") == "gazetteer", by_id).otherwise(by_score)).filter(
+        (F.col("source") == "gazetteer") | (F.col("rank") <= k),
+    )
     wanted = ranked.select(F.struct("surface", "shown").alias("seed_id"), "page_id", "surface").distinct()
-    best = best_exact_chunk(wanted, chunks).select(F.col("seed_id.surface").alias("surface"), F.col("seed_id.shown").alias("shown"), "page_id", "chunk_id", "chunk_score")
+    best = best_exact_chunk(wanted, chunks).select(
+        F.col("seed_id.surface").alias("surface"),
+        F.col("seed_id.shown").alias("shown"),
+        "page_id",
+        "chunk_id",
+        "chunk_score",
+    )
     return ranked.join(best, ["surface", "shown", "page_id"], "left").select(*columns, "rank", "score", "chunk_id", "chunk_score")
 
 
@@ -186,15 +213,40 @@ def best_exact_chunk(seeds: DataFrame, chunks: DataFrame) -> DataFrame:
     pairs = seeds.join(chunks.select("page_id", "chunk_id", "chunk_index", "text"), "page_id")
     has = T.contains_phrase(T.normalize_surface(F.col("text")), F.col("surface"))
     local = pairs.select("seed_id", "page_id", "chunk_id", T.tokens(F.col("text")).alias("terms"), "surface")
-    lens = local.withColumn("len", F.size("terms")).withColumn("n", F.count("*").over(W.partitionBy("seed_id", "page_id"))).withColumn("avg", F.avg(F.size("terms")).over(W.partitionBy("seed_id", "page_id")))
+    lens = local.withColumn("len", F.size("terms")).withColumn("n", F.count("*").over(W.partitionBy("seed_id", "page_id"))).withColumn(
+        "avg",
+        F.avg(F.size("terms")).over(W.partitionBy("seed_id", "page_id")),
+    )
     asked = lens.select("seed_id", "page_id", "chunk_id", "terms", "len", "n", "avg", F.explode(F.split("surface", " ")).alias("term"))
     asked = asked.withColumn("tf", F.size(F.filter("terms", lambda t: t == F.col("term")))).filter("tf > 0")
-    terms = asked.groupBy("seed_id", "page_id", "chunk_id", "term").agg(F.max("tf").alias("tf"), F.max("len").alias("len"), F.max("n").alias("n"), F.max("avg").alias("avg"), F.count("*").alias("mult"))
+    terms = asked.groupBy("seed_id", "page_id", "chunk_id", "term").agg(
+        F.max("tf").alias("tf"),
+        F.max("len").alias("len"),
+        F.max("n").alias("n"),
+        F.max("avg").alias("avg"),
+        F.count("*").alias("mult"),
+    )
     terms = terms.withColumn("df", F.count("*").over(W.partitionBy("seed_id", "page_id", "term")))
-    part = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * 2.5 / (F.col("tf") + 1.5 * (0.25 + 0.75 * F.col("len") / F.col("avg")))
+    part = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * 2.5 / (
+        F.col("tf") + 1.5 * (0.25 + 0.75 * F.col("len") / F.col("avg"))
+    )
     local_scores = terms.groupBy("seed_id", "page_id", "chunk_id").agg(F.sum(F.col("mult") * part).alias("bm25"))
-    ranked = pairs.select("seed_id", "page_id", "chunk_id", "chunk_index", has.cast("double").alias("chunk_score")).join(local_scores, ["seed_id", "page_id", "chunk_id"], "left")
+    ranked = pairs.select("seed_id", "page_id", "chunk_id", "chunk_index", has.cast("double").alias("chunk_score")).join(
+        local_scores,
+        ["seed_id", "page_id", "chunk_id"],
+        "left",
+    )
     order = F.min(
-        F.struct((-F.col("chunk_score")).alias("a"), F.when(F.col("chunk_score") == 0, -F.round(F.coalesce("bm25", F.lit(0.0)), 12)).alias("b"), F.when((F.col("chunk_score") == 0) & F.col("bm25").isNull(), F.col("chunk_index")).alias("c"), F.col("chunk_id").alias("chunk_id"))
+        F.struct(
+            (-F.col("chunk_score")).alias("a"),
+            F.when(F.col("chunk_score") == 0, -F.round(F.coalesce("bm25", F.lit(0.0)), 12)).alias("b"),
+            F.when((F.col("chunk_score") == 0) & F.col("bm25").isNull(), F.col("chunk_index")).alias("c"),
+            F.col("chunk_id").alias("chunk_id"),
+        )
+    )
+    return ranked.groupBy("seed_id", "page_id").agg(order.alias("o")).select(
+        "seed_id",
+        "page_id",
+        F.col("o.chunk_id").alias("chunk_id"),
+        (-F.col("o.a")).alias("chunk_score"),
     )
-    return ranked.groupBy("seed_id", "page_id").agg(order.alias("o")).select("seed_id", "page_id", F.col("o.chunk_id").alias("chunk_id"), (-F.col("o.a")).alias("chunk_score"))

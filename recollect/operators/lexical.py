@@ -34,7 +34,10 @@ def corpus_stats(toks: DataFrame) -> DataFrame:
 
 def query_terms(queries: DataFrame, key: str = "query_id", text: str = "query_text") -> DataFrame:
     """(query_id, term, mult): repeated terms count repeatedly."""
-    return queries.select(F.col(key).alias("query_id"), F.explode(T.tokens(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("mult"))
+    return queries.select(
+        F.col(key).alias("query_id"),
+        F.explode(T.tokens(F.col(text))).alias("term"),
+    ).groupBy("query_id", "term").agg(F.count("*").alias("mult"))
 
 
 def bm25(queries: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -83,25 +83,57 @@ def case_issues(cases: DataFrame, files: DataFrame | None = None, token_count=No
         ("cue.present disagrees with variant", F.coalesce("cue.present", F.lit(False)) != present),
         ("gold cue is absent from observation", present & ~F.contains(text, cue)),
         ("ablated observation still contains cue", (F.col("variant") == "cue-ablated") & F.contains(text, cue)),
-        ("prompt must contain the injected memory", (F.col("variant") == "memory-included") & ((F.coalesce("memory.text", F.lit("")) == "") | ~F.contains(prompt, T.casefold(F.coalesce("memory.text", F.lit("")))))),
+        (
+            "prompt must contain the injected memory",
+            (F.col("variant") == "memory-included") & (
+                (F.coalesce("memory.text", F.lit("")) == "") | ~F.contains(prompt, T.casefold(F.coalesce("memory.text", F.lit(""))))
+            ),
+        ),
         ("answer_type must be natural_language_choice", ~F.col("decisions.answer_type").eqNullSafe(F.lit("natural_language_choice"))),
         ("prompt must request exactly one choice", ~F.contains(prompt, F.lit("exactly one"))),
         *[(f"{name} choice must be natural language", F.trim(F.coalesce(c, F.lit(""))) == "") for name, c in choice.items()],
-        *[(f"{name} choice must appear exactly once", (F.trim(F.coalesce(c, F.lit(""))) != "") & (T.count_occurrences(text, c) != 1)) for name, c in choice.items()],
+        *[
+            (
+                f"{name} choice must appear exactly once",
+                (F.trim(F.coalesce(c, F.lit(""))) != "") & (T.count_occurrences(text, c) != 1),
+            ) for name, c in choice.items()
+        ],
         ("decision does not change", present & choice["output-only"].eqNullSafe(choice["memory-conditioned"])),
         ("control changes decision", (F.col("variant") == "cue-ablated") & ~choice["output-only"].eqNullSafe(choice["memory-conditioned"])),
         ("too few visible choices", F.size(labels) < MIN_CHOICES),
         ("visible labels must be unique", F.size(labels) != F.size(F.array_distinct(F.transform(labels, T.casefold)))),
         ("too few distractors", F.coalesce(F.size("distractors.sources"), F.lit(0)) < MIN_DISTRACTORS),
         ("memory text must be readable prose", F.trim(F.coalesce("memory.text", F.lit(""))) == ""),
-        ("gold source ids and sources disagree", F.array_sort(F.array_distinct(ids)) != F.array_sort(F.array_distinct(F.transform(sources, lambda s: s["source_id"])))),
-        ("poison source cannot be gold", F.exists(sources, lambda s: F.array_contains(F.coalesce(s["perturbations"], F.array().cast("array<string>")), "poison"))),
-        ("source id prefix differs from corpus folder", F.exists(sources, lambda s: s["path"].endswith(".md") & F.contains(s["path"], F.lit("/")) & F.contains(s["source_id"], F.lit("/")) & (prefix(s["path"]) != prefix(s["source_id"])))),
+        (
+            "gold source ids and sources disagree",
+            F.array_sort(F.array_distinct(ids)) != F.array_sort(F.array_distinct(F.transform(sources, lambda s: s["source_id"]))),
+        ),
+        (
+            "poison source cannot be gold",
+            F.exists(sources, lambda s: F.array_contains(F.coalesce(s["perturbations"], F.array().cast("array<string>")), "poison")),
+        ),
+        (
+            "source id prefix differs from corpus folder",
+            F.exists(
+                sources,
+                lambda s: s["path"].endswith(".md") & F.contains(s["path"], F.lit("/")) & F.contains(s["source_id"], F.lit("/")) & (
+                    prefix(s["path"]) != prefix(s["source_id"])
+                ),
+            ),
+        ),
     ]
     found = F.filter(F.array(*[F.when(broken, F.lit(rule)) for rule, broken in rules]), lambda m: m.isNotNull())
-    parts = [cases.select(F.col("case_id").alias("id"), F.explode(found).alias("message")), issue(duplicates(cases, "case_id"), "case_id", "duplicate case_id"), variant_issues(cases)]
+    parts = [
+        cases.select(F.col("case_id").alias("id"), F.explode(found).alias("message")),
+        issue(duplicates(cases, "case_id"), "case_id", "duplicate case_id"),
+        variant_issues(cases),
+    ]
     if files is not None:
-        used = cases.select(F.col("case_id").alias("id"), F.explode(sources).alias("s")).select("id", F.col("s.path").alias("path"), F.col("s.sha256").alias("stated"))
+        used = cases.select(F.col("case_id").alias("id"), F.explode(sources).alias("s")).select(
+            "id",
+            F.col("s.path").alias("path"),
+            F.col("s.sha256").alias("stated"),
+        )
         met = used.join(files.select("path", F.col("sha256").alias("real")), "path", "left")
         parts.append(met.filter("real is null").select("id", F.lit("missing memory source").alias("message")))
         parts.append(met.filter("real is not null and not (real <=> stated)").select("id", F.lit("source hash mismatch").alias("message")))

@@ -116,7 +116,15 @@ def blended(queries: DataFrame, docs: DataFrame, chunks: DataFrame, expansions:
     return channels, pooled, fusion.blend(channels, pooled)
 
 
-def retrieve(queries: DataFrame, docs: DataFrame, chunks: DataFrame, links: DataFrame | None = None, mode: str = "dense", k: int = OFFICIAL_TOP_K, expansions: DataFrame | None = None) -> DataFrame:
+def retrieve(
+    queries: DataFrame,
+    docs: DataFrame,
+    chunks: DataFrame,
+    links: DataFrame | None = None,
+    mode: str = "dense",
+    k: int = OFFICIAL_TOP_K,
+    expansions: DataFrame | None = None,
+) -> DataFrame:
     """Ranked pages for every query: query_id, page, chunk, score, rank (and, beyond dense, the parts of the score).
 
     docs: page, title, body; a page need not have a chunk (its chunk is null then, its
@@ -202,11 +210,23 @@ def naive_output_rag(cases: DataFrame, retriever: Retriever, flow: str = "tool_o
     for phase, column in enumerate(phases):
         hits = retriever(cases.select(F.col("case_id").alias("query_id"), F.col(column).alias("query_text")))
         parts.append(hits.select(F.col("query_id").alias("case_id"), "page", F.lit(phase).alias("phase"), "rank"))
-    return dedupe.first_seen(reduce(DataFrame.unionByName, parts), "case_id", "page", ["phase", "rank"]).select("case_id", "page", F.col("new_rank").alias("rank"))
+    return dedupe.first_seen(reduce(DataFrame.unionByName, parts), "case_id", "page", ["phase", "rank"]).select(
+        "case_id",
+        "page",
+        F.col("new_rank").alias("rank"),
+    )
 
 
 @register("all_entity_output_rag")
-def all_entity_output_rag(cases: DataFrame, retriever=None, gazetteer: DataFrame | None = None, pages: DataFrame | None = None, chunks: DataFrame | None = None, k: int = OFFICIAL_TOP_K, **_) -> DataFrame:
+def all_entity_output_rag(
+    cases: DataFrame,
+    retriever=None,
+    gazetteer: DataFrame | None = None,
+    pages: DataFrame | None = None,
+    chunks: DataFrame | None = None,
+    k: int = OFFICIAL_TOP_K,
+    **_
+) -> DataFrame:
     """Every gazetteer surface and phrase of the observation admits its pages, each page once:
     its best hit by rank, then exact score; numbered by rank, score and id."""
     if gazetteer is None or pages is None or chunks is None:
@@ -249,7 +269,19 @@ def hits_with_pages(hits: DataFrame, pages: DataFrame, chunks: DataFrame, channe
         part("multiplier", F.lit(1.0)).alias("graph_multiplier"),
         F.col("score").alias("final_score"),
     )
-    return named.select("query_id", F.col("page").alias("page_id"), "source_id", "slug", "title", F.col("chunk").alias("chunk_id"), "text", "score", "rank", "perturbations", diagnostics.alias("diagnostics"))
+    return named.select(
+        "query_id",
+        F.col("page").alias("page_id"),
+        "source_id",
+        "slug",
+        "title",
+        F.col("chunk").alias("chunk_id"),
+        "text",
+        "score",
+        "rank",
+        "perturbations",
+        diagnostics.alias("diagnostics"),
+    )
 
 
 def traced(hits: DataFrame) -> DataFrame:
@@ -261,12 +293,25 @@ def traced(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id").agg(in_order.alias("returned_pages"))
 
 
-def check_arguments(condition: str, mode: str | None = None, index: str | None = None, k: int | None = None, expansions: str | None = None, policy: str | None = None, flow: str | None = None, responses: str | None = None, response_policy: str | None = None) -> None:
+def check_arguments(
+    condition: str,
+    mode: str | None = None,
+    index: str | None = None,
+    k: int | None = None,
+    expansions: str | None = None,
+    policy: str | None = None,
+    flow: str | None = None,
+    responses: str | None = None,
+    response_policy: str | None = None,
+) -> None:
     """Which arguments go with which condition; ValueError names those that do not."""
     if response_policy and not responses:
         raise ValueError("a response policy needs a response cache")
     given = {"mode": mode, "index": index, "k": k, "expansions": expansions, "expansion policy": policy, "flow": flow}
-    refused = {"no_memory": set(given), "all_entity_output_rag": {"mode", "expansions", "expansion policy", "flow"}}.get(condition, set() if condition == "naive_output_rag" else {"flow"})
+    refused = {"no_memory": set(given), "all_entity_output_rag": {"mode", "expansions", "expansion policy", "flow"}}.get(
+        condition,
+        set() if condition == "naive_output_rag" else {"flow"},
+    )
     wrong = [name for name, value in given.items() if value and name in refused]
     if wrong:
         raise ValueError(f"{condition} takes no {', '.join(wrong)}")

@@ -52,12 +52,25 @@ def predict(cases: DataFrame, condition: str, responses: DataFrame, texts: DataF
     every request; otherwise a missing response is null and left to a populate job."""
     admitted = get_condition(condition)(cases, **given)
     asked = visible(cases).join(contexts(admitted, texts), "case_id", "left")
-    fields = {"max_output_tokens": F.lit(str(MAX_OUTPUT_TOKENS)), "memory": F.col("memory"), "model": F.lit(model), "observation": F.col("observation_text"), "prompt": F.col("prompt")}
+    fields = {
+        "max_output_tokens": F.lit(str(MAX_OUTPUT_TOKENS)),
+        "memory": F.col("memory"),
+        "model": F.lit(model),
+        "observation": F.col("observation_text"),
+        "prompt": F.col("prompt"),
+    }
     requests = asked.withColumn("request_hash", caches.response_key(fields))
     answered = caches.lookup(requests, responses.select("request_hash", F.col("text").alias("response_text")), "request_hash", frozen)
     pages = admitted.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "page"))), lambda x: x["page"]).alias("admitted_page_ids"))
     out = answered.join(pages, "case_id", "left")
-    return out.select("case_id", F.lit(condition).alias("baseline"), "response_text", F.lit(model).alias("requested_model"), F.coalesce("admitted_page_ids", F.array().cast("array<string>")).alias("admitted_page_ids"), "request_hash")
+    return out.select(
+        "case_id",
+        F.lit(condition).alias("baseline"),
+        "response_text",
+        F.lit(model).alias("requested_model"),
+        F.coalesce("admitted_page_ids", F.array().cast("array<string>")).alias("admitted_page_ids"),
+        "request_hash",
+    )
 
 
 #: What a run's settings hold, whether or not a value is known.
@@ -68,7 +81,16 @@ SETTINGS = (
 ).split()
 
 
-def settings(condition: str, model: str, mode: str | None = None, k: int | None = None, flow: str | None = None, variants: list[str] | None = None, index=None, **known) -> dict:
+def settings(
+    condition: str,
+    model: str,
+    mode: str | None = None,
+    k: int | None = None,
+    flow: str | None = None,
+    variants: list[str] | None = None,
+    index=None,
+    **known
+) -> dict:
     """All settings of a run. ``index``: (path, manifest row); ``known`` names further ones."""
     unknown = set(known) - set(SETTINGS)
     if unknown:
@@ -77,8 +99,18 @@ def settings(condition: str, model: str, mode: str | None = None, k: int | None
     out |= {"baseline": condition, "requested_model": model, "retrieval_mode": mode, "retrieval_limit": k, "output_rag_flow": flow, "variants": variants}
     if index is not None:
         path, manifest = index
-        out |= {"retrieval_index": path, "retrieval_manifest_hash": manifest["content_hash"], "corpus": manifest["corpus_id"], "embedding_model": manifest["embedding_model"]}
-        out |= {"chunker_version": manifest.get("chunker_version"), "admission_policy": "all_retrieved", "perturbation_filtering": False, "dependency_versions": {"numpy": np.__version__, "pyspark": pyspark.__version__}}
+        out |= {
+            "retrieval_index": path,
+            "retrieval_manifest_hash": manifest["content_hash"],
+            "corpus": manifest["corpus_id"],
+            "embedding_model": manifest["embedding_model"],
+        }
+        out |= {
+            "chunker_version": manifest.get("chunker_version"),
+            "admission_policy": "all_retrieved",
+            "perturbation_filtering": False,
+            "dependency_versions": {"numpy": np.__version__, "pyspark": pyspark.__version__},
+        }
         if mode is None:
             out["retrieval_condition_detail"] = "entity_exact_match"
     if mode is not None:

@@ -154,7 +154,9 @@ def _asked(spark, sf):
     return table(spark, sf, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
-@query(f"WITH c AS (SELECT b.vec_id AS query_id, a.vec_id AS page, {COS} AS cosine FROM embeddings a, embeddings b WHERE b.vec_id % 100 = 0) SELECT query_id, page, round(cosine, 6) AS score, rank FROM {ranked('c', 5, 'cosine', 'page')}")
+@query(
+    f"WITH c AS (SELECT b.vec_id AS query_id, a.vec_id AS page, {COS} AS cosine FROM embeddings a, embeddings b WHERE b.vec_id % 100 = 0) SELECT query_id, page, round(cosine, 6) AS score, rank FROM {ranked('c', 5, 'cosine', 'page')}",
+)
 def dense_topk(spark, sf):
     chunks = _vectors(spark, sf).withColumn("page_id", F.col("vec_id"))
     return R.retrieve(_asked(spark, sf), None, chunks, mode="dense").select("query_id", "page", F.round("score", 6).alias("score"), "rank")
@@ -177,7 +179,9 @@ def _windows(spark, sf):
     return q.join(e, F.col("vec_id") == F.col("query_id") + F.col("window")).select("query_id", "window", "query_vector")
 
 
-@query(f"WITH {TWO}, {BEST} SELECT query_id, page, win AS \"window\", chunk, round(cosine, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id, page ORDER BY round(cosine, 12) DESC, win) AS k2 FROM best) WHERE k2 = 1")
+@query(
+    f"WITH {TWO}, {BEST} SELECT query_id, page, win AS \"window\", chunk, round(cosine, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id, page ORDER BY round(cosine, 12) DESC, win) AS k2 FROM best) WHERE k2 = 1",
+)
 def dense_windowed_maxpool(spark, sf):
     pooled = dense.pool_windows(R.window_bests(_windows(spark, sf), _vectors(spark, sf)))
     return pooled.select("query_id", "page", F.col("window").cast("long").alias("window"), "chunk", F.round("cosine", 6).alias("cosine"))
@@ -198,7 +202,10 @@ SELECT vec_id, round(coalesce(CASE WHEN vec_id % 7 <> 0 THEN list_cosine_similar
 )
 def zero_norm_cosine(spark, sf):
     """Every seventh vector is without length and has cosine 0."""
-    vectors = table(spark, sf, "embeddings").select("vec_id", F.when(F.col("vec_id") % 7 == 0, F.transform("embedding", lambda x: x * 0)).otherwise(F.col("embedding")).alias("e"))
+    vectors = table(spark, sf, "embeddings").select(
+        "vec_id",
+        F.when(F.col("vec_id") % 7 == 0, F.transform("embedding", lambda x: x * 0)).otherwise(F.col("embedding")).alias("e"),
+    )
     first = vectors.filter("vec_id = 1").select(F.col("e").alias("first"))  # one row
     return vectors.join(F.broadcast(first)).select("vec_id", F.round(dense.cosine(F.col("e"), F.col("first")), 6).alias("cosine"))
 
@@ -220,7 +227,12 @@ def _text_queries(spark, sf):
 def _expansions(spark, sf):
     """Frozen paraphrases: the titles and vectors of the three pages that follow."""
     rows = _corpus(spark, sf).filter("page % 100 between 1 and 3")
-    return rows.select((F.col("page") - F.col("page") % 100).alias("query_id"), (F.col("page") % 100).alias("n"), F.col("title").alias("query_text"), F.col("embedding").alias("query_vector"))
+    return rows.select(
+        (F.col("page") - F.col("page") % 100).alias("query_id"),
+        (F.col("page") % 100).alias("n"),
+        F.col("title").alias("query_text"),
+        F.col("embedding").alias("query_vector"),
+    )
 
 
 def _links(spark, sf):
@@ -271,7 +283,11 @@ boosted AS (SELECT b.*, coalesce(inbound, 0) AS inbound, CASE WHEN coalesce(inbo
 @query(f"WITH {HYBRID} SELECT query_id, page, round(SUM(1.0 / (60 + rank)), 6) AS rrf FROM hybrid GROUP BY ALL")
 def rrf_fusion(spark, sf):
     q, c = _text_queries(spark, sf), _chunks(spark, sf)
-    return fusion.rrf(R.hybrid_channels(q, _corpus(spark, sf), R.window_bests(q, c, fusion.CANDIDATE_DEPTH))).select("query_id", "page", F.round("rrf", 6).alias("rrf"))
+    return fusion.rrf(R.hybrid_channels(q, _corpus(spark, sf), R.window_bests(q, c, fusion.CANDIDATE_DEPTH))).select(
+        "query_id",
+        "page",
+        F.round("rrf", 6).alias("rrf"),
+    )
 
 
 @query(f"WITH {HYBRID}, {blend_sql('hybrid')} SELECT query_id, page, round(pre_graph, 6) AS score, rank FROM {ranked('blended', 5, 'pre_graph', 'page')}")
@@ -280,7 +296,9 @@ def hybrid_topk(spark, sf):
     return hits.select("query_id", "page", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"WITH {ENHANCED}, {blend_sql('enhanced')}, {GRAPH} SELECT query_id, page, round(final, 6) AS score, inbound, multiplier::DOUBLE AS multiplier, rank FROM {ranked('boosted', 5, 'final', 'page')}")
+@query(
+    f"WITH {ENHANCED}, {blend_sql('enhanced')}, {GRAPH} SELECT query_id, page, round(final, 6) AS score, inbound, multiplier::DOUBLE AS multiplier, rank FROM {ranked('boosted', 5, 'final', 'page')}",
+)
 def enhanced_topk(spark, sf):
     hits = R.retrieve(_text_queries(spark, sf), _corpus(spark, sf), _chunks(spark, sf), _links(spark, sf), "enhanced", expansions=_expansions(spark, sf))
     return hits.select("query_id", "page", F.round("score", 6).alias("score"), "inbound", "multiplier", "rank")
@@ -307,7 +325,11 @@ def channel_rank_map(spark, sf):
     q, c = _text_queries(spark, sf), _chunks(spark, sf)
     channels = R.enhanced_channels(q, _corpus(spark, sf), c, R.window_bests(q, c, fusion.CANDIDATE_DEPTH), _expansions(spark, sf))
     entries = F.array_sort(F.map_entries("ranks"))
-    return fusion.channel_ranks(channels).select("query_id", "page", F.array_join(F.transform(entries, lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("ranks"))
+    return fusion.channel_ranks(channels).select(
+        "query_id",
+        "page",
+        F.array_join(F.transform(entries, lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("ranks"),
+    )
 
 
 @query(
@@ -330,7 +352,10 @@ hit AS (SELECT doc_id, item_id, body, title, phrase FROM t, p WHERE phrase <> ''
 
 
 def _matches(spark, sf):
-    return entities.phrase_matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text").select(F.col("doc").alias("doc_id"), F.col("phrase_id").alias("item_id"))
+    return entities.phrase_matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text").select(
+        F.col("doc").alias("doc_id"),
+        F.col("phrase_id").alias("item_id"),
+    )
 
 
 @query(f"WITH {MATCHES} SELECT doc_id, item_id FROM hit")
@@ -340,7 +365,11 @@ def gazetteer_match(spark, sf):
 
 @query(f"WITH {MATCHES} SELECT doc_id, item_id, CASE WHEN contains(' ' || title || ' ', ' ' || phrase || ' ') THEN 2.0 ELSE 0.0 END + 1.0 AS score FROM hit")
 def exact_match_score(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", T.normalize_surface(F.col("text")).alias("body"), T.normalize_surface(F.substring_index("text", "\n", 1)).alias("title"))
+    docs = table(spark, sf, "documents").select(
+        "doc_id",
+        T.normalize_surface(F.col("text")).alias("body"),
+        T.normalize_surface(F.substring_index("text", "\n", 1)).alias("title"),
+    )
     phrases = table(spark, sf, "benchmark").select("item_id", T.normalize_surface(F.col("text")).alias("phrase"))
     met = _matches(spark, sf).join(phrases, "item_id").join(docs, "doc_id")
     return met.select("doc_id", "item_id", entities.exact_score(F.col("title"), F.col("body"), F.col("phrase")).alias("score"))
@@ -359,7 +388,12 @@ SELECT item_id, doc_id, chunk AS chunk_id, has::INT::DOUBLE AS chunk_score FROM
 )
 def best_exact_chunk(spark, sf):
     lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("chunk_index", "text"))
-    chunks = lines.select(F.col("doc_id").alias("page_id"), F.concat_ws(":", "doc_id", F.lpad(F.col("chunk_index").cast("string"), 5, "0")).alias("chunk_id"), "chunk_index", "text")
+    chunks = lines.select(
+        F.col("doc_id").alias("page_id"),
+        F.concat_ws(":", "doc_id", F.lpad(F.col("chunk_index").cast("string"), 5, "0")).alias("chunk_id"),
+        "chunk_index",
+        "text",
+    )
     phrases = table(spark, sf, "benchmark").select("item_id", T.normalize_surface(F.col("text")).alias("surface"))
     seeds = _matches(spark, sf).join(phrases, "item_id").select(F.col("item_id").alias("seed_id"), F.col("doc_id").alias("page_id"), "surface")
     best = entities.best_exact_chunk(seeds, chunks)
@@ -375,10 +409,19 @@ f AS (SELECT doc_id, s, MIN(k) - 1 AS start FROM m WHERE NOT regexp_matches(subs
 SELECT doc_id AS observation_id, s AS surface, start AS span_start, start + length(s) AS span_end, row_number() OVER (PARTITION BY doc_id ORDER BY start + length(s), length(s) DESC, s) AS seed_no FROM f"""
 )
 def gazetteer_seeds(spark, sf):
-    names = table(spark, sf, "benchmark").select(F.array_join(F.slice(T.tokens(F.col("text")), 1, 3), " ").alias("surface"), F.col("item_id").cast("string").alias("id"))
+    names = table(spark, sf, "benchmark").select(
+        F.array_join(F.slice(T.tokens(F.col("text")), 1, 3), " ").alias("surface"),
+        F.col("item_id").cast("string").alias("id"),
+    )
     gazetteer = names.groupBy("surface").agg(F.array_sort(F.collect_set("id")).alias("page_ids"))
     seeds = entities.gazetteer_seeds(table(spark, sf, "documents").select(F.col("doc_id").alias("observation_id"), "text"), gazetteer)
-    return seeds.select("observation_id", "surface", F.col("span_start").cast("long").alias("span_start"), F.col("span_end").cast("long").alias("span_end"), "seed_no")
+    return seeds.select(
+        "observation_id",
+        "surface",
+        F.col("span_start").cast("long").alias("span_start"),
+        F.col("span_end").cast("long").alias("span_end"),
+        "seed_no",
+    )
 
 
 HITS = f"""{ITEMS}, {BODIES}, {bm25_sql("x", "items", "bodies", "body")}, {bm25_sql("y", "items", "bodies", "title")},
@@ -405,7 +448,14 @@ SELECT query_id, doc, rank AS best_rank, score AS best_score, contributors, row_
 def entity_dedupe(spark, sf):
     hits = _hits(spark, sf).select("query_id", F.col("doc").alias("page_id"), "rank", "score", F.col("phase").alias("seed_id"))
     out = dedupe.best_hits(hits, "query_id")
-    return out.select("query_id", F.col("page_id").alias("doc"), "best_rank", "best_score", F.size("contributors").cast("long").alias("contributors"), "new_rank")
+    return out.select(
+        "query_id",
+        F.col("page_id").alias("doc"),
+        "best_rank",
+        "best_score",
+        F.size("contributors").cast("long").alias("contributors"),
+        "new_rank",
+    )
 
 
 @query(
@@ -414,7 +464,10 @@ s AS (SELECT doc_id, text, w, unnest(range(0, greatest(len(w), 1), 128)) AS pos
 SELECT doc_id, pos // 128 AS n, CASE WHEN len(w) <= 128 THEN text ELSE array_to_string(list_slice(w, pos + 1, pos + 128), '') END AS "window" FROM s"""
 )
 def token_windows(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(T.token_windows(F.col("text"), 128)).alias("n", "window")).withColumn("n", F.col("n").cast("long"))
+    return table(spark, sf, "documents").select(
+        "doc_id",
+        F.posexplode(T.token_windows(F.col("text"), 128)).alias("n", "window"),
+    ).withColumn("n", F.col("n").cast("long"))
 
 
 def vocabulary() -> tuple[str, str]:
@@ -478,15 +531,32 @@ def _cases(spark, sf):
     n = F.col("conv_id")
     word = lambda k: F.try_element_at("w", F.lit(k))
     cases = turns.filter("role = 'user'").select(
-        F.concat_ws(":", "conv_id", "turn").alias("case_id"), F.element_at(F.array(F.lit("positive"), F.lit("cue-ablated"), F.lit("memory-included")), (n % 3 + 1).cast("int")).alias("variant"),
-        F.concat(F.lit("Plan "), (n % 7).cast("string"), F.lit(" - "), word(1)).alias("output_choice"), word(1).alias("memory_choice"), F.array(F.concat(F.lit("p"), (n % 5).cast("string"))).alias("gold"),
+        F.concat_ws(":", "conv_id", "turn").alias("case_id"), F.element_at(
+            F.array(F.lit("positive"), F.lit("cue-ablated"), F.lit("memory-included")),
+            (n % 3 + 1).cast("int"),
+        ).alias("variant"),
+        F.concat(F.lit("Plan "), (n % 7).cast("string"), F.lit(" - "), word(1)).alias("output_choice"), word(1).alias("memory_choice"), F.array(
+            F.concat(F.lit("p"), (n % 5).cast("string")),
+        ).alias("gold"),
         F.when(word(2).isNotNull(), F.array(word(2))).otherwise(F.array().cast("array<string>")).alias("sensitive"), "conv_id", "turn",
     )
     answers = turns.filter("role = 'assistant'")
     key = F.concat_ws(":", "conv_id", F.col("turn") - 1).alias("case_id")
     marks = F.create_map(F.lit("p1"), F.array(F.lit("poison"))).alias("perturbations")
-    real = answers.select(key, F.col("turn").alias("position"), F.when(n % 4 == 0, "").otherwise(F.col("text")).alias("response_text"), F.array_distinct(F.array(F.concat(F.lit("p"), (F.col("turn") % 5).cast("string")), F.concat(F.lit("p"), (n % 4).cast("string")))).alias("admitted"), marks)
-    old = answers.select(key, (F.col("turn") - 100).alias("position"), F.lit("superseded").alias("response_text"), F.array(F.lit("p0")).alias("admitted"), marks)
+    real = answers.select(
+        key,
+        F.col("turn").alias("position"),
+        F.when(n % 4 == 0, "").otherwise(F.col("text")).alias("response_text"),
+        F.array_distinct(F.array(F.concat(F.lit("p"), (F.col("turn") % 5).cast("string")), F.concat(F.lit("p"), (n % 4).cast("string")))).alias("admitted"),
+        marks,
+    )
+    old = answers.select(
+        key,
+        (F.col("turn") - 100).alias("position"),
+        F.lit("superseded").alias("response_text"),
+        F.array(F.lit("p0")).alias("admitted"),
+        marks,
+    )
     return cases, real.unionByName(old)
 
 
@@ -530,7 +600,12 @@ SELECT variant, flow, mode, SUM(correct::INT)::BIGINT AS correct, COUNT(*) AS to
 )
 def grid_rollup(spark, sf):
     rows = scoring.score_rows(*_cases(spark, sf))
-    rows = rows.select("variant", F.concat(F.lit("flow"), (F.length("case_id") % 3).cast("string")).alias("flow"), F.concat(F.lit("mode"), (F.col("admitted_count") % 2).cast("string")).alias("mode"), "correct")
+    rows = rows.select(
+        "variant",
+        F.concat(F.lit("flow"), (F.length("case_id") % 3).cast("string")).alias("flow"),
+        F.concat(F.lit("mode"), (F.col("admitted_count") % 2).cast("string")).alias("mode"),
+        "correct",
+    )
     return scoring.grid(rows)
 
 
@@ -559,13 +634,20 @@ def interactive_evaluation(spark, sf):
     return scoring.evaluate(rows).select("case_id", "condition", "expected_choice", "successful", "retrieval_status")
 
 
-@query(f"WITH {CASES} SELECT case_id, array_to_string(list_sort(list_intersect(admitted, gold)), ',') AS both, array_to_string(list_sort(list_filter(admitted, lambda x: NOT list_contains(gold, x))), ',') AS spurious, list_sort(admitted) = list_sort(gold) AS same FROM j")
+@query(
+    f"WITH {CASES} SELECT case_id, array_to_string(list_sort(list_intersect(admitted, gold)), ',') AS both, array_to_string(list_sort(list_filter(admitted, lambda x: NOT list_contains(gold, x))), ',') AS spurious, list_sort(admitted) = list_sort(gold) AS same FROM j",
+)
 def admission_set_ops(spark, sf):
     cases, predictions = _cases(spark, sf)
     last = dedupe.last_wins(predictions, "case_id", "position").select("case_id", "admitted")
     rows = cases.join(last, "case_id", "left").withColumn("admitted", F.coalesce("admitted", F.array().cast("array<string>")))
     joined = lambda a: F.array_join(F.array_sort(a), ",")
-    return rows.select("case_id", joined(F.array_intersect("admitted", "gold")).alias("both"), joined(F.array_except("admitted", "gold")).alias("spurious"), (F.array_sort("admitted") == F.array_sort("gold")).alias("same"))
+    return rows.select(
+        "case_id",
+        joined(F.array_intersect("admitted", "gold")).alias("both"),
+        joined(F.array_except("admitted", "gold")).alias("spurious"),
+        (F.array_sort("admitted") == F.array_sort("gold")).alias("same"),
+    )
 
 
 @query(f"WITH {CASES} SELECT case_id, poison_admitted FROM scored")
@@ -573,15 +655,23 @@ def poison_flags(spark, sf):
     return scoring.score_rows(*_cases(spark, sf)).select("case_id", "poison_admitted")
 
 
-@query("SELECT conv_id, string_agg(n || '. ' || text, chr(10) || chr(10) ORDER BY n) AS context FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) GROUP BY conv_id")
+@query(
+    "SELECT conv_id, string_agg(n || '. ' || text, chr(10) || chr(10) ORDER BY n) AS context FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) GROUP BY conv_id",
+)
 def memory_context_render(spark, sf):
     texts = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
     return table(spark, sf, "conversations").groupBy("conv_id").agg(texts.alias("texts")).select("conv_id", T.render_context(F.col("texts")).alias("context"))
 
 
-@query("SELECT conv_id, turn, 'Task:' || chr(10) || 'Choose exactly one.' || CASE WHEN text <> '' THEN chr(10) || chr(10) || 'Observed tool result:' || chr(10) || text ELSE '' END AS model_input FROM conversations")
+@query(
+    "SELECT conv_id, turn, 'Task:' || chr(10) || 'Choose exactly one.' || CASE WHEN text <> '' THEN chr(10) || chr(10) || 'Observed tool result:' || chr(10) || text ELSE '' END AS model_input FROM conversations",
+)
 def model_input_render(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", T.render_input(F.lit("Choose exactly one."), F.lit("tool_result"), F.col("text"), F.lit(None).cast("string")).alias("model_input"))
+    return table(spark, sf, "conversations").select(
+        "conv_id",
+        "turn",
+        T.render_input(F.lit("Choose exactly one."), F.lit("tool_result"), F.col("text"), F.lit(None).cast("string")).alias("model_input"),
+    )
 
 
 # -- validation ----------------------------------------------------------------------------
@@ -616,10 +706,16 @@ def variant_completeness(spark, sf):
     return validate.variant_issues(cases).select(F.col("id").cast("long").alias("base_case_id"))
 
 
-@query(f"SELECT doc_id, item_id, (length({cf('d.text')}) - length(replace({cf('d.text')}, {cf('b.text')}, ''))) // length({cf('b.text')}) AS n FROM documents d, benchmark b WHERE contains({cf('d.text')}, {cf('b.text')})")
+@query(
+    f"SELECT doc_id, item_id, (length({cf('d.text')}) - length(replace({cf('d.text')}, {cf('b.text')}, ''))) // length({cf('b.text')}) AS n FROM documents d, benchmark b WHERE contains({cf('d.text')}, {cf('b.text')})",
+)
 def occurrence_count(spark, sf):
     met = entities.substring_matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text")
-    return met.select(F.col("doc").alias("doc_id"), F.col("phrase_id").alias("item_id"), T.count_occurrences(F.col("text"), F.col("phrase")).cast("long").alias("n"))
+    return met.select(
+        F.col("doc").alias("doc_id"),
+        F.col("phrase_id").alias("item_id"),
+        T.count_occurrences(F.col("text"), F.col("phrase")).cast("long").alias("n"),
+    )
 
 
 # -- caches and small text operators ----------------------------------------------------------
@@ -633,7 +729,11 @@ SELECT page_id, sha256('{{"model":"m","normalized_query":' || to_json(q) || ',"p
 )
 def cache_keys(spark, sf):
     rows = table(spark, sf, "pages")
-    return rows.select("page_id", caches.expansion_key(F.col("url"), "m", "v1").alias("expansion_key"), caches.response_key({"model": F.lit("m"), "prompt": T.normalize_query(F.col("url"))}).alias("response_key"))
+    return rows.select(
+        "page_id",
+        caches.expansion_key(F.col("url"), "m", "v1").alias("expansion_key"),
+        caches.response_key({"model": F.lit("m"), "prompt": T.normalize_query(F.col("url"))}).alias("response_key"),
+    )
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -665,34 +765,74 @@ def slug_canonicalize(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", T.canonical_slug(F.concat(prefix, F.lit("/"), "c_name", F.lit("/x"))).alias("slug"))
 
 
-@query("SELECT c_custkey, 'company/' || c_nationkey AS slug, c_name AS label FROM customer UNION ALL SELECT c_custkey, 'people/' || c_custkey, c_name FROM customer")
+@query(
+    "SELECT c_custkey, 'company/' || c_nationkey AS slug, c_name AS label FROM customer UNION ALL SELECT c_custkey, 'people/' || c_custkey, c_name FROM customer",
+)
 def markdown_links(spark, sf):
-    text = F.concat(F.lit("See ["), F.col("c_name"), F.lit("](company/"), F.col("c_nationkey").cast("string"), F.lit(") and ["), F.col("c_name"), F.lit("](people/"), F.col("c_custkey").cast("string"), F.lit(")."))
+    text = F.concat(
+        F.lit("See ["),
+        F.col("c_name"),
+        F.lit("](company/"),
+        F.col("c_nationkey").cast("string"),
+        F.lit(") and ["),
+        F.col("c_name"),
+        F.lit("](people/"),
+        F.col("c_custkey").cast("string"),
+        F.lit(")."),
+    )
     return table(spark, sf, "customer").select("c_custkey", F.explode(T.markdown_links(text)).alias("l")).select("c_custkey", "l.slug", "l.label")
 
 
-@query("SELECT 'evt-' || o_orderkey AS uid, 'Order; of: ' || o_custkey AS summary, strftime(o_orderdate, '%Y%m%d') AS starts, 1::BIGINT AS n_attendees FROM orders")
+@query(
+    "SELECT 'evt-' || o_orderkey AS uid, 'Order; of: ' || o_custkey AS summary, strftime(o_orderdate, '%Y%m%d') AS starts, 1::BIGINT AS n_attendees FROM orders",
+)
 def calendar_parse(spark, sf):
     n = F.col("o_orderkey").cast("string")
-    event = F.concat(F.lit("BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nUID:evt-"), n, F.lit("@cal\r\nSUMMARY:Order; \r\n of: "), F.col("o_custkey").cast("string"), F.lit("\r\nDTSTART;VALUE=DATE:"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("\r\nATTENDEE;CN=A:mailto:a@b\r\nEND:VEVENT\r\nEND:VCALENDAR"))
-    return corpus.calendar_events(table(spark, sf, "orders").select(event.alias("text"))).select("uid", "summary", "starts", F.size("attendees").cast("long").alias("n_attendees"))
+    event = F.concat(
+        F.lit("BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nUID:evt-"),
+        n,
+        F.lit("@cal\r\nSUMMARY:Order; \r\n of: "),
+        F.col("o_custkey").cast("string"),
+        F.lit("\r\nDTSTART;VALUE=DATE:"),
+        F.date_format("o_orderdate", "yyyyMMdd"),
+        F.lit("\r\nATTENDEE;CN=A:mailto:a@b\r\nEND:VEVENT\r\nEND:VCALENDAR"),
+    )
+    return corpus.calendar_events(table(spark, sf, "orders").select(event.alias("text"))).select(
+        "uid",
+        "summary",
+        "starts",
+        F.size("attendees").cast("long").alias("n_attendees"),
+    )
 
 
-@query("SELECT i, ['alpha', 'beta', 'gamma', 'delta', 'epsilon'][(i * 3) % 5 + 1] AS pick, i % 22 = 18 AS decoy FROM (SELECT unnest(range(COUNT(*))) AS i FROM region, nation)")
+@query(
+    "SELECT i, ['alpha', 'beta', 'gamma', 'delta', 'epsilon'][(i * 3) % 5 + 1] AS pick, i % 22 = 18 AS decoy FROM (SELECT unnest(range(COUNT(*))) AS i FROM region, nation)",
+)
 def strided_generator(spark, sf):
     n = table(spark, sf, "region").count() * table(spark, sf, "nation").count()
     pool = F.array(*[F.lit(x) for x in ("alpha", "beta", "gamma", "delta", "epsilon")])
-    return spark.range(n).select(F.col("id").alias("i"), F.element_at(pool, (F.pmod(F.col("id") * 3, F.lit(5)) + 1).cast("int")).alias("pick"), (F.col("id") % 22 == 18).alias("decoy"))
+    return spark.range(n).select(
+        F.col("id").alias("i"),
+        F.element_at(pool, (F.pmod(F.col("id") * 3, F.lit(5)) + 1).cast("int")).alias("pick"),
+        (F.col("id") % 22 == 18).alias("decoy"),
+    )
 
 
-@query("SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type, COUNT(*) AS n, round(SUM(value), 4) AS value FROM events GROUP BY ALL")
+@query(
+    "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type, COUNT(*) AS n, round(SUM(value), 4) AS value FROM events GROUP BY ALL",
+)
 def event_stream_admission(spark, sf):
     """Extension: the same counts from a stream that reads the table once."""
     schema = table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     path = f"{shared_dir(spark)}/recollect-stream-{uuid.uuid4().hex}"
     admission.run_available(admission.windowed_counts(stream), f"{path}/out", f"{path}/state")
-    return spark.read.parquet(f"{path}/out").select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("value", 4).alias("value"))
+    return spark.read.parquet(f"{path}/out").select(
+        F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("start"),
+        "event_type",
+        "n",
+        F.round("value", 4).alias("value"),
+    )
 
 
 from . import composite_queries, source_queries  # noqa: E402, F401  register their queries

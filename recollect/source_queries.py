@@ -50,7 +50,9 @@ def jsonl_strict_rows(spark, sf):
     return jsonl.strict(spark, _customer_lines(spark, sf), "c_custkey long, c_name string")[0]
 
 
-@query("SELECT CASE WHEN c_custkey % 10 = 0 THEN '{\"c_custkey\": ' || c_custkey ELSE '[1, 2]' END AS line FROM customer WHERE c_custkey % 11 <> 0 AND (c_custkey % 10 = 0 OR c_custkey % 7 = 0)")
+@query(
+    "SELECT CASE WHEN c_custkey % 10 = 0 THEN '{\"c_custkey\": ' || c_custkey ELSE '[1, 2]' END AS line FROM customer WHERE c_custkey % 11 <> 0 AND (c_custkey % 10 = 0 OR c_custkey % 7 = 0)",
+)
 def jsonl_broken_lines(spark, sf):
     return jsonl.strict(spark, _customer_lines(spark, sf), "c_custkey long, c_name string")[1].select(F.col("value").alias("line"))
 
@@ -89,7 +91,9 @@ def metrics_file(spark, sf):
     return spark.read.schema("a_rows long, b_texts long").json(path)
 
 
-@query("SELECT CASE conv_id % 2 WHEN 0 THEN 'no_memory' ELSE 'input_rag' END AS condition, COUNT(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY 1")
+@query(
+    "SELECT CASE conv_id % 2 WHEN 0 THEN 'no_memory' ELSE 'input_rag' END AS condition, COUNT(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY 1",
+)
 def published_predictions(spark, sf):
     """Predictions written once beside their settings, and read back."""
     path = folder(spark, "run")
@@ -155,8 +159,16 @@ def frontmatter_upsert(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", T.upsert_frontmatter(pick(FRONT, F.col("c_custkey")), "id", F.lit("9")).alias("page"))
 
 
-LINKED = ["attendees: user/ann, user/bo-b\nuser/c [x](user/dee) [y](docs/a/b)", "attendees : x user/ann\n[no](HTTP://x) [z](tools/t1)", "  attendees: user/ann\n[]( user/a)"]
-LINKED_OUT = ["attendees: people/ann, people/bo-b\nuser/c [x](people/dee) [y](source/a/b)", "attendees : x people/ann\n[no](HTTP://x) [z](concepts/t1)", "  attendees: user/ann\n[]( user/a)"]
+LINKED = [
+    "attendees: user/ann, user/bo-b\nuser/c [x](user/dee) [y](docs/a/b)",
+    "attendees : x user/ann\n[no](HTTP://x) [z](tools/t1)",
+    "  attendees: user/ann\n[]( user/a)",
+]
+LINKED_OUT = [
+    "attendees: people/ann, people/bo-b\nuser/c [x](people/dee) [y](source/a/b)",
+    "attendees : x people/ann\n[no](HTTP://x) [z](concepts/t1)",
+    "  attendees: user/ann\n[]( user/a)",
+]
 
 
 @query(f"SELECT c_custkey, {pick_sql(LINKED_OUT, 'c_custkey')} AS page FROM customer")
@@ -209,14 +221,25 @@ def normalized_corpus(spark, sf):
 def _raw(spark, sf):
     """Raw pages, chunks and links as a live store would hold them."""
     n = F.col("doc_id")
-    pages = table(spark, sf, "documents").select(n.alias("id"), F.lit("s").alias("source_id"), F.concat(F.lit("doc/"), n.cast("string")).alias("slug"), F.col("lang").alias("title"), F.when(n % 10 == 9, F.lit("gone")).alias("deleted_at"))
+    pages = table(spark, sf, "documents").select(
+        n.alias("id"),
+        F.lit("s").alias("source_id"),
+        F.concat(F.lit("doc/"), n.cast("string")).alias("slug"),
+        F.col("lang").alias("title"),
+        F.when(n % 10 == 9, F.lit("gone")).alias("deleted_at"),
+    )
     v = F.col("vec_id")
     chunks = table(spark, sf, "embeddings").select(
         v.alias("id"), (v - v % 2).alias("page_id"), (v % 2).cast("int").alias("chunk_index"), F.concat(F.lit("text "), v.cast("string")).alias("chunk_text"),
         F.when(v % 3 == 0, F.lit("llama-server:m")).otherwise("m").alias("model"), F.when(v % 5 == 0, F.lit("m:64")).alias("embedding_signature"), F.when(v % 7 == 0, "image").otherwise("text").alias("modality"),
         F.when(v % 11 != 0, F.col("embedding")).alias("embedding"),
     )
-    links = table(spark, sf, "documents").select(n.alias("from_page_id"), F.floor(n / 2).alias("to_page_id"), F.when(n % 2 == 0, "mentions").alias("link_type"), F.lit(None).cast("string").alias("link_source"))
+    links = table(spark, sf, "documents").select(
+        n.alias("from_page_id"),
+        F.floor(n / 2).alias("to_page_id"),
+        F.when(n % 2 == 0, "mentions").alias("link_type"),
+        F.lit(None).cast("string").alias("link_source"),
+    )
     return pages, chunks, links
 
 
@@ -233,13 +256,17 @@ def live_extract(spark, sf):
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
-@query("SELECT 's:doc/' || (vec_id - vec_id % 2) || ':' || (vec_id % 2) AS chunk_id, 's:doc/' || (vec_id - vec_id % 2) AS page_id, vec_id AS id FROM embeddings WHERE vec_id - vec_id % 2 IN (SELECT doc_id FROM documents)")
+@query(
+    "SELECT 's:doc/' || (vec_id - vec_id % 2) || ':' || (vec_id % 2) AS chunk_id, 's:doc/' || (vec_id - vec_id % 2) AS page_id, vec_id AS id FROM embeddings WHERE vec_id - vec_id % 2 IN (SELECT doc_id FROM documents)",
+)
 def stable_chunk_ids(spark, sf):
     pages, chunks, _ = _raw(spark, sf)
     return index.stable_chunks(chunks, index.stable_pages(pages)).select("chunk_id", "page_id", F.col("id"))
 
 
-@query("SELECT 's:doc/' || doc_id AS source_page_id, 's:doc/' || (doc_id // 2) AS target_page_id, CASE WHEN doc_id % 2 = 0 THEN 'mentions' ELSE '' END AS link_type FROM documents")
+@query(
+    "SELECT 's:doc/' || doc_id AS source_page_id, 's:doc/' || (doc_id // 2) AS target_page_id, CASE WHEN doc_id % 2 = 0 THEN 'mentions' ELSE '' END AS link_type FROM documents",
+)
 def stable_link_ids(spark, sf):
     pages, _, links = _raw(spark, sf)
     return index.stable_links(links, index.stable_pages(pages)).select("source_page_id", "target_page_id", "link_type")
@@ -267,15 +294,34 @@ def model_names(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", index.canonical_model(named).alias("model"))
 
 
-@query("SELECT 'chunks' AS name, COUNT(*) AS n FROM embeddings UNION ALL SELECT 'links', COUNT(*) FROM embeddings UNION ALL SELECT 'pages', COUNT(*) FROM embeddings")
+@query(
+    "SELECT 'chunks' AS name, COUNT(*) AS n FROM embeddings UNION ALL SELECT 'links', COUNT(*) FROM embeddings UNION ALL SELECT 'pages', COUNT(*) FROM embeddings",
+)
 def index_round_trip(spark, sf):
     """An index written once, read back and verified; the counts its manifest states."""
     v = F.col("vec_id").cast("string")
     page = F.concat(F.lit("s:"), v)
     rows = table(spark, sf, "embeddings")
-    pages = rows.select(page.alias("page_id"), F.lit("s").alias("source_id"), v.alias("slug"), v.alias("title"), F.array().cast("array<string>").alias("perturbations"))
-    chunks = rows.select(F.concat(page, F.lit(":0")).alias("chunk_id"), page.alias("page_id"), F.lit(0).alias("chunk_index"), v.alias("text"), F.col("embedding").cast("array<float>").alias("embedding"))
-    links = rows.select(page.alias("source_page_id"), page.alias("target_page_id"), F.lit("").alias("link_type"), F.lit(None).cast("string").alias("provenance"))
+    pages = rows.select(
+        page.alias("page_id"),
+        F.lit("s").alias("source_id"),
+        v.alias("slug"),
+        v.alias("title"),
+        F.array().cast("array<string>").alias("perturbations"),
+    )
+    chunks = rows.select(
+        F.concat(page, F.lit(":0")).alias("chunk_id"),
+        page.alias("page_id"),
+        F.lit(0).alias("chunk_index"),
+        v.alias("text"),
+        F.col("embedding").cast("array<float>").alias("embedding"),
+    )
+    links = rows.select(
+        page.alias("source_page_id"),
+        page.alias("target_page_id"),
+        F.lit("").alias("link_type"),
+        F.lit(None).cast("string").alias("provenance"),
+    )
     path, width = folder(spark, "index"), rows.agg(F.max(F.size("embedding"))).first()[0]
     index.write_index(index.MemoryIndex(pages, chunks, links), path, "c", "m", width)
     return index.read_index(spark, path, "m", width).manifest.select(F.explode("counts").alias("name", "n"))
@@ -294,20 +340,32 @@ def index_issues(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("page_id"))
     pages = docs.filter("page_id % 17 <> 5")
     v = F.col("vec_id")
-    broken = F.when(v % 13 == 1, F.slice("embedding", 1, 3)).when(v % 13 == 2, F.transform("embedding", lambda x: F.lit(float("inf")).cast("float"))).otherwise(F.col("embedding"))
+    broken = F.when(v % 13 == 1, F.slice("embedding", 1, 3)).when(
+        v % 13 == 2,
+        F.transform("embedding", lambda x: F.lit(float("inf")).cast("float")),
+    ).otherwise(F.col("embedding"))
     chunks = table(spark, sf, "embeddings").select(v.alias("chunk_id"), v.alias("page_id"), broken.alias("embedding"))
     links = docs.select(F.col("page_id").alias("source_page_id"), F.floor(F.col("page_id") / 2).alias("target_page_id"))
     return validate.index_issues(pages.unionByName(pages.filter("page_id % 17 = 4")), chunks, links, 64)
 
 
-@query("SELECT vec_id, len(embedding) AS width, round(embedding[1]::DOUBLE, 4) AS first, vec_id % 4 = 3 AS broken FROM embeddings WHERE vec_id % 4 <> 3 UNION ALL SELECT vec_id, NULL, NULL, true FROM embeddings WHERE vec_id % 4 = 3")
+@query(
+    "SELECT vec_id, len(embedding) AS width, round(embedding[1]::DOUBLE, 4) AS first, vec_id % 4 = 3 AS broken FROM embeddings WHERE vec_id % 4 <> 3 UNION ALL SELECT vec_id, NULL, NULL, true FROM embeddings WHERE vec_id % 4 = 3",
+)
 def vector_parse(spark, sf):
     """Vectors from text in either bracket; null where a part is no finite number."""
     n = F.col("vec_id") % 4
     inner = F.array_join(F.transform("embedding", lambda x: x.cast("string")), ", ")
-    said = F.when(n == 0, F.concat(F.lit("["), inner, F.lit("]"))).when(n == 1, F.concat(F.lit("("), inner, F.lit(")"))).when(n == 2, inner).otherwise(F.concat(F.lit("[NaN, "), inner, F.lit("]")))
+    said = F.when(n == 0, F.concat(F.lit("["), inner, F.lit("]"))).when(n == 1, F.concat(F.lit("("), inner, F.lit(")"))).when(n == 2, inner).otherwise(
+        F.concat(F.lit("[NaN, "), inner, F.lit("]")),
+    )
     rows = table(spark, sf, "embeddings").select("vec_id", T.parse_vector(said).alias("v"))
-    return rows.select("vec_id", F.when(F.col("v").isNotNull(), F.size("v")).cast("long").alias("width"), F.round(F.col("v")[0], 4).alias("first"), F.col("v").isNull().alias("broken"))
+    return rows.select(
+        "vec_id",
+        F.when(F.col("v").isNotNull(), F.size("v")).cast("long").alias("width"),
+        F.round(F.col("v")[0], 4).alias("first"),
+        F.col("v").isNull().alias("broken"),
+    )
 
 
 # -- caches -------------------------------------------------------------------------------
@@ -328,10 +386,18 @@ def cache_populate(spark, sf):
     path = folder(spark, "cache")
     asked.filter("doc_id % 2 = 0").withColumn("answer", F.lit("kept")).write.parquet(path)
     cache = spark.read.schema("doc_id long, answer string").parquet(path)
-    return caches.populate(asked.select(F.col("doc_id").cast("long").alias("doc_id")), cache, "doc_id", lambda lost: lost.withColumn("answer", F.lit("made")), path)
+    return caches.populate(
+        asked.select(F.col("doc_id").cast("long").alias("doc_id")),
+        cache,
+        "doc_id",
+        lambda lost: lost.withColumn("answer", F.lit("made")),
+        path,
+    )
 
 
-@query("SELECT sha256(string_agg(n || ':' || sha256(url), chr(10) ORDER BY n)) AS digest, COUNT(*) AS entries FROM (SELECT page_id::VARCHAR AS n, coalesce(url, '') AS url FROM pages WHERE page_id % 3 = 0)")
+@query(
+    "SELECT sha256(string_agg(n || ':' || sha256(url), chr(10) ORDER BY n)) AS digest, COUNT(*) AS entries FROM (SELECT page_id::VARCHAR AS n, coalesce(url, '') AS url FROM pages WHERE page_id % 3 = 0)",
+)
 def cache_used_digest(spark, sf):
     used = table(spark, sf, "pages").filter("page_id % 3 = 0").select(F.col("page_id").cast("string").alias("n"), F.coalesce("url", F.lit("")).alias("url"))
     return caches.used_digest(used, "n", "url")
@@ -344,7 +410,10 @@ EXPANDED = [("a", "b", "c"), ("a", "b", "B "), ("a", " ", "c"), ("Query  One", "
 def expansion_validity(spark, sf):
     """Three alternatives, unlike each other and the query after normalisation."""
     lists = F.array(*[F.array(*[F.lit(x) for x in e]) for e in EXPANDED])
-    return table(spark, sf, "documents").select("doc_id", caches.valid_expansions(F.element_at(lists, (F.col("doc_id") % 5 + 1).cast("int")), F.lit("query one")).alias("valid"))
+    return table(spark, sf, "documents").select(
+        "doc_id",
+        caches.valid_expansions(F.element_at(lists, (F.col("doc_id") % 5 + 1).cast("int")), F.lit("query one")).alias("valid"),
+    )
 
 
 # -- small functions --------------------------------------------------------------------------
@@ -375,14 +444,18 @@ def case_labels(spark, sf):
     return table(spark, sf, "documents").select("doc_id", label.alias("label"))
 
 
-@query(f"SELECT doc_id, {pick_sql(['tool_output_only', 'model_output_only', 'a-b'], 'doc_id')} AS flow, {pick_sql(['dense', 'hybrid'], 'doc_id')} AS mode FROM documents")
+@query(
+    f"SELECT doc_id, {pick_sql(['tool_output_only', 'model_output_only', 'a-b'], 'doc_id')} AS flow, {pick_sql(['dense', 'hybrid'], 'doc_id')} AS mode FROM documents",
+)
 def run_names(spark, sf):
     n = F.col("doc_id")
     file = F.concat(F.lit("runs/naive-"), pick(["tool_output_only", "model_output_only", "a-b"], n), F.lit("-"), pick(["dense", "hybrid"], n), F.lit(".jsonl"))
     return table(spark, sf, "documents").select("doc_id", T.run_name(file, "naive-").alias("r")).select("doc_id", "r.flow", "r.mode")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'input_tokens=5,output_tokens=' || doc_id WHEN doc_id % 3 = 1 THEN 'output_tokens=' || doc_id ELSE '' END AS known FROM documents")
+@query(
+    "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'input_tokens=5,output_tokens=' || doc_id WHEN doc_id % 3 = 1 THEN 'output_tokens=' || doc_id ELSE '' END AS known FROM documents",
+)
 def usage_flatten(spark, sf):
     """The counts that are known, as a map."""
     n = F.col("doc_id")
@@ -422,35 +495,61 @@ def listing_lines(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(T.listing_labels(pick(LISTS, F.col("doc_id"))), "|").alias("labels"))
 
 
-@query(f"SELECT conv_id, turn, {cf('text')} LIKE '%the%' AND NOT {cf('text')} LIKE '%and%' AS positive, {cf('text')} LIKE '%and%' AS control FROM conversations WHERE text IS NOT NULL")
+@query(
+    f"SELECT conv_id, turn, {cf('text')} LIKE '%the%' AND NOT {cf('text')} LIKE '%and%' AS positive, {cf('text')} LIKE '%and%' AS control FROM conversations WHERE text IS NOT NULL",
+)
 def coarse_correctness(spark, sf):
     """Plain containment of the choices, for positive cases and controls."""
     rows = table(spark, sf, "conversations").filter("text is not null")
-    return rows.select("conv_id", "turn", *[T.coarse_correct(F.col("text"), F.lit("AND"), F.lit("the"), F.lit(control)).alias(name) for name, control in (("positive", False), ("control", True))])
+    return rows.select(
+        "conv_id",
+        "turn",
+        *[T.coarse_correct(F.col("text"), F.lit("AND"), F.lit("the"), F.lit(control)).alias(name) for name, control in (("positive", False), ("control", True))],
+    )
 
 
 @query("SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS body FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
 def body_concat(spark, sf):
     """Chunk texts of a page joined in index order."""
-    chunks = table(spark, sf, "conversations").filter("text is not null").select(F.col("conv_id").alias("page_id"), F.col("turn").alias("chunk_index"), F.concat_ws(":", "conv_id", "turn").alias("chunk_id"), "text")
+    chunks = table(spark, sf, "conversations").filter("text is not null").select(
+        F.col("conv_id").alias("page_id"),
+        F.col("turn").alias("chunk_index"),
+        F.concat_ws(":", "conv_id", "turn").alias("chunk_id"),
+        "text",
+    )
     return entities.bodies(chunks).select(F.col("page_id").alias("conv_id"), "body")
 
 
-@query("SELECT surface, COUNT(DISTINCT id) AS n, MIN(id) AS first FROM (SELECT lower(c_mktsegment) AS surface, c_custkey AS id FROM customer UNION ALL SELECT 'seg ' || (c_custkey % 20), c_custkey FROM customer) GROUP BY surface")
+@query(
+    "SELECT surface, COUNT(DISTINCT id) AS n, MIN(id) AS first FROM (SELECT lower(c_mktsegment) AS surface, c_custkey AS id FROM customer UNION ALL SELECT 'seg ' || (c_custkey % 20), c_custkey FROM customer) GROUP BY surface",
+)
 def surface_pages(spark, sf):
     """Pages by normalised surface of title and slug."""
-    pages = table(spark, sf, "customer").select(F.col("c_custkey").alias("page_id"), F.col("c_mktsegment").alias("title"), F.concat(F.lit("x/Seg-"), (F.col("c_custkey") % 20).cast("string")).alias("slug"))
+    pages = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("page_id"),
+        F.col("c_mktsegment").alias("title"),
+        F.concat(F.lit("x/Seg-"), (F.col("c_custkey") % 20).cast("string")).alias("slug"),
+    )
     return entities.surfaces(pages).select("surface", F.size("page_ids").cast("long").alias("n"), F.col("page_ids")[0].alias("first"))
 
 
-@query("SELECT o_custkey AS query_id, o_orderpriority AS source_id, MAX(o_totalprice)::DOUBLE AS score, row_number() OVER (PARTITION BY o_custkey ORDER BY MAX(o_totalprice) DESC, o_orderpriority) AS rank FROM orders GROUP BY 1, 2 QUALIFY rank <= 3")
+@query(
+    "SELECT o_custkey AS query_id, o_orderpriority AS source_id, MAX(o_totalprice)::DOUBLE AS score, row_number() OVER (PARTITION BY o_custkey ORDER BY MAX(o_totalprice) DESC, o_orderpriority) AS rank FROM orders GROUP BY 1, 2 QUALIFY rank <= 3",
+)
 def max_merge_windows(spark, sf):
     """The best score of each source over the windows of a query."""
-    hits = table(spark, sf, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderpriority").alias("source_id"), F.col("o_orderkey").alias("window"), F.col("o_totalprice").cast("double").alias("score"))
+    hits = table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("query_id"),
+        F.col("o_orderpriority").alias("source_id"),
+        F.col("o_orderkey").alias("window"),
+        F.col("o_totalprice").cast("double").alias("score"),
+    )
     return R.max_merge(hits, 3).select("query_id", "source_id", "score", "rank")
 
 
-@query("SELECT doc_id, CASE WHEN length(text) > 8000 THEN (length(text) + 5999) // 6000 ELSE 1 END AS windows, CASE WHEN length(text) > 8000 THEN substr(text, 6001, 6000) END AS second FROM documents WHERE text IS NOT NULL")
+@query(
+    "SELECT doc_id, CASE WHEN length(text) > 8000 THEN (length(text) + 5999) // 6000 ELSE 1 END AS windows, CASE WHEN length(text) > 8000 THEN substr(text, 6001, 6000) END AS second FROM documents WHERE text IS NOT NULL",
+)
 def character_windows(spark, sf):
     rows = table(spark, sf, "documents").filter("text is not null").select("doc_id", R.text_windows(F.col("text")).alias("w"))
     return rows.select("doc_id", F.size("w").cast("long").alias("windows"), F.try_element_at("w", F.lit(2)).alias("second"))
@@ -468,7 +567,9 @@ def listing_generator(spark, sf):
     i = F.col("id")
     a, b = pick(STRIDE_POOL, i * 3), pick(STRIDE_POOL, i * 5 + 1)
     head = F.concat(F.lit("Item "), i.cast("string"), F.lit(" — "))
-    line = F.when(i == 147, "Item 147 — The cue row. It says so").when((i >= 18) & ((i - 18) % 22 == 0), F.concat(head, F.lit("Decoy "), a, F.lit(". "), b)).otherwise(F.concat(head, a, F.lit(" "), b, F.lit(". "), a))
+    line = F.when(i == 147, "Item 147 — The cue row. It says so").when((i >= 18) & ((i - 18) % 22 == 0), F.concat(head, F.lit("Decoy "), a, F.lit(". "), b)).otherwise(
+        F.concat(head, a, F.lit(" "), b, F.lit(". "), a),
+    )
     return spark.range(200).select(i.alias("i"), line.alias("line"))
 
 
@@ -480,26 +581,51 @@ WORDS_SQL = toks("text")
 def _case_rows(spark, sf):
     """One valid case in three variants for each customer, one rule broken in some: by key % 16."""
     n = F.col("c_custkey")
-    base = table(spark, sf, "customer").select(n, F.concat(F.lit("b"), n.cast("string")).alias("base_case_id"), F.explode(F.array(*[F.lit(v) for v in VARIANTS])).alias("variant"))
+    base = table(spark, sf, "customer").select(
+        n,
+        F.concat(F.lit("b"), n.cast("string")).alias("base_case_id"),
+        F.explode(F.array(*[F.lit(v) for v in VARIANTS])).alias("variant"),
+    )
     k = n % 16
     hit = F.col("variant") == "positive"
     broken = lambda number: hit & (k == number)
     cue = "the cue here"
     listing = "\n".join(f"Item {i}. Choice{i}" for i in range(26))
-    text = F.concat(F.when(broken(1), F.lit(listing.replace("Item 25", "Entry 25"))).when(broken(2), F.lit(listing.replace("Item 25", "Item 24"))).otherwise(F.lit(listing)), F.lit("\nRed plan once. Blue plan once."))
+    text = F.concat(
+        F.when(broken(1), F.lit(listing.replace("Item 25", "Entry 25"))).when(broken(2), F.lit(listing.replace("Item 25", "Item 24"))).otherwise(F.lit(listing)),
+        F.lit("\nRed plan once. Blue plan once."),
+    )
     text = F.when(broken(3), F.concat(text, F.lit(" Red plan twice."))).otherwise(text)
     text = F.when((F.col("variant") == "cue-ablated") | broken(4), text).otherwise(F.concat(text, F.lit(f" {cue}")))
-    prompt = F.when(broken(5), "Choose one.").when(broken(6), f"Choose exactly one, {cue}.").when(F.col("variant") == "memory-included", "Choose exactly one. Memory prose").otherwise("Choose exactly one.")
+    prompt = F.when(broken(5), "Choose one.").when(broken(6), f"Choose exactly one, {cue}.").when(
+        F.col("variant") == "memory-included",
+        "Choose exactly one. Memory prose",
+    ).otherwise("Choose exactly one.")
     control = F.col("variant") == "cue-ablated"
     other = F.when(control | broken(7), "Red plan").otherwise("Blue plan")
-    source = F.struct(F.when(broken(8), "x").otherwise("notes/a").alias("source_id"), F.lit("notes/a.md").alias("path"), F.when(broken(9), "h2").otherwise("h").alias("sha256"), F.when(broken(10), F.array(F.lit("poison"))).otherwise(F.array().cast("array<string>")).alias("perturbations"))
-    distractors = F.array(*[F.struct(F.lit(str(i)).alias("source_id"), F.lit("t").alias("text"), F.array().cast("array<string>").alias("perturbations")) for i in range(3)])
+    source = F.struct(
+        F.when(broken(8), "x").otherwise("notes/a").alias("source_id"),
+        F.lit("notes/a.md").alias("path"),
+        F.when(broken(9), "h2").otherwise("h").alias("sha256"),
+        F.when(broken(10), F.array(F.lit("poison"))).otherwise(F.array().cast("array<string>")).alias("perturbations"),
+    )
+    distractors = F.array(
+        *[F.struct(F.lit(str(i)).alias("source_id"), F.lit("t").alias("text"), F.array().cast("array<string>").alias("perturbations")) for i in range(3)],
+    )
     return base.select(
         F.concat_ws(":", "base_case_id", "variant").alias("case_id"), "base_case_id", "variant", prompt.alias("prompt"),
         F.struct(F.when(broken(11), "odd").otherwise("tool_result").alias("kind")).alias("observation"),
         F.struct(F.when(broken(12), False).otherwise(~control).alias("present"), F.lit(cue).alias("text")).alias("cue"),
-        F.struct(F.when(broken(13), "").otherwise("memory prose").alias("text"), F.array(F.lit("notes/a")).alias("gold_source_ids"), F.array(source).cast(f"array<{SOURCE}>").alias("sources")).alias("memory"),
-        F.struct(F.when(broken(14), "number").otherwise("natural_language_choice").alias("answer_type"), F.struct(F.lit("Red plan").alias("choice")).alias("output_only"), F.struct(other.alias("choice")).alias("memory_conditioned")).alias("decisions"),
+        F.struct(
+            F.when(broken(13), "").otherwise("memory prose").alias("text"),
+            F.array(F.lit("notes/a")).alias("gold_source_ids"),
+            F.array(source).cast(f"array<{SOURCE}>").alias("sources"),
+        ).alias("memory"),
+        F.struct(
+            F.when(broken(14), "number").otherwise("natural_language_choice").alias("answer_type"),
+            F.struct(F.lit("Red plan").alias("choice")).alias("output_only"),
+            F.struct(other.alias("choice")).alias("memory_conditioned"),
+        ).alias("decisions"),
         F.struct(F.when(broken(15), F.slice(distractors, 1, 2)).otherwise(distractors).alias("sources")).alias("distractors"), text.alias("observation_text"),
     )
 
@@ -523,7 +649,9 @@ BROKEN = {
 }
 
 
-@query(f"SELECT 'b' || c_custkey || ':positive' AS id, m AS message FROM customer JOIN (VALUES {', '.join(f'''({k}, '{m}')''' for k, m in BROKEN.items() if m)}) AS r(k, m) ON c_custkey % 16 = k")
+@query(
+    f"SELECT 'b' || c_custkey || ':positive' AS id, m AS message FROM customer JOIN (VALUES {', '.join(f'''({k}, '{m}')''' for k, m in BROKEN.items() if m)}) AS r(k, m) ON c_custkey % 16 = k",
+)
 def case_rules(spark, sf):
     """Each rule on cases broken once, and nothing else found."""
     files = spark.range(1).select(F.lit("notes/a.md").alias("path"), F.lit("h").alias("sha256"))
@@ -534,7 +662,11 @@ def case_rules(spark, sf):
 
 
 def _order_hits(spark, sf):
-    return table(spark, sf, "orders").select(F.col("o_custkey").alias("case_id"), (F.col("o_orderkey") % 23).alias("page_id"), F.col("o_orderkey").alias("rank"))
+    return table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("case_id"),
+        (F.col("o_orderkey") % 23).alias("page_id"),
+        F.col("o_orderkey").alias("rank"),
+    )
 
 
 @query(

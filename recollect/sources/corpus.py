@@ -36,7 +36,10 @@ def calendar_events(calendars: DataFrame, text: str = "text") -> DataFrame:
     """One row a VEVENT: uid (cut at @), and the first value of the usual keys; attendees as an array."""
     unfolded = F.regexp_replace(F.regexp_replace(F.col(text), "\r\n", "\n"), "\n[ \t]", "")
     blocks = calendars.select(F.explode(F.regexp_extract_all(unfolded, F.lit(r"(?s)BEGIN:VEVENT\n(.*?)\nEND:VEVENT"), F.lit(1))).alias("block"))
-    pairs = F.transform(F.filter(F.split("block", "\n"), lambda x: F.contains(x, F.lit(":"))), lambda x: F.struct(F.substring_index(x, ":", 1).alias("k"), F.substring(x, F.instr(x, ":") + 1, F.length(x)).alias("v")))
+    pairs = F.transform(
+        F.filter(F.split("block", "\n"), lambda x: F.contains(x, F.lit(":"))),
+        lambda x: F.struct(F.substring_index(x, ":", 1).alias("k"), F.substring(x, F.instr(x, ":") + 1, F.length(x)).alias("v")),
+    )
     rows = blocks.withColumn("pairs", pairs)
 
     def values(name: str) -> Column:
@@ -65,9 +68,15 @@ def page_markdown(fields: dict[str, Column], body: Column) -> Column:
 
 def entity_labels(pages: DataFrame) -> DataFrame:
     """(slug, title, labels) of all link targets: the longest label, then case-folded order, is the title."""
-    links = pages.select(F.explode(T.markdown_links(F.col("text"))).alias("l")).select(T.canonical_slug(F.col("l.slug")).alias("slug"), F.trim("l.label").alias("label"))
+    links = pages.select(F.explode(T.markdown_links(F.col("text"))).alias("l")).select(
+        T.canonical_slug(F.col("l.slug")).alias("slug"),
+        F.trim("l.label").alias("label"),
+    )
     by_case = F.array_sort(F.collect_set(F.struct(T.casefold(F.col("label")).alias("f"), "label")))
-    return links.groupBy("slug").agg(F.min(F.struct(-F.length("label"), T.casefold(F.col("label")), "label"))["label"].alias("title"), F.transform(by_case, lambda x: x["label"]).alias("labels"))
+    return links.groupBy("slug").agg(
+        F.min(F.struct(-F.length("label"), T.casefold(F.col("label")), "label"))["label"].alias("title"),
+        F.transform(by_case, lambda x: x["label"]).alias("labels"),
+    )
 
 
 def entity_stubs(pages: DataFrame) -> DataFrame:
@@ -102,17 +111,29 @@ def normalized_pages(files: DataFrame, marks: DataFrame, version: str) -> DataFr
     rows = rows.withColumn("made", T.upsert_frontmatter(F.col("made"), "type", F.concat(F.lit('"'), T.mapped(F.col("folder"), types), F.lit('"'))))
     heading = F.trim(F.regexp_extract("made", r"(?m)^#\s+(.+)$", 1))
     titled = (F.col("folder") == "meetings") & (heading != "")
-    rows = rows.withColumn("made", F.when(titled, T.upsert_frontmatter(F.col("made"), "title", F.to_json(F.array(heading)).substr(F.lit(2), F.length(F.to_json(F.array(heading))) - 2))).otherwise(F.col("made")))
+    rows = rows.withColumn(
+        "made",
+        F.when(
+            titled,
+            T.upsert_frontmatter(F.col("made"), "title", F.to_json(F.array(heading)).substr(F.lit(2), F.length(F.to_json(F.array(heading))) - 2)),
+        ).otherwise(F.col("made")),
+    )
     return rows.select("slug", T.rewrite_links(F.col("made")).alias("text"))
 
 
 def mail_pages(mails: DataFrame, version: str) -> DataFrame:
     """mails: id, subject, sender, body, source_hash -> (slug, text)."""
     fields = {"id": F.col("id"), "source": F.lit(version), "source_sha256": F.col("source_hash"), "from": F.col("sender")}
-    return mails.select(F.concat(F.lit("emails/"), "id").alias("slug"), page_markdown(fields, F.concat(F.lit("# "), "subject", F.lit("\n\n"), "body")).alias("text"))
+    return mails.select(
+        F.concat(F.lit("emails/"), "id").alias("slug"),
+        page_markdown(fields, F.concat(F.lit("# "), "subject", F.lit("\n\n"), "body")).alias("text"),
+    )
 
 
 def normalized_corpus(files: DataFrame, marks: DataFrame, version: str, note: str, *others: DataFrame) -> DataFrame:
     """All pages of a corpus, (slug, text): its files, the given other pages, and stubs of what they link to."""
-    pages = reduce(DataFrame.unionByName, [normalized_pages(files, marks, version), *[o.select("slug", T.rewrite_links(F.col("text")).alias("text")) for o in others]])
+    pages = reduce(
+        DataFrame.unionByName,
+        [normalized_pages(files, marks, version), *[o.select("slug", T.rewrite_links(F.col("text")).alias("text")) for o in others]],
+    )
     return pages.unionByName(stub_pages(entity_labels(pages), version, note))

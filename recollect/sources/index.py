@@ -30,7 +30,11 @@ class MemoryIndex:
         """(page_id, title, body)."""
         from ..operators.entities import bodies
 
-        return self.pages.select("page_id", "title").join(bodies(self.chunks), "page_id", "left").select("page_id", "title", F.coalesce("body", F.lit("")).alias("body"))
+        return self.pages.select("page_id", "title").join(bodies(self.chunks), "page_id", "left").select(
+            "page_id",
+            "title",
+            F.coalesce("body", F.lit("")).alias("body"),
+        )
 
 
 def stable_pages(raw: DataFrame) -> DataFrame:
@@ -130,7 +134,10 @@ def content_digest(table: DataFrame) -> DataFrame:
     h = F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(table.columns)])), 256)
     halves = [F.conv(F.substring(h, 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)") for k in range(4)]
     sums = [F.coalesce(F.sum(x), F.lit(0).cast("decimal(38,0)")).cast("string").alias(f"s{k}") for k, x in enumerate(halves)]
-    return table.agg(F.count("*").alias("n"), *sums).select(F.col("n").alias("rows"), F.sha2(F.concat_ws(":", "n", "s0", "s1", "s2", "s3"), 256).alias("digest"))
+    return table.agg(F.count("*").alias("n"), *sums).select(
+        F.col("n").alias("rows"),
+        F.sha2(F.concat_ws(":", "n", "s0", "s1", "s2", "s3"), 256).alias("digest"),
+    )
 
 
 def write_index(index: MemoryIndex, path: str, corpus_id: str, model: str, dimensions: int) -> None:
@@ -190,7 +197,9 @@ def read_index(spark: SparkSession, path: str, model: str | None = None, dimensi
         elif stated.artifact_hashes.get(name) != real.digest:
             wrong.append(f"hash of {name}")
     if not wrong:
-        wrong = [f"{r.id}: {r.message}" for r in validate.index_issues(tables["pages"], tables["chunks"], tables["links"], stated.embedding_dimensions).head(20)]
+        wrong = [
+            f"{r.id}: {r.message}" for r in validate.index_issues(tables["pages"], tables["chunks"], tables["links"], stated.embedding_dimensions).head(20)
+        ]
     if wrong:
         raise ValueError("index is invalid: " + "; ".join(wrong))
     return MemoryIndex(tables["pages"], tables["chunks"], tables["links"], manifest)
@@ -201,5 +210,9 @@ def live_extract(pages: DataFrame, chunks: DataFrame, links: DataFrame) -> tuple
     kept = pages.filter("deleted_at is null")
     ids = kept.select(F.col("id").alias("page_id"))
     text = chunks.filter("modality = 'text' and embedding is not null").join(ids, "page_id", "left_semi")
-    both = links.join(ids.withColumnRenamed("page_id", "from_page_id"), "from_page_id", "left_semi").join(ids.withColumnRenamed("page_id", "to_page_id"), "to_page_id", "left_semi")
+    both = links.join(ids.withColumnRenamed("page_id", "from_page_id"), "from_page_id", "left_semi").join(
+        ids.withColumnRenamed("page_id", "to_page_id"),
+        "to_page_id",
+        "left_semi",
+    )
     return kept, text, both

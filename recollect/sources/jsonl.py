@@ -27,7 +27,12 @@ def lenient(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows with their position, for last-wins rules: (file, offset of the split, line of the split)
     as one string that sorts in file order, however the files are split into tasks."""
     meta = F.col("_metadata")
-    lines = spark.read.text(path).select("value", meta["file_path"].alias("file"), meta["file_block_start"].alias("start"), F.monotonically_increasing_id().alias("n"))
+    lines = spark.read.text(path).select(
+        "value",
+        meta["file_path"].alias("file"),
+        meta["file_block_start"].alias("start"),
+        F.monotonically_increasing_id().alias("n"),
+    )
     place = F.concat_ws(":", "file", F.lpad(F.col("start").cast("string"), 19, "0"), F.lpad(F.col("n").cast("string"), 19, "0"))
     return lines.filter(F.trim("value") != "").select(F.from_json("value", schema).alias("r"), place.alias("position")).select("r.*", "position")
 
