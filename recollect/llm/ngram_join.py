@@ -54,8 +54,8 @@ FREQUENT = 32
 ORDER_ENTRIES = 1 << 18
 #: Groups of up to SMALL classes give all their pairs at once: at most SMALL / 2 for each class.
 SMALL = 16
-#: Classes, and shingles of their sets, on one side of a comparison.
-BLOCK, HEAVY = 256, 1 << 20
+#: Classes, and shingles of their sets, on one side of a comparison; classes that meet one leader in a cell.
+BLOCK, HEAVY, STAR = 256, 1 << 20, 64
 #: Members of a group that one task may hold when groups meet their leaders.
 SPREAD = 1024
 #: Sizes of one block differ by less than this factor.
@@ -521,7 +521,7 @@ def _groups(prefixes: DataFrame, light: DataFrame) -> DataFrame:
 def _first_cells(light: DataFrame, groups: DataFrame, share) -> DataFrame:
     """Cells of the first round: the pairs of small groups, and members of larger ones with their leader."""
     start = f"{share[0] + share[1]} * least(n - place, leader_n - leader_place) >= {share[0]} * (n + leader_n)"
-    weight = F.col("size") * F.greatest(F.lit(1 / BLOCK), F.col("leader_n") * (share[1] / share[0] / HEAVY))  # no partner is larger than the leader allows
+    weight = F.col("size") * F.greatest(F.lit(1 / STAR), F.col("leader_n") * (share[1] / share[0] / HEAVY))  # no partner is larger than the leader allows
     stars = groups.filter("node <> leader").filter(start).select(F.col("leader").alias("u"), F.col("node").alias("v"), F.ceil(weight).cast("int").alias("parts"))
     pairs = light.filter("v is not null").select("u", "v", F.lit(1).alias("parts")).unionByName(stars).groupBy("u", "v").agg(F.max("parts").alias("parts"))
     pairs = pairs.select("u", "v", F.xxhash64("u", F.pmod(F.xxhash64("v"), F.col("parts"))).alias("cell"))
