@@ -127,7 +127,12 @@ def canonical(records: DataFrame, record: str = "record") -> DataFrame:
             fields = sorted({f for _, many in source for f in many})
             parsed = F.from_json(raw, "struct<" + ",".join(f"`{f}`:string" for f in fields) + ">")
             made = F.array(
-                *[_turn(F.lit(role), F.concat_ws("\n\n", *[F.nullif(parsed[f], F.lit("")) if len(many) > 1 else parsed[f] for f in many])) for role, many in source]
+                *[
+                    _turn(
+                        F.lit(role),
+                        F.concat_ws("\n\n", *[F.nullif(parsed[f], F.lit("")) if len(many) > 1 else parsed[f] for f in many]),
+                    ) for role, many in source
+                ]
             )
         hit = F.col("fingerprint") == known(paths)
         if kind == "list":  # without elements there are no nested paths
@@ -155,7 +160,10 @@ def mask(turns: Column, trained: str = "assistant") -> Column:
         F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")),
         lambda acc, t: F.struct(
             (acc["at"] + t["lead"] + t["body"] + F.length(F.lit(CLOSE))).alias("at"),
-            F.when(t["train"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + t["lead"]).alias("start"), t["body"].alias("length"))))).otherwise(acc["spans"]).alias("spans"),
+            F.when(
+                t["train"],
+                F.concat(acc["spans"], F.array(F.struct((acc["at"] + t["lead"]).alias("start"), t["body"].alias("length")))),
+            ).otherwise(acc["spans"]).alias("spans"),
         ),
     )
     return spans["spans"]

@@ -139,7 +139,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.
     named = rows.filter("vec_id is not null").groupBy("vec_id", "class").agg(F.first("vector").alias("vector"))
     nameless = rows.filter("vec_id is null").select("vec_id", F.lit(None).cast("string").alias("class"), F.lit(None).cast("binary").alias("vector"))
     members = cut(named.unionByName(nameless), "vectors")
-    classes = members.filter("vector is not null").groupBy("class").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.first("vector").alias("vector"))
+    classes = members.filter("vector is not null").groupBy("class").agg(
+        F.min("vec_id").alias("least"),
+        F.count("*").alias("weight"),
+        F.first("vector").alias("vector"),
+    )
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()), "classes")  # written, so that numbers stay
     k, tables = plan(classes.count(), cosine, recall)
 

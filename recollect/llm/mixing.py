@@ -68,7 +68,15 @@ def rates(docs: DataFrame, weights: dict[str, float], default: float = 1.0, sour
     return sizes.withColumn("one", F.lit(1)).join(F.broadcast(total), "one").select("mix_source", rate.alias("mix_rate"))  # total is one row
 
 
-def mix(docs: DataFrame, weights: dict[str, float], seed: int = 17, default: float = 1.0, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+def mix(
+    docs: DataFrame,
+    weights: dict[str, float],
+    seed: int = 17,
+    default: float = 1.0,
+    key: str = "doc_id",
+    source: str = "source",
+    text: str = "text",
+) -> DataFrame:
     """Repeat documents to the target weights and deal the copies out globally.
 
     Returns the columns of ``docs`` with copy (from 0), n_copies and mix_key;
@@ -85,7 +93,10 @@ def mix(docs: DataFrame, weights: dict[str, float], seed: int = 17, default: flo
     whole = F.floor(rate / PIECE).cast("int")
     ident = F.coalesce(F.col(key).cast("string"), F.lit(""))
     full = F.aggregate(
-        F.transform(F.when(whole > 0, F.sequence(F.lit(1), whole)).otherwise(F.array().cast("array<int>")), lambda i: quantile(F.lit(PIECE), uniform(F.lit(f"draw-{seed}"), ident, i.cast("string")))),
+        F.transform(
+            F.when(whole > 0, F.sequence(F.lit(1), whole)).otherwise(F.array().cast("array<int>")),
+            lambda i: quantile(F.lit(PIECE), uniform(F.lit(f"draw-{seed}"), ident, i.cast("string"))),
+        ),
         F.lit(0),
         lambda a, b: a + b,
     )

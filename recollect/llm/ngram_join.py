@@ -244,7 +244,10 @@ def _prefixes(docs: DataFrame, key: str, text: str, frequent, share) -> DataFram
                 names.clear()
                 seen.clear()
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 6, pa.int32()]
-            return pa.RecordBatch.from_arrays([pa.array([m[c] for m in made], k) for c, k in enumerate(kinds)], names=[f.split()[0] for f in _PREFIX.split(", ")])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([m[c] for m in made], k) for c, k in enumerate(kinds)],
+                names=[f.split()[0] for f in _PREFIX.split(", ")],
+            )
 
         gathered = 0
         for batch in slices(batches, text):
@@ -286,7 +289,10 @@ def _meet(share):
         kinds = {f.split()[0]: pa.int32() if f.endswith("int") else pa.int64() for f in _MET.split(", ")}
         for at in range(0, n, 10_000):
             size = min(n - at, 10_000)
-            yield pa.RecordBatch.from_arrays([pa.array(named[f][at : at + size], k) if f in named else pa.nulls(size, k) for f, k in kinds.items()], names=list(kinds))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(named[f][at : at + size], k) if f in named else pa.nulls(size, k) for f, k in kinds.items()],
+                names=list(kinds),
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in runs(batches):
@@ -321,7 +327,13 @@ def _meet(share):
                 span = slice(start, start + size)
                 head = start + int(np.lexsort((classes[span], places[span]))[0])
                 same = {"size": size, "spread": 1 + size // SPREAD, "leader": classes[head], "leader_n": sizes[head], "leader_place": places[head]}
-                yield from columns(u=classes[span], token=tokens[span].astype(np.int64), n=sizes[span], place=places[span], **{k: np.full(size, x) for k, x in same.items()})
+                yield from columns(
+                    u=classes[span],
+                    token=tokens[span].astype(np.int64),
+                    n=sizes[span],
+                    place=places[span],
+                    **{k: np.full(size, x) for k, x in same.items()},
+                )
         settle()
 
     return run
@@ -364,7 +376,10 @@ def _can_partner(rows: DataFrame, classes: DataFrame, share) -> DataFrame:
             if keep.any():
                 made = [(cell, *r[:4]) for r, k in zip(held, keep) if k]
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array([m[c] for m in made], k) for c, k in enumerate(kinds)], names=["cell", "side", "node", "component", "n"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([m[c] for m in made], k) for c, k in enumerate(kinds)],
+                    names=["cell", "side", "node", "component", "n"],
+                )
         settle()
 
     return dealt.mapInArrow(run, "cell long, side int, node long, component long, n long")
@@ -388,7 +403,10 @@ def _sets(docs: DataFrame, pool: DataFrame, key: str, text: str) -> DataFrame:
                 where = (own >> np.uint64(62)).astype(np.int64) * FRAGMENTS // 4
                 cuts = np.searchsorted(where, np.arange(1, FRAGMENTS))
                 made += [(name, f, part.astype("<u8").tobytes()) for f, part in enumerate(np.split(own, cuts)) if len(part)]
-            yield pa.RecordBatch.from_arrays([pa.array([m[c] for m in made], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["node", "fragment", "part"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([m[c] for m in made], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.binary()))],
+                names=["node", "fragment", "part"],
+            )
         settle()
 
     made = docs.select(F.col(key).cast("long").alias("k"), F.col(text)).mapInArrow(run, "node long, fragment int, part binary")
@@ -507,10 +525,28 @@ def _groups(prefixes: DataFrame, light: DataFrame) -> DataFrame:
     """(late, token, salt, spread, node, n, place, size, leader, leader_n, leader_place) of the members of groups
     of frequent shingles and of large groups of light ones. Hot groups are dealt by token and salt."""
     salt = F.pmod(F.xxhash64("node"), F.col("spread")).cast("int").alias("salt")
-    late = prefixes.filter("kind = 2").select(F.col("doc_id").alias("token"), F.col("class").alias("node"), "n", F.col("p").cast("long").alias("place"), "spread").distinct()
-    heads = late.groupBy("token").agg(F.max("spread").alias("spread"), F.min(F.struct("place", "node", "n")).alias("head"), F.count("*").alias("size")).filter("size > 1")
+    late = prefixes.filter("kind = 2").select(
+        F.col("doc_id").alias("token"),
+        F.col("class").alias("node"),
+        "n",
+        F.col("p").cast("long").alias("place"),
+        "spread",
+    ).distinct()
+    heads = late.groupBy("token").agg(
+        F.max("spread").alias("spread"),
+        F.min(F.struct("place", "node", "n")).alias("head"),
+        F.count("*").alias("size"),
+    ).filter("size > 1")
     salts = F.explode(F.sequence(F.lit(0), F.col("spread") - 1)).alias("salt")
-    heads = heads.select("token", salts, "spread", "size", F.col("head.node").alias("leader"), F.col("head.n").alias("leader_n"), F.col("head.place").alias("leader_place"))
+    heads = heads.select(
+        "token",
+        salts,
+        "spread",
+        "size",
+        F.col("head.node").alias("leader"),
+        F.col("head.n").alias("leader_n"),
+        F.col("head.place").alias("leader_place"),
+    )
     late = late.select("token", salt, "node", "n", "place")
     columns = ["late", "token", "salt", "spread", "node", "n", "place", "size", "leader", "leader_n", "leader_place"]
     late = late.join(heads, ["token", "salt"]).withColumn("late", F.lit(1)).select(*columns)
@@ -522,7 +558,11 @@ def _first_cells(light: DataFrame, groups: DataFrame, share) -> DataFrame:
     """Cells of the first round: the pairs of small groups, and members of larger ones with their leader."""
     start = f"{share[0] + share[1]} * least(n - place, leader_n - leader_place) >= {share[0]} * (n + leader_n)"
     weight = F.col("size") * F.greatest(F.lit(1 / STAR), F.col("leader_n") * (share[1] / share[0] / HEAVY))  # no partner is larger than the leader allows
-    stars = groups.filter("node <> leader").filter(start).select(F.col("leader").alias("u"), F.col("node").alias("v"), F.ceil(weight).cast("int").alias("parts"))
+    stars = groups.filter("node <> leader").filter(start).select(
+        F.col("leader").alias("u"),
+        F.col("node").alias("v"),
+        F.ceil(weight).cast("int").alias("parts"),
+    )
     pairs = light.filter("v is not null").select("u", "v", F.lit(1).alias("parts")).unionByName(stars).groupBy("u", "v").agg(F.max("parts").alias("parts"))
     pairs = pairs.select("u", "v", F.xxhash64("u", F.pmod(F.xxhash64("v"), F.col("parts"))).alias("cell"))
     return pairs.select("cell", F.lit(1).alias("side"), F.col("v").alias("node"), F.col("v").alias("component")).unionByName(
@@ -532,7 +572,17 @@ def _first_cells(light: DataFrame, groups: DataFrame, share) -> DataFrame:
 
 def _second_cells(groups: DataFrame, joined: DataFrame, share) -> DataFrame:
     """Cells of the second round: pairs of blocks of groups that the first round has not joined throughout."""
-    larger = groups.filter("size > 2").join(joined, "node", "left").select("late", "token", "salt", "spread", "node", "n", "size", "leader", F.coalesce("component", "node").alias("component"))
+    larger = groups.filter("size > 2").join(joined, "node", "left").select(
+        "late",
+        "token",
+        "salt",
+        "spread",
+        "node",
+        "n",
+        "size",
+        "leader",
+        F.coalesce("component", "node").alias("component"),
+    )
     mixed = larger.groupBy("late", "token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.max("spread").alias("spread")).filter("a <> b")
     mixed = mixed.select("late", "token", F.explode(F.sequence(F.lit(0), F.col("spread") - 1)).alias("salt"))
     open_ = cut(larger.join(mixed, ["late", "token", "salt"], "left_semi"), "open")
@@ -551,7 +601,13 @@ def _second_cells(groups: DataFrame, joined: DataFrame, share) -> DataFrame:
     alike = spots.groupBy("late", "token").agg(F.bit_xor(F.xxhash64("block")).alias("x"), F.count("*").alias("k"))
     alike = alike.groupBy("x", "k").agg(F.min(F.struct("late", "token")).alias("one")).select("one.late", "one.token")
     spots = cut(spots.join(alike, ["late", "token"], "left_semi"), "spots")
-    other = spots.select(F.col("late").alias("late2"), F.col("token").alias("token2"), F.col("block").alias("block2"), F.col("pure").alias("pure2"), F.col("band").alias("band2"))
+    other = spots.select(
+        F.col("late").alias("late2"),
+        F.col("token").alias("token2"),
+        F.col("block").alias("block2"),
+        F.col("pure").alias("pure2"),
+        F.col("band").alias("band2"),
+    )
     reach = math.floor(math.log(share[1] / share[0]) / math.log(BAND)) + 2
     near = (F.col("block") <= F.col("block2")) & (F.abs(F.col("band") - F.col("band2")) <= reach)
     unlike = F.col("pure").isNull() | F.col("pure2").isNull() | (F.col("pure") != F.col("pure2"))
@@ -575,7 +631,14 @@ def _components_of_rows(docs: DataFrame, key: str, text: str, share) -> DataFram
     by_class = prefixes.filter("kind = 0 and n > 0").groupBy(F.col("class").alias("node"))
     classes = cut(by_class.agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bits").alias("bits")), "classes")
 
-    packed = prefixes.filter("kind = 1").select("p", "tokens", "owners", "places", "classes", "sizes").repartition(partitions(docs.sparkSession), "p").sortWithinPartitions("p")
+    packed = prefixes.filter("kind = 1").select(
+        "p",
+        "tokens",
+        "owners",
+        "places",
+        "classes",
+        "sizes",
+    ).repartition(partitions(docs.sparkSession), "p").sortWithinPartitions("p")
     light = cut(packed.mapInArrow(_meet(share), _MET), "light")
     groups = cut(_groups(prefixes, light), "groups")
 
@@ -593,7 +656,9 @@ def _components_of_rows(docs: DataFrame, key: str, text: str, share) -> DataFram
     joint = named.filter("component is not null")
     least = joint.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_class = joint.join(least, "component").select(F.col("node").alias("class"), "component_id", "component")
-    of_class = of_class.unionByName(named.filter("component is null").select(F.col("node").alias("class"), F.col("rep").alias("component_id"), F.col("node").alias("component")))
+    of_class = of_class.unionByName(
+        named.filter("component is null").select(F.col("node").alias("class"), F.col("rep").alias("component_id"), F.col("node").alias("component")),
+    )
     result = members.join(of_class, "class", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "class", "component"
     )

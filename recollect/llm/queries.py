@@ -29,7 +29,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model, ["doc_id"])
-    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "abuse", "quoted")
+    return scored.select(
+        "doc_id",
+        toxicity.held_out("doc_id").alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "abuse",
+        "quoted",
+    )
 
 
 # -- 3: token counts ------------------------------------------------------------
@@ -122,7 +129,13 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED).alias("text")
     )
     out = chat.format_chat(chat.rows_to_records(rows.unionByName(planted)))
-    back = out.select("conv_id", "layout", "formatted", chat.read_back(F.col("formatted")).alias("turns"), chat.under_mask(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    back = out.select(
+        "conv_id",
+        "layout",
+        "formatted",
+        chat.read_back(F.col("formatted")).alias("turns"),
+        chat.under_mask(F.col("formatted"), F.col("loss_spans")).alias("loss"),
+    )
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",

@@ -71,7 +71,16 @@ def key_of(digits) -> int | None:
     return None if key == NO_KEY else ~(key >> 1) if key & 1 else key >> 1
 
 
-def write_tokens(docs: DataFrame, path: str, ranks: str, separator: int, key: str | None = None, text: str = "text", width: int = 2, file_bytes: int = FILE_BYTES) -> None:
+def write_tokens(
+    docs: DataFrame,
+    path: str,
+    ranks: str,
+    separator: int,
+    key: str | None = None,
+    text: str = "text",
+    width: int = 2,
+    file_bytes: int = FILE_BYTES,
+) -> None:
     """Encode texts (null: empty) and write flat files under ``path``.
 
     With ``key`` each document is led by its key in KEY_DIGITS identifiers. A file holds as many
@@ -127,7 +136,11 @@ def scan(spark: SparkSession, path: str, separator: int, width: int = 2, block:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(
-            [("file", pa.string()), *[(n, pa.int64()) for n in ("block", "n_ends", "head", "tail")], *[(n, pa.list_(pa.int32())) for n in ("head_lead", "tail_lead")]]
+            [
+                ("file", pa.string()),
+                *[(n, pa.int64()) for n in ("block", "n_ends", "head", "tail")],
+                *[(n, pa.list_(pa.int32())) for n in ("head_lead", "tail_lead")],
+            ]
             + [("sizes", pa.list_(pa.int64())), ("leads", pa.list_(pa.list_(pa.int32())))]
         )
         for batch in batches:
@@ -146,9 +159,19 @@ def scan(spark: SparkSession, path: str, separator: int, width: int = 2, block:
     before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     numbered = blocks.withColumn("first", F.coalesce(F.sum("n_ends").over(before), F.lit(0)))
     inner = numbered.select(
-        "file", F.posexplode(F.arrays_zip("sizes", F.coalesce("leads", F.transform("sizes", lambda x: F.array().cast("array<int>"))).alias("leads"))).alias("i", "d"), "first"
+        "file", F.posexplode(
+            F.arrays_zip("sizes", F.coalesce("leads", F.transform("sizes", lambda x: F.array().cast("array<int>"))).alias("leads")),
+        ).alias("i", "d"), "first"
     ).select("file", (F.col("first") + 1 + F.col("i")).alias("ordinal"), F.col("d.sizes").alias("n_ids"), F.col("d.leads").alias("lead"), F.lit(True).alias("finished"))
-    heads = numbered.select("file", F.col("first").alias("ordinal"), "block", F.lit(0).alias("side"), F.col("head").alias("n"), F.col("head_lead").alias("lead"), (F.col("n_ends") > 0).alias("ends"))
+    heads = numbered.select(
+        "file",
+        F.col("first").alias("ordinal"),
+        "block",
+        F.lit(0).alias("side"),
+        F.col("head").alias("n"),
+        F.col("head_lead").alias("lead"),
+        (F.col("n_ends") > 0).alias("ends"),
+    )
     tails = numbered.filter("n_ends > 0").select(
         "file", (F.col("first") + F.col("n_ends")).alias("ordinal"), "block", F.lit(1).alias("side"), F.col("tail").alias("n"), F.col("tail_lead").alias("lead"), F.lit(False).alias("ends")
     )
@@ -162,7 +185,11 @@ def scan(spark: SparkSession, path: str, separator: int, width: int = 2, block:
         F.max("ends").alias("finished"),
     )
     stitched = stitched.filter("finished or n_ids > 0").select(
-        "file", "ordinal", "n_ids", F.slice(F.flatten(F.transform("leads", lambda x: x["lead"])), 1, max(lead, 1)).alias("lead") if lead else F.array().cast("array<int>").alias("lead"), "finished"
+        "file", "ordinal", "n_ids", F.slice(
+            F.flatten(F.transform("leads", lambda x: x["lead"])),
+            1,
+            max(lead, 1),
+        ).alias("lead") if lead else F.array().cast("array<int>").alias("lead"), "finished"
     )
     found = inner.unionByName(stitched)
     found._recollect_path = blocks._recollect_path

@@ -54,7 +54,9 @@ idiota estúpido imbécil basura
 idiot idiotin dummkopf abschaum
 crétin abruti ordure
 """.split()
-REPORTING = set("said says wrote writes called calls quote quoted quotes reported sagte schrieb nannte zitat dit écrit appelle cite dijo escribió llamó cita".split())
+REPORTING = set(
+    "said says wrote writes called calls quote quoted quotes reported sagte schrieb nannte zitat dit écrit appelle cite dijo escribió llamó cita".split(),
+)
 MARKS = re.compile("[\"“”„«»‘’]")
 WORD = re.compile(r"[^\W_]+")
 PRIOR = np.array([-3.0, 4.0, 1.0, 1.0])
@@ -360,7 +362,12 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
         for batch in slices(batches, said):
             seen = [model.evidence(t.as_py()) for t in batch.column(n)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:n], pa.array([model.score(*e) for e in seen], pa.float64()), pa.array([e[0] for e in seen], pa.float64()), pa.array([e[1] for e in seen], pa.float64())],
+                [
+                    *batch.columns[:n],
+                    pa.array([model.score(*e) for e in seen], pa.float64()),
+                    pa.array([e[0] for e in seen], pa.float64()),
+                    pa.array([e[1] for e in seen], pa.float64()),
+                ],
                 names=[*keep, *OUTPUT],
             )
         settle()

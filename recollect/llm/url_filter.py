@@ -61,7 +61,10 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     labels = F.split("host", r"\.")
     listed = F.from_json(F.lit(json.dumps([{"n": n, "length": length} for n, length in shapes])), "array<struct<n:int,length:int>>")
     fits = F.filter(listed, lambda s: (F.size(labels) >= s["n"]) & (F.length("path") >= s["length"]) & (F.col("host") != ""))
-    exprs = F.transform(fits, lambda s: F.concat(F.array_join(F.slice(labels, F.size(labels) - s["n"] + 1, s["n"]), "."), F.substring(F.col("path"), F.lit(1), s["length"])))
+    exprs = F.transform(
+        fits,
+        lambda s: F.concat(F.array_join(F.slice(labels, F.size(labels) - s["n"] + 1, s["n"]), "."), F.substring(F.col("path"), F.lit(1), s["length"])),
+    )
     expanded = urls.select("host", "path", F.explode(exprs).alias("seen"))
     expanded = expanded.withColumn("seen_digest", F.sha2("seen", 256)).withColumn("key", F.substring("seen_digest", 1, KEY_DIGITS))
     hits = expanded.join(rules, "key").filter("seen_digest = digest")

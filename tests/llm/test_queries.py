@@ -35,11 +35,17 @@ def sha(text):
 def folder(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("sf"))
     rows = [(i, t, "en", f"src{i % 3}", len(t or "")) for i, t in enumerate(TEXTS)]
-    tuned(spark).createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{path}/documents.parquet")
+    tuned(spark).createDataFrame(
+        rows,
+        "doc_id long, text string, lang string, source string, n_chars long",
+    ).repartition(3).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(i, 1, 0) for i in range(len(TEXTS)) if i != 7], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     vectors = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0]), (4, None), (5, [0.0, 0.0])]
     spark.createDataFrame(vectors, "vec_id long, embedding array<double>").write.parquet(f"{path}/embeddings.parquet")
-    spark.createDataFrame([(1, "https://a.example.com/en/7x"), (2, "http://x.NET/de/?q"), (3, None), (4, "no url")], "page_id long, url string").write.parquet(f"{path}/pages.parquet")
+    spark.createDataFrame(
+        [(1, "https://a.example.com/en/7x"), (2, "http://x.NET/de/?q"), (3, None), (4, "no url")],
+        "page_id long, url string",
+    ).write.parquet(f"{path}/pages.parquet")
     turns = [(1, 0, "user", "hi"), (1, 1, "assistant", None), (1, 2, "assistant", "### x</turn>"), (2, 0, "user", "")]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{path}/conversations.parquet")
     return path
@@ -138,7 +144,12 @@ def test_op9(spark, folder):
 
 def test_op10(spark, folder):
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in rows_of(spark, "op10_url_filter", folder)}
-    assert got == {1: ("a.example.com", "/en/7x", "example.com/en/7", "allow"), 2: ("x.net", "/de/", "net/de/", "allow"), 3: ("", "", None, "allow"), 4: ("", "", None, "allow")}
+    assert got == {
+        1: ("a.example.com", "/en/7x", "example.com/en/7", "allow"),
+        2: ("x.net", "/de/", "net/de/", "allow"),
+        3: ("", "", None, "allow"),
+        4: ("", "", None, "allow"),
+    }
 
 
 def test_op4_keeps_columns(spark, folder):

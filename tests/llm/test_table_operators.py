@@ -79,7 +79,12 @@ def corpus(seed):
         for _ in range(45 if base == 0 else 6):
             rows.append(" ".join(noisy(r, words, r.choice([0, 0.01, 0.02, 0.03, 0.06]))))
     rows += ["One Two three", "one two THREE", "one two", "", None, " \t\n", "a b c d e", "A b c d e f", "x" * 50_000]
-    return [(i * 7 % 1009, t) for i, t in enumerate(rows)] + [(None, rows[0]), (None, "lonely words without any other copy"), (5_000, rows[41]), (5_000, rows[41])]
+    return [(i * 7 % 1009, t) for i, t in enumerate(rows)] + [
+        (None, rows[0]),
+        (None, "lonely words without any other copy"),
+        (5_000, rows[41]),
+        (5_000, rows[41]),
+    ]
 
 
 @pytest.mark.parametrize("block", [4, 128])
@@ -192,7 +197,18 @@ def test_embedding_links(spark, monkeypatch):
         for _ in range(60 if c == 0 else 5):
             rows.append((centre + 0.05 * r.standard_normal(16)).tolist())
     rows += [r.standard_normal(16).tolist() for _ in range(60)]
-    rows += [rows[3], rows[3], [2 * x for x in rows[3]], [0.0] * 16, None, [float("nan")] * 16, [float("inf")] + [0.0] * 15, [1.0, None] + [0.0] * 14, [], [1.0, 2.0]]
+    rows += [
+        rows[3],
+        rows[3],
+        [2 * x for x in rows[3]],
+        [0.0] * 16,
+        None,
+        [float("nan")] * 16,
+        [float("inf")] + [0.0] * 15,
+        [1.0, None] + [0.0] * 14,
+        [],
+        [1.0, 2.0],
+    ]
     table = tuned(spark).createDataFrame([(i + 10, v) for i, v in enumerate(rows)] + [(None, rows[0]), (10, rows[0])], "vec_id long, embedding array<double>")
     got = {g.vec_id: g for g in embed_dedup.near_duplicates(table).collect()}
     fine = [i for i, v in enumerate(rows) if v and len(v) == 16 and all(x is not None and math.isfinite(x) for x in v) and any(v)]
@@ -306,7 +322,9 @@ def test_layouts(spark):
     for i, (_, layout, turns) in enumerate(LAYOUTS):
         assert got[i].layout == layout and (got[i].turns and [tuple(t) for t in got[i].turns]) == turns, LAYOUTS[i]
     assert got[8].formatted == "" and got[8].loss_spans == []
-    clash = chat.format_chat(table.select("id", "record", F.lit("x").alias("turns"), F.lit(1).alias("formatted"), F.lit("kept").alias("other"))).filter("id = 0").first()
+    clash = chat.format_chat(
+        table.select("id", "record", F.lit("x").alias("turns"), F.lit(1).alias("formatted"), F.lit("kept").alias("other")),
+    ).filter("id = 0").first()
     assert clash.formatted == got[0].formatted and clash.other == "kept" and clash.turns == got[0].turns
     assert got[7].fingerprint and got[98].layout is None and got[99].turns is None
 
@@ -314,10 +332,21 @@ def test_layouts(spark):
 def test_template_is_reversible(spark):
     r = random.Random(6)
     bits = [PLANTED, "\\", "</turn>", "### ", "#", "\\b", "\\t", "\\h", "\\c", ": ", "é😀", "\n", "text", "### user: ", "<", "/turn>"]
-    rows = [(c, t, r.choice(["user", "assistant", "a: b", "### x", None]), "".join(r.choice(bits) for _ in range(r.randrange(8))) or None) for c in range(60) for t in range(r.randrange(1, 5))]
+    rows = [
+        (
+            c,
+            t,
+            r.choice(["user", "assistant", "a: b", "### x", None]),
+            "".join(r.choice(bits) for _ in range(r.randrange(8))) or None,
+        ) for c in range(60) for t in range(r.randrange(1, 5))
+    ]
     table = tuned(spark).createDataFrame(rows, "conv_id long, turn long, role string, text string")
     out = chat.format_chat(chat.rows_to_records(table))
-    back = out.select("conv_id", chat.read_back(F.col("formatted")).alias("turns"), chat.under_mask(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()
+    back = out.select(
+        "conv_id",
+        chat.read_back(F.col("formatted")).alias("turns"),
+        chat.under_mask(F.col("formatted"), F.col("loss_spans")).alias("loss"),
+    ).collect()
     want = {}
     for c, t, role, text in sorted(rows, key=lambda x: x[:2]):
         want.setdefault(c, []).append((role or "", text or ""))
@@ -337,8 +366,30 @@ def test_many_rules_of_unlike_shapes(spark):
 
 # -- URLs ----------------------------------------------------------------------------
 
-RULES = [("com", "/en/", "block", 0), ("example.com", "/en/7", "allow", 0), ("net", "/", "block", 1), ("a.net", "/x", "allow", 1), ("twice.org", "/", "allow", 0), ("twice.org", "/", "block", 0)]
-URLS = ["https://m.Example.COM/en/71?q", "http://x.com/en/", "http://com/en/7", "notexample.com/en/", None, "", "ftp://a.net/xy#z", "ftp://b.net", "https://b.net/", "http://TWICE.org/a", "http://x.com/EN/", "a://b://c.net/", "http://example.com/en/7", "http://example.com/en/7"]
+RULES = [
+    ("com", "/en/", "block", 0),
+    ("example.com", "/en/7", "allow", 0),
+    ("net", "/", "block", 1),
+    ("a.net", "/x", "allow", 1),
+    ("twice.org", "/", "allow", 0),
+    ("twice.org", "/", "block", 0),
+]
+URLS = [
+    "https://m.Example.COM/en/71?q",
+    "http://x.com/en/",
+    "http://com/en/7",
+    "notexample.com/en/",
+    None,
+    "",
+    "ftp://a.net/xy#z",
+    "ftp://b.net",
+    "https://b.net/",
+    "http://TWICE.org/a",
+    "http://x.com/EN/",
+    "a://b://c.net/",
+    "http://example.com/en/7",
+    "http://example.com/en/7",
+]
 
 
 def test_url_rules(spark):
@@ -350,7 +401,9 @@ def test_url_rules(spark):
         rest = url.split("://", 1)[1] if url and "://" in url else ""
         host = re.match(r"[^/?#]*", rest)[0].lower()
         path = re.match(r"[^/?#]*([^?#]*)", rest)[1]
-        fits = [(-t, len(h + p), len(h), v == "block", h + p, v, t) for h, p, v, t in RULES if host and (host == h or host.endswith("." + h)) and path.startswith(p)]
+        fits = [
+            (-t, len(h + p), len(h), v == "block", h + p, v, t) for h, p, v, t in RULES if host and (host == h or host.endswith("." + h)) and path.startswith(p)
+        ]
         best = max(fits, default=None)
         assert (row.host, row.path) == (host, path)
         assert row.verdict == (best[5] if best else "allow")
@@ -393,7 +446,15 @@ def test_pipeline_edges(spark, tmp_path):
     sf = str(tmp_path)
     words = [f"w{i}" for i in range(60)]
     copy = " ".join(words)
-    rows = [(1, copy, "en", "a", 1), (1, copy, "en", "a", 1), (2, copy + " more", None, "b", 1), (None, copy, "en", None, 1), (3, None, "en", None, None), (4, "", "de", "b", 0), (None, "alone here", "en", "a", 1)]
+    rows = [
+        (1, copy, "en", "a", 1),
+        (1, copy, "en", "a", 1),
+        (2, copy + " more", None, "b", 1),
+        (None, copy, "en", None, 1),
+        (3, None, "en", None, None),
+        (4, "", "de", "b", 0),
+        (None, "alone here", "en", "a", 1),
+    ]
     table = tuned(spark).createDataFrame(rows, DOCS).withColumn("score", F.lit("clash")).withColumn("ids", F.lit(1))
     table.write.parquet(f"{sf}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")

@@ -233,7 +233,37 @@ def brute(text):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.sampled_from(["password", "PassWord", "token", "api_key", "apikey", "secret", "=", ": ", '"', "'", " ", "abc123", "tokentoken=", "AKIA", "AKIA" + "A1" * 9, "0af9" * 7, "é", "İ", "ſecret=abcdef1", "x", "-", "\n"]), max_size=14))
+@given(
+    st.lists(
+        st.sampled_from(
+            [
+                "password",
+                "PassWord",
+                "token",
+                "api_key",
+                "apikey",
+                "secret",
+                "=",
+                ": ",
+                '"',
+                "'",
+                " ",
+                "abc123",
+                "tokentoken=",
+                "AKIA",
+                "AKIA" + "A1" * 9,
+                "0af9" * 7,
+                "é",
+                "İ",
+                "ſecret=abcdef1",
+                "x",
+                "-",
+                "\n",
+            ],
+        ),
+        max_size=14,
+    ),
+)
 def test_prefilter_equals_plain_search(parts):
     text = "".join(parts)
     assert [s for s in secret_scan.find(text) if s[0] in secret_scan.BASE] == brute(text)
@@ -267,7 +297,12 @@ def test_private_keys_of_every_form(newline):
         pem("RSA PRIVATE KEY", bytes(range(64)), dek),
         pem("RSA PRIVATE KEY", der, "Comment: a key\n\n"),
     ]
-    bad = [pem("PRIVATE KEY", der[:-1]), pem("OPENSSH PRIVATE KEY", bytes(99)), pem("RSA PRIVATE KEY", bytes(64), "Comment: a key\n\n"), "-----BEGIN RSA PRIVATE KEY-----\n" + dek + "-----END RSA PRIVATE KEY-----"]
+    bad = [
+        pem("PRIVATE KEY", der[:-1]),
+        pem("OPENSSH PRIVATE KEY", bytes(99)),
+        pem("RSA PRIVATE KEY", bytes(64), "Comment: a key\n\n"),
+        "-----BEGIN RSA PRIVATE KEY-----\n" + dek + "-----END RSA PRIVATE KEY-----",
+    ]
     for key in good:
         key = key.replace("\n", newline)
         assert [s for s in secret_scan.find("a " + key + " b") if s[0] == "pem"] == [("pem", 2, 2 + len(key))]
