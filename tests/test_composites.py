@@ -65,7 +65,10 @@ def _index(spark):
 
 def test_entity_exact_hits(spark):
     pages, chunks, gazetteer = _index(spark)
-    seen = spark.createDataFrame([("o", "Charles Babbage told Ada Lovelace of an engine. Charles Babbage, again. Bengine."), ("empty", ""), ("none", None)], "observation_id string, text string")
+    seen = spark.createDataFrame(
+        [("o", "Charles Babbage told Ada Lovelace of an engine. Charles Babbage, again. Bengine."), ("empty", ""), ("none", None)],
+        "observation_id string, text string",
+    )
     hits = entities.entity_exact(seen, gazetteer, pages, chunks, 1).collect()
     got = {(h.seed_id, h.source, h.surface, h.page_id): (h.rank, h.score, h.chunk_id, h.chunk_score) for h in hits}
     assert got == {
@@ -75,7 +78,9 @@ def test_entity_exact_hits(spark):
         ("entity-3", "noun_phrase", "charles babbage", "p2"): (1, 1.0, "p2:1", 1.0),  # one page a phrase, the smaller id
     }
     trace = entities.entity_trace(entities.entity_exact(seen, gazetteer, pages, chunks, 1)).collect()
-    assert [(t.observation_id, [(s.seed_id, [p.page_id for p in s.returned_pages]) for s in t.per_seed_retrievals]) for t in trace] == [("o", [("entity-1", ["p1", "p2"]), ("entity-2", ["p3"]), ("entity-3", ["p2"])])]
+    assert [(t.observation_id, [(s.seed_id, [p.page_id for p in s.returned_pages]) for s in t.per_seed_retrievals]) for t in trace] == [
+        ("o", [("entity-1", ["p1", "p2"]), ("entity-2", ["p3"]), ("entity-3", ["p2"])]),
+    ]
     with pytest.raises(ValueError):
         entities.entity_exact(seen, gazetteer, pages, chunks, 0)
 
@@ -137,9 +142,14 @@ def test_argument_matrix(condition, given, fine):
 
 
 def test_text_windows_and_merge(spark):
-    rows = spark.createDataFrame([("x" * 8000,), ("y" * 12001,), ("",)], "t string").select(F.transform(R.text_windows(F.col("t")), F.length).alias("n")).collect()
+    rows = spark.createDataFrame([("x" * 8000,), ("y" * 12001,), ("",)], "t string").select(
+        F.transform(R.text_windows(F.col("t")), F.length).alias("n"),
+    ).collect()
     assert [r.n for r in rows] == [[8000], [6000, 6000, 1], [0]]
-    hits = spark.createDataFrame([("q", 0, "a", 0.5), ("q", 1, "a", 0.9), ("q", 1, "b", 0.9), ("q", 0, "c", 0.1)], "query_id string, window int, source_id string, score double")
+    hits = spark.createDataFrame(
+        [("q", 0, "a", 0.5), ("q", 1, "a", 0.9), ("q", 1, "b", 0.9), ("q", 0, "c", 0.1)],
+        "query_id string, window int, source_id string, score double",
+    )
     assert [(r.source_id, r.score) for r in R.max_merge(hits, 2).orderBy("rank").collect()] == [("a", 0.9), ("b", 0.9)]
 
 
@@ -147,15 +157,29 @@ def test_text_windows_and_merge(spark):
 
 
 def _raw(spark, signature=None, model="m", width=2, target=1):
-    pages = spark.createDataFrame([(1, "s", "a", "A", ["poison"]), (2, "s", "b", "B", None)], "id long, source_id string, slug string, title string, perturbations array<string>")
-    chunks = spark.createDataFrame([(1, 1, 0, "x", model, signature, [1.0] * width), (2, 2, 0, "y", model, signature, [0.5] * width)], "id long, page_id long, chunk_index int, chunk_text string, model string, embedding_signature string, embedding array<float>")
+    pages = spark.createDataFrame(
+        [(1, "s", "a", "A", ["poison"]), (2, "s", "b", "B", None)],
+        "id long, source_id string, slug string, title string, perturbations array<string>",
+    )
+    chunks = spark.createDataFrame(
+        [(1, 1, 0, "x", model, signature, [1.0] * width), (2, 2, 0, "y", model, signature, [0.5] * width)],
+        "id long, page_id long, chunk_index int, chunk_text string, model string, embedding_signature string, embedding array<float>",
+    )
     links = spark.createDataFrame([(2, target, None, None)], "from_page_id long, to_page_id long, link_type string, link_source string")
     return pages, chunks, links
 
 
 @pytest.mark.parametrize(
     ("broken", "message"),
-    [({"model": "other"}, "model"), ({"signature": "m:9"}, "signature"), ({"width": 3}, "width"), ({"target": 7}, "missing page"), ({}, None), ({"model": "llama-server:m"}, None), ({"signature": "m:2", "model": "other"}, None)],
+    [
+        ({"model": "other"}, "model"),
+        ({"signature": "m:9"}, "signature"),
+        ({"width": 3}, "width"),
+        ({"target": 7}, "missing page"),
+        ({}, None),
+        ({"model": "llama-server:m"}, None),
+        ({"signature": "m:2", "model": "other"}, None),
+    ],
 )
 def test_export_gate(spark, tmp_path, broken, message):
     path = str(tmp_path / "index")
@@ -176,11 +200,24 @@ def test_export_gate(spark, tmp_path, broken, message):
 
 def test_export_is_ordered(spark, tmp_path):
     n = 60
-    pages = spark.createDataFrame([(i, f"s{i % 3}", f"p{(i * 7) % n:02}", "t", []) for i in range(n)], "id long, source_id string, slug string, title string, perturbations array<string>")
-    chunks = spark.createDataFrame([(2 * i + k, i, 1 - k, "x", "m", None, [1.0]) for i in range(n) for k in (0, 1)], "id long, page_id long, chunk_index int, chunk_text string, model string, embedding_signature string, embedding array<float>")
-    links = spark.createDataFrame([(i, j, None if i % 2 else "b", None if j % 2 else "z") for i in range(n) for j in (i // 2, i // 3)], "from_page_id long, to_page_id long, link_type string, link_source string")
+    pages = spark.createDataFrame(
+        [(i, f"s{i % 3}", f"p{(i * 7) % n:02}", "t", []) for i in range(n)],
+        "id long, source_id string, slug string, title string, perturbations array<string>",
+    )
+    chunks = spark.createDataFrame(
+        [(2 * i + k, i, 1 - k, "x", "m", None, [1.0]) for i in range(n) for k in (0, 1)],
+        "id long, page_id long, chunk_index int, chunk_text string, model string, embedding_signature string, embedding array<float>",
+    )
+    links = spark.createDataFrame(
+        [(i, j, None if i % 2 else "b", None if j % 2 else "z") for i in range(n) for j in (i // 2, i // 3)],
+        "from_page_id long, to_page_id long, link_type string, link_source string",
+    )
     index.export(pages, chunks, links, str(tmp_path / "index"), "c", "m", 1)
-    stored = {name: [r.asDict() for f in sorted((tmp_path / "index" / name).glob("part-*")) for r in spark.read.parquet(str(f)).collect()] for name in ("pages", "chunks", "links")}
+    stored = {
+        name: [
+            r.asDict() for f in sorted((tmp_path / "index" / name).glob("part-*")) for r in spark.read.parquet(str(f)).collect()
+        ] for name in ("pages", "chunks", "links")
+    }
     assert stored["pages"] == sorted(stored["pages"], key=lambda r: (r["source_id"], r["slug"])) and len(stored["pages"]) == n
     assert stored["chunks"] == sorted(stored["chunks"], key=lambda r: (r["page_id"], r["chunk_index"]))
     assert stored["links"] == sorted(stored["links"], key=lambda r: (r["source_page_id"], r["target_page_id"], r["link_type"], r["provenance"] or ""))
@@ -277,7 +314,11 @@ def test_tokens_of_a_vocabulary(spark):
     texts = ["", None, "short", "a longer text, with Ünïcödé and numbers 12345 " * 20]
     own = tokenizers.encoder(ranks, pattern)
     table = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
-    got = table.select("i", tokenizers.counter(ranks, pattern)(F.col("text")).alias("n"), tokenizers.windower(ranks, pattern, 16)(F.col("text")).alias("w")).orderBy("i").collect()
+    got = table.select(
+        "i",
+        tokenizers.counter(ranks, pattern)(F.col("text")).alias("n"),
+        tokenizers.windower(ranks, pattern, 16)(F.col("text")).alias("w"),
+    ).orderBy("i").collect()
     for row, text in zip(got, texts):
         ids = own.encode_ordinary(text or "")
         assert row.n == len(ids) and row.w == ([text] if len(ids) <= 16 else [own.decode(ids[k : k + 16]) for k in range(0, len(ids), 16)])
@@ -285,11 +326,16 @@ def test_tokens_of_a_vocabulary(spark):
 
 
 def test_pages_from_files(spark):
-    files = spark.createDataFrame([("meetings", "m1", "# Sync \nattendees: user/ann\nsee [Ann \"A\"](user/ann)"), ("notes", "n1", "---\ntype: x\n---\nb"), ("slack", "s", "x")], "folder string, name string, text string")
+    files = spark.createDataFrame(
+        [("meetings", "m1", "# Sync \nattendees: user/ann\nsee [Ann \"A\"](user/ann)"), ("notes", "n1", "---\ntype: x\n---\nb"), ("slack", "s", "x")],
+        "folder string, name string, text string",
+    )
     marks = spark.createDataFrame([("note/n1", ["poison"])], "slug string, perturbations array<string>")
     got = {r.slug: r.text for r in corpus.normalized_corpus(files, marks, "v1", "note").collect()}
     assert set(got) == {"meeting/m1", "note/n1", "people/ann"}
-    assert got["meeting/m1"].startswith('---\ntitle: "Sync"\ntype: "meeting"\nsource_sha256: "') and "attendees: people/ann" in got["meeting/m1"] and "](people/ann)" in got["meeting/m1"]
+    assert got["meeting/m1"].startswith(
+        '---\ntitle: "Sync"\ntype: "meeting"\nsource_sha256: "',
+    ) and "attendees: people/ann" in got["meeting/m1"] and "](people/ann)" in got["meeting/m1"]
     assert "type: x" in got["note/n1"] and 'perturbations: ["poison"]' in got["note/n1"] and got["note/n1"].count("type:") == 1
     assert got["people/ann"] == '---\nid: "ann"\ntype: "person"\nsource: "v1"\ngenerated_stub: true\naliases: ["Ann \\"A\\""]\n---\n# Ann "A"\n\nnote\n'
     assert spark.range(1).select(T.case_label(F.lit("x-ai-plan"), F.lit("positive"), ("x-",)).alias("v")).first().v == "AI Plan — Cue present"

@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 from recollect.operators import dense, fusion, lexical
 from recollect.plans import retrieve as R
 
-CHUNKS = [("s:p1:0", "s:p1", [0.2, 0.98]), ("s:p1:1", "s:p1", [1.0, 0.0]), ("s:p2:0", "s:p2", [0.99, 0.1]), ("s:p3:0", "s:p3", [0.0, 1.0]), ("s:p4:0", "s:p4", [-1.0, 0.0])]
+CHUNKS = [
+    ("s:p1:0", "s:p1", [0.2, 0.98]),
+    ("s:p1:1", "s:p1", [1.0, 0.0]),
+    ("s:p2:0", "s:p2", [0.99, 0.1]),
+    ("s:p3:0", "s:p3", [0.0, 1.0]),
+    ("s:p4:0", "s:p4", [-1.0, 0.0]),
+]
 DOCS = [("s:p1", "First", "alpha weak alpha strongest"), ("s:p2", "Second", "alpha second"), ("s:p3", "Third", "other"), ("s:p4", "Fourth", "other")]
 
 
@@ -66,11 +72,20 @@ def test_pages_without_a_vector_are_ranked_too(spark, index, mode):
 
 
 def test_enhanced_needs_expansions_and_boosts_linked_pages(spark):
-    chunks = spark.createDataFrame([(f"s:p{i}:0", f"s:p{i}", [1 - 0.01 * i, 0.01 * i]) for i in range(1, 6)], "chunk_id string, page_id string, embedding array<float>")
+    chunks = spark.createDataFrame(
+        [(f"s:p{i}:0", f"s:p{i}", [1 - 0.01 * i, 0.01 * i]) for i in range(1, 6)],
+        "chunk_id string, page_id string, embedding array<float>",
+    )
     texts = ["red one", "green two", "blue three"]
-    docs = spark.createDataFrame([("s:p1", "First", "alpha"), ("s:p2", " ".join(texts), "unrelated"), *[(f"s:p{i}", "T", "unrelated") for i in (3, 4, 5)]], "page string, title string, body string")
+    docs = spark.createDataFrame(
+        [("s:p1", "First", "alpha"), ("s:p2", " ".join(texts), "unrelated"), *[(f"s:p{i}", "T", "unrelated") for i in (3, 4, 5)]],
+        "page string, title string, body string",
+    )
     links = spark.createDataFrame([("s:p3", "s:p2"), ("s:p4", "s:p2"), ("s:p1", "s:p5"), ("s:p2", "s:p2")], "source_page_id string, target_page_id string")
-    expansions = spark.createDataFrame([("q", n, t, [1.0, 0.0]) for n, t in enumerate(texts, 1)], "query_id string, n int, query_text string, query_vector array<float>")
+    expansions = spark.createDataFrame(
+        [("q", n, t, [1.0, 0.0]) for n, t in enumerate(texts, 1)],
+        "query_id string, n int, query_text string, query_vector array<float>",
+    )
     queries = asked(spark, ("q", "alpha", [1.0, 0.0]))
     hits = {h.page: h for h in R.retrieve(queries, docs, chunks, links, "enhanced", 5, expansions).collect()}
     assert hits["s:p2"].inbound == 2 and hits["s:p2"].multiplier == 1.05 and hits["s:p2"].rank == 1

@@ -17,7 +17,10 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
 
 
-@pytest.mark.parametrize(("response", "hit"), [("I pick CoreWeave Reserved-GPU Pricing Revision!", True), ("item 147", True), ("Lead Story", False), ("Item 1470", False), (LABEL, True), ("", False)])
+@pytest.mark.parametrize(
+    ("response", "hit"),
+    [("I pick CoreWeave Reserved-GPU Pricing Revision!", True), ("item 147", True), ("Lead Story", False), ("Item 1470", False), (LABEL, True), ("", False)],
+)
 def test_choice_matching(spark, response, hit):
     assert one(spark, T.matches_choice(F.lit(response), F.lit(LABEL))) is hit
 
@@ -28,10 +31,21 @@ PREDICTIONS = "case_id string, position int, response_text string, admitted arra
 
 def test_metrics(spark):
     cases = spark.createDataFrame(
-        [("a", "positive", "Plan A - red", "blue", ["g1"], ["secret word"]), ("b", "cue-ablated", "red", "red", ["g1"], []), ("c", "memory-included", "red", "blue", ["g1"], []), ("d", "positive", "red", "blue", ["g2"], [])], CASES
+        [
+            ("a", "positive", "Plan A - red", "blue", ["g1"], ["secret word"]),
+            ("b", "cue-ablated", "red", "red", ["g1"], []),
+            ("c", "memory-included", "red", "blue", ["g1"], []),
+            ("d", "positive", "red", "blue", ["g2"], []),
+        ], CASES
     )
     predictions = spark.createDataFrame(
-        [("a", 1, "old", [], {}), ("a", 2, "Blue, and SECRET WORD", ["g1", "x"], {"x": ["poison"]}), ("b", 1, "red or green", [], {}), ("c", 1, "blue", [], {}), ("zz", 1, "x", [], {})], PREDICTIONS
+        [
+            ("a", 1, "old", [], {}),
+            ("a", 2, "Blue, and SECRET WORD", ["g1", "x"], {"x": ["poison"]}),
+            ("b", 1, "red or green", [], {}),
+            ("c", 1, "blue", [], {}),
+            ("zz", 1, "x", [], {}),
+        ], PREDICTIONS
     )
     rows = scoring.score_rows(cases, predictions)
     by = {r.case_id: r for r in rows.collect()}
@@ -60,7 +74,10 @@ def test_both_choices_are_ambiguous(spark):
 
 
 def test_entity_union_and_admission(spark):
-    hits = spark.createDataFrame([("c", "b", 1, 0.7, "s1"), ("c", "a", 1, 0.9, "s2"), ("c", "a", 1, 0.6, "s3")], "case_id string, page_id string, rank int, score double, seed_id string")
+    hits = spark.createDataFrame(
+        [("c", "b", 1, 0.7, "s1"), ("c", "a", 1, 0.9, "s2"), ("c", "a", 1, 0.6, "s3")],
+        "case_id string, page_id string, rank int, score double, seed_id string",
+    )
     got = dedupe.best_hits(hits).orderBy("new_rank").collect()
     assert [h.page_id for h in got] == ["a", "b"] and len(got[0].contributors) == 2
     some = spark.createDataFrame([("c", "b")], "case_id string, page_id string")
@@ -69,19 +86,30 @@ def test_entity_union_and_admission(spark):
 
 
 def test_seeds_and_exact_chunks(spark):
-    pages = spark.createDataFrame([("s:a", "Alpha Project", "projects/alpha-project"), ("s:b", "Beta Team", "teams/beta-team")], "page_id string, title string, slug string")
+    pages = spark.createDataFrame(
+        [("s:a", "Alpha Project", "projects/alpha-project"), ("s:b", "Beta Team", "teams/beta-team")],
+        "page_id string, title string, slug string",
+    )
     gazetteer = entities.surfaces(pages)
     seen = spark.createDataFrame([("o", "Compare Alpha Project with Beta Team and Alpha Projects.")], "observation_id string, text string")
     seeds = entities.gazetteer_seeds(seen, gazetteer).orderBy("seed_no").collect()
     assert [(s.surface, s.span_start) for s in seeds] == [("alpha project", 8), ("beta team", 27)]
-    chunks = spark.createDataFrame([("s:a", "s:a:1", 1, "about the alpha project"), ("s:a", "s:a:0", 0, "Alpha project."), ("s:a", "s:a:2", 2, "else")], "page_id string, chunk_id string, chunk_index int, text string")
-    asked = spark.createDataFrame([("e1", "s:a", "alpha project"), ("e2", "s:a", "about nothing"), ("e3", "s:a", "zzz")], "seed_id string, page_id string, surface string")
+    chunks = spark.createDataFrame(
+        [("s:a", "s:a:1", 1, "about the alpha project"), ("s:a", "s:a:0", 0, "Alpha project."), ("s:a", "s:a:2", 2, "else")],
+        "page_id string, chunk_id string, chunk_index int, text string",
+    )
+    asked = spark.createDataFrame(
+        [("e1", "s:a", "alpha project"), ("e2", "s:a", "about nothing"), ("e3", "s:a", "zzz")],
+        "seed_id string, page_id string, surface string",
+    )
     got = {r.seed_id: (r.chunk_id, r.chunk_score) for r in entities.best_exact_chunk(asked, chunks).collect()}
     assert got == {"e1": ("s:a:0", 1.0), "e2": ("s:a:1", 0.0), "e3": ("s:a:0", 0.0)}
 
 
 def test_keys_follow_python_json(spark):
-    want = hashlib.sha256(json.dumps({"model": "m", "normalized_query": "café 😀 \"x\"", "prompt_version": "v1"}, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    want = hashlib.sha256(
+        json.dumps({"model": "m", "normalized_query": "café 😀 \"x\"", "prompt_version": "v1"}, sort_keys=True, separators=(",", ":")).encode(),
+    ).hexdigest()
     assert one(spark, caches.expansion_key(F.lit('Café  😀 "x" '), "m", "v1")) == want
     fields = {"model": "m", "prompt": "é\n", "memory": ""}
     want = hashlib.sha256(json.dumps(fields, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
@@ -103,8 +131,14 @@ def test_frozen_cache(spark, tmp_path):
 
 
 def test_index_round_trip_and_damage(spark, tmp_path):
-    pages = spark.createDataFrame([("s:a", "s", "a", "A", ["poison"]), ("s:b", "s", "b", "B", [])], "page_id string, source_id string, slug string, title string, perturbations array<string>")
-    chunks = spark.createDataFrame([("s:a:0", "s:a", 0, "x", [1.0, 0.0]), ("s:b:0", "s:b", 0, "y", [0.0, 1.0])], "chunk_id string, page_id string, chunk_index int, text string, embedding array<float>")
+    pages = spark.createDataFrame(
+        [("s:a", "s", "a", "A", ["poison"]), ("s:b", "s", "b", "B", [])],
+        "page_id string, source_id string, slug string, title string, perturbations array<string>",
+    )
+    chunks = spark.createDataFrame(
+        [("s:a:0", "s:a", 0, "x", [1.0, 0.0]), ("s:b:0", "s:b", 0, "y", [0.0, 1.0])],
+        "chunk_id string, page_id string, chunk_index int, text string, embedding array<float>",
+    )
     links = spark.createDataFrame([("s:a", "s:b", "", None)], "source_page_id string, target_page_id string, link_type string, provenance string")
     path = str(tmp_path / "index")
     index.write_index(index.MemoryIndex(pages, chunks, links), path, "c", "m", 2)
@@ -117,7 +151,12 @@ def test_index_round_trip_and_damage(spark, tmp_path):
     links.write.mode("append").parquet(f"{path}/links")
     with pytest.raises(ValueError, match="links"):
         index.read_index(spark, path)
-    bad = validate.index_issues(pages.union(pages), chunks.withColumn("embedding", F.array(F.lit(float("nan")))), links.withColumn("target_page_id", F.lit("s:z")), 2)
+    bad = validate.index_issues(
+        pages.union(pages),
+        chunks.withColumn("embedding", F.array(F.lit(float("nan")))),
+        links.withColumn("target_page_id", F.lit("s:z")),
+        2,
+    )
     assert {r.message for r in bad.collect()} == {"duplicate page id", "wrong vector width", "vector is not finite", "link to unknown page"}
 
 
@@ -157,7 +196,18 @@ def test_case_rules(spark):
     from recollect.schemas import CASE
 
     text = "\n".join(f"Item {i}. Choice{i}" for i in range(30)) + "\nthe cue here. Red plan once. Blue plan once."
-    case = ("c1", "b1", "positive", "Choose exactly one.", ("tool_result", "p", None), (True, "the cue here", None, None), ("m", "memory prose", ["notes/a"], [("notes/a", "notes/a.md", "h", [])], []), ("natural_language_choice", ("Red plan",), ("Blue plan",)), ([(str(i), "t", []) for i in range(3)],), None)
+    case = (
+        "c1",
+        "b1",
+        "positive",
+        "Choose exactly one.",
+        ("tool_result", "p", None),
+        (True, "the cue here", None, None),
+        ("m", "memory prose", ["notes/a"], [("notes/a", "notes/a.md", "h", [])], []),
+        ("natural_language_choice", ("Red plan",), ("Blue plan",)),
+        ([(str(i), "t", []) for i in range(3)],),
+        None,
+    )
     cases = spark.createDataFrame([case], CASE).withColumn("observation_text", F.lit(text))
     files = spark.createDataFrame([("notes/a.md", "other")], "path string, sha256 string")
     found = {r.message for r in validate.case_issues(cases, files, token_count=lambda t: F.lit(9000)).collect()}
