@@ -1,34 +1,42 @@
-"""Token counts and windows by a byte-pair vocabulary, in Arrow batches."""
+"""Token counts and windows by a byte-pair vocabulary, in Arrow batches.
+
+What runs on workers needs tiktoken there, and nothing of this package.
+"""
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_encoders: dict[tuple[str, str], object] = {}
 
+def encoder(ranks: str, pattern: str) -> Callable:
+    """A function that gives the vocabulary of a rank file, read when first asked for in a task."""
+    held: list = []
+
+    def load():
+        if not held:
+            import base64
+
+            import tiktoken
 
-def encoder(ranks: str, pattern: str):
-    """The vocabulary of a rank file, read once a worker."""
-    if (ranks, pattern) not in _encoders:
-        import tiktoken
+            with open(ranks, "rb") as file:
+                table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
+            held.append(tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={}))
+        return held[0]
 
-        with open(ranks, "rb") as file:
-            table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
-        _encoders[ranks, pattern] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-    return _encoders[ranks, pattern]
+    return load
 
 
 def counter(ranks: str, pattern: str) -> Callable[[Column], Column]:
     """text -> number of tokens; null counts none."""
+    load = encoder(ranks, pattern)
 
     @F.pandas_udf("long")
     def counted(texts: pd.Series) -> pd.Series:
-        own = encoder(ranks, pattern)
+        own = load()
         return pd.Series([len(own.encode_ordinary(t or "")) for t in texts], dtype="int64")
 
     return counted
@@ -39,10 +47,11 @@ def windower(ranks: str, pattern: str, size: int) -> Callable[[Column], Column]:
 
     Where a window ends inside a character, both halves show a replacement character.
     """
+    load = encoder(ranks, pattern)
 
     @F.pandas_udf("array<string>")
     def windowed(texts: pd.Series) -> pd.Series:
-        own, out = encoder(ranks, pattern), []
+        own, out = load(), []
         for text in texts:
             ids = own.encode_ordinary(text or "")
             out.append([text] if len(ids) <= size else [own.decode(ids[k : k + size]) for k in range(0, len(ids), size)])

@@ -312,7 +312,7 @@ def test_tokens_of_a_vocabulary(spark):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     texts = ["", None, "short", "a longer text, with Ünïcödé and numbers 12345 " * 20]
-    own = tokenizers.encoder(ranks, pattern)
+    own = tokenizers.encoder(ranks, pattern)()
     table = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
     got = table.select(
         "i",
