@@ -40,5 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
 def settled(table: DataFrame) -> DataFrame:
     """A small intermediate table that a plan reads several times, computed once and
     kept in the shared folder: its lineage ends in files that survive executors."""
-    shared_dir(table.sparkSession)
+    base, context = shared_dir(table.sparkSession), table.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(base)
     return table.checkpoint(eager=True)
