@@ -1,13 +1,13 @@
-"""Document fingerprints: every shingle hash below a fixed threshold, which now is all of them.
+"""Document fingerprints: every shingle hash below a fixed threshold.
 
 A text is read as code points with SHINGLE - 1 sentinels at either end; each
 window of SHINGLE code points has a 64-bit hash (polynomial, then mixed), and
 the sketch keeps every distinct hash in the first 1 of KEPT parts of the hash
 space. Sketches grow with their texts, so that the sketch of a union is the
 union of sketches, and the part of one sketch found in another estimates
-containment however unequal the two documents are. At KEPT = 1 nothing is
-sampled: results are exact but for collisions of 32-bit entries, for short texts
-too, and a fingerprint has about eight hex digits a character.
+containment however unequal the two documents are. The standard error of a
+resemblance J over u joint shingles is sqrt(J * (1 - J) * KEPT / u); entries are
+32 bits wide, and a fingerprint has about 8 / KEPT hex digits a character.
 
 Defined results: a null text is empty; an empty text has an empty sketch; equal
 texts have equal sketches; two empty sketches are alike (1.0) only if both texts
@@ -31,10 +31,8 @@ from pyspark.sql import functions as F
 from .util import free, partitions, settle, slices, unlike
 
 SHINGLE = 16
-#: 1 of KEPT hashes stays; the top bits of what stays are zero, the next 32 are written.
-KEPT = 1
-_LAST = np.uint64((1 << 64) // KEPT - 1)
-_SHIFT = np.uint64(64 - (KEPT.bit_length() - 1) - 32)
+#: 1 of KEPT hashes stays (a power of two); the top bits of what stays are zero, the next 32 are written.
+KEPT = 4
 #: Hex digits after which a batch of results is handed on.
 BATCH_DIGITS = 4 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -53,7 +51,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def sketch(points: np.ndarray) -> np.ndarray:
+def sketch(points: np.ndarray, kept: int = KEPT) -> np.ndarray:
     """Sorted 32-bit entries for an array of code points."""
     if not len(points):
         return np.empty(0, dtype=np.uint32)
@@ -70,7 +68,8 @@ def sketch(points: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
-    return np.unique((h[h <= _LAST] >> _SHIFT).astype(np.uint32))
+    last, shift = np.uint64((1 << 64) // kept - 1), np.uint64(64 - (kept.bit_length() - 1) - 32)
+    return np.unique((h[h <= last] >> shift).astype(np.uint32))
 
 
 def points_of(text: str) -> np.ndarray:

@@ -332,20 +332,42 @@ def test_sketch_is_thresholded_and_mergeable():
     assert sketch.resemblance(a[:0], a[:0], True) == 1.0 and sketch.resemblance(a[:0], a) == 0.0
 
 
-def test_short_texts_are_not_lost(spark):
+def windows(text):
+    padded = "\0" * 15 + text + "\0" * 15
+    return {padded[i : i + 16] for i in range(len(padded) - 15)}
+
+
+def test_unsampled_sketches_are_exact_and_the_threshold_samples_them():
     r = random.Random(5)
-    texts = ["".join(r.choice("abcdefgh ") for _ in range(n)) for n in range(1, 100)]
-    got = sketch.edited_and_next(docs(spark, texts)).orderBy("doc_id").collect()
+    texts = ["".join(r.choice("abcdefgh ") for _ in range(n)) for n in [*range(1, 100), 4000]]
+    for text, then in zip(texts, texts[1:] + texts[:1]):
+        cut = len(text) // 4
+        changed = text[: len(text) - cut] + then[:cut]
+        a, b = windows(text), windows(changed)
+        one, two = (sketch.sketch(sketch.points_of(t), kept=1) for t in (text, changed))
+        assert len(one) == len(a) and sketch.resemblance(one, two) == pytest.approx(len(a & b) / len(a | b))
+        assert sketch.containment(one, two) == pytest.approx(len(a & b) / len(a))
+        # The top 30 bits of what the threshold keeps are those of the hashes in the first quarter.
+        kept = sketch.sketch(sketch.points_of(text), kept=4)
+        assert np.array_equal(np.unique(kept >> np.uint32(2)), np.unique(one[one < 2**30]))
 
-    def shingles(text):
-        padded = "\0" * 15 + text + "\0" * 15
-        return {padded[i : i + 16] for i in range(len(padded) - 15)}
 
+def test_short_texts_are_not_lost(spark):
+    """Estimates against exact shingle sets: errors as sampling allows, hardly a near copy without likeness."""
+    r = random.Random(5)
+    texts = ["".join(r.choice("abcdefgh ") for _ in range(n)) for n in range(1, 400)]
+    got = sketch.edited_and_next(docs(spark, texts)).orderBy("doc_id").collect()
+    errors, lost = [], 0
     for row, text, then in zip(got, texts, texts[1:] + texts[:1]):
         cut = len(text) // 4
-        a, b, c = shingles(text), shingles(text[: len(text) - cut] + then[:cut]), shingles(then)
-        assert row.near_edited == pytest.approx(len(a & b) / len(a | b)) and row.contained_edited == pytest.approx(len(a & b) / len(a))
-        assert row.near_next == pytest.approx(len(a & c) / len(a | c)) and row.contained_next == pytest.approx(len(a & c) / len(a))
+        a, b, c = windows(text), windows(text[: len(text) - cut] + then[:cut]), windows(then)
+        for found, one, two in ((row.near_edited, a, b), (row.near_next, a, c)):
+            exact, joint = len(one & two) / len(one | two), len(one | two)
+            spread = (max(exact * (1 - exact), 0.05) * sketch.KEPT / joint) ** 0.5
+            errors.append((found - exact) / spread)
+        lost += row.near_edited == 0 and cut > 0
+    assert np.abs(errors).max() < 5 and np.mean(np.square(errors)) < 1.3 and abs(np.mean(errors)) < 0.15
+    assert lost <= 6
 
 
 def test_fingerprints_follow_the_next_document(spark):
