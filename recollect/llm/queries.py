@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embed_dedup, mixing, ngram_join, pieces, secret_scan, sketch, token_counts, toxicity, url_filter
+from . import chat, embed_dedup, mixing, ngram_join, pieces, secret_scan, sketch, suffix_dedup, token_counts, toxicity, url_filter
 from .util import new_path, remove, tuned
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -223,6 +223,15 @@ SELECT page_id, host, path, CASE WHEN tier = 0 THEN rule END AS rule, COALESCE(v
 FROM parts LEFT JOIN (SELECT * FROM fits WHERE k = 1) USING (r)
 """
 
+
+# -- 13: suffix-array dedup ---------------------------------------------------
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+    return cleaned.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_sentencepiece": op2_sentencepiece,
@@ -234,5 +243,6 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_secrets": op9_secrets,
     "op10_url_filter": op10_url_filter,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 ORACLES = {"op4_mixing": OP4_SQL, "op7_chat": OP7_SQL, "op10_url_filter": OP10_SQL}
