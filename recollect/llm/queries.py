@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embed_dedup, mixing, ngram_join, pieces, secret_scan, sketch, suffix_dedup, token_counts, toxicity, url_filter
+from . import centroids, chat, embed_dedup, mixing, ngram_join, pieces, secret_scan, sketch, suffix_dedup, token_counts, toxicity, url_filter, vector_codes
 from .util import new_path, remove, tuned
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -224,6 +224,77 @@ FROM parts LEFT JOIN (SELECT * FROM fits WHERE k = 1) USING (r)
 """
 
 
+# -- 11: centroid clustering --------------------------------------------------
+
+
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+#: Vectors whose components are all there and finite.
+FINITE_SQL = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
+GAP_SQL = "list_sum(list_transform(list_zip({a}, {b}), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+#: floor(s / n) of whole numbers, n positive.
+FLOOR_SQL = "((s - ((s % n) + n) % n) // n)"
+
+
+def _op11_sql() -> str:
+    ctes = [
+        f"kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor({centroids.SCALE} * x::DOUBLE)::BIGINT) AS v "
+        f"FROM embeddings WHERE len(embedding) = {centroids.SIZE} AND {FINITE_SQL})",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY mark) - 1 AS k, v FROM "
+        f"(SELECT v, sha256('2:' || vec_id) AS mark FROM kept) ORDER BY mark LIMIT {centroids.CENTROIDS})",
+    ]
+    for r in range(centroids.ROUNDS + 1):
+        ctes.append(
+            f"a{r} AS MATERIALIZED (SELECT vec_id, v, k, d FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, k) AS place FROM "
+            f"(SELECT vec_id, x.v, k, {GAP_SQL.format(a='x.v', b='c.v')} AS d FROM kept x, c{r} c)) WHERE place = 1)"
+        )
+        if r < centroids.ROUNDS:
+            ctes.append(
+                f"m{r} AS (SELECT k, list({FLOOR_SQL} ORDER BY i) AS v FROM (SELECT k, i, sum(x)::BIGINT AS s, count(*) AS n FROM "
+                f"(SELECT k, unnest(range({centroids.SIZE})) AS i, unnest(v) AS x FROM a{r}) GROUP BY k, i) GROUP BY k)"
+            )
+            ctes.append(f"c{r + 1} AS MATERIALIZED (SELECT c.k, COALESCE(m.v, c.v) AS v FROM c{r} c LEFT JOIN m{r} m ON c.k = m.k)")
+    last = centroids.ROUNDS
+    return f"""WITH {", ".join(ctes)}
+SELECT vec_id, a.k::INT AS cluster, d AS distance, SUM(d) OVER (PARTITION BY a.k)::BIGINT AS cluster_inertia,
+       SUM(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{last} a JOIN c{last} c ON a.k = c.k"""
+
+
+# -- 12: vector codes ---------------------------------------------------------
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(table(spark, sf_dir, "embeddings"))
+
+
+def _op12_sql() -> str:
+    parts = vector_codes.PARTS
+    ctes = [
+        f"kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor({vector_codes.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE {FINITE_SQL})",
+        f"parts AS MATERIALIZED (SELECT vec_id, label, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS v FROM kept, (SELECT unnest(range({parts})) AS p))",
+        f"c0 AS MATERIALIZED (SELECT p, k, v FROM (SELECT p, v, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS k FROM parts) WHERE k < {vector_codes.ENTRIES})",
+    ]
+    for r in range(vector_codes.ROUNDS + 1):
+        ctes.append(
+            f"a{r} AS MATERIALIZED (SELECT vec_id, label, p, v, k, d FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, p ORDER BY d, k) AS place FROM "
+            f"(SELECT vec_id, label, x.p, x.v, k, {GAP_SQL.format(a='x.v', b='c.v')} AS d FROM parts x JOIN c{r} c ON x.p = c.p)) WHERE place = 1)"
+        )
+        if r < vector_codes.ROUNDS:
+            ctes.append(
+                f"m{r} AS (SELECT p, k, list({FLOOR_SQL} ORDER BY i) AS v FROM (SELECT p, k, i, sum(x)::BIGINT AS s, count(*) AS n FROM "
+                f"(SELECT p, k, unnest(range(len(v))) AS i, unnest(v) AS x FROM a{r}) GROUP BY p, k, i) GROUP BY p, k)"
+            )
+            ctes.append(f"c{r + 1} AS MATERIALIZED (SELECT c.p, c.k, COALESCE(m.v, c.v) AS v FROM c{r} c LEFT JOIN m{r} m ON c.p = m.p AND c.k = m.k)")
+    last = vector_codes.ROUNDS
+    return f"""WITH {", ".join(ctes)},
+coded AS (SELECT vec_id, label, string_agg(printf('%02x', k), '' ORDER BY p) AS code, SUM(d)::BIGINT AS error FROM a{last} GROUP BY vec_id, label),
+books AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM c{last})
+SELECT vec_id, code, error, SUM(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM coded, books"""
+
+
 # -- 13: suffix-array dedup ---------------------------------------------------
 
 
@@ -243,6 +314,8 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_secrets": op9_secrets,
     "op10_url_filter": op10_url_filter,
+    "op11_centroids": op11_centroids,
+    "op12_vector_codes": op12_vector_codes,
     "op13_suffix_dedup": op13_suffix_dedup,
 }
-ORACLES = {"op4_mixing": OP4_SQL, "op7_chat": OP7_SQL, "op10_url_filter": OP10_SQL}
+ORACLES = {"op4_mixing": OP4_SQL, "op7_chat": OP7_SQL, "op10_url_filter": OP10_SQL, "op11_centroids": _op11_sql(), "op12_vector_codes": _op12_sql()}
