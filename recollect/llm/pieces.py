@@ -113,8 +113,9 @@ class Pieces:
         self.start, self.size_of = np.empty(1 << 14, dtype=np.int64), np.empty(1 << 14, dtype=np.int64)
         #: Decimal ids by chunk, made where they are asked for.
         self.csv: list[str] = []
-        #: Chunks whose text is not that of their characters; chunks for which the library finds other ids.
-        self.odd: dict[int, str] = {}
+        #: Characters of the ids by chunk, made where they are asked for.
+        self.plain: list[str] = []
+        #: Chunks for which the library finds other ids.
         self.wrong: set[int] = set()
 
     def _symbol(self, plain: dict[str, int], text: str) -> int | None:
@@ -253,10 +254,7 @@ class Pieces:
             np.empty(0, dtype=np.int64),
         )
         strange = np.flatnonzero(symbols >= self.size)
-        odd: set[int] = set()
         if len(strange):
-            owner = np.repeat(short, counts)
-            odd.update(owner[strange].tolist())
             made = [self._ids([s]) for s in symbols[strange].tolist()]
             reps = np.ones(len(symbols), dtype=np.int64)
             reps[strange] = [len(m) for m in made]
@@ -269,7 +267,6 @@ class Pieces:
         for i in np.flatnonzero(sizes > SHORT).tolist():
             ids = self.merge(chunks[i])
             if max(ids) >= self.size:
-                odd.add(i)
                 ids = self._ids(ids)
             self._store(np.array([first + i]), np.array(ids), np.array([len(ids)]))
         own = np.arange(first, first + len(words))
@@ -279,10 +276,6 @@ class Pieces:
         mine = self.gather(own)
         if not (np.array_equal(lengths, self.size_of[own]) and np.array_equal(flat, mine)):
             self.wrong.update(first + i for i, ids in enumerate(theirs) if self.ids_of(first + i).tolist() != ids)
-        for i in odd:
-            shown = self.text_of(self.ids_of(first + i).tolist())
-            if shown != chunks[i].replace(MARK, " "):
-                self.odd[first + i] = shown
 
     def ids_of(self, slot: int) -> np.ndarray:
         return self.flat[self.start[slot] : self.start[slot] + self.size_of[slot]]
@@ -301,8 +294,7 @@ class Pieces:
     def decode(self, ids: list[int]) -> str:
         """As the library decodes: without the space of the first piece."""
         text = self.text_of(ids)
-        shown = next((i for i in ids if self.bytes_of[i]), None)
-        return text[1:] if shown is not None and shown != self.unknown and text.startswith(" ") else text
+        return text[1:] if text.startswith(" ") and self._strips(np.array(ids)) else text
 
     def chunks(self, text: str) -> list[str]:
         """The chunks of a text, each without its first mark."""
@@ -342,14 +334,26 @@ class Pieces:
         hits = np.r_[0, np.cumsum(np.isin(coded.at, list(slots)))][coded.cuts]
         return hits[1:] > hits[:-1]
 
-    def shown(self, texts: list[str], coded: Encoded) -> list[str]:
-        """The decoded texts. A chunk's own text is kept only where it differs from its characters."""
-        out = [t.replace(MARK, " ") if MARK in t else t for t in texts]
-        for k in np.flatnonzero(self.marked(coded, self.odd)).tolist():
-            at = coded.at[coded.cuts[k] : coded.cuts[k + 1]].tolist()
-            out[k] = "".join([self.odd[s] if s in self.odd else " " + c.replace(MARK, " ") for s, c in zip(at, self.chunks(texts[k]))])[1:]
+    def shown(self, coded: Encoded) -> list[str]:
+        """The decoded texts, from the ids alone: those of each chunk are put into characters once."""
+        new, of = np.arange(len(self.plain), len(self.slots)), self.text
+        if len(new):
+            ids = self.gather(new).tolist()
+            ends = np.r_[0, np.cumsum(self.size_of[new])].tolist()
+            for a, b in zip(ends, ends[1:]):
+                parts = [of[i] for i in ids[a:b]]
+                self.plain.append(self.text_of(ids[a:b]) if None in parts else "".join(parts))
+        plain, at, out = self.plain, coded.at.tolist(), []
+        for k, (a, b) in enumerate(zip(coded.cuts, coded.cuts[1:])):
+            text = "".join([plain[s] for s in at[a:b]])
+            out.append(text[1:] if text.startswith(" ") and self._strips(coded.of(k)) else text)
         return out
 
+    def _strips(self, ids: np.ndarray) -> bool:
+        """Whether the library leaves out the space of the first piece that shows anything."""
+        first = next((int(i) for i in ids if self.bytes_of[i]), None)
+        return first is not None and first != self.unknown
+
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text or ""]).ids.tolist()
 
@@ -379,7 +383,7 @@ def encode_decode(docs: DataFrame, keep: list[str], model: str, text: str = "tex
         for batch in slices(batches, batch_text, 1 << 20):
             texts = [t or "" for t in batch.column(n).to_pylist()]
             made = pieces.encode_all(texts)
-            shown = pieces.shown(texts, made)
+            shown = pieces.shown(made)
             agrees = ~pieces.marked(made, pieces.wrong)
             whole = made.of(0).tolist()
             agrees[0] &= whole == pieces.library.encode(texts[0]) and pieces.library.decode(whole) == shown[0]
