@@ -6,6 +6,8 @@ left to right and never inside an earlier match of its kind: the same matches as
 a leftmost, non-overlapping search of the whole text. Long hexadecimal runs have
 no keyword; one character-class search finds them. Kinds with an embedded
 checksum or structure count only if it is right; a match that fails hides no later one.
+What such matches have in common (the run a token stands in, the lines after a header) is
+read once, so that time stays linear in the text.
 
 Defined results: a null or empty text has no spans; spans of unlike kinds may
 overlap; offsets are code points, end exclusive; repeated rows are scanned each; an
@@ -22,6 +24,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -36,8 +39,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 GITHUB = re.compile(r"gh[pousr]_([A-Za-z0-9]{36})(?![A-Za-z0-9])")
 NPM = re.compile(r"npm_([A-Za-z0-9]{36})(?![A-Za-z0-9])")
-JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z]+ )*PRIVATE KEY)-----((?:\s*+[A-Za-z][A-Za-z0-9-]*+:[^\r\n]*+)*+)([A-Za-z0-9+/=\s]+)-----END \1-----")
+TOKEN_RUN = re.compile(r"[A-Za-z0-9_-]+")
+PEM_LABEL = re.compile(r"-----BEGIN ((?:[A-Z]+ )*PRIVATE KEY)-----")
+PEM_NAME = re.compile(r"\s*+[A-Za-z][A-Za-z0-9-]*+:")
+PEM_BODY = re.compile(r"[A-Za-z0-9+/=\s]++")
+LINE = re.compile(r"[^\r\n]*+")
+SPACE = re.compile(r"[ \t\n\r]*+")
 OPENSSH = b"openssh-key-v1\0"
 KEYWORDS = {
     "assign": ["password", "passwd", "secret", "token", "apikey", "api_key"],
@@ -63,38 +70,171 @@ def _checked_token(m: re.Match) -> bool:
     return crc_base62(m[1][:30]) == m[1][30:]
 
 
-def _checked_jwt(m: re.Match) -> bool:
+class Pattern:
+    """Matches of one expression, anchored at a place."""
+
+    def __init__(self, text: str, pattern: re.Pattern, accepts) -> None:
+        self.text, self.pattern, self.accepts = text, pattern, accepts
+
+    def at(self, place: int) -> tuple[int, bool] | None:
+        """(end, accepted) of the match that starts here."""
+        m = self.pattern.match(self.text, place)
+        return (m.end(), self.accepts(m)) if m else None
+
+
+class Jwt:
+    """Three runs of token characters with dots between; the first two start with eyJ and hold a JSON object in base64.
+
+    A run is measured once, whatever starts inside it are tried. Starts of one
+    remainder by four are suffixes of one decoded text, which is made once as well.
+    """
+
+    def __init__(self, text: str) -> None:
+        self.text, self.start, self.end, self.last = text, 0, 0, None
+        self.decoded: dict[int, tuple] = {}
+
+    def _run(self, place: int) -> int | None:
+        """End of the run of token characters at a place that starts with eyJ and goes on."""
+        return TOKEN_RUN.match(self.text, place).end() if self.text.startswith("eyJ", place) else None
+
+    def _measure(self, place: int) -> None:
+        self.start, self.end, self.last = place, TOKEN_RUN.match(self.text, place).end(), None
+        self.decoded = {}
+        if self.text.startswith(".", self.end) and (second := self._run(self.end + 1)) and second > self.end + 4:
+            m = TOKEN_RUN.match(self.text, second + 1) if self.text.startswith(".", second) else None
+            if m:
+                body = Decoded(self.text[self.end + 1 : second])
+                self.last = m.end(), body.holds_object(0)
+
+    def at(self, place: int) -> tuple[int, bool] | None:
+        if not self.start <= place < self.end:
+            self._measure(place)
+        if self.last is None or self.end - place < 4:
+            return None
+        end, fine = self.last
+        if not fine:
+            return end, False
+        kind = (self.end - place) % 4
+        if kind not in self.decoded:
+            self.decoded[kind] = place, Decoded(self.text[place : self.end])
+        first, text = self.decoded[kind]
+        return end, text.holds_object((place - first) // 4 * 3)
+
+
+class Decoded:
+    """Base64 of a run, read as UTF-8, and whether a JSON object is all that stands from a byte on."""
+
+    def __init__(self, run: str) -> None:
+        try:
+            raw = base64.urlsafe_b64decode(run + "=" * (-len(run) % 4))
+        except binascii.Error:
+            raw = None
+        self.text = raw.decode("utf-8", "surrogateescape") if raw is not None else None
+        self.starts = None
+        if raw is not None and not raw.isascii():
+            sizes = np.fromiter((1 if "\ud800" <= c <= "\udfff" else len(c.encode()) for c in self.text), dtype=np.int64, count=len(self.text))
+            self.starts = np.cumsum(sizes) - sizes
+        self.bad = max((i for i, c in enumerate(self.text) if "\udc80" <= c <= "\udcff"), default=-1) if self.starts is not None else -1
+
+    def holds_object(self, byte: int) -> bool:
+        if self.text is None:
+            return False
+        at = byte if self.starts is None else int(np.searchsorted(self.starts, byte))
+        if at <= self.bad or not self.text.startswith("{", at):
+            return False
+        try:
+            _, end = _JSON.raw_decode(self.text, at)
+        except (ValueError, RecursionError):
+            return False
+        return SPACE.match(self.text, end).end() == len(self.text)
+
+
+_JSON = json.JSONDecoder()
+
+
+class Pem:
+    """A labelled block: headers, a base64 body and the end of the same label.
+
+    The body decodes to one DER sequence of exactly the stated length, or starts with OpenSSH's magic, or is said to be encrypted by the
+    headers. Headers reach to the end of their line, which other blocks may start in: what
+    follows a line is read once.
+    """
+
+    def __init__(self, text: str) -> None:
+        self.text, self.line = text, (0, -1, -1)
+        self.after: dict[int, tuple[int, bool]] = {}
+        self.bodies: dict[int, tuple[int, bool, bool]] = {}
+
+    def _line(self, place: int) -> tuple[int, int]:
+        """(end of the line, last place in it that says the key is encrypted) for a place in it."""
+        start, end, said = self.line
+        if not start <= place <= end:
+            end = LINE.match(self.text, place).end()
+            said = max(self.text.rfind(word, place, end) for word in ("DEK-Info:", "ENCRYPTED"))
+            self.line = place, end, said
+        return end, said
+
+    def _headers(self, place: int) -> tuple[int, bool]:
+        """(end of the headers that begin here, whether one says that the key is encrypted)."""
+        seen: list[tuple[int, bool]] = []
+        while place not in self.after:
+            m = PEM_NAME.match(self.text, place)
+            if not m:
+                self.after[place] = place, False
+                break
+            end, said = self._line(m.end())
+            name = self.text[place : m.end()]
+            seen.append((place, said >= m.end() or "DEK-Info:" in name or "ENCRYPTED" in name))
+            place = end
+        end, said = self.after[place]
+        for start, own in reversed(seen):
+            said = said or own
+            self.after[start] = end, said
+        return end, said
+
+    def _body(self, place: int) -> tuple[int, bool, bool]:
+        """(end of the body, whether it is a whole key, whether it is base64 at all)."""
+        if place not in self.bodies:
+            m = PEM_BODY.match(self.text, place)
+            self.bodies[place] = (m.end(), *_key(m[0])) if m else (-1, False, False)
+        return self.bodies[place]
+
+    def at(self, place: int) -> tuple[int, bool] | None:
+        label = PEM_LABEL.match(self.text, place)
+        if not label:
+            return None
+        start, encrypted = self._headers(label.end())
+        end, whole, coded = self._body(start)
+        tail = f"-----END {label[1]}-----"
+        if end < 0 or not self.text.startswith(tail, end):
+            return None
+        return end + len(tail), whole or coded and encrypted
+
+
+def _key(body: str) -> tuple[bool, bool]:
+    """Whether a body is an unencrypted key, and whether it is base64 of something."""
     try:
-        return all(isinstance(json.loads(base64.urlsafe_b64decode(m[k] + "=" * (-len(m[k]) % 4))), dict) for k in (1, 2))
-    except (ValueError, binascii.Error, RecursionError):
-        return False
-
-
-def _checked_pem(m: re.Match) -> bool:
-    """The body decodes to one DER sequence of exactly the stated length, or starts with
-    OpenSSH's magic, or is said to be encrypted by its headers."""
-    try:
-        der = base64.b64decode("".join(m[3].split()), validate=True)
+        der = base64.b64decode("".join(body.split()), validate=True)
     except (ValueError, binascii.Error):
-        return False
-    if der.startswith(OPENSSH) or der and ("DEK-Info:" in m[2] or "ENCRYPTED" in m[2]):
-        return True
+        return False, False
+    if der.startswith(OPENSSH):
+        return True, True
     if len(der) < 2 or der[0] != 0x30:
-        return False
+        return False, bool(der)
     if der[1] < 0x80:
-        return len(der) == 2 + der[1]
+        return len(der) == 2 + der[1], True
     n = der[1] & 0x7F
-    return 0 < n <= 8 and len(der) == 2 + n + int.from_bytes(der[2 : 2 + n], "big")
+    return 0 < n <= 8 and len(der) == 2 + n + int.from_bytes(der[2 : 2 + n], "big"), True
 
 
-#: kind -> (expression, accepts the match)
-RULES = {
-    "assign": (ASSIGN, lambda m: len(m[1]) >= 6),
-    "access": (ACCESS, lambda m: m.end() - m.start() >= 20),
-    "github": (GITHUB, _checked_token),
-    "npm": (NPM, _checked_token),
-    "jwt": (JWT, _checked_jwt),
-    "pem": (PEM, _checked_pem),
+#: kind -> what finds its matches in a text
+FINDERS = {
+    "assign": lambda text: Pattern(text, ASSIGN, lambda m: len(m[1]) >= 6),
+    "access": lambda text: Pattern(text, ACCESS, lambda m: m.end() - m.start() >= 20),
+    "github": lambda text: Pattern(text, GITHUB, _checked_token),
+    "npm": lambda text: Pattern(text, NPM, _checked_token),
+    "jwt": Jwt,
+    "pem": Pem,
 }
 _automaton = None
 
@@ -127,15 +267,14 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     for end, (kind, length) in automaton().iter(lowered(text)):
         hits.setdefault(kind, []).append(end - length + 1)
     for kind, starts in hits.items():
-        pattern, accepts = RULES[kind]
-        done = 0
+        finder, done = FINDERS[kind](text), 0
         for at in sorted(starts):
-            if at >= done and (m := pattern.match(text, at)):
-                accepted = accepts(m)
+            if at >= done and (found := finder.at(at)):
+                end, accepted = found
                 if accepted or kind in BASE:
-                    done = m.end()
+                    done = end
                 if accepted:
-                    spans.append((kind, at, done))
+                    spans.append((kind, at, end))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
