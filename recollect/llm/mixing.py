@@ -15,12 +15,15 @@ weights do not name has weight 1; a source with no characters at all has rate
 0 if no source has any; null texts count 0 characters; repeated rows are
 separate documents with equal draws; an empty table gives no rows; other columns pass
 through under any name, except that input columns named copy, n_copies or mix_key are
-replaced.
+replaced. A source may be as small as a character beside all others: a rate above
+CHUNK * PIECE is drawn in chunks of CHUNK pieces, each a row of its own, dealt
+over all tasks, and no row holds an array of more than a chunk's copies.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .util import cut, free, partitions
@@ -28,6 +31,8 @@ from .util import cut, free, partitions
 OUTPUT = ("copy", "n_copies", "mix_key")
 #: Largest rate inverted in one piece; a larger rate is a sum of independent draws at most this large.
 PIECE = 16.0
+#: Most pieces that one row draws.
+CHUNK = 1024
 
 
 def uniform(*parts: Column) -> Column:
@@ -90,18 +95,49 @@ def mix(
     mean = cut(rates(docs, weights, default, source, text), "rates").toDF(of, mean_rate)
     drawn = docs.join(mean, F.col(source).eqNullSafe(F.col(of)), "left")
     rate = F.coalesce(mean_rate, F.lit(0.0))
-    whole = F.floor(rate / PIECE).cast("int")
     ident = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    full = F.aggregate(
-        F.transform(
-            F.when(whole > 0, F.sequence(F.lit(1), whole)).otherwise(F.array().cast("array<int>")),
-            lambda i: quantile(F.lit(PIECE), uniform(F.lit(f"draw-{seed}"), ident, i.cast("string"))),
-        ),
-        F.lit(0),
-        lambda a, b: a + b,
-    )
-    count = full + quantile(rate - whole * F.lit(PIECE), uniform(F.lit(f"draw-{seed}"), ident, F.lit("0")))
-    drawn = drawn.select(*keep, count.alias("n_copies")).filter("n_copies > 0")
-    copies = drawn.select(*keep, F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)).alias("copy"), "n_copies")
+    few = F.col(mean_rate) <= CHUNK * PIECE
+    small = drawn.filter(F.coalesce(few, F.lit(True)))
+    count = drawn_count(rate, ident, seed, F.lit(0), F.floor(rate / PIECE).cast("bigint"))
+    rows = small.select(*keep, F.lit(0).cast("bigint").alias("first"), count.alias("here"), count.alias("n_copies"))
+    if not mean.filter(~few).isEmpty():
+        rows = rows.unionByName(_in_chunks(drawn.filter(~few), keep, mean_rate, ident, seed))
+    copies = rows.filter("here > 0").select(*keep, "n_copies", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("here") - 1)).alias("copy"))
+    copies = copies.select(*keep, "copy", "n_copies")
     copies = copies.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(f"deal-{seed}"), ident, F.col("copy").cast("string"))))
     return copies.repartition(partitions(docs.sparkSession), "mix_key").sortWithinPartitions("mix_key")
+
+
+def drawn_count(rate: Column, ident: Column, seed: int, first: Column, pieces: Column) -> Column:
+    """Copies of a document from ``pieces`` full pieces behind ``first`` of them, and from the part of a piece (number 0) where first is 0."""
+
+    def draw(of: Column, i: Column) -> Column:
+        return quantile(of, uniform(F.lit(f"draw-{seed}"), ident, i.cast("string"))).cast("bigint")
+
+    numbers = F.when(pieces > 0, F.sequence(first + 1, first + pieces)).otherwise(F.array().cast("array<bigint>"))
+    full = F.aggregate(F.transform(numbers, lambda i: draw(F.lit(PIECE), i)), F.lit(0).cast("bigint"), lambda a, b: a + b)
+    part = draw(rate - F.floor(rate / PIECE).cast("double") * F.lit(PIECE), F.lit(0))
+    return full + F.when(first == 0, part).otherwise(F.lit(0).cast("bigint"))
+
+
+def _in_chunks(drawn: DataFrame, keep: list[str], mean_rate: str, ident: Column, seed: int) -> DataFrame:
+    """keep, first, here and n_copies of rows with a high rate, a row a chunk of pieces.
+
+    Rows of one id and rate draw the same, so that counts are drawn once for each: chunks are dealt over
+    all tasks, and each learns the copies before it and in all from the others' counts.
+    """
+    n = partitions(drawn.sparkSession)
+    id_, rate_ = free("ident", drawn), free("rate", drawn)
+    one = drawn.select(ident.alias("i"), F.col(mean_rate).alias("r")).distinct()
+    whole = F.floor(F.col("r") / PIECE).cast("bigint")
+    cut_ = one.select("i", "r", whole.alias("whole"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((whole - 1) / CHUNK).cast("bigint"))).alias("c"))
+    dealt = cut_.repartition(n, "i", "c")
+    own = drawn_count(F.col("r"), F.col("i"), seed, F.col("c") * CHUNK, F.least(F.col("whole") - F.col("c") * CHUNK, F.lit(CHUNK).cast("bigint")))
+    counted = cut(dealt.select("i", "r", "c", own.alias("here")), "chunks")
+    by = W.partitionBy("i", "r").orderBy("c").rowsBetween(W.unboundedPreceding, -1)
+    placed = counted.select("i", "r", "here", F.coalesce(F.sum("here").over(by), F.lit(0)).alias("first"))
+    total = counted.groupBy("i", "r").agg(F.sum("here").alias("n_copies"))
+    placed = placed.join(total, ["i", "r"]).withColumnRenamed("i", id_).withColumnRenamed("r", rate_)
+    met = drawn.join(placed, (ident == F.col(id_)) & (F.col(mean_rate) == F.col(rate_)))
+    # Dealt again, so that the chunks of one document are unpacked by many tasks.
+    return met.select(*keep, "first", "here", "n_copies").repartition(n, F.col("first"), F.xxhash64(ident))

@@ -82,7 +82,7 @@ WITH sizes AS (
 rates AS (
   SELECT source, CASE WHEN size > 0 THEN weight / SUM(weight) OVER () * (SUM(size) OVER ())::DOUBLE / size ELSE 0.0 END AS rate FROM sizes),
 drawn AS (
-  SELECT d.*, r.rate, floor(r.rate / {mixing.PIECE})::INT AS whole
+  SELECT d.*, r.rate, floor(r.rate / {mixing.PIECE})::BIGINT AS whole
   FROM documents d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source),
 pieces AS (
   SELECT doc_id, text, lang, source, n_chars, i,
@@ -97,8 +97,8 @@ counts AS (
   SELECT doc_id, text, lang, source, n_chars, i, COUNT(*) FILTER (WHERE cdf <= u) AS n
   FROM (SELECT *, SUM(p) OVER (PARTITION BY doc_id, text, lang, source, n_chars, i ORDER BY k) AS cdf FROM terms)
   GROUP BY ALL),
-total AS (SELECT doc_id, text, lang, source, n_chars, SUM(n)::INT AS n_copies FROM counts GROUP BY ALL)
-SELECT doc_id, text, lang, source, n_chars, copy::INT AS copy, n_copies,
+total AS (SELECT doc_id, text, lang, source, n_chars, SUM(n)::BIGINT AS n_copies FROM counts GROUP BY ALL)
+SELECT doc_id, text, lang, source, n_chars, copy::BIGINT AS copy, n_copies,
        md5('deal-{MIX_SEED}:' || COALESCE(doc_id::VARCHAR, '') || ':' || copy) AS mix_key
 FROM total, LATERAL (SELECT unnest(range(n_copies)) AS copy)
 """
