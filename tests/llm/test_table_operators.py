@@ -279,6 +279,18 @@ def test_mixing_follows_weights(spark):
     assert sorted((r.doc_id, r.copy) for r in other) == sorted((r.doc_id, r.copy) for r in got) and {(r.mix_rate, r.mix_source) for r in other} == {("r", "s")}
 
 
+def test_a_source_of_one_character(spark, monkeypatch):
+    """A high rate is drawn in chunks: the same copies as in one piece, and none of the rows holds them all."""
+    rows = [(1, "x", "en", "tiny", 1), (1, "x", "en", "tiny", 1)] + [(k, "y" * 50, "en", "big", 50) for k in range(2, 40)]
+    table = tuned(spark).createDataFrame(rows, DOCS)
+    whole = sorted((r.doc_id, r.copy, r.n_copies, r.mix_key) for r in mixing.mix(table, {}).collect())
+    monkeypatch.setattr(mixing, "CHUNK", 3)
+    cut = sorted((r.doc_id, r.copy, r.n_copies, r.mix_key) for r in mixing.mix(table, {}).collect())
+    assert cut == whole and max(n for *_, n, _ in whole) > 400
+    rate = spark.range(1).select(mixing.drawn_count(F.lit(4e10), F.lit("1"), 17, F.lit(1 << 31), F.lit(5)).alias("n")).first().n
+    assert 30 < rate < 140
+
+
 @pytest.mark.parametrize("rate", [0.01, 1.0, 5.5, 16.0])
 def test_quantile_is_poisson(spark, rate):
     u = [0.0, 0.001, 0.25, 0.5, 0.9, 0.999999]

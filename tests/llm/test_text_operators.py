@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 import re
 
 import numpy as np
@@ -153,6 +154,28 @@ def test_toxicity_edges(spark):
     assert blank.score(*blank.evidence("nothing")) < 0.5 <= blank.score(*blank.evidence("moron"))
 
 
+@pytest.mark.parametrize(
+    "hostile",
+    [
+        lambda n: "eyJ" * n,
+        lambda n: "eyJ" * n + ".eyJhIjoxfQ.b",
+        lambda n: "eyJhIjoxfQ." * n,
+        lambda n: "-----BEGIN PRIVATE KEY-----a:" * n,
+        lambda n: "-----BEGIN PRIVATE KEY-----a:" * n + "\nMAMCAQE=\n-----END PRIVATE KEY-----",
+        lambda n: "token=" * n,
+        lambda n: "a1" * n,
+    ],
+)
+def test_secrets_of_hostile_texts_take_linear_time(hostile):
+    def took(n):
+        began = time.process_time()
+        secret_scan.find(hostile(n))
+        return time.process_time() - began
+
+    took(10_000)
+    assert took(160_000) < 0.3 + 30 * max(took(10_000), 0.003)  # 16 times the text; squared, it were 256 times
+
+
 # -- SentencePiece ------------------------------------------------------------------
 
 MODEL = queries.tokenizer_file(queries.PIECE_MODEL)
@@ -164,7 +187,7 @@ def test_agenda_equals_library(text):
     own = pieces.load(MODEL)
     ids = own.library.encode(text)
     assert own.encode(text) == ids
-    assert own.decode(ids) == own.library.decode(ids) == own.shown([text], own.encode_all([text]))[0]
+    assert own.decode(ids) == own.library.decode(ids) == own.shown(own.encode_all([text]))[0]
 
 
 def test_ids_are_the_agendas():
@@ -173,7 +196,7 @@ def test_ids_are_the_agendas():
     text = "the agenda makes these ids " + "ab" * 3000
     assert own.encode(text) == own.library.encode(text)
     made = own.encode_all([text, "", text])
-    assert own.shown([text, "", text], made) == [text, "", text] and len(own.wrong) == len(own.slots)
+    assert own.shown(made) == [text, "", text] and len(own.wrong) == len(own.slots)
     assert own.marked(made, own.wrong).tolist() == [True, False, True]
 
 
@@ -182,6 +205,10 @@ def test_broken_agenda_shows(spark):
     own.merge_many = lambda chunks: (np.full(len(chunks), 5, dtype=np.int64), np.ones(len(chunks), dtype=np.int64))
     made = own.encode_all(["some words here"])
     assert made.ids.tolist() == [5, 5, 5] != own.library.encode("some words here") and len(own.wrong) == 3
+    own.merge_many = lambda chunks: (np.full(len(chunks), 300, dtype=np.int64), np.ones(len(chunks), dtype=np.int64))
+    own.forget()
+    made = own.encode_all(["hello world again"])
+    assert own.shown(made) == [own.library.decode([300, 300, 300])] != ["hello world again"]
 
 
 def test_memo_forgets(monkeypatch):
@@ -191,7 +218,7 @@ def test_memo_forgets(monkeypatch):
         text = " ".join(f"word{k * i}" for i in range(9)) + " é😀 \x00"
         made = own.encode_all([text, "x"])
         assert made.of(0).tolist() == own.library.encode(text) and own.written(made)[1] == ",".join(map(str, own.library.encode("x")))
-        assert own.shown([text, "x"], made) == [own.library.decode(made.of(0).tolist()), "x"]
+        assert own.shown(made) == [own.library.decode(made.of(0).tolist()), "x"]
 
 
 def test_output_names_are_refused(spark):
