@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,20 +25,56 @@ LISTING_PREFIXES = [
     "Listing ",
 ]
 ALIAS_MIN_CHARS, ALIAS_MIN_WORDS = 8, 2
-FOLDS = [("ß", "ss"), ("ſ", "s"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff")]
+
+
+@cache
+def case_folds() -> dict[str, str]:
+    """Every code point that case folding changes and what it becomes, from the Unicode data of this Python."""
+    every = (chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    return {c: folded for c in every if (folded := c.casefold()) != c}
+
+
+def _character_class(chars: list[str]) -> str:
+    """A regular expression for any of the characters, as ranges."""
+    points = sorted(map(ord, chars))
+    cuts = [i for i, p in enumerate(points) if i == 0 or p != points[i - 1] + 1]
+    spans = zip(cuts, [*cuts[1:], len(points)])
+    return "[" + "".join(rf"\x{{{points[i]:x}}}-\x{{{points[j - 1]:x}}}" for i, j in spans) + "]"
+
+
+def _replaced(text: Column, folds: dict[str, str]) -> Column:
+    for old, new in folds.items():
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
 
 
 def casefold(text: Column) -> Column:
-    """Lower case with the folds that lower() leaves out."""
-    out = F.lower(text)
-    for old, new in FOLDS:
-        out = F.replace(out, F.lit(old), F.lit(new))
-    return out
+    """Full case folding, as of str.casefold: one pass maps code points to one other, and only texts
+    that hold a character which becomes several (other than the sharp s) pass through those."""
+    folds = case_folds()
+    one = {c: f for c, f in folds.items() if len(f) == 1}
+    many = {c: f for c, f in folds.items() if len(f) > 1 and c != "ß"}
+    out = F.replace(F.translate(text, "".join(one), "".join(one.values())), F.lit("ß"), F.lit("ss"))
+    out = F.when(text.rlike(_character_class(list(many))), _replaced(out, many)).otherwise(out)
+    return F.when(text.rlike(r"[^\x00-\x7f]"), out).otherwise(F.lower(text))
+
+
+@cache
+def _alphanumeric_folds() -> dict[str, str]:
+    """What lower() leaves out of the folds that hold a letter a-z or a digit."""
+    return {c: f for c, f in case_folds().items() if not c.isascii() and c.lower() != f and re.search("[a-z0-9]", f)}
+
+
+def _folded_for_tokens(text: Column) -> Column:
+    """Folded so far as a-z and 0-9 go, which costs no more than lower() for most texts."""
+    folds = _alphanumeric_folds()
+    low = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    return F.when(text.rlike(_character_class([c for c in folds if c != "ß"])), _replaced(low, folds)).otherwise(low)
 
 
 def tokens(text: Column) -> Column:
     """Runs of a-z and 0-9 after case folding; other letters separate. Null: no tokens."""
-    return F.regexp_extract_all(casefold(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.regexp_extract_all(_folded_for_tokens(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
 
 
 def normalize_query(text: Column) -> Column:
@@ -44,7 +83,7 @@ def normalize_query(text: Column) -> Column:
 
 def normalize_surface(text: Column) -> Column:
     """Tokens joined by spaces; empty below two characters."""
-    joined = F.trim(F.regexp_replace(casefold(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))
+    joined = F.trim(F.regexp_replace(_folded_for_tokens(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))
     return F.when(F.length(joined) >= 2, joined).otherwise("")
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .lexical import bm25, top_k
+from ..session import settled, spread, temporary
+from .filters import key_filter
 
 #: Tokens of a phrase that form its join key.
 GRAM = 3
@@ -51,44 +52,120 @@ def _keyed(phrases: DataFrame, words: str) -> tuple[DataFrame, list[int]]:
 
 def _candidates(docs: DataFrame, words: str, phrases: DataFrame, phrase_words: str) -> DataFrame:
     """Phrases with the documents (doc) that hold the run of words a phrase starts with: a superset
-    of what contains them, found by one equi-join of numbers."""
+    of what contains them. A bounded filter of the phrases' keys stands where runs are made, so
+    that hits alone reach the equi-join of numbers."""
     keyed, sizes = _keyed(phrases, phrase_words)
     if not sizes:
         return phrases.withColumn("doc", F.lit(None).cast(docs.schema["doc"].dataType)).limit(0)
-    return _gram_rows(docs, words, sizes).join(keyed, "gram").drop("gram")
+    hit = key_filter(keyed.select("gram").distinct())
+    return _gram_rows(docs, words, sizes).filter(hit(F.col("gram"))).join(keyed, "gram").drop("gram")
+
+
+def _of_hits(docs: DataFrame, near: DataFrame) -> DataFrame:
+    """The rows of docs whose ``doc`` some row of ``near`` has, and few others: what is no candidate is not shuffled again."""
+    name = F.xxhash64("doc")
+    return docs.filter(key_filter(near.select(name.alias("k")).distinct())(name))
 
 
 def phrase_matches(docs: DataFrame, phrases: DataFrame, key: str, text: str, phrase_key: str, phrase: str) -> DataFrame:
     """(doc, phrase_id) for every normalised phrase inside a normalised text.
 
-    Phrases are keyed by their first tokens (up to GRAM), texts by their runs of as many.
-    Only candidates meet the texts again, by id, and are confirmed by padded containment.
+    Phrases are keyed by their first tokens (up to GRAM), texts by their runs of as many. Only candidates
+    meet the texts again, by id, and are confirmed by padded containment. Written to the shared folder.
     """
     wanted = phrases.select(
         F.col(phrase_key).alias("phrase_id"),
         T.normalize_surface(F.col(phrase)).alias("p"),
     ).filter("p <> ''").withColumn("w", F.split("p", " "))
-    texts = docs.select(F.col(key).alias("doc"), T.normalize_surface(F.col(text)).alias("t")).filter("t <> ''")
-    near = _candidates(texts.select("doc", F.split("t", " ").alias("w")), "w", wanted, "w").select("doc", "phrase_id", "p").distinct()
-    return texts.join(near, "doc").filter(T.contains_phrase(F.col("t"), F.col("p"))).select("doc", "phrase_id").distinct()
+    rows = spread(docs.select(F.col(key).alias("doc"), F.col(text).alias("t")))
+    with temporary(docs.sparkSession) as kept:
+        texts = rows.select("doc", T.normalize_surface(F.col("t")).alias("t")).filter("t <> ''")
+        near = settled(_candidates(texts.select("doc", F.split("t", " ").alias("w")), "w", wanted, "w").select("doc", "phrase_id", "p").distinct())
+        again = _of_hits(rows, near).select("doc", T.normalize_surface(F.col("t")).alias("t"))
+        return kept(settled(again.join(near, "doc").filter(T.contains_phrase(F.col("t"), F.col("p"))).select("doc", "phrase_id").distinct()))
+
+
+#: Lengths of character grams; a phrase uses the longest that it holds.
+SIZES = (8, 4, 2, 1)
+#: Characters of a text that are cut into grams at a time.
+STRETCH = 1 << 15
+
+
+def _characters(text: Column, size: int) -> Column:
+    """(at, gram) of every run of ``size`` characters, hashed; at counts from 0."""
+
+    def of(chars: Column) -> Column:
+        gram = lambda i: F.xxhash64(F.lit(size), *[F.get(chars, i + k) for k in range(size)])
+        return F.transform(F.sequence(F.lit(0), F.size(chars) - size), lambda i: F.struct(i.alias("at"), gram(i).alias("gram")))
+
+    made = F.get(F.transform(F.array(F.split(text, "")), of), F.lit(0))
+    return F.when(F.length(text) >= size, made).otherwise(F.array().cast("array<struct<at:int,gram:bigint>>"))
+
+
+def _gram_places(texts: DataFrame, sizes: list[int]) -> DataFrame:
+    """(doc, at, gram) of the texts' (doc, t) grams of these sizes. A long text is cut into stretches that overlap by less than a gram."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length("t"), F.lit(1)), F.lit(STRETCH))
+    part = F.when(F.length("t") > STRETCH, F.substring(F.col("t"), F.col("start"), F.lit(STRETCH + max(sizes) - 1))).otherwise(F.col("t"))
+    rows = texts.select("doc", "t", F.explode(starts).alias("start")).select("doc", "start", part.alias("t"))
+    grams = F.explode(F.concat(*[_characters(F.col("t"), q) for q in sizes])).alias("g")
+    return rows.select("doc", "start", grams).select("doc", (F.col("start") - 1 + F.col("g.at")).alias("at"), F.col("g.gram").alias("gram"))
+
+
+def _rare_grams(texts: DataFrame, wanted: DataFrame, sizes: list[int]) -> DataFrame:
+    """(phrase_id, gram, offset, needed): of each phrase (phrase_id, p) its two rarest grams in the
+    texts. A phrase with a gram that no text has is left out."""
+    listed = F.lit(None).cast("array<struct<at:int,gram:bigint>>")
+    for q in sizes:
+        listed = F.when(F.col("q") == q, _characters(F.col("p"), q)).otherwise(listed)
+    grams = wanted.withColumn("q", _size_of(F.length("p"))).select("phrase_id", F.inline(listed)).withColumnRenamed("at", "offset")
+    keys = grams.select("gram").distinct()
+    counts = _gram_places(texts, sizes).filter(key_filter(keys)(F.col("gram"))).groupBy("gram").agg(F.count("*").alias("n"))
+    by = W.partitionBy("phrase_id")
+    known = grams.join(counts, "gram", "left").withColumn("absent", F.max(F.col("n").isNull()).over(by)).filter(~F.col("absent"))
+    ranked = known.withColumn("place", F.row_number().over(by.orderBy("n", "offset"))).filter("place <= 2")
+    return ranked.select("phrase_id", "gram", "offset", F.max("place").over(by).alias("needed"))
+
+
+def short_candidates(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc, phrase_id): documents (doc, t) that hold the two rarest grams of a phrase (phrase_id, p) at the
+    distance they have in it, which all that contain the phrase do."""
+    sizes = sorted(r[0] for r in wanted.select(_size_of(F.length("p")).alias("q")).distinct().collect())  # at most len(SIZES) numbers
+    if not sizes:
+        return texts.join(wanted, F.lit(False)).select("doc", "phrase_id")
+    chosen = settled(_rare_grams(texts, wanted, sizes))
+    hits = _gram_places(texts, sizes).filter(key_filter(chosen.select("gram").distinct())(F.col("gram")))
+    met = hits.join(chosen, "gram").withColumn("start", F.col("at") - F.col("offset"))
+    both = met.groupBy("doc", "phrase_id", "start").agg(F.count_distinct("offset").alias("n"), F.max("needed").alias("needed")).filter("n = needed")
+    return both.select("doc", "phrase_id").distinct()
+
+
+def _size_of(length: Column) -> Column:
+    size = F.lit(1)
+    for q in sorted(SIZES):
+        size = F.when(length >= q, q).otherwise(size)
+    return size
 
 
 def substring_matches(docs: DataFrame, phrases: DataFrame, key: str, text: str, phrase_key: str, phrase: str) -> DataFrame:
     """(doc, phrase_id, text, phrase) for every row whose case-folded text contains the
-    case-folded phrase, also inside longer tokens.
+    case-folded phrase, also inside longer tokens. Written to the shared folder.
 
     Only a phrase's first and last token can be part of a longer one, so that the
-    join key is the run of tokens (up to GRAM) after the first; phrases of less
-    than three tokens meet every text.
+    join key is the run of tokens (up to GRAM) after the first. Phrases of less than three tokens, or
+    without any, are found by their characters: texts' grams of 1, 2, 4 or 8 characters are counted where a phrase
+    has them, and the two rarest of each phrase are looked up with their places. Candidates alone meet the texts again.
     """
     wanted = phrases.select(F.col(phrase_key).alias("phrase_id"), F.col(phrase).alias("phrase"), T.casefold(F.col(phrase)).alias("p")).filter("p <> ''")
-    wanted = wanted.withColumn("words", T.tokens(F.col("phrase")))
-    inner = wanted.filter(F.size("words") > 2).withColumn("w", F.slice("words", F.lit(2), F.size("words") - 2)).drop("words")
-    short = wanted.filter(F.size("words") <= 2).drop("words")
-    texts = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"), T.casefold(F.col(text)).alias("t"))
-    near = _candidates(texts.select("doc", T.tokens(F.col("text")).alias("w")), "w", inner, "w").select("doc", "phrase_id", "phrase", "p").distinct()
-    pairs = texts.join(near, "doc").unionByName(texts.crossJoin(short))
-    return pairs.filter(F.contains("t", F.col("p"))).select("doc", "phrase_id", "text", "phrase")
+    words = F.size(T.tokens(F.col("phrase")))
+    inner = wanted.filter(words > 2).withColumn("w", F.slice(T.tokens(F.col("phrase")), F.lit(2), words - 2))
+    short = wanted.filter(words <= 2)
+    rows = spread(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")))
+    with temporary(docs.sparkSession) as kept:
+        long_ = _candidates(rows.select("doc", T.tokens(F.col("text")).alias("w")), "w", inner, "w").select("doc", "phrase_id")
+        folded = rows.select("doc", T.casefold(F.col("text")).alias("t")).filter("t <> ''")
+        near = settled(long_.unionByName(short_candidates(folded, short.select("phrase_id", "p"))).distinct())
+        pairs = _of_hits(rows, near).join(near, "doc").join(wanted, "phrase_id")
+        return kept(settled(pairs.filter(F.contains(T.casefold(F.col("text")), F.col("p"))).select("doc", "phrase_id", "text", "phrase")))
 
 
 def gazetteer_seeds(observations: DataFrame, gazetteer: DataFrame) -> DataFrame:
@@ -99,15 +176,18 @@ def gazetteer_seeds(observations: DataFrame, gazetteer: DataFrame) -> DataFrame:
     Spans count characters of the case-folded text; where folding changes the length of
     what stands before (as of the sharp s), what is shown of the raw text is shifted by as much.
     """
-    folded = observations.select(F.col("observation_id").alias("doc"), F.col("text").alias("raw"), T.casefold(F.col("text")).alias("t"))
+    rows = spread(observations.select(F.col("observation_id").alias("doc"), F.col("text").alias("raw")))
+    folded = rows.withColumn("t", T.casefold(F.col("raw")))
     wanted = gazetteer.select("surface", "page_ids").withColumn("w", F.split("surface", " "))
-    near = _candidates(
-        folded.select("doc", F.regexp_extract_all("t", F.lit("[a-z0-9]+"), F.lit(0)).alias("w")),
-        "w",
-        wanted,
-        "w",
-    ).select("doc", "surface", "page_ids").distinct()
-    found = folded.join(near, "doc").filter(F.contains("t", F.col("surface")))
+    near = settled(
+        _candidates(
+            folded.select("doc", F.regexp_extract_all("t", F.lit("[a-z0-9]+"), F.lit(0)).alias("w")),
+            "w",
+            wanted,
+            "w",
+        ).select("doc", "surface", "page_ids").distinct()
+    )
+    found = _of_hits(rows, near).withColumn("t", T.casefold(F.col("raw"))).join(near, "doc").filter(F.contains("t", F.col("surface")))
     pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])"), F.col("surface"), F.lit(r"(?![\p{L}\p{N}])"))
     at = F.regexp_instr("t", pattern)
     found = found.withColumn("span_start", at - 1).filter("span_start >= 0").withColumn("span_end", F.col("span_start") + F.length("surface"))

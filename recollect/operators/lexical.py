@@ -1,4 +1,4 @@
-"""Lexical search: postings once, BM25 for many queries at a time."""
+"""Lexical search: term tables, and BM25 for many queries at a time."""
 
 from __future__ import annotations
 
@@ -7,10 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import settled
+from .postings import TIE, Postings, all_scores, best, build, query_terms, rank_once, top_k
 
-K1, B = 1.5, 0.75
-#: Scores that agree to so many decimals tie, so that the order of summation cannot change a rank.
-TIE = 12
+__all__ = ["TIE", "bm25", "bm25_rank", "corpus_stats", "document_frequency", "first_documents", "postings", "query_terms", "tokenized", "top_k"]
 
 
 def tokenized(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -32,43 +32,12 @@ def corpus_stats(toks: DataFrame) -> DataFrame:
     return toks.agg(F.count("*").alias("n_docs"), F.avg(F.size("terms")).alias("avg_len"))
 
 
-def query_terms(queries: DataFrame, key: str = "query_id", text: str = "query_text") -> DataFrame:
-    """(query_id, term, mult): repeated terms count repeatedly."""
-    return queries.select(
-        F.col(key).alias("query_id"),
-        F.explode(T.tokens(F.col(text))).alias("term"),
-    ).groupBy("query_id", "term").agg(F.count("*").alias("mult"))
-
-
 def bm25(queries: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(query_id, doc, score) of every document that shares a term with the query.
-
-    One pass over the texts: of their terms only those that some query asks for leave the
-    scan, with one more row a document, whose term is empty, for the statistics. These rows
-    are dealt by document once; term counts, the join with the weighted query terms (planned
-    by its size) and the sums all keep that partitioning. Texts are never shuffled.
-    """
-    asked = query_terms(queries)
-    terms = asked.select("term").distinct()
-    every = terms.unionByName(terms.sparkSession.range(1).select(F.lit("").alias("term")))
-    toks = tokenized(docs, key, text)
-    words = toks.select("doc", F.size("terms").alias("len"), F.explode(F.concat(F.array(F.lit("")), "terms")).alias("term"))
-    dealt = words.join(every, "term", "left_semi").repartition("doc")
-    posted = dealt.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
-    df = posted.groupBy("term").agg(F.count("*").alias("df"), F.sum("len").alias("length"))
-    stats = df.filter("term = ''").select(F.col("df").alias("n_docs"), (F.col("length") / F.col("df")).alias("avg_len"))
-    weighted = asked.join(df.select("term", "df"), "term").join(stats)  # stats is one row
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = weighted.select("query_id", "term", (F.col("mult") * idf * (K1 + 1)).alias("weight"), "avg_len")
-    ratio = F.when(F.col("avg_len") > 0, F.col("len") / F.col("avg_len")).otherwise(0.0)
-    part = F.col("weight") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * ratio))
-    return posted.join(weighted, "term").groupBy("query_id", "doc").agg(F.sum(part).alias("score"))
-
-
-def top_k(scores: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), score: str = "score", tie: str = "doc") -> DataFrame:
-    """One-based ranks by score descending, then id ascending; rank <= k."""
-    order = W.partitionBy(*by).orderBy(F.round(score, TIE).desc(), F.col(tie).asc())
-    return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    """(query_id, doc, score) of every document that shares a term with the query, from one scan of the texts."""
+    index = build(docs, key, text, only=query_terms(queries))
+    scores = settled(all_scores(queries, index))
+    index.erase()
+    return scores
 
 
 def first_documents(docs: DataFrame, key: str, k: int) -> DataFrame:
@@ -77,10 +46,15 @@ def first_documents(docs: DataFrame, key: str, k: int) -> DataFrame:
     return least.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("doc")))
 
 
-def bm25_rank(queries: DataFrame, docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
+def bm25_rank(queries: DataFrame, docs: DataFrame, k: int, key: str, text: str, index: Postings | None = None) -> DataFrame:
     """Ranked BM25; a query without any token falls back to the first ids, one whose
-    tokens match nothing gets nothing."""
-    ranked = top_k(bm25(queries, docs, key, text), k)
+    tokens match nothing gets nothing.
+
+    The texts are scanned once; with a written ``index`` of the same texts not at all.
+    """
+    ranked = best(queries, index, k) if index else rank_once(queries, docs, key, text, k)
     bare = queries.filter(F.size(T.tokens(F.col("query_text"))) == 0).select("query_id")
-    fallback = bare.join(first_documents(docs, key, k)).select("query_id", "doc", F.lit(0.0).alias("score"), "rank")  # at most k rows a query
-    return ranked.select("query_id", "doc", "score", "rank").unionByName(fallback)
+    if bare.isEmpty():
+        return ranked
+    fallback = bare.join(settled(first_documents(docs, key, k))).select("query_id", "doc", F.lit(0.0).alias("score"), "rank")  # at most k rows a query
+    return ranked.unionByName(fallback)

@@ -37,9 +37,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 # -- SQL fragments ---------------------------------------------------------------
 
 
+#: What lower() of the SQL engine leaves out of case folding, written down apart from the engine's own table.
+SQL_FOLDS = [
+    ("ß", "ss"), ("ſ", "s"), ("ς", "σ"), ("ŉ", "ʼn"), ("ǰ", "ǰ"), ("ẖ", "ẖ"), ("ẗ", "ẗ"), ("ẘ", "ẘ"), ("ẙ", "ẙ"), ("ẚ", "aʾ"),
+    ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"), ("µ", "μ"), ("ϐ", "β"), ("ϑ", "θ"), ("ϕ", "φ"), ("ϖ", "π"),
+]
+
+
 def cf(x: str) -> str:
     out = f"lower({x})"
-    for old, new in T.FOLDS:
+    for old, new in SQL_FOLDS:
         out = f"replace({out}, '{old}', '{new}')"
     return out
 
@@ -89,6 +96,12 @@ def bodies(spark, sf):
 # -- lexical -----------------------------------------------------------------------
 
 
+@query(f"SELECT doc_id, sha256({cf('text')}) AS folded_sha256, length({cf('text')}) AS n FROM documents")
+def case_folding(spark, sf):
+    folded = table(spark, sf, "documents").select("doc_id", T.casefold(F.col("text")).alias("t"))
+    return folded.select("doc_id", F.sha2("t", 256).alias("folded_sha256"), F.length("t").cast("long").alias("n"))
+
+
 @query(f"SELECT doc_id, array_to_string({toks('text')}, ' ') AS terms FROM documents")
 def tokenize_terms(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(T.tokens(F.col("text")), " ").alias("terms"))
@@ -706,14 +719,27 @@ def variant_completeness(spark, sf):
     return validate.variant_issues(cases).select(F.col("id").cast("long").alias("base_case_id"))
 
 
+PHRASES = f"""words AS (SELECT item_id, text, {toks('text')} AS w FROM benchmark),
+phrases AS (SELECT item_id || ':' || k AS phrase_id, CASE WHEN k = 0 THEN text ELSE array_to_string(list_slice(w, 1, k), ' ') END AS phrase FROM words, (SELECT unnest([0, 1, 2]) AS k))"""
+
+
+def _phrases(spark, sf):
+    """Every item's text, its first token and its first two."""
+    first = F.expr("inline(array(named_struct('k', 0), named_struct('k', 1), named_struct('k', 2)))")
+    rows = table(spark, sf, "benchmark").select("item_id", "text", T.tokens(F.col("text")).alias("w"), first)
+    phrase = F.when(F.col("k") == 0, F.col("text")).otherwise(F.array_join(F.slice("w", F.lit(1), F.greatest("k", F.lit(1))), " "))
+    return rows.select(F.concat_ws(":", "item_id", "k").alias("phrase_id"), phrase.alias("phrase"))
+
+
 @query(
-    f"SELECT doc_id, item_id, (length({cf('d.text')}) - length(replace({cf('d.text')}, {cf('b.text')}, ''))) // length({cf('b.text')}) AS n FROM documents d, benchmark b WHERE contains({cf('d.text')}, {cf('b.text')})",
+    f"WITH {PHRASES}, f AS (SELECT phrase_id, {cf('phrase')} AS p FROM phrases), d AS (SELECT doc_id, {cf('text')} AS t FROM documents) "
+    "SELECT doc_id, phrase_id, (length(t) - length(replace(t, p, ''))) // length(p) AS n FROM d, f WHERE p <> '' AND contains(t, p)",
 )
 def occurrence_count(spark, sf):
-    met = entities.substring_matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text")
+    met = entities.substring_matches(table(spark, sf, "documents"), _phrases(spark, sf), "doc_id", "text", "phrase_id", "phrase")
     return met.select(
         F.col("doc").alias("doc_id"),
-        F.col("phrase_id").alias("item_id"),
+        "phrase_id",
         T.count_occurrences(F.col("text"), F.col("phrase")).cast("long").alias("n"),
     )
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,10 +41,64 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_scopes: list[list[str]] = []
+_left: dict[str, SparkSession] = {}
+
+
 def settled(table: DataFrame) -> DataFrame:
-    """A small intermediate table that a plan reads several times, computed once and
-    kept in the shared folder: its lineage ends in files that survive executors."""
-    base, context = shared_dir(table.sparkSession), table.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(base)
-    return table.checkpoint(eager=True)
+    """An intermediate table that plans read several times, computed once and written to the
+    shared folder: its lineage ends in files that survive executors.
+
+    It goes with the scope (``temporary``) that it is made in, or at the end of the program.
+    """
+    spark = table.sparkSession
+    path = f"{shared_dir(spark)}/recollect-settled-{uuid.uuid4().hex}"
+    table.write.parquet(path)
+    out = spark.read.schema(table.schema).parquet(path)
+    out._recollect_path = path
+    if _scopes:
+        _scopes[-1].append(path)
+    else:
+        _left[path] = spark
+    return out
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables settled inside are deleted on leaving, but for those handed to the function that is given."""
+    _scopes.append([])
+    kept: list[str] = []
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table._recollect_path)
+        return table
+
+    try:
+        yield keep
+    finally:
+        for path in _scopes.pop():
+            if path not in kept:
+                erase(spark, path)
+            elif _scopes:
+                _scopes[-1].append(path)
+            else:
+                _left[path] = spark
+
+
+@atexit.register
+def _erase_left() -> None:
+    for path, spark in _left.items():
+        if spark._jsc is not None and spark._jsc.sc().isStopped() is False:
+            erase(spark, path)
+
+
+def erase(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system, if it is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """Rows of few files dealt over all cores; a table of as many files as cores is left where it lies."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(2 * cores) if len(table.inputFiles()) < cores else table

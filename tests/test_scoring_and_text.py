@@ -212,15 +212,3 @@ def test_case_rules(spark):
     files = spark.createDataFrame([("notes/a.md", "other")], "path string, sha256 string")
     found = {r.message for r in validate.case_issues(cases, files, token_count=lambda t: F.lit(9000)).collect()}
     assert found == {"must contain positive, cue-ablated, and memory-included variants", "source hash mismatch"}
-
-
-def test_occurrences_inside_longer_tokens(spark, tmp_path):
-    from recollect import queries
-
-    texts = ["xalpha beta gammay", "alpha beta gamma, alpha Beta gamma", "alpha betas gamma", "wow ??? ???", "a–b one two", "xone twox", None, ""]
-    phrases = ["alpha beta gamma", "???", "one two", "–", "one", "beta"]
-    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame(list(enumerate(phrases)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    got = {(r.doc_id, r.item_id): r.n for r in queries.QUERIES["occurrence_count"](spark, str(tmp_path)).collect()}
-    want = {(i, j): t.lower().count(p) for i, t in enumerate(texts) for j, p in enumerate(phrases) if t and p in t.lower()}
-    assert got == want
