@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import merkle
 
 EXPANSIONS = 3
 
@@ -84,8 +85,6 @@ def valid_expansions(alternatives: Column, query: Column) -> Column:
 
 
 def used_digest(entries: DataFrame, name: str, content: str) -> DataFrame:
-    """One SHA-256 over the entries used, ordered by name: each entry is digested
-    first, so that only names and digests of what one run used meet."""
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(name).alias("n"), F.sha2(F.col(content), 256).alias("d"))))
-    lines = F.transform(pairs, lambda p: F.concat_ws(":", p["n"], p["d"]))
-    return entries.agg(F.sha2(F.array_join(lines, "\n"), 256).alias("digest"), F.count("*").alias("entries"))
+    """One SHA-256 over the entries used (digest, entries): the root of a tree over ranges of names, so that
+    no task sees more than its ranges' sums."""
+    return merkle.root(entries, name, content)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..schemas import OBSERVATION_KINDS, VARIANTS
 
+# The fields that every case has.
+REQUIRED_FIELDS = ["base_case_id", "case_id", "cue", "decisions", "distractors", "memory", "observation", "prompt", "provenance", "variant"]
 MIN_TOKENS, MAX_TOKENS, MIN_CHOICES, MIN_DISTRACTORS = 8_000, 12_000, 25, 3
 
 
@@ -59,8 +61,20 @@ def variant_issues(cases: DataFrame) -> DataFrame:
     return issue(sets.filter(F.col("variants") != F.lit(sorted(VARIANTS))), "base_case_id", "must contain positive, cue-ablated, and memory-included variants")
 
 
+def missing_fields(cases: DataFrame) -> list[tuple[str, Column]]:
+    """A rule for each required field: absent from the array ``fields`` of a case's own keys, if there
+    is one (a null that is written down is no missing field then); else null or no column."""
+
+    def missing(name: str) -> Column:
+        if "fields" in cases.columns:
+            return ~F.array_contains(F.coalesce("fields", F.array().cast("array<string>")), name)
+        return F.col(name).isNull() if name in cases.columns else F.lit(True)
+
+    return [(f"missing required field '{name}'", missing(name)) for name in REQUIRED_FIELDS]
+
+
 def case_issues(cases: DataFrame, files: DataFrame | None = None, token_count=None) -> DataFrame:
-    """All rules on single cases; ``cases`` follows schemas.CASE with observation_text.
+    """All rules on cases; ``cases`` follows schemas.CASE with observation_text, and fields as of ``missing_fields``.
 
     ``files`` (path, sha256) are the corpus files; ``token_count`` maps a text
     column to its token count (default: words of a-z and 0-9).
@@ -76,6 +90,7 @@ def case_issues(cases: DataFrame, files: DataFrame | None = None, token_count=No
     choice = {"output-only": F.col("decisions.output_only.choice"), "memory-conditioned": F.col("decisions.memory_conditioned.choice")}
     prefix = lambda p: F.substring_index(p, "/", 1)
     rules: list[tuple[str, Column]] = [
+        *missing_fields(cases),
         ("invalid variant", F.col("variant").isNull() | ~F.col("variant").isin(*VARIANTS)),
         ("invalid observation.kind", F.col("observation.kind").isNull() | ~F.col("observation.kind").isin(*OBSERVATION_KINDS)),
         ("observation length out of bounds", ~n_tokens.between(MIN_TOKENS, MAX_TOKENS)),

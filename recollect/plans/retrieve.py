@@ -132,6 +132,8 @@ def retrieve(
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}; known: {', '.join(MODES)}")
+    if k < 1:
+        raise ValueError("k must be at least 1")
     if (expansions is not None) != (mode == "enhanced"):
         raise ValueError("expansions go with the enhanced mode, and only with it")
     if mode == "dense":
@@ -229,6 +231,8 @@ def all_entity_output_rag(
 ) -> DataFrame:
     """Every gazetteer surface and phrase of the observation admits its pages, each page once:
     its best hit by rank, then exact score; numbered by rank, score and id."""
+    if k < 1:
+        raise ValueError("k must be at least 1")
     if gazetteer is None or pages is None or chunks is None:
         raise ValueError("all_entity_output_rag needs a gazetteer, pages and chunks")
     hits = entities.entity_exact(cases.select(F.col("case_id").alias("observation_id"), F.col("observation").alias("text")), gazetteer, pages, chunks, k)
@@ -307,6 +311,8 @@ def check_arguments(
     """Which arguments go with which condition; ValueError names those that do not."""
     if response_policy and not responses:
         raise ValueError("a response policy needs a response cache")
+    if k is not None and k < 1:
+        raise ValueError("k must be at least 1")
     given = {"mode": mode, "index": index, "k": k, "expansions": expansions, "expansion policy": policy, "flow": flow}
     refused = {"no_memory": set(given), "all_entity_output_rag": {"mode", "expansions", "expansion policy", "flow"}}.get(
         condition,

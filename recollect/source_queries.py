@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import caches, dedupe, entities, validate
+from .operators import caches, dedupe, entities, merkle, validate
 from .plans import retrieve as R
 from .plans import run as P
 from .queries import cf, query, table, toks
@@ -193,26 +193,59 @@ def entity_stubs(spark, sf):
 NOTE = "Made from links."
 
 
+FOLDER_LIST = ["doc", "meetings", "notes", "slack", "inbox", "calendar"]
+N = "c_custkey::VARCHAR"
+MARKED = "CASE WHEN c_custkey % 5 = 0 THEN 'perturbations: [\"poison\", \"old\"]' || chr(10) ELSE '' END"
+OWN = "CASE WHEN c_custkey % 7 = 0 THEN 'perturbations: [\"stale\"]' || chr(10) || 'perturbation_fixture_id: ' || CASE WHEN c_custkey % 2 = 0 THEN '\"fx' || c_custkey || '\"' ELSE 'null' END || chr(10) ELSE MARKS END".replace("MARKS", MARKED)
+
+
+def _item_sql(kind: str, folder: str, date: str, raw: str, own: str, body: str) -> str:
+    return f"""SELECT '{folder}/' || {N} AS slug, '---' || chr(10) || 'id: "' || {N} || '"' || chr(10) || 'type: "{kind}"' || chr(10) || 'date: "' || {date} || '"' || chr(10) || 'source: "v1"' || chr(10)
+  || 'source_item: "{folder}/' || {N} || '"' || chr(10) || 'source_sha256: "' || sha256({raw}) || '"' || chr(10) || {own} || '---' || chr(10) || {body} || chr(10) AS text"""
+
+
+MAIL_RAW = """'{"id":"' || c_custkey || '","slug":"inbox/' || c_custkey || '","ts":"t' || c_custkey || '","thread_id":"th","subject":"About","body_text":"See [' || c_name || '](user/n' || (c_custkey % 9) || ')","from":{"name":"A","email":"a@x"},"to":[{"name":"B","email":"b@x"},{"name":"C","email":"c@x"}]' || PERTURBED || '}'"""
+CHAT_RAW = """'{"id":"' || c_custkey || '","slug":"slack/' || c_custkey || '","ts":"t' || c_custkey || '","channel":"#ops","text":"Ask [' || c_name || '](user/n' || (c_custkey % 9) || ')","user":{"name":"A","handle":"aa"}' || PERTURBED || '}'"""
+PERTURBED = """CASE WHEN c_custkey % 7 = 0 THEN ',"perturbation":{"kind":"stale"' || CASE WHEN c_custkey % 2 = 0 THEN ',"fixture_id":"fx' || c_custkey || '"' ELSE '' END || '}' ELSE '' END"""
+EVENT_RAW = "'UID:' || c_custkey || '@x' || chr(10) || 'DTSTART:d' || c_custkey || chr(10) || 'DTEND;TZID=U:e' || chr(10) || CASE WHEN c_custkey % 4 = 1 THEN 'SUMMARY:Talk ' || c_name || chr(10) ELSE '' END || 'LOCATION:Room: 1'"
+MAIL_RAW, CHAT_RAW = (x.replace("PERTURBED", PERTURBED) for x in (MAIL_RAW, CHAT_RAW))
+LINK_OUT = "'[' || c_name || '](people/n' || (c_custkey % 9) || ')'"
+OF = lambda folder: f"FROM customer WHERE c_custkey % 6 = {FOLDER_LIST.index(folder)}"
+
+
 @query(
-    f"""WITH f AS (SELECT c_custkey, ['doc', 'meetings', 'notes', 'slack'][c_custkey % 4 + 1] AS folder, 'Hi [' || c_name || '](user/n' || (c_custkey % 9) || ')' AS body FROM customer),
-p AS (SELECT c_custkey, folder, body, CASE WHEN folder = 'meetings' THEN '# Meet ' || c_custkey || chr(10) || body ELSE body END AS text FROM f WHERE folder <> 'slack'),
+    f"""WITH f AS (SELECT c_custkey, {pick_sql(FOLDER_LIST, 'c_custkey')} AS folder, 'Hi [' || c_name || '](user/n' || (c_custkey % 9) || ')' AS body FROM customer),
+p AS (SELECT c_custkey, folder, body, CASE WHEN folder = 'meetings' THEN '# Meet ' || c_custkey || chr(10) || body ELSE body END AS text FROM f WHERE folder IN ('doc', 'meetings', 'notes')),
 m AS (SELECT [('doc', 'doc', 'source'), ('meetings', 'meeting', 'meeting'), ('notes', 'note', 'note')] AS t)
 SELECT x[2] || '/' || c_custkey AS slug, '---' || chr(10) || CASE WHEN folder = 'meetings' THEN 'title: "Meet ' || c_custkey || '"' || chr(10) ELSE '' END || 'type: "' || x[3] || '"' || chr(10)
-  || CASE WHEN c_custkey % 5 = 0 THEN 'perturbations: ["poison", "old"]' || chr(10) ELSE '' END || 'source_sha256: "' || sha256(text) || '"' || chr(10) || 'source: "v1"' || chr(10) || '---' || chr(10) || replace(text, '](user/', '](people/') AS text
+  || {MARKED} || 'source_sha256: "' || sha256(text) || '"' || chr(10) || 'source: "v1"' || chr(10) || '---' || chr(10) || replace(text, '](user/', '](people/') AS text
 FROM p, (SELECT unnest(t) AS x FROM m) WHERE x[1] = folder
+UNION ALL {_item_sql("email", "inbox", "'t' || c_custkey", MAIL_RAW + " || chr(10)", OWN, "'# About' || chr(10) || chr(10) || 'From: A <a@x>' || chr(10) || 'To: B <b@x>, C <c@x>' || chr(10) || 'Date: t' || c_custkey || chr(10) || 'Thread: th' || chr(10) || chr(10) || 'See ' || " + LINK_OUT)} {OF("inbox")}
+UNION ALL {_item_sql("slack", "slack", "'t' || c_custkey", CHAT_RAW + " || chr(10)", OWN, "'# Slack message in #ops' || chr(10) || chr(10) || 'Author: A (@aa)' || chr(10) || 'Date: t' || c_custkey || chr(10) || chr(10) || 'Ask ' || " + LINK_OUT)} {OF("slack")}
+UNION ALL {_item_sql("calendar-event", "calendar", "'d' || c_custkey", EVENT_RAW, MARKED, "'# ' || CASE WHEN c_custkey % 4 = 1 THEN 'Talk ' || c_name ELSE c_custkey::VARCHAR END || chr(10) || chr(10) || 'Start: d' || c_custkey || chr(10) || 'End: ' || chr(10) || 'Location: Room: 1'")} {OF("calendar")}
 UNION ALL SELECT 'people/n' || k, '---' || chr(10) || 'id: "n' || k || '"' || chr(10) || 'type: "person"' || chr(10) || 'source: "v1"' || chr(10) || 'generated_stub: true' || chr(10) || 'aliases: ["' || names || '"]' || chr(10) || '---' || chr(10) || '# ' || first || chr(10) || chr(10) || '{NOTE}' || chr(10)
-FROM (SELECT c_custkey % 9 AS k, string_agg(c_name, '", "' ORDER BY c_name) AS names, MIN(c_name) AS first FROM customer WHERE c_custkey % 4 <> 3 GROUP BY 1)""".replace("x[1]", "x[1]")
+FROM (SELECT c_custkey % 9 AS k, string_agg(c_name, '", "' ORDER BY c_name) AS names, MIN(c_name) AS first FROM customer WHERE c_custkey % 6 <> 5 GROUP BY 1)"""
 )
 def normalized_corpus(spark, sf):
-    """Files of three folders to pages: provenance, marks, types, titles, links; and stubs of what they link to."""
-    n = F.col("c_custkey")
-    text = F.concat(F.lit("Hi ["), "c_name", F.lit("](user/n"), (n % 9).cast("string"), F.lit(")"))
-    folder_ = pick(["doc", "meetings", "notes", "slack"], n)
-    text = F.when(folder_ == "meetings", F.concat(F.lit("# Meet "), n.cast("string"), F.lit("\n"), text)).otherwise(text)
-    files = table(spark, sf, "customer").select(folder_.alias("folder"), n.cast("string").alias("name"), text.alias("text"), n)
-    slug = F.concat(T.mapped(F.col("folder"), {k: v[0] for k, v in corpus.FOLDERS.items()}), F.lit("/"), "name")
-    marks = files.filter((n % 5 == 0) & (F.col("folder") != "slack")).select(slug.alias("slug"), F.array(F.lit("poison"), F.lit("old")).alias("perturbations"))
-    return corpus.normalized_corpus(files.drop("c_custkey"), marks, "v1", NOTE)
+    """All six folders to pages: Markdown of three, mail and chat lines, calendar events; provenance, marks, types, titles, links; stubs of what they link to."""
+    n, of = F.col("c_custkey"), F.col("folder")
+    link = F.concat(F.lit("["), "c_name", F.lit("](user/n"), (n % 9).cast("string"), F.lit(")"))
+    text = F.concat(F.lit("Hi "), link)
+    rows = table(spark, sf, "customer").withColumn("folder", pick(FOLDER_LIST, n))
+    text = F.when(of == "meetings", F.concat(F.lit("# Meet "), n.cast("string"), F.lit("\n"), text)).otherwise(text)
+    files = rows.filter(of.isin(*corpus.FOLDERS)).select("folder", n.cast("string").alias("name"), text.alias("text"))
+    heads = {k: v[0] for k, v in corpus.FOLDERS.items()} | {k: k for k in ("slack", "inbox", "calendar")}
+    marks = rows.filter(n % 5 == 0).select(F.concat(T.mapped(of, heads), F.lit("/"), n.cast("string")).alias("slug"), F.array(F.lit("poison"), F.lit("old")).alias("perturbations"))
+    path = folder(spark, "messages")
+    for name, raw in (("inbox", MAIL_RAW), ("slack", CHAT_RAW)):
+        rows.filter(of == name).select(F.expr(raw.replace("chr(10)", "'\\n'").replace("::VARCHAR", "")).alias("value")).write.text(f"{path}/{name}")
+    events = rows.filter(of == "calendar").select(F.concat(F.lit("BEGIN:VCALENDAR\nBEGIN:VEVENT\n"), F.expr(EVENT_RAW.replace("chr(10)", "'\\n'")), F.lit("\nEND:VEVENT\nEND:VCALENDAR")).alias("text"))
+    others = [
+        corpus.mail_pages(corpus.lines(spark, f"{path}/inbox", corpus.MAIL), marks, "v1"),
+        corpus.chat_pages(corpus.lines(spark, f"{path}/slack", corpus.CHAT), marks, "v1"),
+        corpus.calendar_pages(events, marks, "v1"),
+    ]
+    return corpus.normalized_corpus(files, marks, "v1", NOTE, *others)
 
 
 # -- the frozen index ---------------------------------------------------------------------
@@ -395,14 +428,39 @@ def cache_populate(spark, sf):
     )
 
 
-@query(
-    "SELECT sha256(string_agg(n || ':' || sha256(url), chr(10) ORDER BY n)) AS digest, COUNT(*) AS entries FROM (SELECT page_id::VARCHAR AS n, coalesce(url, '') AS url FROM pages WHERE page_id % 3 = 0)",
-)
+def merkle_sql(rows: str, depth: int = 3) -> str:
+    """CTEs n{depth} (leaves: range, n, digest) to n0 (the root) of a SELECT of (k, v)."""
+    hashed = f"SELECT substr(sha256(k), 1, {depth}) AS range, sha256(sha256(k) || ':' || sha256(v)) AS h FROM ({rows})"
+    sums = ", ".join(f"SUM(('0x' || substr(h, {1 + 15 * i}, 15))::BIGINT)::VARCHAR AS s{i}" for i in range(4))
+    ctes = [f"n{depth} AS (SELECT range, n, sha256(n || ':' || s0 || ':' || s1 || ':' || s2 || ':' || s3) AS digest FROM (SELECT range, COUNT(*) AS n, {sums} FROM ({hashed}) GROUP BY range))"]
+    for d in range(depth - 1, -1, -1):
+        ctes.append(f"n{d} AS (SELECT substr(range, 1, {d}) AS range, SUM(n)::BIGINT AS n, sha256(string_agg(range || ':' || digest, chr(10) ORDER BY range)) AS digest FROM n{d + 1} GROUP BY 1)")
+    return ", ".join(ctes)
+
+
+USED = "SELECT page_id::VARCHAR AS k, coalesce(url, '') AS v FROM pages WHERE page_id % 3 = 0"
+
+
+@query(f"WITH {merkle_sql(USED)} SELECT digest, n AS entries FROM n0")
 def cache_used_digest(spark, sf):
     used = table(spark, sf, "pages").filter("page_id % 3 = 0").select(F.col("page_id").cast("string").alias("n"), F.coalesce("url", F.lit("")).alias("url"))
     return caches.used_digest(used, "n", "url")
 
 
+@query(f"WITH {merkle_sql('SELECT page_id::VARCHAR AS k, html AS v FROM pages')} SELECT * FROM n3 UNION ALL SELECT * FROM n2 UNION ALL SELECT * FROM n1 UNION ALL SELECT * FROM n0")
+def page_digest_tree(spark, sf):
+    """Digests of all pages by ranges of their ids' hashes, up to one."""
+    return merkle.tree(table(spark, sf, "pages"), "page_id", "html")
+
+
+@query("SELECT DISTINCT substr(sha256(page_id::VARCHAR), 1, 3) AS range FROM pages WHERE page_id % 50 IN (7, 8)")
+def changed_ranges(spark, sf):
+    """Ranges in which two states of the pages differ: some changed, some gone."""
+    pages = table(spark, sf, "pages")
+    now = pages.filter("page_id % 50 <> 8").withColumn("html", F.when(F.col("page_id") % 50 == 7, F.concat("html", F.lit("!"))).otherwise(F.col("html")))
+    return merkle.changed(merkle.tree(pages, "page_id", "html"), merkle.tree(now, "page_id", "html"))
+
+
 EXPANDED = [("a", "b", "c"), ("a", "b", "B "), ("a", " ", "c"), ("Query  One", "b", "c"), ("query", "one", "query two")]
 
 
@@ -579,83 +637,99 @@ WORDS_SQL = toks("text")
 
 
 def _case_rows(spark, sf):
-    """One valid case in three variants for each customer, one rule broken in some: by key % 16."""
+    """One valid case in three variants for each customer, one rule broken in some: by key % RULES."""
     n = F.col("c_custkey")
     base = table(spark, sf, "customer").select(
         n,
         F.concat(F.lit("b"), n.cast("string")).alias("base_case_id"),
-        F.explode(F.array(*[F.lit(v) for v in VARIANTS])).alias("variant"),
+        F.explode(F.array(*[F.lit(v) for v in VARIANTS])).alias("role"),
     )
-    k = n % 16
-    hit = F.col("variant") == "positive"
-    broken = lambda number: hit & (k == number)
+    k = n % RULES
+    hit, control, injected = (F.col("role") == v for v in ("positive", "cue-ablated", "memory-included"))
+    broken = lambda number, where=hit: where & (k == number)
     cue = "the cue here"
     listing = "\n".join(f"Item {i}. Choice{i}" for i in range(26))
-    text = F.concat(
-        F.when(broken(1), F.lit(listing.replace("Item 25", "Entry 25"))).when(broken(2), F.lit(listing.replace("Item 25", "Item 24"))).otherwise(F.lit(listing)),
-        F.lit("\nRed plan once. Blue plan once."),
-    )
-    text = F.when(broken(3), F.concat(text, F.lit(" Red plan twice."))).otherwise(text)
-    text = F.when((F.col("variant") == "cue-ablated") | broken(4), text).otherwise(F.concat(text, F.lit(f" {cue}")))
+    text = F.when(broken(1), listing.replace("Item 24", "Entry 24").replace("Item 25", "Entry 25")).when(broken(2), listing.replace("Item 25", "Item 24")).otherwise(listing)
+    text = F.concat(text, F.lit("\nRed plan once. Blue plan once."))
+    text = F.when(broken(3), F.concat(text, F.lit(" Red plan twice."))).when(broken(27), F.concat(text, F.lit(" Blue plan twice."))).otherwise(text)
+    text = F.when(broken(16), F.concat(text, F.repeat(F.lit(" word"), F.lit(40)))).otherwise(text)
+    text = F.when((control & (k != 24)) | broken(4), text).otherwise(F.concat(text, F.lit(f" {cue}")))
     prompt = F.when(broken(5), "Choose one.").when(broken(6), f"Choose exactly one, {cue}.").when(
-        F.col("variant") == "memory-included",
+        injected & (k != 17),
         "Choose exactly one. Memory prose",
     ).otherwise("Choose exactly one.")
-    control = F.col("variant") == "cue-ablated"
-    other = F.when(control | broken(7), "Red plan").otherwise("Blue plan")
+    other = F.when((control & (k != 18)) | broken(7), "Red plan").when(broken(25), " ").otherwise("Blue plan")
     source = F.struct(
-        F.when(broken(8), "x").otherwise("notes/a").alias("source_id"),
-        F.lit("notes/a.md").alias("path"),
+        F.when(broken(8), "x").when(broken(20), "note/a").otherwise("notes/a").alias("source_id"),
+        F.when(broken(19), "notes/z.md").otherwise("notes/a.md").alias("path"),
         F.when(broken(9), "h2").otherwise("h").alias("sha256"),
         F.when(broken(10), F.array(F.lit("poison"))).otherwise(F.array().cast("array<string>")).alias("perturbations"),
     )
     distractors = F.array(
         *[F.struct(F.lit(str(i)).alias("source_id"), F.lit("t").alias("text"), F.array().cast("array<string>").alias("perturbations")) for i in range(3)],
     )
-    return base.select(
-        F.concat_ws(":", "base_case_id", "variant").alias("case_id"), "base_case_id", "variant", prompt.alias("prompt"),
+    fields = F.array(*[F.lit(f) for f in validate.REQUIRED_FIELDS])
+    variant = F.when(broken(22), "odd").otherwise(F.col("role"))
+    rows = base.filter(~broken(28, injected)).withColumn("copies", F.explode(F.sequence(F.lit(1), F.when(broken(21), 2).otherwise(1))))
+    return rows.select(
+        F.concat_ws(":", "base_case_id", "role").alias("case_id"), "base_case_id", variant.alias("variant"), prompt.alias("prompt"),
         F.struct(F.when(broken(11), "odd").otherwise("tool_result").alias("kind")).alias("observation"),
-        F.struct(F.when(broken(12), False).otherwise(~control).alias("present"), F.lit(cue).alias("text")).alias("cue"),
+        F.struct(F.when(broken(12) | broken(22), False).otherwise(~control).alias("present"), F.lit(cue).alias("text")).alias("cue"),
         F.struct(
             F.when(broken(13), "").otherwise("memory prose").alias("text"),
-            F.array(F.lit("notes/a")).alias("gold_source_ids"),
+            F.array(F.when(broken(20), "note/a").otherwise("notes/a")).alias("gold_source_ids"),
             F.array(source).cast(f"array<{SOURCE}>").alias("sources"),
         ).alias("memory"),
         F.struct(
             F.when(broken(14), "number").otherwise("natural_language_choice").alias("answer_type"),
-            F.struct(F.lit("Red plan").alias("choice")).alias("output_only"),
+            F.struct(F.when(broken(26), "").otherwise("Red plan").alias("choice")).alias("output_only"),
             F.struct(other.alias("choice")).alias("memory_conditioned"),
         ).alias("decisions"),
         F.struct(F.when(broken(15), F.slice(distractors, 1, 2)).otherwise(distractors).alias("sources")).alias("distractors"), text.alias("observation_text"),
+        F.when(broken(23), F.array_remove(fields, "provenance")).when(broken(23, injected), F.array_remove(fields, "cue")).otherwise(fields).alias("fields"),
     )
 
 
+#: key % RULES -> what is found: (the end of the id, message)
+RULES = 29
 BROKEN = {
-    1: "",
-    2: "visible labels must be unique",
-    3: "output-only choice must appear exactly once",
-    4: "gold cue is absent from observation",
-    5: "prompt must request exactly one choice",
-    6: "cue leaks into prompt",
-    7: "decision does not change",
-    8: "gold source ids and sources disagree",
-    9: "source hash mismatch",
-    10: "poison source cannot be gold",
-    11: "invalid observation.kind",
-    12: "cue.present disagrees with variant",
-    13: "memory text must be readable prose",
-    14: "answer_type must be natural_language_choice",
-    15: "too few distractors",
+    1: [(":positive", "too few visible choices")],
+    2: [(":positive", "visible labels must be unique")],
+    3: [(":positive", "output-only choice must appear exactly once")],
+    4: [(":positive", "gold cue is absent from observation")],
+    5: [(":positive", "prompt must request exactly one choice")],
+    6: [(":positive", "cue leaks into prompt")],
+    7: [(":positive", "decision does not change")],
+    8: [(":positive", "gold source ids and sources disagree")],
+    9: [(":positive", "source hash mismatch")],
+    10: [(":positive", "poison source cannot be gold")],
+    11: [(":positive", "invalid observation.kind")],
+    12: [(":positive", "cue.present disagrees with variant")],
+    13: [(":positive", "memory text must be readable prose")],
+    14: [(":positive", "answer_type must be natural_language_choice")],
+    15: [(":positive", "too few distractors")],
+    16: [(":positive", "observation length out of bounds")],
+    17: [(":memory-included", "prompt must contain the injected memory")],
+    18: [(":cue-ablated", "control changes decision")],
+    19: [(":positive", "missing memory source")],
+    20: [(":positive", "source id prefix differs from corpus folder")],
+    21: [(":positive", "duplicate case_id")],
+    22: [(":positive", "invalid variant"), ("", "must contain positive, cue-ablated, and memory-included variants")],
+    23: [(":positive", "missing required field ''provenance''"), (":memory-included", "missing required field ''cue''")],
+    24: [(":cue-ablated", "ablated observation still contains cue")],
+    25: [(":positive", "memory-conditioned choice must be natural language")],
+    26: [(":positive", "output-only choice must be natural language")],
+    27: [(":positive", "memory-conditioned choice must appear exactly once")],
+    28: [("", "must contain positive, cue-ablated, and memory-included variants")],
 }
+BROKEN_SQL = ", ".join(f"({k}, '{e}', '{m}')" for k, found in BROKEN.items() for e, m in found)
 
 
-@query(
-    f"SELECT 'b' || c_custkey || ':positive' AS id, m AS message FROM customer JOIN (VALUES {', '.join(f'''({k}, '{m}')''' for k, m in BROKEN.items() if m)}) AS r(k, m) ON c_custkey % 16 = k",
-)
+@query(f"SELECT 'b' || c_custkey || e AS id, m AS message FROM customer JOIN (VALUES {BROKEN_SQL}) AS r(k, e, m) ON c_custkey % {RULES} = k")
 def case_rules(spark, sf):
-    """Each rule on cases broken once, and nothing else found."""
+    """Every rule on cases that break it, and nothing else found. A word counts as a hundred tokens."""
     files = spark.range(1).select(F.lit("notes/a.md").alias("path"), F.lit("h").alias("sha256"))
-    return validate.case_issues(_case_rows(spark, sf), files, token_count=lambda t: F.lit(9000))
+    return validate.case_issues(_case_rows(spark, sf), files, token_count=lambda t: 100 * F.size(T.tokens(t)))
 
 
 # -- admission ---------------------------------------------------------------------------------

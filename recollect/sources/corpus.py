@@ -121,13 +121,80 @@ def normalized_pages(files: DataFrame, marks: DataFrame, version: str) -> DataFr
     return rows.select("slug", T.rewrite_links(F.col("made")).alias("text"))
 
 
-def mail_pages(mails: DataFrame, version: str) -> DataFrame:
-    """mails: id, subject, sender, body, source_hash -> (slug, text)."""
-    fields = {"id": F.col("id"), "source": F.lit(version), "source_sha256": F.col("source_hash"), "from": F.col("sender")}
-    return mails.select(
-        F.concat(F.lit("emails/"), "id").alias("slug"),
-        page_markdown(fields, F.concat(F.lit("# "), "subject", F.lit("\n\n"), "body")).alias("text"),
+# What messages hold.
+PERTURBATION = "perturbation struct<kind:string,fixture_id:string>"
+MAIL = f"id string, slug string, ts string, thread_id string, subject string, body_text string, `from` struct<name:string,email:string>, `to` array<struct<name:string,email:string>>, {PERTURBATION}"
+CHAT = f"id string, slug string, ts string, channel string, text string, user struct<name:string,handle:string>, {PERTURBATION}"
+
+
+def _marked(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """rows (slug, and perhaps perturbation) with perturbations, a message's own before those of the manifest, and its fixture."""
+    met = rows.join(marks.select("slug", F.col("perturbations").alias("listed")), "slug", "left")
+    if "perturbation" not in rows.columns:
+        return met.withColumn("perturbations", F.col("listed")).withColumn("own", F.lit(False)).withColumn("fixture", F.lit(None).cast("string"))
+    met = met.withColumn("own", F.col("perturbation").isNotNull())
+    met = met.withColumn("perturbations", F.when(F.col("own"), F.array("perturbation.kind")).otherwise(F.col("listed")))
+    return met.withColumn("fixture", F.col("perturbation.fixture_id"))
+
+
+def _item_pages(rows: DataFrame, marks: DataFrame, version: str, kind: str, body: Column) -> DataFrame:
+    """(slug, text) of rows with id, date, slug and source_hash."""
+    from ..operators.caches import json_string
+
+    fields = {"id": F.col("id"), "type": F.lit(kind), "date": F.col("date"), "source": F.lit(version), "source_item": F.col("slug"), "source_sha256": F.col("source_hash")}
+    listed = F.concat(F.lit("\nperturbations: "), F.regexp_replace(F.to_json("perturbations"), '","', '", "'))
+    fixture = F.concat(F.lit("\nperturbation_fixture_id: "), F.when(F.col("fixture").isNull(), "null").otherwise(json_string(F.col("fixture"), ascii_only=False)))
+    more = F.concat(F.when(F.size("perturbations") > 0, listed).otherwise(""), F.when(F.col("own"), fixture).otherwise(""))
+    page = page_markdown(fields, body)
+    # What is marked stands behind the last of the fields.
+    last = F.concat(F.lit('\nsource_sha256: "'), "source_hash", F.lit('"'))
+    at = F.instr(page, last) + F.length(last)
+    made = F.concat(F.substring(page, F.lit(1), at - 1), more, F.substring(page, at, F.length(page)))
+    return _marked(rows, marks).select("slug", made.alias("text"))
+
+
+def mail_pages(mails: DataFrame, marks: DataFrame, version: str) -> DataFrame:
+    """Messages of MAIL with source_hash -> (slug, text): headers as lines, then the body."""
+    address = lambda p: F.concat(p["name"], F.lit(" <"), p["email"], F.lit(">"))
+    people = F.array_join(F.transform("to", address), ", ")
+    body = F.concat(
+        F.lit("# "), "subject", F.lit("\n\nFrom: "), address(F.col("from")), F.lit("\nTo: "), people, F.lit("\nDate: "), "ts", F.lit("\nThread: "), "thread_id", F.lit("\n\n"), "body_text"
+    )
+    return _item_pages(mails.withColumn("date", F.col("ts")), marks, version, "email", body)
+
+
+def chat_pages(messages: DataFrame, marks: DataFrame, version: str) -> DataFrame:
+    """Messages of CHAT with source_hash -> (slug, text)."""
+    author = F.concat(F.col("user.name"), F.lit(" (@"), F.col("user.handle"), F.lit(")"))
+    body = F.concat(F.lit("# Slack message in "), "channel", F.lit("\n\nAuthor: "), author, F.lit("\nDate: "), "ts", F.lit("\n\n"), "text")
+    return _item_pages(messages.withColumn("date", F.col("ts")), marks, version, "slack", body)
+
+
+def calendar_pages(calendars: DataFrame, marks: DataFrame, version: str, text: str = "text") -> DataFrame:
+    """Calendar files -> (slug, text), a page an event: its uid up to the @, its summary (else the uid), times and place.
+
+    Folded lines are joined; a key with parameters is another key; the hash is that of the event's lines; an event without a uid has no page.
+    """
+    unfolded = F.regexp_replace(F.col(text), "\r?\n[ \t]", "")
+    blocks = calendars.select(F.explode(F.regexp_extract_all(unfolded, F.lit(r"(?s)BEGIN:VEVENT\r?\n(.*?)\r?\nEND:VEVENT"), F.lit(1))).alias("block"))
+    value = lambda x: F.when(F.contains(x, F.lit(":")), F.substring(x, F.instr(x, ":") + 1, F.length(x))).otherwise("")
+    pairs = F.transform(F.split("block", "\r\n|\n|\r"), lambda x: F.struct(F.substring_index(x, ":", 1).alias("k"), value(x).alias("v")))
+    rows = blocks.withColumn("pairs", pairs)
+
+    def first(name: str) -> Column:
+        return F.try_element_at(F.filter("pairs", lambda p: p["k"] == name), F.lit(1))["v"]
+
+    rows = rows.withColumn("id", F.substring_index(first("UID"), "@", 1)).filter("id is not null").select(
+        "id",
+        F.concat(F.lit("calendar/"), "id").alias("slug"),
+        F.coalesce(first("DTSTART"), F.lit("")).alias("date"),
+        F.coalesce(first("DTEND"), F.lit("")).alias("end"),
+        F.coalesce(first("SUMMARY"), F.col("id")).alias("summary"),
+        F.coalesce(first("LOCATION"), F.lit("")).alias("location"),
+        F.sha2("block", 256).alias("source_hash"),
     )
+    body = F.concat(F.lit("# "), "summary", F.lit("\n\nStart: "), "date", F.lit("\nEnd: "), "end", F.lit("\nLocation: "), "location")
+    return _item_pages(rows, marks, version, "calendar-event", body)
 
 
 def normalized_corpus(files: DataFrame, marks: DataFrame, version: str, note: str, *others: DataFrame) -> DataFrame:

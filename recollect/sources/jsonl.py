@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def strict(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, broken lines). Blank lines are skipped; a line that is no JSON object is broken."""
+def strict(spark: SparkSession, path: str, schema: str, fields: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, broken lines). Blank lines are skipped; a line that is no JSON object is broken.
+
+    With ``fields`` a column of that name lists the keys that each object has.
+    """
     lines = spark.read.text(path).filter(F.trim("value") != "").select(F.input_file_name().alias("file"), "value")
     is_object = F.coalesce(F.json_object_keys("value").isNotNull(), F.lit(False))
-    rows = lines.filter(is_object).select(F.from_json("value", schema).alias("r")).select("r.*")
+    keys = [F.json_object_keys("value").alias(fields)] if fields else []
+    rows = lines.filter(is_object).select(F.from_json("value", schema).alias("r"), *keys).select("r.*", *([fields] if fields else []))
     return rows, lines.filter(~is_object)
 
 
@@ -38,11 +42,11 @@ def lenient(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def cases(spark: SparkSession, path: str, texts: DataFrame, schema: str) -> DataFrame:
-    """Cases with observation_text: the file at content_path after its replacements
+    """Cases with the fields that each has and observation_text: the file at content_path after its replacements
     (null where a replacement's old text is absent). texts: (path, text)."""
     from ..functions.text import fold_replacements
 
-    rows, _ = strict(spark, path, schema)
+    rows, _ = strict(spark, path, schema, "fields")
     met = rows.join(texts.select(F.col("path").alias("_path"), F.col("text").alias("_text")), F.col("observation.content_path") == F.col("_path"), "left")
     edits = F.coalesce("observation.replacements", F.array().cast("array<struct<old:string,new:string>>"))
     return met.withColumn("observation_text", fold_replacements(F.col("_text"), edits)).drop("_path", "_text")
