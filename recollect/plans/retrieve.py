@@ -9,7 +9,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import dedupe, dense, entities, fusion, lexical
+from ..operators import balls, dedupe, dense, entities, fusion, lexical
 from ..operators.fusion import CANDIDATE_DEPTH, OFFICIAL_TOP_K
 from ..session import settled
 
@@ -47,7 +47,7 @@ def window_bests(queries: DataFrame, chunks: DataFrame, k: int | None = None) ->
     """
     asked, vectors = _sides(queries, chunks)
     asked = asked.select(F.struct(F.col("query_id").alias("q"), F.col("window").alias("w")).alias("query_id"), "query_vector")
-    best = dense.best_in_blocks(asked, vectors, k)
+    best = balls.best(asked, vectors, k)
     return best.select(F.col("query_id.q").alias("query_id"), F.col("query_id.w").alias("window"), "page", "chunk", "cosine")
 
 
@@ -101,7 +101,7 @@ def enhanced_channels(queries: DataFrame, docs: DataFrame, chunks: DataFrame, be
     for kind in ("body", "title"):
         ranked = lexical.bm25_rank(texts, docs, CANDIDATE_DEPTH, "page", kind)
         parts.append(ranked.select(query, name(f"{kind}_bm25"), F.col("doc").alias("page"), "rank"))
-    best = dense.best_in_blocks(keyed.filter("query_vector is not null"), _sides(queries, chunks)[1], CANDIDATE_DEPTH)
+    best = balls.best(keyed.filter("query_vector is not null"), _sides(queries, chunks)[1], CANDIDATE_DEPTH)
     ranked = lexical.top_k(best, CANDIDATE_DEPTH, ("query_id",), "cosine", "page")
     parts.append(ranked.select(query, name("dense"), "page", "rank"))
     return reduce(DataFrame.unionByName, parts)

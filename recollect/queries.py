@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions import tokenizers
-from .operators import caches, dedupe, dense, entities, fusion, lexical, scoring, validate
+from .operators import balls, caches, dedupe, dense, entities, fusion, lexical, postings, scoring, upkeep, validate
 from .plans import retrieve as R
-from .session import shared_dir
+from .session import erase, settled, shared_dir
 from .sources import corpus
 from .streaming import admission
 
@@ -117,6 +117,20 @@ def document_frequencies(spark, sf):
     return lexical.document_frequency(lexical.postings(lexical.tokenized(table(spark, sf, "documents"), "doc_id", "text")))
 
 
+@query(f"SELECT term, COUNT(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({toks('text')}) AS term FROM documents WHERE doc_id % 11 <> 4) GROUP BY term")
+def updated_frequencies(spark, sf):
+    """The documents of every term after an update: some documents changed, some came, some were marked as deleted."""
+    docs = table(spark, sf, "documents").withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256)).select("doc_id", "text", "digest")
+    old = F.when(F.col("doc_id") % 11 == 2, F.concat(F.lit("an older wording "), "text")).otherwise(F.col("text"))
+    before = docs.filter("doc_id % 11 <> 3").withColumn("text", old).withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
+    index = upkeep.Upkeep(spark, f"{shared_dir(spark)}/recollect-upkeep-{uuid.uuid4().hex}")
+    index.update(before, "doc_id", "text", "digest")
+    index.update(docs.withColumn("deleted_at", F.when(F.col("doc_id") % 11 == 4, "2026-01-01")), "doc_id", "text", "digest")
+    out = settled(index.frequencies())
+    erase(spark, index.path)
+    return out
+
+
 @query(f"SELECT COUNT(*) AS n_docs, round(AVG(len({toks('text')})), 6) AS avg_len FROM documents")
 def corpus_stats(spark, sf):
     return lexical.corpus_stats(lexical.tokenized(table(spark, sf, "documents"), "doc_id", "text")).select("n_docs", F.round("avg_len", 6).alias("avg_len"))
@@ -135,6 +149,15 @@ def bm25_body_topk(spark, sf):
     return _bm25_top(spark, sf, items(spark, sf), "body")
 
 
+@query(_bm25_top_sql(ITEMS, "body"))
+def bm25_index_topk(spark, sf):
+    """The same search over a stored index of all terms, by bounds."""
+    index = postings.build(bodies(spark, sf), "doc", "body")
+    ranked = postings.best(items(spark, sf), index, 5)
+    index.erase()
+    return ranked.select("query_id", "doc", F.round("score", 6).alias("score"), "rank")
+
+
 @query(_bm25_top_sql(ITEMS, "title"))
 def bm25_title_topk(spark, sf):
     return _bm25_top(spark, sf, items(spark, sf), "title")
@@ -175,6 +198,14 @@ def dense_topk(spark, sf):
     return R.retrieve(_asked(spark, sf), None, chunks, mode="dense").select("query_id", "page", F.round("score", 6).alias("score"), "rank")
 
 
+@query(ORACLES["dense_topk"])
+def dense_ball_topk(spark, sf):
+    """The same search, pairs of blocks pruned by their balls."""
+    chunks = _vectors(spark, sf).select(F.col("vec_id").alias("page"), F.col("vec_id").alias("chunk"), F.col("embedding").alias("vector"))
+    best = balls.best_by_balls(_asked(spark, sf), chunks, 5, block=64)
+    return dense.dense_rank(best, 5).select("query_id", "page", F.round("score", 6).alias("score"), "rank")
+
+
 BEST = f"""c AS (SELECT b.query_id, b.win, a.label AS page, a.vec_id AS chunk, {COS.replace('b.embedding', 'b.v')} AS cosine FROM embeddings a, asked b),
 best AS (SELECT query_id, win, page, chunk, cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id, win, page ORDER BY round(cosine, 12) DESC, chunk) AS k FROM c) WHERE k = 1)"""
 ONE = "asked AS (SELECT vec_id AS query_id, 0 AS win, embedding AS v FROM embeddings WHERE vec_id % 100 = 0)"
