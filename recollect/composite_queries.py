@@ -272,12 +272,10 @@ def evaluation_reasons(spark, sf):
 
 
 @query(
-    f"WITH w AS (SELECT doc_id, {toks('text')} AS w FROM documents WHERE doc_id % 100 = 0) SELECT doc_id AS case_id, COUNT(*) AS n FROM (SELECT DISTINCT doc_id, unnest(w) AS t FROM w) GROUP BY doc_id",
+    f"""WITH w AS (SELECT doc_id, {toks('text')} AS w FROM documents), t AS (SELECT doc_id, unnest(w) AS page, unnest(range(len(w))) AS i FROM w)
+SELECT doc_id AS case_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY MIN(i)) AS new_rank FROM t GROUP BY doc_id, page"""
 )
 def merged_hits(spark, sf):
-    """Union of a query's hits over its terms, each page once, in order of first appearance."""
-    terms = table(spark, sf, "documents").filter("doc_id % 100 = 0").select(
-        F.col("doc_id").alias("case_id"),
-        F.posexplode(T.tokens(F.col("text"))).alias("rank", "page"),
-    )
-    return dedupe.first_seen(terms, "case_id", "page", ["rank"]).groupBy("case_id").agg(F.max("new_rank").cast("long").alias("n"))
+    """Union of a text's hits over its terms, each page once, in order of first appearance."""
+    terms = table(spark, sf, "documents").select(F.col("doc_id").alias("case_id"), F.posexplode(T.tokens(F.col("text"))).alias("rank", "page"))
+    return dedupe.first_seen(terms, "case_id", "page", ["rank"]).select("case_id", "page", F.col("new_rank").cast("long").alias("new_rank"))

@@ -68,17 +68,17 @@ def jsonl_last_prediction(spark, sf):
 
 @query(
     """SELECT item_id, CASE WHEN contains(d.text, 'the') THEN substr(d.text, 1, strpos(d.text, 'the') - 1) || 'THE' || substr(d.text, strpos(d.text, 'the') + 3) END AS observation_text
-FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id % 97 AND b.item_id % 5 <> 0"""
+FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id * 37 % 997 AND b.item_id % 5 <> 0"""
 )
 def case_observations(spark, sf):
     """Cases read from JSON lines, with the text at their path after its replacements."""
     path = folder(spark, "cases")
     n = F.col("item_id")
-    where = F.concat(F.when(n % 5 == 0, "lost/").otherwise("doc/"), (n % 97).cast("string"))
+    where = F.concat(F.when(n % 5 == 0, "lost/").otherwise("doc/"), (n * 37 % 997).cast("string"))
     edits = F.array(F.struct(F.lit("the").alias("old"), F.lit("THE").alias("new")))
     rows = table(spark, sf, "benchmark").select(n, F.struct(where.alias("content_path"), edits.alias("replacements")).alias("observation"))
     rows.select(F.to_json(F.struct("item_id", "observation")).alias("value")).write.text(path)
-    texts = table(spark, sf, "documents").filter("doc_id < 97").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), "text")
+    texts = table(spark, sf, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), "text")
     schema = "item_id long, observation struct<content_path:string,replacements:array<struct<old:string,new:string>>>"
     return jsonl.cases(spark, path, texts, schema).select("item_id", "observation_text")
 
@@ -124,12 +124,12 @@ def mail_lines(spark, sf):
     return corpus.lines(spark, path, "id long, body string")
 
 
-@query("SELECT CAST(doc_id % 40 AS VARCHAR) AS slug, max_by(source, doc_id) AS mark FROM documents WHERE doc_id % 40 <> 0 GROUP BY doc_id % 40")
+@query("SELECT CAST(doc_id // 8 AS VARCHAR) AS slug, max_by(source, doc_id) AS mark FROM documents WHERE (doc_id // 8) % 5 <> 0 GROUP BY doc_id // 8")
 def manifest_marks(spark, sf):
-    """Artifacts by slug: the last wins, empty slugs go."""
-    slug = F.when(F.col("doc_id") % 40 == 0, "").otherwise((F.col("doc_id") % 40).cast("string"))
-    item = F.struct("doc_id", slug.alias("slug"), F.array("source").alias("perturbations"))
-    rows = table(spark, sf, "documents").agg(F.array_sort(F.collect_list(item)).alias("artifacts"))
+    """Artifacts by slug: the last wins, empty slugs go. A manifest for every eight documents."""
+    n = F.floor(F.col("doc_id") / 8)
+    item = F.struct("doc_id", F.when(n % 5 == 0, "").otherwise(n.cast("string")).alias("slug"), F.array("source").alias("perturbations"))
+    rows = table(spark, sf, "documents").groupBy(n.alias("n")).agg(F.array_sort(F.collect_list(item)).alias("artifacts"))
     rows = rows.select(F.transform("artifacts", lambda a: F.struct(a["slug"].alias("slug"), a["perturbations"].alias("perturbations"))).alias("artifacts"))
     return corpus.manifest(rows).select("slug", F.col("perturbations")[0].alias("mark"))
 
@@ -278,15 +278,19 @@ def _raw(spark, sf):
 
 @query(
     """WITH p AS (SELECT doc_id AS id FROM documents WHERE doc_id % 10 <> 9)
-SELECT 'page' AS kind, COUNT(*) AS n FROM p
-UNION ALL SELECT 'chunk', COUNT(*) FROM embeddings WHERE vec_id % 7 <> 0 AND vec_id % 11 <> 0 AND vec_id - vec_id % 2 IN (SELECT id FROM p)
-UNION ALL SELECT 'link', COUNT(*) FROM p WHERE id // 2 IN (SELECT id FROM p)"""
+SELECT 'page' AS kind, id::VARCHAR AS id, NULL AS other FROM p
+UNION ALL SELECT 'chunk', vec_id::VARCHAR, (vec_id - vec_id % 2)::VARCHAR FROM embeddings WHERE vec_id % 7 <> 0 AND vec_id % 11 <> 0 AND vec_id - vec_id % 2 IN (SELECT id FROM p)
+UNION ALL SELECT 'link', id::VARCHAR, (id // 2)::VARCHAR FROM p WHERE id // 2 IN (SELECT id FROM p)"""
 )
 def live_extract(spark, sf):
     """Pages not deleted, their text chunks that have a vector, links between them."""
-    kept = index.live_extract(*_raw(spark, sf))
-    counts = [t.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n") for kind, t in zip(("page", "chunk", "link"), kept)]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+    pages, chunks, links = index.live_extract(*_raw(spark, sf))
+    rows = [
+        pages.select(F.lit("page").alias("kind"), F.col("id").cast("string").alias("id"), F.lit(None).cast("string").alias("other")),
+        chunks.select(F.lit("chunk"), F.col("id").cast("string"), F.col("page_id").cast("string")),
+        links.select(F.lit("link"), F.col("from_page_id").cast("string"), F.col("to_page_id").cast("string")),
+    ]
+    return rows[0].union(rows[1]).union(rows[2])
 
 
 @query(
@@ -328,10 +332,10 @@ def model_names(spark, sf):
 
 
 @query(
-    "SELECT 'chunks' AS name, COUNT(*) AS n FROM embeddings UNION ALL SELECT 'links', COUNT(*) FROM embeddings UNION ALL SELECT 'pages', COUNT(*) FROM embeddings",
+    "SELECT 's:' || vec_id || ':0' AS chunk_id, 's:' || vec_id AS page_id, vec_id::VARCHAR AS title, round(list_sum(embedding::DOUBLE[]), 6) AS total, (SELECT COUNT(*) FROM embeddings) AS n_chunks FROM embeddings",
 )
 def index_round_trip(spark, sf):
-    """An index written once, read back and verified; the counts its manifest states."""
+    """An index written once, read back and verified: its chunks with their pages, and the number that its manifest states."""
     v = F.col("vec_id").cast("string")
     page = F.concat(F.lit("s:"), v)
     rows = table(spark, sf, "embeddings")
@@ -357,7 +361,10 @@ def index_round_trip(spark, sf):
     )
     path, width = folder(spark, "index"), rows.agg(F.max(F.size("embedding"))).first()[0]
     index.write_index(index.MemoryIndex(pages, chunks, links), path, "c", "m", width)
-    return index.read_index(spark, path, "m", width).manifest.select(F.explode("counts").alias("name", "n"))
+    back = index.read_index(spark, path, "m", width)
+    total = F.round(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda s, x: s + x), 6)
+    rows = back.chunks.join(back.pages, "page_id").select("chunk_id", "page_id", "title", total.alias("total"))
+    return rows.crossJoin(back.manifest.select(F.col("counts")["chunks"].alias("n_chunks")))  # one row
 
 
 @query(
@@ -617,18 +624,18 @@ STRIDE_POOL = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta"]
 
 
 @query(
-    f"""WITH g AS (SELECT unnest(range(200)) AS i), w AS (SELECT i, {pick_sql(STRIDE_POOL, 'i * 3')} AS a, {pick_sql(STRIDE_POOL, 'i * 5 + 1')} AS b FROM g)
+    f"""WITH g AS (SELECT c_custkey AS i FROM customer), w AS (SELECT i, {pick_sql(STRIDE_POOL, 'i * 3')} AS a, {pick_sql(STRIDE_POOL, 'i * 5 + 1')} AS b FROM g)
 SELECT i, CASE WHEN i = 147 THEN 'Item 147 — The cue row. It says so' WHEN i >= 18 AND (i - 18) % 22 = 0 THEN 'Item ' || i || ' — Decoy ' || a || '. ' || b ELSE 'Item ' || i || ' — ' || a || ' ' || b || '. ' || a END AS line FROM w"""
 )
 def listing_generator(spark, sf):
-    """A listing text by strides through a pool, with decoys and one cue row."""
-    i = F.col("id")
+    """A listing, a line for each customer, by strides through a pool, with decoys and one cue row."""
+    i = F.col("c_custkey")
     a, b = pick(STRIDE_POOL, i * 3), pick(STRIDE_POOL, i * 5 + 1)
     head = F.concat(F.lit("Item "), i.cast("string"), F.lit(" — "))
     line = F.when(i == 147, "Item 147 — The cue row. It says so").when((i >= 18) & ((i - 18) % 22 == 0), F.concat(head, F.lit("Decoy "), a, F.lit(". "), b)).otherwise(
         F.concat(head, a, F.lit(" "), b, F.lit(". "), a),
     )
-    return spark.range(200).select(i.alias("i"), line.alias("line"))
+    return table(spark, sf, "customer").select(i.alias("i"), line.alias("line"))
 
 
 # -- case rules --------------------------------------------------------------------------------
