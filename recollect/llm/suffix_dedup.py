@@ -10,8 +10,8 @@ strings do it. Of the shorter grams inside a SPAN-byte string the one with the l
 27 strings on average. Equal strings have equal anchors at equal places, so that
 
 1. pieces are sorted, each as the suffix at its anchor followed by what stands before
-   it. Of equal pieces all but the earliest are repeated throughout. The common prefix
-   with its neighbours says how far to the right a piece can agree with any other one;
+   it. Of equal pieces all but the earliest are repeated throughout. The prefixes shared with
+   the others of its anchor say how far to the right a piece can agree with any of them;
 2. strings of the earliest pieces that can agree with another piece are sorted, and of
    equal ones all but the earliest are repeated.
 
@@ -51,6 +51,8 @@ SPAN = 100
 BLOCK = 1 << 19
 #: Anchors, and strings, that a task gathers before it sends them on.
 GATHER, RUN = 400_000, 150_000
+#: Pieces of one anchor that are held against each other.
+SMALL = 16
 #: Sampled strings for each range; they choose the splitters and change no result.
 SAMPLED = 100
 #: Bytes of a splitter.
@@ -372,29 +374,75 @@ def _merge(settled: Callable[[Iterator[tuple]], Iterator[tuple]]):
     return run
 
 
+def common_end(a: bytes, b: bytes) -> int:
+    """How many bytes two strings share at their ends."""
+    n = min(len(a), len(b))
+    x = int.from_bytes(a[len(a) - n :], "big") ^ int.from_bytes(b[len(b) - n :], "big")
+    return ((x & -x).bit_length() - 1) // 8 if x else n
+
+
 def _pieces_settled(span: int):
-    """Later copies of a piece as spans; of its first one the strings that another piece may hold."""
+    """Later copies of a piece as spans; of its first one the strings that another piece may hold.
+
+    Pieces of one anchor stand together, each sharing with the next at least the anchor. Of up to SMALL of them
+    every two are held against each other, which leaves the strings that they have in common. In larger groups, and at the ends of a range,
+    where others may stand outside, the prefix shared with the neighbours bounds them.
+    """
+    gram = gram_of(span)
 
     def run(strings: Iterator[tuple]) -> Iterator[tuple]:
-        last, before = None, None  # the last distinct piece, and its prefix with the one before it
+        group: list[tuple] = []  # distinct pieces of one anchor: (string, key, bytes before the anchor, prefix shared with the piece before)
+        inside = False  # whether the group begins inside the range
+        small = True
         for shared, string, key, left in strings:
-            if last is not None and shared == len(string):
-                if key != last[1]:
+            if group and shared == len(string):
+                if key != group[-1][1]:
                     yield (*key, key[2] + len(string) - 2, None)
                 continue
-            if last is not None:
-                yield from open_strings(*last, max(before, shared))
-                before = shared
-            else:
-                before = span  # what stands in the range before is not known
-            last = (string, key, left)
-        if last is not None:
-            yield from open_strings(*last, span)
-
-    def open_strings(string: bytes, key: tuple, left: int, reach: int) -> Iterator[tuple]:
+            if group and shared < gram:
+                yield from by_pairs(group) if small and inside else by_neighbours(group, 0)
+                group, inside, small = [], True, True
+            elif len(group) == SMALL or group and not small:
+                # Too many: all but the last leave; the last waits for its next neighbour.
+                small = False
+                yield from by_neighbours(group, shared, 1)
+                group = group[-1:]
+            group.append((string, key, left, shared if group or inside else span))
+        yield from by_neighbours(group, span)
+
+    def by_neighbours(group: list[tuple], after: int, waiting: int = 0) -> Iterator[tuple]:
+        """``after``: the prefix that the last piece shares with what comes behind."""
+        behind = [x[3] for x in group[1:]] + [after]
+        for (string, key, left, before), next_ in zip(group[: len(group) - waiting], behind):
+            right = min(len(string) - left - 2, max(before, next_))
+            if left + right >= span:
+                yield open_strings(string, key, left, span - right, left)
+
+    def by_pairs(group: list[tuple]) -> Iterator[tuple]:
+        if len(group) == 1:
+            return
+        rights = [len(s) - left - 2 for s, _, left, _ in group]
+        lefts = [s[r + 1 : -1] for (s, *_), r in zip(group, rights)]
+        low, high = [span] * len(group), [-1] * len(group)
+        for i in range(len(group)):
+            reach = span
+            for j in range(i + 1, len(group)):
+                reach = min(reach, group[j][3], rights[i], rights[j])
+                if reach + min(len(lefts[i]), len(lefts[j])) < span:
+                    continue
+                end = common_end(lefts[i], lefts[j])
+                if reach + end >= span:
+                    for k in (i, j):
+                        low[k], high[k] = min(low[k], span - reach), max(high[k], end)
+        for (string, key, left, _), a, b in zip(group, low, high):
+            if b >= a:
+                yield open_strings(string, key, left, a, b)
+
+    def open_strings(string: bytes, key: tuple, left: int, low: int, high: int) -> tuple:
+        """The strings that begin ``low`` to ``high`` bytes before the anchor, as the bytes that they cover."""
         right = len(string) - left - 2
-        if left + min(right, reach) >= span:
-            yield (*key, None, string[right + 1 : -1] + string[: min(right, reach)])
+        before = string[right + 1 : -1]
+        return (*key[:2], key[2] + left - high, None, before[left - high :] + string[: span - low])
 
     return run
 

@@ -35,8 +35,9 @@ def spark_rows(spark, rows, span):
     return sorted([tuple(r) for r in got], key=lambda r: (r[0] is None, r[0]))
 
 
-@pytest.mark.parametrize("alphabet,span", [("ab", 12), ("abcdé", 7), ("xy z", 2), ("a", 9)])
-def test_random_texts(spark, monkeypatch, alphabet, span):
+@pytest.mark.parametrize("alphabet,span,small", [("ab", 12, 16), ("ab", 12, 3), ("abcdé", 7, 16), ("xy z", 2, 4), ("a", 9, 16)])
+def test_random_texts(spark, monkeypatch, alphabet, span, small):
+    monkeypatch.setattr(suffix_dedup, "SMALL", small)
     monkeypatch.setattr(suffix_dedup, "BLOCK", 64)
     monkeypatch.setattr(suffix_dedup, "RUN", 40)
     r = random.Random(span)
@@ -83,6 +84,39 @@ def test_equal_strings_have_equal_anchors():
             assert found.setdefault(raw[at : at + 50].tobytes(), a - at) == a - at
 
 
+def settled(pieces, span):
+    """What is left open of sorted pieces (start of the suffix, what stands before it, place), as strings by place."""
+    made = sorted((right + b"\xff" + left + b"\xff", (k, 0, 0), len(left)) for k, (right, left) in enumerate(pieces))
+    shared = suffix_dedup.shared_prefixes([m[0] for m in made])
+    out = {}
+    for d, _, lo, hi, raw in suffix_dedup._pieces_settled(span)((n, *m) for n, m in zip(shared.tolist(), made)):
+        assert hi is None
+        for at in range(len(raw) - span + 1):
+            out[d, lo + at] = raw[at : at + span]
+    return out
+
+
+@pytest.mark.parametrize("small", [2, 16])
+def test_strings_that_pieces_share_stay_open(monkeypatch, small):
+    """Of pieces of one anchor, every string that two of them hold at one distance from it is open."""
+    monkeypatch.setattr(suffix_dedup, "SMALL", small)
+    r, span = random.Random(4), 10
+    gram = suffix_dedup.gram_of(span)
+    for _ in range(300):
+        anchors = [bytes(r.choices(b"xy", k=gram)) for _ in range(3)]
+        texts = {(r.choice(anchors) + bytes(r.choices(b"ab", k=span - gram)), bytes(r.choices(b"ab", k=r.randrange(span - gram + 1)))) for _ in range(9)}
+        pieces = sorted(texts)
+        got = settled(pieces, span)
+        held = {}
+        for k, (right, left) in enumerate(pieces):
+            for i in range(len(left) + 1):
+                if len(right) >= span - i:
+                    held.setdefault((left[len(left) - i :] + right[: span - i], i), []).append((k, len(left) - i))
+        for (string, _), places in held.items():
+            if len(places) > 1:
+                assert all(got.get(p) == string for p in places)
+
+
 def test_merge_is_sorted_and_knows_prefixes():
     r = random.Random(9)
     for k in (1, 2, 3, 7, 16):
