@@ -62,13 +62,13 @@ def variant_issues(cases: DataFrame) -> DataFrame:
 
 
 def missing_fields(cases: DataFrame) -> list[tuple[str, Column]]:
-    """A rule for each required field: absent from the array ``fields`` of a case's own keys, if there
-    is one (a null that is written down is no missing field then); else null or no column."""
+    """A rule for each required field: absent from the array ``fields`` of a case's own keys (a null that is written
+    down is no missing field); where cases have no such column, from their columns."""
 
     def missing(name: str) -> Column:
         if "fields" in cases.columns:
             return ~F.array_contains(F.coalesce("fields", F.array().cast("array<string>")), name)
-        return F.col(name).isNull() if name in cases.columns else F.lit(True)
+        return F.lit(name not in cases.columns)
 
     return [(f"missing required field '{name}'", missing(name)) for name in REQUIRED_FIELDS]
 
