@@ -61,6 +61,12 @@ class Encoded:
         return self.ids[self.ends[k] : self.ends[k + 1]]
 
 
+def taken(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of a flat array, one behind the other."""
+    ends = np.cumsum(size)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size)]
+
+
 class Pieces:
     """A BPE vocabulary with byte fallback, read through the library."""
 
@@ -101,9 +107,10 @@ class Pieces:
                     pairs[left << 21 | right] = (i, ranks[sp.get_score(i)])
         self.pairs = pairs
         self._build_table()
-        text = [b.decode("utf-8", "replace") for b in self.bytes_of]
-        #: Text of each id; None where only a run of bytes has a meaning.
-        self.text = [t if b.decode("utf-8", "ignore") == t else None for t, b in zip(text, self.bytes_of)]
+        #: The bytes of all pieces in a row.
+        self.piece_size = np.fromiter(map(len, self.bytes_of), dtype=np.int64, count=size)
+        self.piece_start = np.cumsum(self.piece_size) - self.piece_size
+        self.piece_bytes = np.frombuffer(b"".join(self.bytes_of), dtype=np.uint8)
         self.digits = [str(i) for i in range(size)]
         self.forget()
 
@@ -113,8 +120,9 @@ class Pieces:
         self.start, self.size_of = np.empty(1 << 14, dtype=np.int64), np.empty(1 << 14, dtype=np.int64)
         #: Decimal ids by chunk, made where they are asked for.
         self.csv: list[str] = []
-        #: Characters of the ids by chunk, made where they are asked for.
-        self.plain: list[str] = []
+        #: Bytes of the ids by chunk, made where they are asked for.
+        self.raw, self.raw_used = np.empty(1 << 18, dtype=np.uint8), 0
+        self.raw_start, self.raw_size = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
         #: Chunks for which the library finds other ids.
         self.wrong: set[int] = set()
 
@@ -335,17 +343,23 @@ class Pieces:
         return hits[1:] > hits[:-1]
 
     def shown(self, coded: Encoded) -> list[str]:
-        """The decoded texts, from the ids alone: those of each chunk are put into characters once."""
-        new, of = np.arange(len(self.plain), len(self.slots)), self.text
+        """The decoded texts, from the ids alone: those of each chunk become bytes once."""
+        new = np.arange(len(self.raw_size), len(self.slots))
         if len(new):
-            ids = self.gather(new).tolist()
-            ends = np.r_[0, np.cumsum(self.size_of[new])].tolist()
-            for a, b in zip(ends, ends[1:]):
-                parts = [of[i] for i in ids[a:b]]
-                self.plain.append(self.text_of(ids[a:b]) if None in parts else "".join(parts))
-        plain, at, out = self.plain, coded.at.tolist(), []
-        for k, (a, b) in enumerate(zip(coded.cuts, coded.cuts[1:])):
-            text = "".join([plain[s] for s in at[a:b]])
+            ids, counts = self.gather(new), self.size_of[new]
+            made = taken(self.piece_bytes, self.piece_start[ids], self.piece_size[ids])
+            sizes = np.add.reduceat(self.piece_size[ids], np.cumsum(counts) - counts)
+            while self.raw_used + len(made) > len(self.raw):
+                self.raw = np.r_[self.raw, np.empty_like(self.raw)]
+            self.raw[self.raw_used : self.raw_used + len(made)] = made
+            self.raw_start = np.r_[self.raw_start, self.raw_used + np.cumsum(sizes) - sizes]
+            self.raw_size = np.r_[self.raw_size, sizes]
+            self.raw_used += len(made)
+        sizes = self.raw_size[coded.at]
+        whole = taken(self.raw, self.raw_start[coded.at], sizes).tobytes()
+        ends, out = np.r_[0, np.cumsum(sizes)][coded.cuts].tolist(), []
+        for k, (a, b) in enumerate(zip(ends, ends[1:])):
+            text = whole[a:b].decode("utf-8", "each-byte")
             out.append(text[1:] if text.startswith(" ") and self._strips(coded.of(k)) else text)
         return out
 
@@ -380,7 +394,7 @@ def encode_decode(docs: DataFrame, keep: list[str], model: str, text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model)
-        for batch in slices(batches, batch_text, 1 << 20):
+        for batch in slices(batches, batch_text, 1 << 19):
             texts = [t or "" for t in batch.column(n).to_pylist()]
             made = pieces.encode_all(texts)
             shown = pieces.shown(made)
