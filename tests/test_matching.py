@@ -24,6 +24,17 @@ def test_occurrences_inside_longer_tokens(spark):
     assert got == {(i, j) for i, t in enumerate(texts) for j, p in enumerate(phrases) if t and p and p.casefold() in t.casefold()}
 
 
+def test_short_phrases_of_a_file(spark, tmp_path):
+    """A plan that cuts a phrase's tokens before it filters meets phrases of fewer than three."""
+    texts, phrases = ["one two three four, One two three", "alone"], ["one two three", "one", "", "on", "?"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    spark.createDataFrame(list(enumerate(phrases)), "pid long, phrase string").write.parquet(f"{tmp_path}/p")
+    wanted = spark.read.parquet(f"{tmp_path}/p")
+    wanted = wanted.select("pid", F.when(F.col("pid") == 0, F.col("phrase")).otherwise(F.array_join(F.slice(T.tokens(F.col("phrase")), 1, 1), " ")).alias("phrase"))
+    got = entities.substring_counts(spark.read.parquet(f"{tmp_path}/d"), wanted, "doc_id", "text", "pid", "phrase")
+    assert {tuple(r) for r in got.collect()} == {(0, 0, 2), (0, 1, 2), (0, 3, 2), (1, 1, 1), (1, 3, 1)}
+
+
 def test_random_substrings_in_long_texts(spark, monkeypatch):
     monkeypatch.setattr(entities, "STRETCH", 40)
     r = random.Random(8)
