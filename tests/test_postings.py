@@ -97,3 +97,19 @@ def test_empty_tables(spark, tmp_path):
     assert lexical.bm25_rank(asked, docs, 3, "id", "body").collect() == []
     index = postings.build(docs, "id", "body", f"file://{tmp_path}/index")
     assert postings.best(asked, index, 3).collect() == [] and postings.best(asked.limit(0), index, 3).collect() == []
+
+
+def test_order_of_terms_changes_no_score(spark):
+    """Copies of a long text have the same score to the last bit, in whatever order a task meets their terms."""
+    r = random.Random(5)
+    weight = {f"w{i}": r.uniform(0.5, 9) for i in range(160)}
+    rows = [(doc, t, r.randrange(1, 4)) for doc in range(40) for t in r.sample(sorted(weight), k=160)]
+    tf = {t: n for _, t, n in rows}
+    met = spark.createDataFrame([(0, doc, t, tf[t], 160, weight[t]) for doc, t, _ in rows], "query_id long, doc long, term string, tf int, len int, weight double").coalesce(1)
+    index = postings.Postings(None, None, None, 40, 100.0, "")
+    assert len({x.score for x in postings.scored(met, index).collect()}) == 1
+    blocks = met.selectExpr("term", "int(doc) AS salt", "array(struct(doc, tf, len)) AS entries")
+    zero = "0D AS least, 0D AS rest, 0D AS theta"
+    asked = met.filter("doc = 0").selectExpr("query_id", "term", "weight", *zero.split(", "))
+    found = postings.candidates(asked, blocks, ["term"], 100.0, 5, 1).collect()
+    assert len(found) == 40 and len({x.partial for x in found}) == 1
