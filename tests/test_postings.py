@@ -111,5 +111,17 @@ def test_order_of_terms_changes_no_score(spark):
     blocks = met.selectExpr("term", "int(doc) AS salt", "array(struct(doc, tf, len)) AS entries")
     zero = "0D AS least, 0D AS rest, 0D AS theta"
     asked = met.filter("doc = 0").selectExpr("query_id", "term", "weight", *zero.split(", "))
-    found = postings.candidates(asked, blocks, ["term"], 100.0, 5, 1).collect()
+    found = postings.candidates(asked, blocks, ["term"], 100.0, 5, 40).collect()
     assert len(found) == 40 and len({x.partial for x in found}) == 1
+
+
+def test_postings_are_shuffled_once_for_all_queries(spark, monkeypatch):
+    """Cells of few queries: a posting reaches the workers once, not once for every cell of queries."""
+    monkeypatch.setattr(postings, "CHUNK", 2)
+    blocks = spark.range(40).selectExpr("concat('t', id % 2) AS term", "int(id % 4) AS salt", "array(struct(id AS doc, 1 AS tf, 10 AS len)) AS entries")
+    zero = ("0D AS least", "0D AS rest", "0D AS theta")
+    asked = spark.range(30).selectExpr("id AS query_id", "concat('t', id % 2) AS term", "double(id + 1) AS weight", *zero)
+    met = postings._candidates_of(asked, blocks, ["term"], 10.0, 3, 40)
+    assert len({(r.query_id, r.doc) for r in met.collect()}) == 30 * 20  # all tie
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
