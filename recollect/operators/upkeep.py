@@ -20,8 +20,9 @@ from ..session import settled, temporary
 from . import postings
 
 
-def changes(before: DataFrame, after: DataFrame, key: str = "doc", digest: str = "digest") -> DataFrame:
-    """(key, change): added, changed or removed; what agrees in its digest is left out. Keys are unique on either side.
+def changes(before: DataFrame, after: DataFrame, key: str = "doc", digest: str = "digest", digests: bool = False) -> DataFrame:
+    """(key, change), with ``digests`` also the new digest: added, changed or removed; what agrees in its digest is left out. Keys are
+    unique on either side.
 
     Rows of ``after`` that are marked as deleted (``deleted_at``) count as absent.
     """
@@ -29,7 +30,7 @@ def changes(before: DataFrame, after: DataFrame, key: str = "doc", digest: str =
     old = before.select(key, F.col(digest).alias("old"), F.lit(True).alias("was"))
     both = old.join(now.select(key, F.col(digest).alias("new"), F.lit(True).alias("is")), key, "full")
     change = F.when(F.col("was").isNull(), "added").when(F.col("is").isNull(), "removed").when(~F.col("old").eqNullSafe(F.col("new")), "changed")
-    return both.select(key, change.alias("change")).filter("change is not null")
+    return both.select(key, change.alias("change"), *([F.col("new").alias(digest)] if digests else [])).filter("change is not null")
 
 
 class Upkeep:
@@ -78,7 +79,7 @@ class Upkeep:
         documents whose digest is new. How many were added, changed and removed."""
         now = docs.withColumnRenamed(key, "doc").withColumnRenamed(digest, "digest")
         with temporary(self.spark):
-            found = settled(changes(self.documents(), now))
+            found = settled(changes(self.documents(), now, digests=True))
             counted = {r.change: r["count"] for r in found.groupBy("change").count().collect()}  # three rows at most
             if not counted:
                 return {"added": 0, "changed": 0, "removed": 0}
@@ -86,9 +87,11 @@ class Upkeep:
             path = f"{self.path}/{name}"
             fresh = found.filter("change <> 'removed'").select(F.col("doc").alias("key"))
             texts = now.filter("deleted_at is null") if "deleted_at" in now.columns else now
-            texts = texts.join(fresh, texts["doc"].eqNullSafe(fresh["key"]), "left_semi").select("doc", "digest", F.col(text).alias("text"))
-            tokens = settled(postings.token_rows(texts, "doc", "text").join(texts.select("doc", F.col("digest").cast("string").alias("digest")), "doc"))
-            tokens.select("doc", "len", "digest").write.parquet(f"{path}/documents")
+            texts = texts.join(fresh, texts["doc"].eqNullSafe(fresh["key"]), "left_semi").select("doc", F.col(text).alias("text"))
+            tokens = settled(postings.token_rows(texts, "doc", "text"))
+            # Digests meet lengths alone: lists of terms are never sorted or shuffled.
+            stated = found.select("doc", F.col("digest").cast("string").alias("digest"))
+            tokens.select("doc", "len").join(stated, "doc").write.parquet(f"{path}/documents")
             postings.count_rows(tokens).write.parquet(f"{path}/counts")
             gone = settled(found.filter("change <> 'added'").select("doc"))
             gone.write.parquet(f"{path}/gone")
