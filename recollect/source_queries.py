@@ -15,7 +15,7 @@ from .plans import retrieve as R
 from .plans import run as P
 from .queries import cf, query, table, toks
 from .schemas import SOURCE
-from .session import shared_dir
+from .session import shared_dir, spread
 from .sources import corpus, index, jsonl
 
 
@@ -646,7 +646,7 @@ WORDS_SQL = toks("text")
 def _case_rows(spark, sf):
     """One valid case in three variants for each customer, one rule broken in some: by key % RULES."""
     n = F.col("c_custkey")
-    base = table(spark, sf, "customer").select(
+    base = spread(table(spark, sf, "customer").select(n)).select(
         n,
         F.concat(F.lit("b"), n.cast("string")).alias("base_case_id"),
         F.explode(F.array(*[F.lit(v) for v in VARIANTS])).alias("role"),
