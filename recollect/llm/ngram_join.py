@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import bloom_hits, bloom_of, components, cut, drop, free, partitions, runs, settle, slices
+from .util import bloom_hits, bloom_of, brief_shuffles, components, cut, drop, free, partitions, runs, settle, slices
 
 WORDS = 5
 #: Similarity as a fraction: links need SHARE[1] * intersection >= SHARE[0] * union.
@@ -625,6 +625,11 @@ def _second_cells(groups: DataFrame, joined: DataFrame, share) -> DataFrame:
 def _components_of_rows(docs: DataFrame, key: str, text: str, share) -> DataFrame:
     """As jaccard_components, with each row's class and the component's own name, which unlike
     components that share an id do not share."""
+    with brief_shuffles(docs.sparkSession):
+        return _joined(docs, key, text, share)
+
+
+def _joined(docs: DataFrame, key: str, text: str, share) -> DataFrame:
     frequent = frequent_shingles(docs, text)
     prefixes = cut(_prefixes(docs, key, text, frequent, share), "prefix")
     members = prefixes.filter("kind = 0").select("doc_id", "n", "class")

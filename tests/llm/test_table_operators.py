@@ -4,6 +4,7 @@ import json
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -125,6 +126,26 @@ def test_jaccard_tables_grow_with_the_rows_of_a_group(spark, n, monkeypatch):
     assert counted["near"] <= 4 * n and counted["links"] <= 3 * n, counted
 
 
+def test_jaccard_leaves_no_shuffle_files(spark):
+    """Files of finished steps do not wait for the driver's garbage collector."""
+
+    def held():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        names = (files.apply(i).getName() for i in range(files.size()))
+        return {n for n in names if n.startswith("shuffle_") and n.endswith(".data")}
+
+    before, name = held(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    set_to = spark.conf.get(name, None)
+    table = tuned(spark).createDataFrame(corpus(4), "doc_id long, text string").repartition(4)
+    ngram_join.jaccard_components(table)
+    for _ in range(50):  # files are deleted beside the next step
+        if not held() - before:
+            break
+        time.sleep(0.1)
+    assert not held() - before
+    assert spark.conf.get(name, None) == set_to
+
+
 def test_jaccard_links_through_rows_without_key(spark):
     words = [f"w{i}" for i in range(120)]
     a, b, c = (" ".join(words[k : k + 100]) for k in (0, 8, 16))  # a ~ b ~ c, a and c unlike
