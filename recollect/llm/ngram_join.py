@@ -511,7 +511,7 @@ def _compared(rows: DataFrame, classes: DataFrame, docs: DataFrame, key: str, te
     near = cut(_can_partner(rows, classes, share), "near")
     pool = cut(near.select("node").distinct().join(classes.select("node", "rep"), "node"), "pool")
     sets = _sets(docs, pool, key, text)
-    links = cut(_linked(near, sets, share).distinct(), "links")
+    links = cut(_linked(near, sets, share), "links")
     drop(near, pool, sets)
     return links
 
@@ -531,7 +531,9 @@ def _groups(prefixes: DataFrame, light: DataFrame) -> DataFrame:
         "n",
         F.col("p").cast("long").alias("place"),
         "spread",
-    ).distinct()
+    )
+    # Dealt once, for the copies that several tasks saw and for the join with the heads.
+    late = late.withColumn("salt", salt).repartition("token", "salt").distinct()
     heads = late.groupBy("token").agg(
         F.max("spread").alias("spread"),
         F.min(F.struct("place", "node", "n")).alias("head"),
@@ -547,7 +549,7 @@ def _groups(prefixes: DataFrame, light: DataFrame) -> DataFrame:
         F.col("head.n").alias("leader_n"),
         F.col("head.place").alias("leader_place"),
     )
-    late = late.select("token", salt, "node", "n", "place")
+    late = late.select("token", "salt", "node", "n", "place")
     columns = ["late", "token", "salt", "spread", "node", "n", "place", "size", "leader", "leader_n", "leader_place"]
     late = late.join(heads, ["token", "salt"]).withColumn("late", F.lit(1)).select(*columns)
     large = light.filter("v is null").withColumnRenamed("u", "node").withColumn("salt", salt).withColumn("late", F.lit(0)).select(*columns)
@@ -587,20 +589,23 @@ def _second_cells(groups: DataFrame, joined: DataFrame, share) -> DataFrame:
     mixed = mixed.select("late", "token", F.explode(F.sequence(F.lit(0), F.col("spread") - 1)).alias("salt"))
     open_ = cut(larger.join(mixed, ["late", "token", "salt"], "left_semi"), "open")
     band = F.floor(F.log(F.col("n")) / math.log(BAND)).cast("int").alias("band")
-    where = open_.groupBy("node", "component", "n", band).agg(F.max(F.struct("size", "leader"))["leader"].alias("home"))
-    filled = where.groupBy("home", "component").count()
-    where = where.join(filled, ["home", "component"]).withColumn("pure", F.when(F.col("count") >= BLOCK, F.col("component"))).drop("count")
-    counted = where.groupBy(F.col("home").alias("of"), F.col("pure").alias("kind"), F.col("band").alias("in_band")).agg(
+    # Each step is written: tasks of the next then follow the size of what is left.
+    homes = cut(open_.groupBy("node", "component", "n", band).agg(F.max(F.struct("size", "leader"))["leader"].alias("home")), "homes")
+    filled = homes.groupBy("home", "component").count()
+    kinds = homes.join(filled, ["home", "component"]).withColumn("pure", F.when(F.col("count") >= BLOCK, F.col("component")))
+    kinds = cut(kinds.drop("count"), "kinds")
+    counted = kinds.groupBy(F.col("home").alias("of"), F.col("pure").alias("kind"), F.col("band").alias("in_band")).agg(
         F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / HEAVY)).cast("int").alias("parts")
     )
-    where = where.join(counted, (F.col("home") == F.col("of")) & F.col("pure").eqNullSafe(F.col("kind")) & (F.col("band") == F.col("in_band")))
+    where = kinds.join(counted, (F.col("home") == F.col("of")) & F.col("pure").eqNullSafe(F.col("kind")) & (F.col("band") == F.col("in_band")))
     block = F.xxhash64("home", "pure", "band", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block")
     where = cut(where.select("node", "component", "pure", "band", block), "blocks")
-    spots = open_.join(where.select("node", "block", "pure", "band"), "node").select("late", "token", "block", "pure", "band").distinct()
+    held = open_.join(where.select("node", "block", "pure", "band"), "node").select("late", "token", "block", "pure", "band")
+    held = cut(held.distinct(), "held")
     # Of shingles that the same blocks hold one stands for all.
-    alike = spots.groupBy("late", "token").agg(F.bit_xor(F.xxhash64("block")).alias("x"), F.count("*").alias("k"))
+    alike = held.groupBy("late", "token").agg(F.bit_xor(F.xxhash64("block")).alias("x"), F.count("*").alias("k"))
     alike = alike.groupBy("x", "k").agg(F.min(F.struct("late", "token")).alias("one")).select("one.late", "one.token")
-    spots = cut(spots.join(alike, ["late", "token"], "left_semi"), "spots")
+    spots = cut(held.join(alike, ["late", "token"], "left_semi"), "spots")
     other = spots.select(
         F.col("late").alias("late2"),
         F.col("token").alias("token2"),
@@ -618,7 +623,7 @@ def _second_cells(groups: DataFrame, joined: DataFrame, share) -> DataFrame:
         pairs.filter("block <> block2").select(F.col("block2").alias("block"), cell, F.lit(1).alias("side"))
     )
     rows = cut(sides.join(where.select("block", "node", "component"), "block").select("cell", "side", "node", "component"), "cells")
-    drop(open_, where, spots, pairs)
+    drop(open_, homes, kinds, where, held, spots, pairs)
     return rows
 
 

@@ -7,10 +7,11 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from recollect.llm import chat, embed_dedup, mixing, ngram_join, secret_scan, toxicity, url_filter
+from recollect.llm import chat, embed_dedup, mixing, ngram_join, secret_scan, toxicity, url_filter, util
 from recollect.llm.queries import PLANTED
 from recollect.llm.util import components, tuned
 
@@ -41,6 +42,27 @@ def test_components(spark):
     assert got == {x: sets.find(x) for e in edges if e[0] != e[1] for x in e}
 
 
+def test_components_of_stars_take_few_stages(spark):
+    edges = [(100 * k, 100 * k + i) for k in range(1, 30) for i in range(1, 4)]
+    tracker, group = spark.sparkContext.statusTracker(), "components of stars"
+    table = tuned(spark).createDataFrame(edges, "u long, v long").coalesce(1)
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        got = {(x.node, x.component) for x in components(table).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {(v, u) for u, v in edges} | {(u, u) for u, _ in edges}
+    assert sum(len(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup(group)) <= 12
+
+
+def test_forests_keep_the_pairs_of_a_node_together(monkeypatch):
+    monkeypatch.setattr(util, "FOREST", 2)
+    pairs = [(9, 1), (9, 2), (9, 3), (9, 4), (20, 5), (20, 6)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["u", "v"]) for rows in (pairs[:2], pairs[2:])]
+    found = [sorted(zip(b.column(0).to_pylist(), b.column(1).to_pylist())) for b in util._forest(iter(batches))]
+    assert found == [[(2, 1), (3, 1), (4, 1), (9, 1)], [(6, 5), (20, 5)]]
+
+
 # -- n-gram Jaccard join ----------------------------------------------------------
 
 
