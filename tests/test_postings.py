@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from recollect import queries
@@ -125,3 +126,26 @@ def test_postings_are_shuffled_once_for_all_queries(spark, monkeypatch):
     assert len({(r.query_id, r.doc) for r in met.collect()}) == 30 * 20  # all tie
     plan = met._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_best_sums_of_a_task_hold_no_matrices():
+    """What a task keeps for a query are its k best sums, however many queries and documents its cells have."""
+    r, tops, seen = np.random.default_rng(1), {}, {}
+    for cell in range(4):
+        for start in range(0, 40, 10):
+            numbers = list(range(start, start + 10))
+            sums = r.random((10, 300))
+            seen |= {n: np.r_[seen.get(n, np.zeros(0)), row] for n, row in zip(numbers, sums)}
+            least = postings.kth_best(tops, numbers, sums, 5)
+            assert least.tolist() == [np.sort(seen[n])[-5] for n in numbers]
+    assert all(np.sort(best).tolist() == np.sort(seen[n])[-5:].tolist() for n, best in tops.items())
+    assert sum((best if best.base is None else best.base).nbytes for best in tops.values()) == 40 * 5 * 8
+    assert postings.kth_best({}, [1, 2], np.ones((2, 3)), 5).tolist() == [0.0, 0.0]
+
+
+def test_cells_of_several_strips(spark, monkeypatch):
+    for name, value in (("SHARD", 40), ("STRIP", 3)):
+        monkeypatch.setattr(postings, name, value)
+    docs, asked = corpus()
+    texts, wanted = spark.createDataFrame(docs, "id string, body string"), spark.createDataFrame(asked, "query_id int, query_text string")
+    assert got(postings.rank_once(wanted, texts, "id", "body", 5)) == by_hand(asked, docs, 5)
