@@ -35,6 +35,36 @@ def test_short_phrases_of_a_file(spark, tmp_path):
     assert {tuple(r) for r in got.collect()} == {(0, 0, 2), (0, 1, 2), (0, 3, 2), (1, 1, 1), (1, 3, 1)}
 
 
+def test_counts_leave_the_scan_alone(spark, monkeypatch):
+    """Phrases are counted in one scan, without grams of all texts; a null or repeated id and copies of phrases keep their rows."""
+    r = random.Random(5)
+    texts = ["".join(r.choices("aab. ", k=r.choice([0, 1, 9, 80]))) for _ in range(60)] + ["aaaa", "Straße STRASSE", "İi", "x😀x😀😀", None]
+    phrases = ["".join(r.choices("aab. ", k=r.randrange(1, 5))) for _ in range(30)] + ["aa", "AA", "ss", "i̇", "😀", "", None]
+    docs = spark.createDataFrame([(i // 2 if i % 7 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    wanted = spark.createDataFrame([(i // 2, p) for i, p in enumerate(phrases)], "pid long, phrase string")
+    expected = sorted(
+        (str(i // 2 if i % 7 else None), j // 2, t.casefold().count(p.casefold()))
+        for i, t in enumerate(texts) for j, p in enumerate(phrases) if t and p and p.casefold() in t.casefold()
+    )
+    monkeypatch.setattr(entities, "_gram_places", None)
+    got = entities.substring_counts(docs, wanted, "doc_id", "text", "pid", "phrase")
+    assert sorted((str(r.doc), r.phrase_id, r.n) for r in got.collect()) == expected
+    assert entities.substring_counts(docs, wanted.filter("phrase = ''"), "doc_id", "text", "pid", "phrase").collect() == []
+
+
+def test_strings_that_overlap_themselves():
+    words = ["".join(random.Random(n).choices("ab", k=1 + n % 7)) for n in range(80)] + [""]
+    assert [entities.overlaps_itself(w) for w in words] == [any(w.startswith(w[i:]) for i in range(1, len(w))) for w in words]
+
+
+def test_counts_of_many_phrases(spark, monkeypatch):
+    monkeypatch.setattr(entities, "AT_ONCE", 0)
+    docs = spark.createDataFrame([(1, "one two three one"), (2, "none")], "doc_id long, text string")
+    wanted = spark.createDataFrame([(1, "one"), (2, "one two three")], "pid long, phrase string")
+    got = entities.substring_counts(docs, wanted, "doc_id", "text", "pid", "phrase")
+    assert {tuple(r) for r in got.collect()} == {(1, 1, 2), (1, 2, 1), (2, 1, 1)}
+
+
 def test_random_substrings_in_long_texts(spark, monkeypatch):
     monkeypatch.setattr(entities, "STRETCH", 40)
     r = random.Random(8)
